@@ -32,15 +32,17 @@ def _tokens(text):
     return F.filter(F.split(text, r"\s+", -1), lambda t: t != "")
 
 
-def _bigrams(tokens, inner: bool):
-    n = F.size(tokens)
+def _bigrams(tok_col: str, inner: bool):
+    """Hashes of consecutive token pairs of an array column (already materialised,
+    so the split runs once per text).  ``inner`` skips pairs that touch the
+    first or the last token."""
+    tok = F.col(tok_col)
+    n = F.size(tok)
     if inner:
-        idx = F.sequence(F.lit(2), n - 2)  # 1-based start of bigrams (t_i, t_i+1), 2 <= i <= n-2
-        return F.when(n >= 4, F.transform(idx, lambda i: F.xxhash64(F.element_at(tokens, i),
-                                                                   F.element_at(tokens, i + 1))))
-    idx = F.sequence(F.lit(1), n - 1)
-    return F.when(n >= 2, F.transform(idx, lambda i: F.xxhash64(F.element_at(tokens, i),
-                                                               F.element_at(tokens, i + 1))))
+        left, right = F.slice(tok, 2, n - 3), F.slice(tok, 3, n - 3)
+        return F.when(n >= 4, F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
+    left, right = F.slice(tok, 1, n - 1), F.slice(tok, 2, n - 1)
+    return F.when(n >= 2, F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
 
 
 def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
@@ -52,10 +54,11 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     it_tok = it.withColumn("_tok", _tokens(F.col("_qt")))
 
     long_items = it_tok.where(F.size("_tok") >= 4)
-    item_bg = long_items.select("_q", F.explode(F.array_distinct(_bigrams(F.col("_tok"), True))).alias("_bg"))
+    item_bg = long_items.select("_q", F.explode(F.array_distinct(_bigrams("_tok", True))).alias("_bg"))
     wanted = item_bg.select("_bg").distinct()
 
-    doc_bg = (d.select("_d", F.explode(F.array_distinct(_bigrams(_tokens(F.col("_dt")), False))).alias("_bg"))
+    doc_tok = d.select("_d", _tokens(F.col("_dt")).alias("_tok"))
+    doc_bg = (doc_tok.select("_d", F.explode(F.array_distinct(_bigrams("_tok", False))).alias("_bg"))
               .join(wanted, "_bg", "left_semi"))
     freq = doc_bg.groupBy("_bg").agg(F.count(F.lit(1)).alias("_f"))
     anchors = (item_bg.join(freq, "_bg")  # an item whose bigram never occurs matches no document

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.operators import curate, evaluate, vectors
-from passagekit.plans import fixtures
+from passagekit.operators import coverage, curate, evaluate, sample, vectors
+from passagekit.plans import corpus, fixtures
 from passagekit.sources.io import read_table
 
 CATALOG: dict = {}
@@ -105,3 +105,96 @@ def q_dedup_passages(spark, sf_dir):
     d = curate.dedup_passages(c, ["doc_id", "title", "doc_text"], "first_num")
     return d.select("doc_id", "title", "doc_text",
                     F.array_join("corpus_id_array", ",").alias("corpus_ids"))
+
+
+# ---------------------------------------------------------------- coverage
+def _corpora(spark, sf_dir):
+    return (fixtures.corpus_passages(spark, sf_dir, english=True),
+            fixtures.corpus_passages(spark, sf_dir, english=False))
+
+
+@register("missing_titles_norm")
+def q_missing_titles_norm(spark, sf_dir):
+    nq, wiki = _corpora(spark, sf_dir)
+    return coverage.missing_titles(nq, wiki)
+
+
+@register("missing_titles_exact")
+def q_missing_titles_exact(spark, sf_dir):
+    """Titles of answer passages that do not occur in the noise corpus (NOT IN)."""
+    nq, wiki = _corpora(spark, sf_dir)
+    gold = coverage.gold_passages(fixtures.answers(spark, sf_dir), nq)
+    return coverage.missing_exact(gold, wiki)
+
+
+@register("title_coverage")
+def q_title_coverage(spark, sf_dir):
+    nq, wiki = _corpora(spark, sf_dir)
+    return coverage.title_coverage(nq, wiki)
+
+
+@register("query_trace")
+def q_query_trace(spark, sf_dir):
+    return coverage.query_trace(fixtures.queries(spark, sf_dir), fixtures.answers(spark, sf_dir),
+                                fixtures.passages(spark, sf_dir))
+
+
+@register("keyword_titles")
+def q_keyword_titles(spark, sf_dir):
+    _, wiki = _corpora(spark, sf_dir)
+    return coverage.keyword_titles(wiki, ["La", "De"])
+
+
+@register("match_questions")
+def q_match_questions(spark, sf_dir):
+    """Passage texts that occur in both corpora, with their multiplicities."""
+    nq, wiki = _corpora(spark, sf_dir)
+    return coverage.match_texts(nq.select("text"), wiki.select("text"), "text")
+
+
+# ---------------------------------------------------------------- sampling
+SEED = 42
+
+
+@register("sample_rate")
+def q_sample_rate(spark, sf_dir):
+    return sample.sample_rate(fixtures.passages(spark, sf_dir), 0.2, "corpus_id", SEED).select(
+        "corpus_id", "doc_id")
+
+
+@register("sample_about")
+def q_sample_about(spark, sf_dir):
+    return sample.sample_about(fixtures.passages(spark, sf_dir), 1000, "corpus_id", SEED).select("corpus_id")
+
+
+@register("sample_per_group")
+def q_sample_per_group(spark, sf_dir):
+    return sample.sample_per_group(fixtures.passages(spark, sf_dir), "doc_id", 5, "corpus_id", SEED).select(
+        "doc_id", "corpus_id")
+
+
+@register("batch_assign")
+def q_batch_assign(spark, sf_dir):
+    b = sample.build_batches(fixtures.passages(spark, sf_dir), 50, 20, "corpus_id", SEED)
+    return b.select("corpus_id", "batch_id", "questions")
+
+
+def _corpus_level(level):
+    def run(spark, sf_dir):
+        nq, wiki = _corpora(spark, sf_dir)
+        return corpus.build_corpus(nq, wiki, fixtures.answers(spark, sf_dir), level, seed=SEED)
+    return run
+
+
+for _lvl in (1, 2, 3):
+    register(f"corpus_level_{_lvl}")(_corpus_level(_lvl))
+
+
+@register("gold_pairs")
+def q_gold_pairs(spark, sf_dir):
+    """Evaluation query set: distinct (query, gold document) of the level-3
+    corpus, restricted to queries that have a text."""
+    c = corpus.build_corpus(*_corpora(spark, sf_dir), fixtures.answers(spark, sf_dir), 3, seed=SEED)
+    pairs = c.where(F.col("stage") == 1).select("query_id", "doc_id").distinct()
+    q = fixtures.queries(spark, sf_dir)
+    return pairs.join(q, "query_id").select("query_id", "doc_id", F.col("text").alias("query_text"))

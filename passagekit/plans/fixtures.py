@@ -12,8 +12,8 @@ The reference reads NQ / Wikipedia passage tables; the driver provides
 * ``queries``       -- benchmark items, ``query_id`` = 'q' || item_id.
 * ``answers``       -- gold passage of each query: the first line of the
   lowest document that contains the benchmark text.
-* ``corpus_a/_b``   -- two corpora for coverage audits, split by a data
-  attribute (English vs other documents), not by id.
+* ``corpus_passages`` -- two corpora (answer corpus / noise corpus) split
+  by a data attribute (English vs other documents), not by id.
 * ``qa_pairs``      -- a user turn and the assistant turn that follows it.
 """
 
@@ -67,12 +67,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc"), (F.col("doc_id") * F.lit(LINE_STRIDE)).cast("string")).alias("corpus_id"))
 
 
-def corpus_titles(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
-    """Passages (corpus_id, title, text) of English or of non-English documents."""
+def corpus_passages(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
+    """Curated passages of English (answer corpus, ids 'd_') or of the other
+    documents (noise corpus, ids 'wikidoc_'); ids are ranked per corpus."""
     docs = documents(spark, sf_dir, ["doc_id", "lang"])
     cond = F.col("lang") == "en" if english else ~(F.col("lang") == "en")
     keep = docs.where(cond).select(F.col("doc_id").alias("src"))
-    return passages_raw(spark, sf_dir).join(keep, "src", "left_semi").select("corpus_id", "title", "text")
+    raw = passages_raw(spark, sf_dir).join(keep, "src", "left_semi")
+    return curate_passages(raw, prefix="d_" if english else "wikidoc_").select(
+        "doc_id", "corpus_id", "num", "title", "text")
 
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,9 @@ KS = "(select unnest([10, 20, 50, 100]) as k) ks"
 def _collapse(src: str, n: int) -> str:
     clean = "replace(replace({}.text, chr(13), ' '), chr(10), ' ')"
     a, b, c = clean.format("A"), clean.format("B"), clean.format("C")
+    if n == 1:
+        return f"""
+select A.doc_id, A.corpus_id as corpus_ids, A.title, {a} as doc_text, A.num as first_num from {src} A"""
     if n == 2:
         return f"""
 select doc_id, case when b_id is null then a_id else a_id || ',' || b_id end as corpus_ids,
@@ -140,3 +143,128 @@ c as ({_collapse("passages", 2)})
 select doc_id, title, doc_text, corpus_ids from (
   select *, row_number() over (partition by doc_id, title, doc_text order by first_num) as dupes from c)
 where dupes = 1"""
+
+
+# ------------------------------------------------------------------ coverage
+def _curated(name: str, cond: str, prefix: str) -> str:
+    return f"""
+{name}_raw as (select p.* from passages_raw p join documents d on d.doc_id = p.src where {cond}),
+{name} as (
+  select '{prefix}' || dense_rank() over (order by title nulls first) as doc_id, corpus_id, num,
+         coalesce(title, 'NaN') as title,
+         case when length(title) > 0 and substr(text, 1, length(title)) = title
+              then substr(text, length(title) + 2) else text end as text
+  from {name}_raw)"""
+
+
+CORPORA = PASSAGES_RAW + "," + _curated("nq", "d.lang = 'en'", "d_") + "," + \
+    _curated("wiki", "not (d.lang = 'en')", "wikidoc_")
+
+ANSWERS = f"""
+answers as (
+  select 'q' || b.item_id as query_id, 'doc' || (min(d.doc_id) * {STRIDE})::varchar as corpus_id
+  from benchmark b join documents d on contains(d.text, b.text) group by b.item_id)"""
+
+ORACLE["missing_titles_norm"] = f"""
+with {CORPORA}
+select A.title from (select distinct title from nq) A
+left join wiki B on regexp_replace(lower(A.title), ' ', '', 'g') = regexp_replace(lower(B.title), ' ', '', 'g')
+where B.title is null"""
+
+ORACLE["missing_titles_exact"] = f"""
+with {CORPORA}, {ANSWERS}
+select distinct A.title from nq A inner join answers B on A.corpus_id = B.corpus_id
+where A.title not in (select title from wiki)"""
+
+ORACLE["title_coverage"] = f"""
+with {CORPORA},
+t as (select distinct title from nq),
+m as (select A.title from t A
+      left join (select distinct regexp_replace(lower(title), ' ', '', 'g') as k from wiki) B
+        on regexp_replace(lower(A.title), ' ', '', 'g') = B.k
+      where B.k is null)
+select (select count(*) from t) as n_titles, (select count(*) from m)::BIGINT as n_missing,
+       round((select count(*) from m)::DOUBLE * 100.0 / (select count(*) from t), 6) as missing_pct"""
+
+ORACLE["query_trace"] = f"""
+with {PASSAGES}, {ANSWERS}
+select A.query_id, A.text as query_text, C.corpus_id, C.doc_id, C.title
+from (select 'q' || item_id as query_id, text from benchmark) A
+inner join answers B on B.query_id = A.query_id
+inner join passages C on B.corpus_id = C.corpus_id"""
+
+ORACLE["keyword_titles"] = f"""
+with {CORPORA}
+select distinct title from wiki where title like '%La%' or title like '%De%'"""
+
+ORACLE["match_questions"] = f"""
+with {CORPORA}
+select a.text, a.n_a, b.n_b
+from (select text, count(*) as n_a from nq group by text) a
+join (select text, count(*) as n_b from wiki group by text) b on a.text = b.text"""
+
+
+# ------------------------------------------------------------------ sampling
+def U(key: str, seed: int = 42) -> str:
+    return (f"(('0x' || substr(md5('{seed}' || '|' || {key}), 1, 8))::BIGINT::DOUBLE"
+            f" / 4294967296.0::DOUBLE)")
+
+
+ORACLE["sample_rate"] = f"""
+with {PASSAGES}
+select corpus_id, doc_id from passages where {U('corpus_id')} < 0.2"""
+
+ORACLE["sample_about"] = f"""
+with {PASSAGES}
+select corpus_id from passages where {U('corpus_id')} < 1000::DOUBLE / (select count(*) from passages)"""
+
+ORACLE["sample_per_group"] = f"""
+with {PASSAGES}
+select doc_id, corpus_id from (
+  select doc_id, corpus_id,
+         row_number() over (partition by doc_id order by {U('corpus_id')}, corpus_id) as pos
+  from passages) where pos <= 5"""
+
+ORACLE["batch_assign"] = f"""
+with {PASSAGES},
+s as (select corpus_id, {U('corpus_id')} as u from passages
+      where {U('corpus_id')} < (50 * 20)::DOUBLE / (select count(*) from passages))
+select corpus_id, (ntile(20) over (order by u, corpus_id))::INTEGER as batch_id, '' as questions from s"""
+
+
+def _corpus_sql(level: int, rate: float) -> str:
+    def grp(src):
+        return _collapse(src, level)
+    return f"""
+with {CORPORA}, {ANSWERS},
+grp as ({grp('nq')}),
+gold as (select a.query_id, g.* from grp g join answers a
+           on list_contains(string_split(g.corpus_ids, ','), a.corpus_id)),
+s1 as (select 1 as stage, query_id, doc_id, title, doc_text as text, corpus_ids from gold),
+s2 as (
+  select 2 as stage, NULL::VARCHAR as query_id, doc_id, title, doc_text as text, corpus_ids from (
+    select *, row_number() over (partition by doc_id order by {U('corpus_ids')}, corpus_ids) as pos from (
+      select * from (
+        select *, row_number() over (partition by doc_id, title, doc_text order by first_num) as dupes
+        from grp where doc_id in (select doc_id from gold))
+      where dupes = 1 and corpus_ids not in (select corpus_ids from gold)))
+  where pos <= 5),
+wgrp as ({grp('wiki')}),
+s3 as (
+  select 3 as stage, NULL::VARCHAR as query_id, doc_id, title, doc_text as text, corpus_ids from (
+    select *, row_number() over (partition by doc_id, title, doc_text order by first_num) as dupes
+    from wgrp where title not in (select title from nq))
+  where dupes = 1 and {U('corpus_ids')} < {rate})
+select stage, query_id, doc_id, title, text, corpus_ids, NULL::VARCHAR as questions from s1
+union all select stage, query_id, doc_id, title, text, corpus_ids, NULL::VARCHAR from s2
+union all select stage, query_id, doc_id, title, text, corpus_ids, NULL::VARCHAR from s3"""
+
+
+for _lvl, _rate in ((1, 0.0075), (2, 0.0143), (3, 0.02)):
+    ORACLE[f"corpus_level_{_lvl}"] = _corpus_sql(_lvl, _rate)
+
+ORACLE["gold_pairs"] = f"""
+with c as ({_corpus_sql(3, 0.02)})
+select distinct c.query_id, c.doc_id, q.text as query_text
+from c join (select 'q' || item_id as query_id, text from benchmark) q on q.query_id = c.query_id
+where c.stage = 1"""
