@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.operators import coverage, curate, evaluate, sample, vectors
+from passagekit.operators import coverage, curate, evaluate, sample, textprep, vectors
 from passagekit.plans import corpus, fixtures
 from passagekit.sources.io import read_table
 
@@ -198,3 +198,56 @@ def q_gold_pairs(spark, sf_dir):
     pairs = c.where(F.col("stage") == 1).select("query_id", "doc_id").distinct()
     q = fixtures.queries(spark, sf_dir)
     return pairs.join(q, "query_id").select("query_id", "doc_id", F.col("text").alias("query_text"))
+
+
+# ---------------------------------------------------------------- text preparation
+def _documents(spark, sf_dir):
+    return fixtures.documents(spark, sf_dir, ["doc_id", "text"])
+
+
+@register("sentence_split")
+def q_sentence_split(spark, sf_dir):
+    return textprep.split_sentences(_documents(spark, sf_dir))
+
+
+@register("clean_sentences")
+def q_clean_sentences(spark, sf_dir):
+    return textprep.clean_sentences(_documents(spark, sf_dir))
+
+
+@register("pack_segments")
+def q_pack_segments(spark, sf_dir):
+    return textprep.pack_segments(_documents(spark, sf_dir))
+
+
+@register("prompts")
+def q_prompts(spark, sf_dir):
+    c = textprep.build_candidates(_documents(spark, sf_dir), style="all", seed=SEED)
+    return c.select("doc_id", "cand_id", "style", "answer",
+                    F.md5(textprep.prompt(F.col("answer"), F.col("context"))).alias("prompt_md5"))
+
+
+@register("entities")
+def q_entities(spark, sf_dir):
+    s = textprep.clean_sentences(_documents(spark, sf_dir))
+    return textprep.extract_entities(s).select("doc_id", "sent_id", "ent_id", "ent_text", "label")
+
+
+@register("choices")
+def q_choices(spark, sf_dir):
+    s = textprep.clean_sentences(_documents(spark, sf_dir))
+    c = textprep.build_choices(textprep.extract_entities(s), seed=SEED)
+    return c.select("doc_id", "sent_id", "ent_id", "ent_text",
+                    textprep.choices_text(F.col("choices")).alias("choices"))
+
+
+@register("token_columns")
+def q_token_columns(spark, sf_dir):
+    t = textprep.tokenize_fixed(fixtures.queries(spark, sf_dir), "text", 20)
+    return t.select("query_id", F.array_join("ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"))
+
+
+@register("passage_template")
+def q_passage_template(spark, sf_dir):
+    c = _corpus_level(3)(spark, sf_dir)
+    return textprep.compose_passage(c, ["title", "text", "questions"]).select("stage", "corpus_ids", "passage")

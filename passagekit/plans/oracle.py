@@ -268,3 +268,147 @@ with c as ({_corpus_sql(3, 0.02)})
 select distinct c.query_id, c.doc_id, q.text as query_text
 from c join (select 'q' || item_id as query_id, text from benchmark) q on q.query_id = c.query_id
 where c.stage = 1"""
+
+
+# ------------------------------------------------------------------ text preparation
+def _sentence_chain(col: str) -> str:
+    from passagekit.functions.text import SENTENCE_STEPS
+    t = f"(' ' || {col} || '  ')"
+    for kind, a, b in SENTENCE_STEPS:
+        if kind == "lit":
+            sa = "chr(10)" if a == "\n" else "'" + a + "'"
+            t = f"replace({t}, {sa}, '{b}')"
+        else:
+            rb = b.replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")
+            t = f"regexp_replace({t}, '{a}', '{rb}', 'g')"
+    return t
+
+
+def _sentences(src: str, key: str, col: str) -> str:
+    """(key, parts) -> unnest rows (key, pos, sentence); pos 1-based."""
+    return f"""
+select {key}, generate_subscripts(s, 1) as pos, unnest(s) as sentence from (
+  select {key}, list_transform(parts[1:len(parts) - 1],
+                               lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as s
+  from (select {key}, string_split({_sentence_chain(col)}, '<stop>') as parts from {src}))"""
+
+
+def _clean_sentences(src: str, key: str, col: str) -> str:
+    return f"""
+select {key}, (row_number() over (partition by {key} order by first_pos) - 1)::INTEGER as sent_id, sentence
+from (select {key}, sentence, min(pos) as first_pos from ({_sentences(src, key, col)}) group by {key}, sentence)"""
+
+
+SEGMENTS = """
+paras as (
+  select doc_id, row_number() over (partition by doc_id order by pos) as idx, p,
+         len(string_split(p, ' ')) as c
+  from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos,
+               unnest(string_split(text, chr(10))) as p from documents)
+  where length(p) > 0),
+walk as (
+  select doc_id, idx, 0 as seg_id, c as n from paras where idx = 1
+  union all
+  select w.doc_id, p.idx, case when w.n >= 490 then w.seg_id + 1 else w.seg_id end,
+         case when w.n >= 490 then p.c else w.n + p.c end
+  from walk w join paras p on p.doc_id = w.doc_id and p.idx = w.idx + 1),
+segments as (
+  select w.doc_id, w.seg_id::INTEGER as seg_id, string_agg(p.p, ' ' order by w.idx) as segment,
+         sum(p.c)::INTEGER as n_tokens
+  from walk w join paras p on p.doc_id = w.doc_id and p.idx = w.idx group by w.doc_id, w.seg_id)"""
+
+ENT = "([A-Z][a-z]+(?: [A-Z][a-z]+)*|[0-9]+)"
+
+ENTITIES = f"""
+csent as ({_clean_sentences('documents', 'doc_id', 'text')}),
+ents as (
+  select doc_id, sent_id, sentence, (generate_subscripts(e, 1) - 1)::INTEGER as ent_id, unnest(e) as ent_text
+  from (select doc_id, sent_id, sentence, regexp_extract_all(sentence, '{ENT}', 1) as e from csent)),
+ents_l as (
+  select *, case when regexp_full_match(ent_text, '[0-9]{{4}}') then 'DATE'
+                 when regexp_full_match(ent_text, '[0-9]+') then 'CARDINAL' else 'PROPER' end as label
+  from ents)"""
+
+
+def _u3(a: str, b: str, c: str) -> str:
+    return U(f"({a}::VARCHAR || '|' || {b} || '|' || {c})")
+
+
+CHOICES = ENTITIES + f""",
+pool as (select distinct doc_id, ent_text, label from ents_l),
+poolh as (select *, {_u3('doc_id', 'ent_text', 'label')} as h from pool),
+psize as (select doc_id, count(*) as n_pool from pool group by doc_id),
+same as (
+  select doc_id, label, list_sort(list({{'h': h, 'ent_text': ent_text}})) as same_l from (
+    select *, row_number() over (partition by doc_id, label order by h, ent_text) as r from poolh)
+  where r <= 4 group by doc_id, label),
+other as (
+  select doc_id, list_sort(list({{'h': h, 'ent_text': ent_text, 'label': label}})) as other_l from (
+    select *, row_number() over (partition by doc_id order by h, ent_text, label) as r from poolh)
+  where r <= 6 group by doc_id),
+picked as (
+  select e.doc_id, e.sent_id, e.ent_id, e.ent_text, e.label, m,
+         list_transform(list_filter(s.same_l, lambda x: x.ent_text <> e.ent_text), lambda x: x.ent_text)[1:m] as first_l,
+         list_transform(list_filter(o.other_l, lambda x: x.label <> e.label), lambda x: x.ent_text) as rest_l
+  from (select e.*, least(4, z.n_pool) - 1 as m from ents_l e join psize z using (doc_id)) e
+  join same s on s.doc_id = e.doc_id and s.label = e.label
+  join other o on o.doc_id = e.doc_id),
+opts as (
+  select doc_id, sent_id, ent_id, ent_text, label,
+         list_concat([{{'answer': ent_text, 'correct': true}}],
+                     list_transform(case when m - len(first_l) > 0 then list_concat(first_l, rest_l[1:m - len(first_l)])
+                                         else first_l end, lambda t: {{'answer': t, 'correct': false}})) as o
+  from picked),
+choices as (
+  select doc_id, sent_id, ent_id, ent_text, label,
+         array_to_string(list_transform(
+           list_sort(list_transform(o, lambda x: {{'h': {_u3('doc_id', 'ent_text', 'x.answer')}, 'answer': x.answer,
+                                                   'correct': x.correct}})),
+           lambda x: x.answer || '|' || x.correct::VARCHAR), ';') as choices
+  from opts)"""
+
+ORACLE["sentence_split"] = f"""
+select doc_id, (pos - 1)::INTEGER as sent_id, sentence from ({_sentences('documents', 'doc_id', 'text')})"""
+
+ORACLE["clean_sentences"] = _clean_sentences("documents", "doc_id", "text")
+
+ORACLE["pack_segments"] = f"with recursive {SEGMENTS} select doc_id, seg_id, segment, n_tokens from segments"
+
+ORACLE["entities"] = f"with {ENTITIES} select doc_id, sent_id, ent_id, ent_text, label from ents_l"
+
+ORACLE["choices"] = f"with {CHOICES} select doc_id, sent_id, ent_id, ent_text, choices from choices"
+
+PROMPT_CANDS = f"""
+segsent as (
+  select doc_id, seg_id, segment, sent_id, sentence from (
+    select doc_id, seg_id, segment, sentence,
+           (row_number() over (partition by doc_id, seg_id order by first_pos) - 1) as sent_id
+    from (select doc_id, seg_id, segment, sentence, min(pos) as first_pos
+          from ({_sentences('segments', 'doc_id, seg_id, segment', 'segment')})
+          group by doc_id, seg_id, segment, sentence))),
+cands as (
+  select doc_id, (seg_id::BIGINT << 40) + (sent_id::BIGINT << 20) as cand_id, 'sentences' as style,
+         sentence as answer, segment as context from segsent
+  union all
+  select e.doc_id, (1::BIGINT << 60) + (e.sent_id::BIGINT << 20) + e.ent_id::BIGINT, 'multiple_choice',
+         e.ent_text, e.sentence from ents_l e)"""
+
+ORACLE["prompts"] = f"""
+with recursive {SEGMENTS}, {ENTITIES}, {PROMPT_CANDS}
+select doc_id, cand_id, style, answer, md5('<answer> ' || answer || ' <context> ' || context) as prompt_md5
+from cands"""
+
+ORACLE["token_columns"] = """
+with t as (
+  select 'q' || item_id as query_id,
+         list_transform(list_filter(string_split(lower(text), ' '), lambda x: x <> ''),
+                        lambda x: ((('0x' || substr(md5(x), 1, 8))::BIGINT % 30000) + 1)::INTEGER)[1:20] as ids
+  from benchmark)
+select query_id, array_to_string(list_resize(ids, 20, 0), ',') as ids,
+       array_to_string(list_resize(list_transform(ids, lambda x: 1), 20, 0), ',') as mask
+from t"""
+
+ORACLE["passage_template"] = f"""
+with c as ({_corpus_sql(3, 0.02)})
+select stage, corpus_ids, concat_ws(' [SEP] ', coalesce(title, ''), coalesce(text, ''), coalesce(questions, ''))
+       as passage from c"""
