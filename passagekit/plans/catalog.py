@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.operators import coverage, curate, evaluate, sample, textprep, vectors
+from passagekit.operators import augment, coverage, curate, evaluate, models, sample, textprep, vectors
 from passagekit.plans import corpus, fixtures
+from passagekit.sources import io
 from passagekit.sources.io import read_table
 
 CATALOG: dict = {}
@@ -251,3 +252,101 @@ def q_token_columns(spark, sf_dir):
 def q_passage_template(spark, sf_dir):
     c = _corpus_level(3)(spark, sf_dir)
     return textprep.compose_passage(c, ["title", "text", "questions"]).select("stage", "corpus_ids", "passage")
+
+
+# ---------------------------------------------------------------- models and augmentation
+def _scored(spark, sf_dir):
+    c = textprep.build_candidates(_documents(spark, sf_dir), style="all", seed=SEED)
+    return augment.score_pairs(augment.generate_questions(c))
+
+
+@register("hash_encode")
+def q_hash_encode(spark, sf_dir):
+    e = models.hash_encode_sparse(fixtures.passages(spark, sf_dir), "corpus_id", "text", 64)
+    return e.select("corpus_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@register("encode_arrow")
+def q_encode_arrow(spark, sf_dir):
+    """Same encoder over Arrow batches (mapInPandas), non-zero entries listed."""
+    e = models.encode(fixtures.passages(spark, sf_dir), "corpus_id", "text", dim=64)
+    nz = e.select("corpus_id", F.posexplode("embedding").alias("bucket", "weight")).where(F.col("weight") != 0)
+    return nz.select("corpus_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@register("score_pairs")
+def q_score_pairs(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", "cand_id", "question", F.round("score", 6).alias("score"))
+
+
+@register("rank_candidates")
+def q_rank_candidates(spark, sf_dir):
+    r = augment.rank_candidates(_scored(spark, sf_dir), 10)
+    return r.select("doc_id", "rank", "cand_id", F.round("score", 6).alias("score"))
+
+
+@register("augment")
+def q_augment(spark, sf_dir):
+    return augment.augment(_documents(spark, sf_dir), n=25, seed=SEED)
+
+
+def _updated_corpus(spark, sf_dir):
+    c = _corpus_level(3)(spark, sf_dir)
+    keys = ["doc_id", "title", "text"]
+    todo = (c.where(F.col("stage") == 1).select(*keys).distinct()
+            .withColumn("_k", F.md5(F.concat_ws("\x1f", *keys))))
+    aug = augment.augment(todo, key="_k", text="text", n=25, seed=SEED)
+    updates = todo.join(aug, "_k").select(*keys, "questions")
+    return io.update_from(c, updates, keys, ["questions"])
+
+
+@register("update_questions")
+def q_update_questions(spark, sf_dir):
+    return _updated_corpus(spark, sf_dir).select("stage", "query_id", "corpus_ids", "questions")
+
+
+# ---------------------------------------------------------------- queue and indexes
+@register("queue_pending")
+def q_queue_pending(spark, sf_dir):
+    """Queue = corpus rows without a query; half of it (hash) counts as processed."""
+    queue = _corpus_level(2)(spark, sf_dir).where(F.col("query_id").isNull())
+    done = sample.sample_rate(queue, 0.5, "corpus_ids", SEED)
+    return io.remove_processed(queue, done, ["doc_id", "text"]).select("doc_id", "corpus_ids")
+
+
+@register("append_noise")
+def q_append_noise(spark, sf_dir):
+    """Encode the noise stage once, append it to two indexes, report sizes."""
+    c = _updated_corpus(spark, sf_dir)
+    gold = c.where(F.col("stage") < 3)
+    noise = c.where(F.col("stage") == 3)
+    with_q = textprep.compose_passage(gold, ["title", "text", "questions"])
+    no_q = textprep.compose_passage(gold, ["title", "text"])
+    noise_p = textprep.compose_passage(noise, ["title", "text"])
+
+    def index(df, origin):
+        enc = models.encode(df.select("corpus_ids", "passage"), "corpus_ids", "passage")
+        return vectors.build_index(enc.withColumn("doc_id", F.col("corpus_ids")), "corpus_ids", origin=origin)
+    noise_vecs = index(noise_p, "noise")
+    idx_q, idx_no = vectors.append_noise(noise_vecs, [index(with_q, "gold"), index(no_q, "gold")],
+                                         anti_keys=["vec_id"])
+    return (vectors.index_stats(idx_q).withColumn("index_name", F.lit("qg"))
+            .unionByName(vectors.index_stats(idx_no).withColumn("index_name", F.lit("no_qg")))
+            .select("index_name", "origin", "n"))
+
+
+@register("text_retrieval")
+def q_text_retrieval(spark, sf_dir):
+    """Benchmark texts retrieve passages (hashed bag of words, exact 100-NN);
+    a hit when a passage of the gold document is among the first k."""
+    p = fixtures.passages(spark, sf_dir)
+    index = models.encode(p.select("num", "text"), "num", "text").select(
+        F.col("num").alias("vec_id"), F.floor(F.col("num") / fixtures.LINE_STRIDE).cast("string").alias("doc_id"),
+        "embedding")
+    b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
+    q = models.encode(b, "item_id", "text").withColumnRenamed("item_id", "query_id")
+    gold = fixtures.answers(spark, sf_dir).select(
+        F.substring("query_id", 2, 20).cast("long").alias("query_id"),
+        F.floor(F.substring("corpus_id", 4, 30).cast("long") / fixtures.LINE_STRIDE).cast("string").alias("doc_id"))
+    hits = vectors.resolve_neighbors(vectors.knn(q, index, 100), index)
+    return evaluate.accuracy_at_k(hits, gold)

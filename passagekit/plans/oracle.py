@@ -299,12 +299,12 @@ select {key}, (row_number() over (partition by {key} order by first_pos) - 1)::I
 from (select {key}, sentence, min(pos) as first_pos from ({_sentences(src, key, col)}) group by {key}, sentence)"""
 
 
-SEGMENTS = """
+SEGMENTS_T = """
 paras as (
   select doc_id, row_number() over (partition by doc_id order by pos) as idx, p,
          len(string_split(p, ' ')) as c
   from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos,
-               unnest(string_split(text, chr(10))) as p from documents)
+               unnest(string_split(text, chr(10))) as p from {src})
   where length(p) > 0),
 walk as (
   select doc_id, idx, 0 as seg_id, c as n from paras where idx = 1
@@ -316,11 +316,13 @@ segments as (
   select w.doc_id, w.seg_id::INTEGER as seg_id, string_agg(p.p, ' ' order by w.idx) as segment,
          sum(p.c)::INTEGER as n_tokens
   from walk w join paras p on p.doc_id = w.doc_id and p.idx = w.idx group by w.doc_id, w.seg_id)"""
+SEGMENTS = SEGMENTS_T.replace("{src}", "documents")
 
 ENT = "([A-Z][a-z]+(?: [A-Z][a-z]+)*|[0-9]+)"
 
-ENTITIES = f"""
-csent as ({_clean_sentences('documents', 'doc_id', 'text')}),
+def entities_sql(src: str) -> str:
+    return f"""
+csent as ({_clean_sentences(src, 'doc_id', 'text')}),
 ents as (
   select doc_id, sent_id, sentence, (generate_subscripts(e, 1) - 1)::INTEGER as ent_id, unnest(e) as ent_text
   from (select doc_id, sent_id, sentence, regexp_extract_all(sentence, '{ENT}', 1) as e from csent)),
@@ -330,6 +332,9 @@ ents_l as (
   from ents)"""
 
 
+ENTITIES = entities_sql("documents")
+
+
 def _u3(a: str, b: str, c: str) -> str:
     return U(f"({a}::VARCHAR || '|' || {b} || '|' || {c})")
 
@@ -412,3 +417,124 @@ ORACLE["passage_template"] = f"""
 with c as ({_corpus_sql(3, 0.02)})
 select stage, corpus_ids, concat_ws(' [SEP] ', coalesce(title, ''), coalesce(text, ''), coalesce(questions, ''))
        as passage from c"""
+
+
+# ------------------------------------------------------------------ models and augmentation
+def _words(x: str) -> str:
+    return f"list_filter(string_split(lower({x}), ' '), lambda w: w <> '')"
+
+
+def _bucket(t: str, dim: int = 64) -> str:
+    return f"((('0x' || substr(md5({t}), 1, 8))::BIGINT % {dim}))::INTEGER"
+
+
+HASH_ENCODE = f"""
+with {PASSAGES},
+toks as (select corpus_id, unnest({_words('text')}) as t from passages),
+tf as (select corpus_id, {_bucket('t')} as bucket, count(*)::DOUBLE as tf from toks group by all)
+select corpus_id, bucket, round(tf / sqrt(sum(tf * tf) over (partition by corpus_id)), 6) as weight from tf"""
+
+ORACLE["hash_encode"] = HASH_ENCODE
+ORACLE["encode_arrow"] = HASH_ENCODE
+
+
+def scored_sql(src: str) -> str:
+    """CTEs segments .. scored over a source ``src(doc_id, text)``."""
+    return f"""{SEGMENTS_T.replace('{src}', src)}, {entities_sql(src)}, {PROMPT_CANDS},
+qs as (
+  select *, case when style = 'multiple_choice' then replace(context, answer, '____') || '?'
+                 else array_to_string(string_split(answer, ' ')[1:6], ' ') || '?' end as question
+  from cands),
+scored as (
+  select *, case when len(list_distinct(list_concat({_words('question')}, {_words('answer')}))) = 0 then 0.0
+                 else len(list_intersect({_words('question')}, {_words('answer')}))::DOUBLE
+                      / len(list_distinct(list_concat({_words('question')}, {_words('answer')}))) end as score
+  from qs),
+ranked_c as (
+  select *, row_number() over (partition by doc_id order by score desc, cand_id) as rank from scored)"""
+
+
+def augment_sql(src: str, n: int) -> str:
+    return f"""{scored_sql(src)},
+aug as (
+  select s.doc_id, coalesce(a.questions, '') as questions, coalesce(a.n_questions, 0)::INTEGER as n_questions
+  from (select distinct doc_id from {src}) s left join (
+    select doc_id, string_agg(split_part(question, '?', 1) || ' [SEP] ', '' order by rank) as questions,
+           count(*) as n_questions
+    from ranked_c where rank <= {n} group by doc_id) a on a.doc_id = s.doc_id)"""
+
+
+DOCS_SRC = "src_docs as (select doc_id, text from documents)"
+
+ORACLE["score_pairs"] = f"""
+with recursive {DOCS_SRC}, {scored_sql('src_docs')}
+select doc_id, cand_id, question, round(score, 6) as score from scored"""
+
+ORACLE["rank_candidates"] = f"""
+with recursive {DOCS_SRC}, {scored_sql('src_docs')}
+select doc_id, rank::INTEGER as rank, cand_id, round(score, 6) as score from ranked_c where rank <= 10"""
+
+ORACLE["augment"] = f"""
+with recursive {DOCS_SRC}, {augment_sql('src_docs', 25)}
+select doc_id, questions, n_questions from aug"""
+
+UPDATED = f"""
+corpus3 as ({_corpus_sql(3, 0.02)}),
+todo as (select distinct doc_id as d, title, text from corpus3 where stage = 1),
+src_docs as (select md5(concat_ws(chr(31), d, title, text)) as doc_id, text from todo),
+{augment_sql('src_docs', 25)},
+updated as (
+  select c.stage, c.query_id, c.doc_id, c.title, c.text, c.corpus_ids,
+         case when u.d is not null then u.questions else c.questions end as questions
+  from corpus3 c left join (
+    select t.d, t.title, t.text, a.questions from todo t
+    join aug a on a.doc_id = md5(concat_ws(chr(31), t.d, t.title, t.text))) u
+  on u.d = c.doc_id and u.title = c.title and u.text = c.text)"""
+
+ORACLE["update_questions"] = f"""
+with recursive {UPDATED.lstrip().replace('corpus3 as (', 'corpus3 as (', 1)}
+select stage, query_id, corpus_ids, questions from updated"""
+
+ORACLE["queue_pending"] = f"""
+with q as (select * from ({_corpus_sql(2, 0.0143)}) where query_id is null),
+d as (select * from q where {U('corpus_ids')} < 0.5)
+select doc_id, corpus_ids from q
+where not exists (select 1 from d where d.doc_id = q.doc_id and d.text = q.text)"""
+
+ORACLE["append_noise"] = f"""
+with c as ({_corpus_sql(3, 0.02)}),
+s as (select case when stage < 3 then 'gold' else 'noise' end as origin, count(*) as n from c group by 1),
+t as (select origin, n from s union all select '__all__', sum(n)::BIGINT from s)
+select 'qg' as index_name, origin, n from t union all select 'no_qg', origin, n from t"""
+
+ORACLE["text_retrieval"] = f"""
+with {PASSAGES}, {ANSWERS},
+ptok as (select num, unnest({_words('text')}) as t from passages),
+ptf as (select num, {_bucket('t')} as b, count(*)::DOUBLE as tf from ptok group by all),
+pw as (select num, b, tf / sqrt(sum(tf * tf) over (partition by num)) as w from ptf),
+pdense as (
+  select p.num, list(coalesce(w.w, 0.0) order by g.b) as e
+  from passages p cross join (select unnest(range(64)) as b) g
+  left join pw w on w.num = p.num and w.b = g.b group by p.num),
+qtok as (select item_id, unnest({_words('text')}) as t from benchmark),
+qtf as (select item_id, {_bucket('t')} as b, count(*)::DOUBLE as tf from qtok group by all),
+qw as (select item_id, b, tf / sqrt(sum(tf * tf) over (partition by item_id)) as w from qtf),
+qdense as (
+  select q.item_id, list(coalesce(w.w, 0.0) order by g.b) as e
+  from benchmark q cross join (select unnest(range(64)) as b) g
+  left join qw w on w.item_id = q.item_id and w.b = g.b group by q.item_id),
+pairs as (
+  select q.item_id, p.num,
+         list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - p.e[i]) * (q.e[i] - p.e[i]))) as d2
+  from qdense q cross join pdense p),
+ranked as (
+  select item_id, num, row_number() over (partition by item_id order by d2, num) as rank from pairs),
+gold as (select substr(query_id, 2)::BIGINT as item_id,
+                (substr(corpus_id, 4)::BIGINT // {STRIDE})::VARCHAR as doc from answers),
+best as (
+  select g.item_id, min(r.rank) as best from gold g
+  left join ranked r on r.item_id = g.item_id and r.rank <= 100 and (r.num // {STRIDE})::VARCHAR = g.doc
+  group by g.item_id)
+select k, round(sum(case when best <= k then 1 else 0 end)::DOUBLE * 100.0 / count(*), 6) as accuracy,
+       count(*) as n
+from best, {KS} group by k"""
