@@ -350,3 +350,12 @@ def q_text_retrieval(spark, sf_dir):
         F.floor(F.substring("corpus_id", 4, 30).cast("long") / fixtures.LINE_STRIDE).cast("string").alias("doc_id"))
     hits = vectors.resolve_neighbors(vectors.knn(q, index, 100), index)
     return evaluate.accuracy_at_k(hits, gold)
+
+
+@register("stream_augment")
+def q_stream_augment(spark, sf_dir):
+    """Passages queued as arrival files, drained by an availableNow stream."""
+    from passagekit.streaming.incremental import run_incremental
+    p = fixtures.passages(spark, sf_dir).select("corpus_id", "text")
+    out = run_incremental(spark, p, key="corpus_id", text="text", n=25, seed=SEED)
+    return out.select("corpus_id", "questions", "n_questions")

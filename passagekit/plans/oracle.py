@@ -538,3 +538,8 @@ best as (
 select k, round(sum(case when best <= k then 1 else 0 end)::DOUBLE * 100.0 / count(*), 6) as accuracy,
        count(*) as n
 from best, {KS} group by k"""
+
+ORACLE["stream_augment"] = f"""
+with recursive {PASSAGES}, src_docs as (select corpus_id as doc_id, text from passages),
+{augment_sql('src_docs', 25)}
+select doc_id as corpus_id, questions, n_questions from aug"""
