@@ -65,16 +65,21 @@ def mark_sentences(text: Column) -> Column:
 def sentence_array(text: Column, keep_tail: bool = False) -> Column:
     """array<string> of stripped sentences.
 
-    The piece after the last stop is an unterminated tail and is dropped,
-    like the reference (``keep_tail=True`` keeps it when non-empty).
+    The marked text is split at the stop markers; the piece after the last
+    stop is an unterminated tail and is dropped, like the reference
+    (``keep_tail=True`` keeps it when non-empty).  The tail is dropped with
+    ``reverse(slice(reverse(parts), 2, 2^30))`` so that the split -- and the
+    rule chain under it -- is referenced, hence evaluated, once per text.
     """
     parts = F.split(mark_sentences(text), STOP, -1)
-    if not keep_tail:
-        parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    stripped = F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     if keep_tail:
-        n = F.size(stripped)
-        stripped = F.when(F.element_at(stripped, -1) == "", F.slice(stripped, 1, n - 1)).otherwise(stripped)
+        kept = parts
+    else:
+        kept = F.reverse(F.slice(F.reverse(parts), 2, 1 << 30))
+    stripped = F.transform(kept, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    if keep_tail:
+        # an empty last piece is no sentence; a non-empty one is the tail
+        stripped = F.reverse(F.filter(F.reverse(stripped), lambda s, i: (i > 0) | (s != "")))
     return stripped
 
 

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagekit.functions.arrays import explode_rows
+
 # Upper bound of the short-item side that may be broadcast to every task.
 MAX_SHORT_ITEM_BYTES = 64 * 1024 * 1024
 
@@ -54,11 +56,11 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     it_tok = it.withColumn("_tok", _tokens(F.col("_qt")))
 
     long_items = it_tok.where(F.size("_tok") >= 4)
-    item_bg = long_items.select("_q", F.explode(F.array_distinct(_bigrams("_tok", True))).alias("_bg"))
+    item_bg = explode_rows(long_items, ["_q"], F.array_distinct(_bigrams("_tok", True)), ["_bg"])
     wanted = item_bg.select("_bg").distinct()
 
     doc_tok = d.select("_d", _tokens(F.col("_dt")).alias("_tok"))
-    doc_bg = (doc_tok.select("_d", F.explode(F.array_distinct(_bigrams("_tok", False))).alias("_bg"))
+    doc_bg = (explode_rows(doc_tok, ["_d"], F.array_distinct(_bigrams("_tok", False)), ["_bg"])
               .join(wanted, "_bg", "left_semi"))
     freq = doc_bg.groupBy("_bg").agg(F.count(F.lit(1)).alias("_f"))
     anchors = (item_bg.join(freq, "_bg")  # an item whose bigram never occurs matches no document
@@ -80,7 +82,7 @@ def _short_item_pairs(d: DataFrame, short: DataFrame) -> DataFrame:
     complete token; they are broadcast after their total size is checked.
     """
     three = short.where(F.size("_tok") == 3).select("_q", "_qt", F.element_at("_tok", 2).alias("_w"))
-    doc_tok = d.select("_d", F.explode(F.array_distinct(_tokens(F.col("_dt")))).alias("_w"))
+    doc_tok = explode_rows(d, ["_d"], F.array_distinct(_tokens(F.col("_dt"))), ["_w"])
     p3 = (doc_tok.join(three.select("_w").distinct(), "_w", "left_semi")
           .join(three, "_w").select("_d", "_q").distinct()
           .join(d, "_d").join(short.select("_q", "_qt"), "_q")

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagekit.functions.arrays import explode_rows
+
 
 def apply_batches(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
                   schema: T.StructType | str) -> DataFrame:
@@ -68,7 +70,7 @@ def hash_encode_sparse(df: DataFrame, key: str, text: str, dim: int = 64) -> Dat
     Pure SQL: explode tokens, count per (key, bucket), divide by the norm of
     the row (a window over one text's buckets, at most ``dim`` rows)."""
     from pyspark.sql import Window
-    toks = df.select(key, F.explode(_words(F.col(text))).alias("_t"))
+    toks = explode_rows(df, [key], _words(F.col(text)), ["_t"])
     tf = toks.groupBy(key, token_bucket(F.col("_t"), dim).alias("bucket")).agg(
         F.count(F.lit(1)).cast("double").alias("_tf"))
     norm = F.sqrt(F.sum(F.col("_tf") * F.col("_tf")).over(Window.partitionBy(key)))

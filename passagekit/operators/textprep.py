@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagekit.functions.arrays import explode_rows
 from passagekit.functions.hashing import unit_hash
 from passagekit.functions.text import sentence_array, word_count
 
@@ -27,7 +28,7 @@ ENTITY_PATTERN = "([A-Z][a-z]+(?: [A-Z][a-z]+)*|[0-9]+)"
 def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text",
                     keep_tail: bool = False) -> DataFrame:
     """``(key, sent_id, sentence)``, one row per sentence in text order."""
-    return df.select(key, F.posexplode(sentence_array(F.col(text), keep_tail)).alias("sent_id", "sentence"))
+    return explode_rows(df, [key], sentence_array(F.col(text), keep_tail), ["sent_id", "sentence"])
 
 
 def clean_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,7 +38,7 @@ def clean_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     before use and do not change the result; only the de-duplication stays.
     """
     arr = F.array_distinct(sentence_array(F.col(text)))
-    return df.select(key, F.posexplode(arr).alias("sent_id", "sentence"))
+    return explode_rows(df, [key], arr, ["sent_id", "sentence"])
 
 
 def segment_array(text: Column, max_tokens: int = MAX_SEGMENT_TOKENS) -> Column:
@@ -45,29 +46,26 @@ def segment_array(text: Column, max_tokens: int = MAX_SEGMENT_TOKENS) -> Column:
     a segment takes paragraphs while it holds fewer than ``max_tokens``
     tokens (the last one may overshoot)."""
     paras = F.filter(F.split(text, "\n", -1), lambda p: F.length(p) > 0)
-    init = F.struct(F.array().cast("array<string>").alias("segs"), F.array().cast("array<int>").alias("cnts"))
+    init = F.array().cast("array<struct<segment:string,n_tokens:int>>")
 
     def step(acc, p):
-        n = F.size(acc["segs"])
+        n = F.size(acc)
+        last = F.try_element_at(acc, F.lit(-1))
         c = word_count(p)
-        start = (n == 0) | (F.try_element_at(acc["cnts"], F.lit(-1)) >= max_tokens)
-        new = F.struct(F.concat(acc["segs"], F.array(p)).alias("segs"),
-                       F.concat(acc["cnts"], F.array(c)).alias("cnts"))
-        grow = F.struct(
-            F.concat(F.slice(acc["segs"], 1, n - 1),
-                     F.array(F.concat(F.try_element_at(acc["segs"], F.lit(-1)), F.lit(" "), p))).alias("segs"),
-            F.concat(F.slice(acc["cnts"], 1, n - 1),
-                     F.array(F.try_element_at(acc["cnts"], F.lit(-1)) + c)).alias("cnts"))
+        start = (n == 0) | (last["n_tokens"] >= max_tokens)
+        new = F.concat(acc, F.array(F.struct(p.alias("segment"), c.alias("n_tokens"))))
+        grow = F.concat(F.slice(acc, 1, n - 1), F.array(F.struct(
+            F.concat(last["segment"], F.lit(" "), p).alias("segment"),
+            (last["n_tokens"] + c).alias("n_tokens"))))
         return F.when(start, new).otherwise(grow)
 
-    packed = F.aggregate(paras, init, step)
-    return F.arrays_zip(packed["segs"].alias("segment"), packed["cnts"].alias("n_tokens"))
+    return F.aggregate(paras, init, step)
 
 
 def pack_segments(df: DataFrame, key: str = "doc_id", text: str = "text",
                   max_tokens: int = MAX_SEGMENT_TOKENS) -> DataFrame:
     """``(key, seg_id, segment, n_tokens)``; token count = blank-separated words."""
-    ex = df.select(key, F.posexplode(segment_array(F.col(text), max_tokens)).alias("seg_id", "s"))
+    ex = explode_rows(df, [key], segment_array(F.col(text), max_tokens), ["seg_id", "s"])
     return ex.select(key, "seg_id", F.col("s.segment").alias("segment"), F.col("s.n_tokens").alias("n_tokens"))
 
 
@@ -81,9 +79,8 @@ def extract_entities(sentences: DataFrame, key: str = "doc_id", pattern: str = E
     Any other extractor can be plugged in through ``models.apply_batches``;
     this one keeps the work inside the JVM.
     """
-    ex = sentences.select(key, "sent_id", "sentence",
-                          F.posexplode(F.regexp_extract_all(F.col("sentence"), F.lit(pattern), 1))
-                          .alias("ent_id", "ent_text"))
+    ex = explode_rows(sentences, [key, "sent_id", "sentence"],
+                      F.regexp_extract_all(F.col("sentence"), F.lit(pattern), 1), ["ent_id", "ent_text"])
     label = (F.when(F.col("ent_text").rlike("^[0-9]{4}$"), "DATE")
              .when(F.col("ent_text").rlike("^[0-9]+$"), "CARDINAL").otherwise("PROPER"))
     return ex.withColumn("label", label)
@@ -147,8 +144,8 @@ def build_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", sty
     parts = []
     if style in ("all", "sentences"):
         segs = pack_segments(df, key, text, max_tokens)
-        s = segs.select(key, "seg_id", "segment",
-                        F.posexplode(F.array_distinct(sentence_array(F.col("segment")))).alias("sent_id", "answer"))
+        s = explode_rows(segs, [key, "seg_id", "segment"], F.array_distinct(sentence_array(F.col("segment"))),
+                         ["sent_id", "answer"])
         parts.append(s.select(
             key, (F.shiftleft(F.col("seg_id").cast("long"), 40)
                   + F.shiftleft(F.col("sent_id").cast("long"), 20)).alias("cand_id"),
@@ -190,3 +187,101 @@ def compose_passage(df: DataFrame, parts: list[str], sep: str = " [SEP] ", out:
     reference mixed '[SEP]' with and without blanks.
     """
     return df.withColumn(out, F.concat_ws(sep, *[F.coalesce(F.col(p), F.lit("")) for p in parts]))
+
+
+# ---------------------------------------------------------------------------
+# In-row forms.  Sentences, entities, the entity pool, options and candidates
+# of a text all derive from that one row, so the default pipeline computes
+# them with higher-order functions inside the row: no explode/join/window,
+# no shuffle.  Cost per row is linear in the row's own text: the pool is cut
+# to <= n_choices entries per label and 2(n_choices-1) overall before any
+# per-entity work.
+#
+# Catalyst inlines a computed column into a lambda body when it is
+# referenced there once, and a lambda body runs once per element.  So the
+# steps below are separate columns, and per-row values reach per-element
+# lambdas only as array arguments (zip_with + array_repeat), never as
+# captured expressions.
+CHOICE_TYPE = "array<struct<answer:string,correct:boolean>>"
+
+
+def _label(e: Column) -> Column:
+    return (F.when(e.rlike("^[0-9]{4}$"), "DATE").when(e.rlike("^[0-9]+$"), "CARDINAL")
+            .otherwise("PROPER"))
+
+
+def entity_array(text: Column, pattern: str = ENTITY_PATTERN) -> Column:
+    """array<struct<sent_id, ent_id, ent_text, label, sentence>> over the
+    distinct sentences of the whole text."""
+    sents = F.array_distinct(sentence_array(text))
+    return F.flatten(F.transform(sents, lambda s, j: F.transform(
+        F.regexp_extract_all(s, F.lit(pattern), 1),
+        lambda e, k: F.struct(j.alias("sent_id"), k.alias("ent_id"), e.alias("ent_text"),
+                              _label(e).alias("label"), s.alias("sentence")))))
+
+
+def _repeat(value: Column, like: Column) -> Column:
+    return F.array_repeat(value, F.size(like))
+
+
+def with_entity_choices(df: DataFrame, key: str, text: str, out: str = "_ents_ch",
+                        n_choices: int = 4, seed: int = 0) -> DataFrame:
+    """Adds ``out``: array of struct<sent_id, ent_id, ent_text, label, sentence,
+    choices> -- the ``build_choices`` rule evaluated inside the row."""
+    m_max = n_choices - 1
+    k = F.col(key)
+    df = df.withColumn("_ents", entity_array(F.col(text)))
+    df = df.withColumn("_pool", F.array_sort(F.array_distinct(F.transform("_ents", lambda e: F.struct(
+        unit_hash(k, e["ent_text"], e["label"], seed=seed).alias("h"),
+        e["ent_text"].alias("ent_text"), e["label"].alias("label"))))))
+    df = df.withColumn("_labels", F.array_distinct(F.transform("_pool", lambda p: p["label"])))
+    same = F.map_from_arrays(F.col("_labels"), F.zip_with(
+        "_labels", _repeat(F.col("_pool"), F.col("_labels")),
+        lambda lb, pool: F.slice(F.filter(pool, lambda p: p["label"] == lb), 1, m_max + 1)))
+    ctx = F.struct(same.alias("same"), F.slice("_pool", 1, 2 * m_max).alias("top"),
+                   (F.least(F.lit(n_choices), F.size("_pool")) - 1).alias("m"))
+
+    def options(e, c):
+        m = c["m"]
+        own = F.filter(F.element_at(c["same"], e["label"]), lambda x: x["ent_text"] != e["ent_text"])
+        first = F.slice(F.transform(own, lambda x: x["ent_text"]), 1, m)
+        rest = F.transform(F.filter(c["top"], lambda x: x["label"] != e["label"]), lambda x: x["ent_text"])
+        need = m - F.size(first)
+        picked = F.when(need > 0, F.concat(first, F.slice(rest, 1, need))).otherwise(first)
+        opts = F.concat(F.array(F.struct(e["ent_text"].alias("answer"), F.lit(True).alias("correct"))),
+                        F.transform(picked, lambda t: F.struct(t.alias("answer"), F.lit(False).alias("correct"))))
+        keyed = F.array_sort(F.transform(opts, lambda o: F.struct(
+            unit_hash(k, e["ent_text"], o["answer"], seed=seed).alias("h"),
+            o["answer"].alias("answer"), o["correct"].alias("correct"))))
+        return F.transform(keyed, lambda o: F.struct(o["answer"].alias("answer"), o["correct"].alias("correct")))
+
+    df = df.withColumn(out, F.zip_with("_ents", _repeat(ctx, F.col("_ents")), lambda e, c: F.struct(
+        e["sent_id"].alias("sent_id"), e["ent_id"].alias("ent_id"), e["ent_text"].alias("ent_text"),
+        e["label"].alias("label"), e["sentence"].alias("sentence"), options(e, c).alias("choices"))))
+    return df.drop("_ents", "_pool", "_labels")
+
+
+def with_candidates(df: DataFrame, key: str, text: str, style: str = "all", seed: int = 0,
+                    max_tokens: int = MAX_SEGMENT_TOKENS, out: str = "_cands") -> DataFrame:
+    """Adds ``out``: array<struct<cand_id, style, answer, context, choices>>,
+    the same candidates and ids as ``build_candidates``."""
+    if style not in STYLES:
+        raise ValueError(f"Invalid answer style {style}. Please choose from {list(STYLES)}")
+    parts = []
+    if style in ("all", "sentences"):
+        segs = segment_array(F.col(text), max_tokens)
+        parts.append(F.flatten(F.transform(segs, lambda sg, i: F.transform(
+            F.array_distinct(sentence_array(sg["segment"])),
+            lambda x, j: F.struct(
+                (F.shiftleft(i.cast("long"), 40) + F.shiftleft(j.cast("long"), 20)).alias("cand_id"),
+                F.lit("sentences").alias("style"), x.alias("answer"), sg["segment"].alias("context"),
+                F.lit(None).cast(CHOICE_TYPE).alias("choices"))))))
+    if style in ("all", "multiple_choice"):
+        df = with_entity_choices(df, key, text, "_ents_ch", seed=seed)
+        parts.append(F.transform("_ents_ch", lambda e: F.struct(
+            (F.shiftleft(F.lit(1).cast("long"), 60) + F.shiftleft(e["sent_id"].cast("long"), 20)
+             + e["ent_id"].cast("long")).alias("cand_id"),
+            F.lit("multiple_choice").alias("style"), e["ent_text"].alias("answer"),
+            e["sentence"].alias("context"), e["choices"].cast(CHOICE_TYPE).alias("choices"))))
+    df = df.withColumn(out, parts[0] if len(parts) == 1 else F.concat(*parts))
+    return df.drop("_ents_ch") if "_ents_ch" in df.columns else df

@@ -121,8 +121,10 @@ def resolve_neighbors(hits: DataFrame, index: DataFrame, x_key: str = "vec_id",
 
 def normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
     """Unit-length vectors (squared L2 on them ranks like cosine)."""
-    norm = F.sqrt(F.aggregate(F.col(col), F.lit(0.0).cast("double"), lambda a, v: a + v * v))
-    return df.withColumn(col, F.transform(F.col(col), lambda v: (v / norm).cast("float")))
+    sq = F.aggregate(F.col(col), F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double") * v.cast("double"))
+    # the norm enters the per-element lambda as an argument, not as a capture
+    return df.withColumn(col, F.zip_with(F.col(col), F.array_repeat(F.sqrt(sq), F.size(col)),
+                                         lambda v, n: (v / n).cast("float")))
 
 
 def build_index(encoded: DataFrame, key: str, doc: str = "doc_id", vec: str = "embedding",

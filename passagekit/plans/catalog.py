@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagekit.functions.arrays import explode_rows
 from passagekit.operators import augment, coverage, curate, evaluate, models, sample, textprep, vectors
 from passagekit.plans import corpus, fixtures
 from passagekit.sources import io
@@ -270,7 +271,7 @@ def q_hash_encode(spark, sf_dir):
 def q_encode_arrow(spark, sf_dir):
     """Same encoder over Arrow batches (mapInPandas), non-zero entries listed."""
     e = models.encode(fixtures.passages(spark, sf_dir), "corpus_id", "text", dim=64)
-    nz = e.select("corpus_id", F.posexplode("embedding").alias("bucket", "weight")).where(F.col("weight") != 0)
+    nz = explode_rows(e, ["corpus_id"], F.col("embedding"), ["bucket", "weight"]).where(F.col("weight") != 0)
     return nz.select("corpus_id", "bucket", F.round("weight", 6).alias("weight"))
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagekit.functions.arrays import explode_rows
 from passagekit.operators.containment import containment_pairs
 from passagekit.operators.curate import curate_passages
 from passagekit.sources.io import read_table
@@ -30,15 +31,15 @@ LINE_STRIDE = 100000
 
 
 def documents(spark: SparkSession, sf_dir: str, cols=None) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/documents.parquet", cols)
+    return read_table(spark, f"{sf_dir}/documents.parquet", cols, spread_by="doc_id")
 
 
 def passages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, ["doc_id", "text"])
-    lines = docs.select(
+    lines = explode_rows(docs, [
         F.col("doc_id").alias("src"),
-        F.array_join(F.slice(F.split(F.split("text", "\n", -1)[0], " ", -1), 1, 3), " ").alias("title"),
-        F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+        F.array_join(F.slice(F.split(F.split("text", "\n", -1)[0], " ", -1), 1, 3), " ").alias("title")],
+        F.split("text", "\n", -1), ["pos", "text"])
     num = F.col("src") * F.lit(LINE_STRIDE) + F.col("pos")
     return lines.select(
         "src", F.concat(F.lit("doc"), num.cast("string")).alias("corpus_id"),

@@ -12,10 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_table(spark: SparkSession, path: str, cols: list[str] | None = None) -> DataFrame:
-    """``SELECT cols FROM table``; the projection reaches the Parquet scan."""
+def read_table(spark: SparkSession, path: str, cols: list[str] | None = None,
+               spread_by: str | None = None) -> DataFrame:
+    """``SELECT cols FROM table``; the projection reaches the Parquet scan.
+
+    ``spread_by``: for CPU-heavy per-row work (regex chains over whole
+    texts).  When the files give fewer input splits than the session's
+    parallelism -- one large file with a single row group -- the rows are
+    hash-partitioned on that key; a normally laid-out table is left alone.
+    """
     df = spark.read.parquet(path)
-    return df.select(*cols) if cols else df
+    if cols:
+        df = df.select(*cols)
+    if spread_by:
+        par = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par, spread_by)
+    return df
 
 
 def ingest_corpus(spark: SparkSession, path: str, fmt: str = "json",

@@ -119,3 +119,19 @@ def test_compose_passage_nulls(spark):
     df = spark.createDataFrame([("T", "x", None), (None, "y", "q1 [SEP] ")], "title string, text string, questions string")
     out = [r["passage"] for r in textprep.compose_passage(df, ["title", "text", "questions"]).collect()]
     assert out == ["T [SEP] x [SEP] ", " [SEP] y [SEP] q1 [SEP] "]
+
+
+def test_keep_tail(spark):
+    from passagekit.functions.text import sentence_array
+    df = spark.createDataFrame([("One. Two",), ("One. Two.",), ("",), ("No stop",)], "text string")
+    got = [r[0] for r in df.select(sentence_array(F.col("text"), keep_tail=True)).collect()]
+    assert got == [["One.", "Two"], ["One.", "Two."], [], ["No stop"]]
+
+
+def test_no_double_evaluation_in_explode(spark):
+    """explode_rows must not let Catalyst push an inferred size filter (which
+    would evaluate the array expression a second time) below the projection."""
+    df = spark.createDataFrame([(1, "A b. C d.")], "doc_id long, text string")
+    plan = textprep.split_sentences(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == plan.count("(Mr|St|Mrs|Ms|Dr)") * 1 or "Filter (size(" not in plan
+    assert "Filter (size(" not in plan
