@@ -8,7 +8,7 @@ an ordered ``collect_list`` of at most n entries per passage.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.functions.text import trim_question
@@ -64,10 +64,46 @@ def concat_questions(ranked: DataFrame, key: str = "doc_id", order: str = "rank"
                     F.size("_l").alias("n_questions"))
 
 
+def scored_array(df: DataFrame, key: str = "doc_id", text: str = "text", style: str = "all",
+                 seed: int = 0) -> DataFrame:
+    """Adds ``_scored``: array<struct<neg_score, cand_id, question, score>> per row,
+    the default generator and scorer applied inside the row (no shuffle)."""
+    d = textprep.with_candidates(df, key, text, style, seed)
+    d = d.withColumn("_q", F.transform("_cands", lambda c: F.struct(
+        c["cand_id"].alias("cand_id"),
+        models.default_question(c["answer"], c["context"], c["style"]).alias("question"),
+        models.correct_answer(c["answer"], c["choices"]).alias("ans"))))
+    return d.drop("_cands").withColumn("_scored", F.transform("_q", lambda c: F.struct(
+        (-models.default_score(c["question"], c["ans"])).alias("neg_score"), c["cand_id"].alias("cand_id"),
+        c["question"].alias("question"),
+        models.default_score(c["question"], c["ans"]).alias("score")))).drop("_q")
+
+
+def top_questions(scored: Column, n: int) -> Column:
+    """Best ``n`` by score, ties by candidate order (array_sort of (-score, cand_id))."""
+    return F.slice(F.array_sort(scored), 1, n)
+
+
 def augment(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 10, style: str = "all",
             evaluate: bool = True, seed: int = 0, generator_factory=None, scorer_factory=None) -> DataFrame:
-    """Generate up to ``n`` ranked questions per passage.  With ``evaluate=False``
-    every candidate is kept, in candidate order (no scoring)."""
+    """Generate up to ``n`` ranked questions per passage: ``(key, questions, n_questions)``.
+
+    With the default models everything happens inside the passage's row
+    (candidates, questions, scores, top-n, concatenation): a map-only job.
+    With pluggable models the candidates are exploded into rows for Arrow
+    batches and ranked with ``row_number() <= n`` per passage.  With
+    ``evaluate=False`` every candidate is kept, in candidate order.
+    """
+    if generator_factory is None and scorer_factory is None:
+        d = scored_array(df.select(key, text), key, text, style, seed)
+        if evaluate:
+            chosen = top_questions(F.col("_scored"), n)
+        else:
+            chosen = F.array_sort(F.transform("_scored", lambda c: F.struct(
+                c["cand_id"].alias("cand_id"), c["question"].alias("question"))))
+        d = d.withColumn("_top", chosen)
+        return d.select(key, F.array_join(F.transform("_top", lambda c: trim_question(c["question"])), "")
+                        .alias("questions"), F.size("_top").alias("n_questions"))
     cands = textprep.build_candidates(df.select(key, text), key, text, style, seed)
     qa = generate_questions(cands, generator_factory)
     if evaluate:

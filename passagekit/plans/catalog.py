@@ -224,9 +224,10 @@ def q_pack_segments(spark, sf_dir):
 
 @register("prompts")
 def q_prompts(spark, sf_dir):
-    c = textprep.build_candidates(_documents(spark, sf_dir), style="all", seed=SEED)
-    return c.select("doc_id", "cand_id", "style", "answer",
-                    F.md5(textprep.prompt(F.col("answer"), F.col("context"))).alias("prompt_md5"))
+    d = textprep.with_candidates(_documents(spark, sf_dir), "doc_id", "text", seed=SEED)
+    c = explode_rows(d, ["doc_id"], F.col("_cands"), ["c"])
+    return c.select("doc_id", "c.cand_id", "c.style", "c.answer",
+                    F.md5(textprep.prompt(F.col("c.answer"), F.col("c.context"))).alias("prompt_md5"))
 
 
 @register("entities")
@@ -237,10 +238,10 @@ def q_entities(spark, sf_dir):
 
 @register("choices")
 def q_choices(spark, sf_dir):
-    s = textprep.clean_sentences(_documents(spark, sf_dir))
-    c = textprep.build_choices(textprep.extract_entities(s), seed=SEED)
-    return c.select("doc_id", "sent_id", "ent_id", "ent_text",
-                    textprep.choices_text(F.col("choices")).alias("choices"))
+    d = textprep.with_entity_choices(_documents(spark, sf_dir), "doc_id", "text", "_e", seed=SEED)
+    e = explode_rows(d, ["doc_id"], F.col("_e"), ["e"])
+    return e.select("doc_id", "e.sent_id", "e.ent_id", "e.ent_text",
+                    textprep.choices_text(F.col("e.choices")).alias("choices"))
 
 
 @register("token_columns")
@@ -257,8 +258,7 @@ def q_passage_template(spark, sf_dir):
 
 # ---------------------------------------------------------------- models and augmentation
 def _scored(spark, sf_dir):
-    c = textprep.build_candidates(_documents(spark, sf_dir), style="all", seed=SEED)
-    return augment.score_pairs(augment.generate_questions(c))
+    return augment.scored_array(_documents(spark, sf_dir), "doc_id", "text", seed=SEED)
 
 
 @register("hash_encode")
@@ -277,13 +277,15 @@ def q_encode_arrow(spark, sf_dir):
 
 @register("score_pairs")
 def q_score_pairs(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "cand_id", "question", F.round("score", 6).alias("score"))
+    s = explode_rows(_scored(spark, sf_dir), ["doc_id"], F.col("_scored"), ["s"])
+    return s.select("doc_id", "s.cand_id", "s.question", F.round("s.score", 6).alias("score"))
 
 
 @register("rank_candidates")
 def q_rank_candidates(spark, sf_dir):
-    r = augment.rank_candidates(_scored(spark, sf_dir), 10)
-    return r.select("doc_id", "rank", "cand_id", F.round("score", 6).alias("score"))
+    top = _scored(spark, sf_dir).withColumn("_top", augment.top_questions(F.col("_scored"), 10))
+    r = explode_rows(top, ["doc_id"], F.col("_top"), ["rank0", "s"])
+    return r.select("doc_id", (F.col("rank0") + 1).alias("rank"), "s.cand_id", F.round("s.score", 6).alias("score"))
 
 
 @register("augment")

@@ -133,5 +133,5 @@ def test_no_double_evaluation_in_explode(spark):
     would evaluate the array expression a second time) below the projection."""
     df = spark.createDataFrame([(1, "A b. C d.")], "doc_id long, text string")
     plan = textprep.split_sentences(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_replace") == plan.count("(Mr|St|Mrs|Ms|Dr)") * 1 or "Filter (size(" not in plan
     assert "Filter (size(" not in plan
+    assert plan.count("(Mr|St|Mrs|Ms|Dr)") == 1      # the rule chain appears once
