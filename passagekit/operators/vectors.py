@@ -87,16 +87,19 @@ def _cell_topk(k: int, exclude_self: bool):
 def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
         x_key: str = "vec_id", q_vec: str = "embedding", x_vec: str = "embedding",
         exclude_self: bool = False, q_block_rows: int = 20000, x_block_rows: int = 50000,
-        parallelism: int | None = None) -> DataFrame:
+        parallelism: int | None = None, nq: int | None = None, nx: int | None = None) -> DataFrame:
     """Exact top-k neighbours: ``(q_key, rank, x_key, d2)``, rank 1..k.
 
     Keys must be integers (hash them first otherwise).  ``exclude_self``
     drops the pair where both keys are equal (leave-one-out evaluation).
+    The grid needs the two row counts; pass them (``nq``/``nx``) or pass
+    stored / checkpointed tables, whose count is a cheap metadata job --
+    a derived input (an encoder) would otherwise run once more for the count.
     """
     spark = queries.sparkSession
     par = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nq = queries.count()
-    nx = index.count()
+    nq = queries.count() if nq is None else nq
+    nx = index.count() if nx is None else nx
     bq, bx = _grid(nq, nx, q_block_rows, x_block_rows, par)
     q = queries.select(F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v"),
                        F.pmod(F.xxhash64(F.col(q_key)), F.lit(bq)).alias("qb"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from passagekit.functions.arrays import explode_rows
 from passagekit.operators import augment, coverage, curate, evaluate, models, sample, textprep, vectors
 from passagekit.plans import corpus, fixtures
+from passagekit.session import checkpoint_dir
 from passagekit.sources import io
 from passagekit.sources.io import read_table
 
@@ -320,7 +321,8 @@ def q_queue_pending(spark, sf_dir):
 @register("append_noise")
 def q_append_noise(spark, sf_dir):
     """Encode the noise stage once, append it to two indexes, report sizes."""
-    c = _updated_corpus(spark, sf_dir)
+    checkpoint_dir(spark)
+    c = _updated_corpus(spark, sf_dir).checkpoint()  # read three times below
     gold = c.where(F.col("stage") < 3)
     noise = c.where(F.col("stage") == 3)
     with_q = textprep.compose_passage(gold, ["title", "text", "questions"])
@@ -342,12 +344,14 @@ def q_append_noise(spark, sf_dir):
 def q_text_retrieval(spark, sf_dir):
     """Benchmark texts retrieve passages (hashed bag of words, exact 100-NN);
     a hit when a passage of the gold document is among the first k."""
+    checkpoint_dir(spark)
     p = fixtures.passages(spark, sf_dir)
+    # encoded once, stored in the shared checkpoint folder (lineage cut, cheap counts)
     index = models.encode(p.select("num", "text"), "num", "text").select(
         F.col("num").alias("vec_id"), F.floor(F.col("num") / fixtures.LINE_STRIDE).cast("string").alias("doc_id"),
-        "embedding")
+        "embedding").checkpoint()
     b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
-    q = models.encode(b, "item_id", "text").withColumnRenamed("item_id", "query_id")
+    q = models.encode(b, "item_id", "text").withColumnRenamed("item_id", "query_id").checkpoint()
     gold = fixtures.answers(spark, sf_dir).select(
         F.substring("query_id", 2, 20).cast("long").alias("query_id"),
         F.floor(F.substring("corpus_id", 4, 30).cast("long") / fixtures.LINE_STRIDE).cast("string").alias("doc_id"))

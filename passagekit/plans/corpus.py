@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from passagekit.operators.coverage import not_in
 from passagekit.operators.curate import collapse_passages, dedup_passages
 from passagekit.operators.sample import sample_per_group, sample_rate
+from passagekit.session import checkpoint_dir
 
 # Noise rates of the three concat levels.
 NOISE_RATE = {1: 0.0075, 2: 0.0143, 3: 0.02}
@@ -42,7 +43,9 @@ def gold_groups(groups: DataFrame, answers: DataFrame) -> DataFrame:
 def build_corpus(answer_passages: DataFrame, noise_passages: DataFrame, answers: DataFrame,
                  level: int, rate: float | None = None, per_doc: int = 5, seed: int = 0) -> DataFrame:
     rate = NOISE_RATE[level] if rate is None else rate
-    groups = grouped(answer_passages, level)
+    # four consumers below: store once in the shared checkpoint folder (lineage cut)
+    checkpoint_dir(answer_passages.sparkSession)
+    groups = grouped(answer_passages, level).checkpoint()
     gold = gold_groups(groups, answers)
     typed_null = F.lit(None).cast("string")
 

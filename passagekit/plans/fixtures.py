@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from passagekit.functions.arrays import explode_rows
 from passagekit.operators.containment import containment_pairs
 from passagekit.operators.curate import curate_passages
+from passagekit.session import checkpoint_dir
 from passagekit.sources.io import read_table
 
 LINE_STRIDE = 100000
@@ -63,6 +64,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
     pairs = containment_pairs(docs, b)
     gold = pairs.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    checkpoint_dir(spark)
+    gold = gold.checkpoint()  # read by several stages of the corpus builder
     return gold.select(
         F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"),
         F.concat(F.lit("doc"), (F.col("doc_id") * F.lit(LINE_STRIDE)).cast("string")).alias("corpus_id"))

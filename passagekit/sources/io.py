@@ -88,22 +88,20 @@ def remove_processed(pending: DataFrame, done: DataFrame, keys: list[str]) -> Da
     return pending.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def update_from(target: DataFrame, updates: DataFrame, keys: list[str], cols: list[str],
-                check_unique: bool = True) -> DataFrame:
+def update_from(target: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """``UPDATE target SET cols = u.cols FROM updates u WHERE keys equal``.
 
-    NULL keys never match (SQL equality).  An update table with two rows for
-    one key is an error, as in the warehouse; the check is a distributed
-    aggregate returning at most one offending key.
+    NULL keys never match (SQL equality).  Like the warehouse, a target row
+    that matches two update rows is an error; the check is part of the plan
+    (``raise_error`` on the matched row), not a separate job.  Updates are
+    reduced to one row per key with a partial aggregate before the join.
     """
-    u = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols])
-    if check_unique:
-        dup = u.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
-        if dup:
-            raise ValueError(f"update matches a target row more than once: {dup[0].asDict()}")
-    u = u.withColumn("_hit", F.lit(True))
-    j = target.join(u, keys, "left")
+    agg = updates.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(f"_new_{c}") for c in cols])
+    j = target.join(agg, keys, "left")
     out = j
     for c in cols:
-        out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)))
+        new = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"UPDATE matched a target row more than once (keys {keys})"))
+                     ).otherwise(F.col(f"_new_{c}"))
+        out = out.withColumn(c, F.when(F.col("_n").isNotNull(), new).otherwise(F.col(c)))
     return out.select(*target.columns)

@@ -58,8 +58,11 @@ def test_update_from_cases(spark):
     got = {r["doc_id"]: r["questions"] for r in io.update_from(target, upd, ["doc_id", "text"], ["questions"]).collect()}
     assert got == {"d1": "new", "d2": "old", None: "keep"}
     dup = spark.createDataFrame([("d1", "t", "a"), ("d1", "t", "b")], "doc_id string, text string, questions string")
-    with pytest.raises(ValueError):
-        io.update_from(target, dup, ["doc_id", "text"], ["questions"])
+    with pytest.raises(Exception, match="more than once"):
+        io.update_from(target, dup, ["doc_id", "text"], ["questions"]).collect()
+    # duplicates that match no target row are not an error
+    dup_other = spark.createDataFrame([("d7", "t", "a"), ("d7", "t", "b")], "doc_id string, text string, questions string")
+    assert io.update_from(target, dup_other, ["doc_id", "text"], ["questions"]).count() == 3
 
 
 def test_remove_processed_pairwise(spark):
