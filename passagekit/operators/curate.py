@@ -5,10 +5,12 @@ Scale notes
 * ``dense_rank`` over a global order would run in one task.  ``dense_index``
   ranks the *distinct* keys with a range shuffle: each range partition is
   sorted, a per-partition count gives offsets (one row per partition, a
-  proven-small broadcast), and the rank is offset + local position.
+  proven-small broadcast), and the rank is offset + local position.  The
+  stamped rows are checkpointed so counts and ranks see one partitioning.
 * Positions inside a document (``row_number() over (partition by doc)``) are
   computed per (document, id chunk) so one huge document never lands in a
-  single task; chunk offsets come from a small aggregate.
+  single task; chunk sizes come from a window on the same partitioning and
+  only the per-chunk table is re-shuffled for the running offsets.
 * Consecutive-passage collapse does not use n-1 self joins nor a window over
   the document: each passage is copied to the n-1 anchors before it and one
   aggregate on (document, anchor) -- at most n rows per key -- assembles the
@@ -23,8 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.functions.text import clean_newlines, strip_title_prefix
-
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
+from passagekit.operators.sample import row_index
 
 
 def dense_index(keys: DataFrame, col: str, out: str = "rank", partitions: int | None = None,
@@ -32,24 +33,13 @@ def dense_index(keys: DataFrame, col: str, out: str = "rank", partitions: int |
     """1-based dense rank of the distinct values of ``col`` in ascending order.
 
     Returns ``(col, out)``.  Equivalent to ``dense_rank() over (order by col)``
-    without a single-partition window.
+    without a single-partition window: the distinct values get a global row
+    index (range shuffle + per-partition offsets, see ``sample.row_index``).
     """
-    spark = keys.sparkSession
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col(col).asc_nulls_first() if nulls_first else F.col(col).asc_nulls_last()
     distinct = keys.select(col).distinct()
-    ranged = (distinct.repartitionByRange(n_part, order).sortWithinPartitions(order)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.select(col, F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
-                           (F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))).alias("_loc"))
-    # one row per partition: bounded by the partition count, safe to broadcast
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .select(col, (F.col("_off") + F.col("_loc") + 1).alias(out)))
+    ranked = row_index(distinct, [order], "_idx", partitions)
+    return ranked.select(col, (F.col("_idx") + 1).alias(out))
 
 
 def assign_doc_ids(df: DataFrame, title: str = "title", prefix: str = "wikidoc_",
@@ -86,20 +76,23 @@ def group_positions(df: DataFrame, group: str, order: str, out: str = "pos",
 
     ``order`` must be an integer column, unique inside a group.  Rows are
     ranked inside (group, order div chunk) -- at most ``chunk`` rows per
-    window partition -- and shifted by the row count of earlier chunks.
+    window partition -- and shifted by the row count of the earlier chunks
+    of the group.  Chunk sizes come from a second window on the same
+    partitioning (no extra shuffle of the rows); only the small table of
+    chunk sizes is re-partitioned by group for the running sum.
     """
-    c = F.floor(F.col(order) / F.lit(chunk))
-    with_chunk = df.withColumn("_chunk", c)
-    local = with_chunk.withColumn(
-        "_lpos", F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(order)))
-    sizes = with_chunk.groupBy(group, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = sizes.select(
+    w = Window.partitionBy(group, "_chunk")
+    local = (df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
+             .withColumn("_lpos", F.row_number().over(w.orderBy(order)))
+             .withColumn("_cnt", F.count(F.lit(1)).over(w)))
+    heads = local.where(F.col("_lpos") == 1).select(group, "_chunk", "_cnt")
+    offsets = heads.select(
         group, "_chunk",
         F.coalesce(F.sum("_cnt").over(Window.partitionBy(group).orderBy("_chunk")
                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (local.join(offsets, [group, "_chunk"])
             .withColumn(out, (F.col("_off") + F.col("_lpos")).cast("int"))
-            .drop("_chunk", "_lpos", "_off"))
+            .drop("_chunk", "_lpos", "_cnt", "_off"))
 
 
 def collapse_passages(df: DataFrame, n: int, doc: str = "doc_id", num: str = "num",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.functions.hashing import unit_hash
+from passagekit.session import checkpoint_dir
 
 _LOCAL_BITS = 33
 
@@ -40,16 +41,24 @@ def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed: int = 0)
 def row_index(df: DataFrame, order: list, out: str = "row_idx", partitions: int | None = None) -> DataFrame:
     """0-based position in a global order, without a single-task window.
 
-    Range shuffle on the order, sort inside partitions, per-partition counts
-    (one row per partition, broadcast) -> offset + local position.  The order
+    Range shuffle on the order, sort inside partitions, stamp each row with
+    (partition, local position), and add the row count of all earlier
+    partitions (one row per partition, broadcast).  The stamped rows are
+    checkpointed before they are counted and joined: both consumers then
+    read the very same partitioning, even if range bounds (sampled) or a lost
+    executor would make a recomputation partition differently.  The order
     must be total (unique) for a deterministic result.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # monotonically_increasing_id = partition index << 33 | position in partition
     ranged = (df.repartitionByRange(n_part, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = (ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+              .drop("_mid")
+              .checkpoint())
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -57,7 +66,7 @@ def row_index(df: DataFrame, order: list, out: str = "row_idx", partitions: int
                    F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + F.col("_loc"))
-            .drop("_mid", "_pid", "_loc", "_off"))
+            .drop("_pid", "_loc", "_off"))
 
 
 def assign_batches(df: DataFrame, num_batches: int, order: list, out: str = "batch_id") -> DataFrame:
