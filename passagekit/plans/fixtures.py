@@ -35,8 +35,16 @@ def documents(spark: SparkSession, sf_dir: str, cols=None) -> DataFrame:
     return read_table(spark, f"{sf_dir}/documents.parquet", cols, spread_by="doc_id")
 
 
-def passages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, ["doc_id", "text"])
+def passages_raw(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
+    """``where``: optional predicate on the documents table, applied in the scan
+    (Parquet filter pushdown) before the lines are exploded."""
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    if where is not None:
+        docs = docs.where(where)
+    docs = docs.select("doc_id", "text")
+    par = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if docs.rdd.getNumPartitions() < par:
+        docs = docs.repartition(par, "doc_id")
     lines = explode_rows(docs, [
         F.col("doc_id").alias("src"),
         F.array_join(F.slice(F.split(F.split("text", "\n", -1)[0], " ", -1), 1, 3), " ").alias("title")],
@@ -74,10 +82,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_passages(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
     """Curated passages of English (answer corpus, ids 'd_') or of the other
     documents (noise corpus, ids 'wikidoc_'); ids are ranked per corpus."""
-    docs = documents(spark, sf_dir, ["doc_id", "lang"])
     cond = F.col("lang") == "en" if english else ~(F.col("lang") == "en")
-    keep = docs.where(cond).select(F.col("doc_id").alias("src"))
-    raw = passages_raw(spark, sf_dir).join(keep, "src", "left_semi")
+    raw = passages_raw(spark, sf_dir, where=cond)
     return curate_passages(raw, prefix="d_" if english else "wikidoc_").select(
         "doc_id", "corpus_id", "num", "title", "text")
 
