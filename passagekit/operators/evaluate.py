@@ -86,3 +86,18 @@ def evaluate_grid(configs: dict[str, tuple[DataFrame, DataFrame]], ks=DEFAULT_KS
         F.round(F.sum(F.when(F.col("best") <= F.col("k"), 1).otherwise(0)) * 100.0 / F.count(F.lit(1)), 6)
         .alias("accuracy"),
         F.count(F.lit(1)).alias("n"))
+
+
+def accuracy_by_group(hits: DataFrame, gold: DataFrame, group: str = "config", ks=DEFAULT_KS,
+                      q_key: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """``(group, k, accuracy, n)`` for hits and gold tagged with a group column."""
+    keys = [group, q_key]
+    g = gold.select(*keys, F.col(doc).alias("_gold"))
+    matched = (hits.join(g, keys).where(F.col(doc) == F.col("_gold"))
+               .groupBy(*keys).agg(F.min("rank").alias("best")))
+    best = g.select(*keys).join(matched, keys, "left")
+    per = best.select(group, "best", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return per.groupBy(group, "k").agg(
+        F.round(F.sum(F.when(F.col("best") <= F.col("k"), 1).otherwise(0)) * 100.0 / F.count(F.lit(1)), 6)
+        .alias("accuracy"),
+        F.count(F.lit(1)).alias("n"))

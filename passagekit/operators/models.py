@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagekit.functions.arrays import explode_rows
+from passagekit.session import ship_package
 
 
 def apply_batches(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
                   schema: T.StructType | str) -> DataFrame:
     """Run ``factory()(batch)`` over Arrow batches; the model is built once per task."""
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for b in batches:
@@ -103,20 +106,24 @@ def hashed_bow_encoder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
 
 
 def encode(df: DataFrame, key: str, text: str, encoder_factory=None, dim: int = 64,
-           out: str = "embedding") -> DataFrame:
-    """Dense vectors ``(key, embedding array<double>)`` computed over Arrow batches.
+           out: str = "embedding", keep: list[str] | None = None) -> DataFrame:
+    """Dense vectors ``(key, *keep, embedding array<double>)`` computed over Arrow batches.
 
     ``encoder_factory()`` returns a callable ``pd.Series[str] -> ndarray[n, dim]``
     (a transformer encoder in production); default: hashed bag of words.
+    ``keep`` columns travel along (no join back to the source).
     """
     factory = encoder_factory or (lambda: hashed_bow_encoder(dim))
-    key_type = df.schema[key].dataType.simpleString()
+    cols = [key] + list(keep or [])
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
 
     def model():
         enc = factory()
 
         def run(b: pd.DataFrame) -> pd.DataFrame:
             m = enc(b[text])
-            return pd.DataFrame({key: b[key], out: list(m)})
+            res = b[cols].copy()
+            res[out] = list(m)
+            return res
         return run
-    return apply_batches(df.select(key, text), model, f"{key} {key_type}, {out} array<double>")
+    return apply_batches(df.select(*cols, text), model, f"{schema}, {out} array<double>")

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagekit.session import ship_package
+
 MARGIN = 8
 
 
@@ -42,8 +44,8 @@ def _grid(nq: int, nx: int, q_rows: int, x_rows: int, parallelism: int) -> tuple
 
 def _cell_topk(k: int, exclude_self: bool):
     def run(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": pd.Series([], dtype="int64"), "x": pd.Series([], dtype="int64"),
-                              "d2": pd.Series([], dtype="float64")})
+        empty = pd.DataFrame({"g": pd.Series([], dtype="object"), "q": pd.Series([], dtype="int64"),
+                              "x": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
         if len(qpdf) == 0 or len(xpdf) == 0:
             return empty
         Q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
@@ -79,17 +81,23 @@ def _cell_topk(k: int, exclude_self: bool):
             out_d.append(d2.ravel()[keep])
         if not out_q:
             return empty
-        return pd.DataFrame({"q": np.concatenate(out_q), "x": np.concatenate(out_x),
-                             "d2": np.concatenate(out_d)})
+        q = np.concatenate(out_q)
+        return pd.DataFrame({"g": np.full(len(q), qpdf["g"].iloc[0], dtype=object), "q": q,
+                             "x": np.concatenate(out_x), "d2": np.concatenate(out_d)})
     return run
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
         x_key: str = "vec_id", q_vec: str = "embedding", x_vec: str = "embedding",
         exclude_self: bool = False, q_block_rows: int = 20000, x_block_rows: int = 50000,
-        parallelism: int | None = None, nq: int | None = None, nx: int | None = None) -> DataFrame:
+        parallelism: int | None = None, nq: int | None = None, nx: int | None = None,
+        group: str | None = None) -> DataFrame:
     """Exact top-k neighbours: ``(q_key, rank, x_key, d2)``, rank 1..k.
 
+    ``group``: a string column present on both sides; neighbours are searched
+    only among index rows of the query's group (many indexes in one job: the
+    group is part of the grid-cell key).
+
     Keys must be integers (hash them first otherwise).  ``exclude_self``
     drops the pair where both keys are equal (leave-one-out evaluation).
     The grid needs the two row counts; pass them (``nq``/``nx``) or pass
@@ -97,23 +105,27 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
     a derived input (an encoder) would otherwise run once more for the count.
     """
     spark = queries.sparkSession
+    ship_package(spark)
     par = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
     nq = queries.count() if nq is None else nq
     nx = index.count() if nx is None else nx
     bq, bx = _grid(nq, nx, q_block_rows, x_block_rows, par)
-    q = queries.select(F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v"),
+    g = F.col(group).cast("string") if group else F.lit("")
+    q = queries.select(g.alias("g"), F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v"),
                        F.pmod(F.xxhash64(F.col(q_key)), F.lit(bq)).alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(bx - 1))).alias("xb"))
-    x = index.select(F.col(x_key).cast("long").alias("x"), F.col(x_vec).alias("v"),
+    x = index.select(g.alias("g"), F.col(x_key).cast("long").alias("x"), F.col(x_vec).alias("v"),
                      F.pmod(F.xxhash64(F.col(x_key)), F.lit(bx)).alias("xb"),
                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("x", T.LongType()),
-                           T.StructField("d2", T.DoubleType())])
-    partial = (q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb"))
+    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("q", T.LongType()),
+                           T.StructField("x", T.LongType()), T.StructField("d2", T.DoubleType())])
+    cell = ["g", "qb", "xb"]
+    partial = (q.groupBy(*cell).cogroup(x.groupBy(*cell))
                .applyInPandas(_cell_topk(k, exclude_self), schema))
-    w = Window.partitionBy("q").orderBy("d2", "x")
+    w = Window.partitionBy("g", "q").orderBy("d2", "x")
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(q_key), "rank", F.col("x").alias(x_key), "d2")
+    cols = [F.col("g").alias(group)] if group else []
+    return ranked.select(*cols, F.col("q").alias(q_key), "rank", F.col("x").alias(x_key), "d2")
 
 
 def resolve_neighbors(hits: DataFrame, index: DataFrame, x_key: str = "vec_id",

@@ -366,3 +366,10 @@ def q_stream_augment(spark, sf_dir):
     p = fixtures.passages(spark, sf_dir).select("corpus_id", "text")
     out = run_incremental(spark, p, key="corpus_id", text="text", n=25, seed=SEED)
     return out.select("corpus_id", "questions", "n_questions")
+
+
+@register("retrieval_grid")
+def q_retrieval_grid(spark, sf_dir):
+    """accuracy@k for 24 configurations (corpus x level x questions x title), one job."""
+    from passagekit.plans.grid import retrieval_grid
+    return retrieval_grid(spark, sf_dir, seed=SEED)

@@ -543,3 +543,69 @@ ORACLE["stream_augment"] = f"""
 with recursive {PASSAGES}, src_docs as (select corpus_id as doc_id, text from passages),
 {augment_sql('src_docs', 25)}
 select doc_id as corpus_id, questions, n_questions from aug"""
+
+
+# ------------------------------------------------------------------ retrieval grid
+def _dense(src: str, key: str, text: str, name: str) -> str:
+    return f"""
+{name}_tok as (select {key} as k, unnest({_words(text)}) as t from {src}),
+{name}_tf as (select k, {_bucket('t')} as b, count(*)::DOUBLE as tf from {name}_tok group by all),
+{name}_w as (select k, b, tf / sqrt(sum(tf * tf) over (partition by k)) as w from {name}_tf),
+{name}_dense as (
+  select s.k, list(coalesce(w.w, 0.0) order by g.b) as e
+  from (select distinct {key} as k from {src}) s cross join (select unnest(range(64)) as b) g
+  left join {name}_w w on w.k = s.k and w.b = g.b group by s.k)"""
+
+
+def _grid_sql() -> str:
+    levels = ((1, 0.0075), (2, 0.0143), (3, 0.02))
+    corpus_all = " union all ".join(f"select {lv} as level, * from ({_corpus_sql(lv, r)})" for lv, r in levels)
+    variants, golds = [], []
+    for corpus_name, max_stage in (("gold", 2), ("wiki", 3)):
+        for qg in (False, True):
+            for title in (True, False):
+                parts = (["coalesce(title, '')"] if title else []) + ["coalesce(text, '')"] + \
+                    (["coalesce(questions, '')"] if qg else [])
+                suffix = ("qg" if qg else "no_qg") + ("" if title else "_no_title")
+                cfg = f"'{corpus_name}_' || level || '_{suffix}'"
+                variants.append(f"select {cfg} as config, doc_id, corpus_ids, query_id, "
+                                f"concat_ws(' [SEP] ', {', '.join(parts)}) as passage "
+                                f"from updated where stage <= {max_stage}")
+                golds.append(f"select {cfg} as config, substr(query_id, 2)::BIGINT as query_id, doc_id "
+                             f"from gold_l")
+    return f"""
+with recursive
+corpus_all as ({corpus_all}),
+todo as (select distinct level, doc_id as d, title, text from corpus_all where stage = 1),
+src_docs as (select md5(concat_ws(chr(31), level, d, title, text)) as doc_id, text from todo),
+{augment_sql('src_docs', 25)},
+updated as (
+  select c.level, c.stage, c.query_id, c.doc_id, c.title, c.text, c.corpus_ids,
+         case when u.d is not null then u.questions else c.questions end as questions
+  from corpus_all c left join (
+    select t.level, t.d, t.title, t.text, a.questions from todo t
+    join aug a on a.doc_id = md5(concat_ws(chr(31), t.level, t.d, t.title, t.text))) u
+  on u.level = c.level and u.d = c.doc_id and u.title = c.title and u.text = c.text),
+variants as ({' union all '.join(variants)}),
+vsrc as (select *, ('0x' || substr(md5(concat_ws('|', config, corpus_ids, coalesce(query_id, ''))), 1, 15))::BIGINT
+                   as vec_id from variants),
+{_dense('vsrc', 'vec_id', 'passage', 'p')},
+{_dense('benchmark', 'item_id', 'text', 'q')},
+gold_l as (select distinct level, query_id, doc_id from updated where stage = 1),
+gold_cfg as ({' union all '.join(golds)}),
+pairs as (
+  select g.config, g.query_id, v.vec_id, v.doc_id,
+         list_sum(list_transform(range(1, 65), lambda i: (qd.e[i] - pd.e[i]) * (qd.e[i] - pd.e[i]))) as d2
+  from gold_cfg g join q_dense qd on qd.k = g.query_id
+  join vsrc v on v.config = g.config join p_dense pd on pd.k = v.vec_id),
+ranked as (select *, row_number() over (partition by config, query_id order by d2, vec_id) as rank from pairs),
+best as (
+  select g.config, g.query_id, min(r.rank) as best from gold_cfg g
+  left join ranked r on r.config = g.config and r.query_id = g.query_id and r.rank <= 100 and r.doc_id = g.doc_id
+  group by g.config, g.query_id)
+select config, k, round(sum(case when best <= k then 1 else 0 end)::DOUBLE * 100.0 / count(*), 6) as accuracy,
+       count(*) as n
+from best, {KS} group by config, k"""
+
+
+ORACLE["retrieval_grid"] = _grid_sql()

@@ -74,3 +74,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``passagekit`` importable in executor Python workers.
+
+    Operators that run Python on executors (``mapInPandas`` /
+    ``applyInPandas``) refer to functions of this package; this adds a zip of
+    the package to the SparkContext once (what ``--py-files`` does at submit
+    time), so it works whatever the driver's working directory is.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="passagekit-pyfiles-"), "passagekit.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
