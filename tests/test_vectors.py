@@ -71,3 +71,19 @@ def test_gold_missing_counts_as_miss_and_duplicates_raise(spark):
     dup = spark.createDataFrame([("q1", "a"), ("q1", "b")], "query_id string, doc_id string")
     with pytest.raises(ValueError):
         evaluate.check_gold(dup)
+
+
+def test_grouped_knn_searches_within_group(spark):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(40, 4)).astype(np.float32)
+    groups = ["a" if i % 3 else "b" for i in range(40)]
+    rows = [(g, int(i), [float(x) for x in v]) for i, (g, v) in enumerate(zip(groups, X))]
+    idx = spark.createDataFrame(rows, "config string, vec_id long, embedding array<float>")
+    q = idx.withColumnRenamed("vec_id", "query_id")
+    got = vectors.knn(q, idx, 3, exclude_self=True, group="config", x_block_rows=7, q_block_rows=5)
+    got = sorted(tuple(r) for r in got.select("config", "query_id", "rank", "vec_id").collect())
+    expect = []
+    for g in ("a", "b"):
+        ids = np.array([i for i in range(40) if groups[i] == g])
+        expect += [(g,) + t for t in brute(ids, X[ids], ids, X[ids], 3, True)]
+    assert got == sorted(expect)
