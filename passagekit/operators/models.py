@@ -41,11 +41,14 @@ def _words(c: Column) -> Column:
 
 
 def default_question(answer: Column, context: Column, style: Column) -> Column:
-    """Stand-in generator: a cloze of the entity in its sentence for
-    multiple-choice candidates, the opening words of the sentence otherwise."""
+    """Stand-in generator (a seq2seq model in production): a cloze over the
+    whole sentence -- the entity blanked in its sentence for multiple-choice
+    candidates, the sentence's first longest word blanked otherwise."""
     cloze = F.concat(F.replace(context, answer, F.lit("____")), F.lit("?"))
-    opening = F.concat(F.array_join(F.slice(F.split(answer, " ", -1), 1, 6), " "), F.lit("?"))
-    return F.when(style == "multiple_choice", cloze).otherwise(opening)
+    longest = F.aggregate(F.split(answer, " ", -1), F.lit(""),
+                          lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
+    blanked = F.when(longest == "", answer).otherwise(F.replace(answer, longest, F.lit("____")))
+    return F.when(style == "multiple_choice", cloze).otherwise(F.concat(blanked, F.lit("?")))
 
 
 def correct_answer(answer: Column, choices: Column) -> Column:

@@ -443,8 +443,11 @@ def scored_sql(src: str) -> str:
     return f"""{SEGMENTS_T.replace('{src}', src)}, {entities_sql(src)}, {PROMPT_CANDS},
 qs as (
   select *, case when style = 'multiple_choice' then replace(context, answer, '____') || '?'
-                 else array_to_string(string_split(answer, ' ')[1:6], ' ') || '?' end as question
-  from cands),
+                 when longest = '' then answer || '?'
+                 else replace(answer, longest, '____') || '?' end as question
+  from (select *, list_reduce(list_prepend('', string_split(answer, ' ')),
+                              lambda acc, w: case when length(w) > length(acc) then w else acc end) as longest
+        from cands)),
 scored as (
   select *, case when len(list_distinct(list_concat({_words('question')}, {_words('answer')}))) = 0 then 0.0
                  else len(list_intersect({_words('question')}, {_words('answer')}))::DOUBLE
