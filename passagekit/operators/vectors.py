@@ -112,13 +112,15 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
     bq, bx = _grid(nq, nx, q_block_rows, x_block_rows, par)
     g = F.col(group).cast("string") if group else F.lit("")
     q = queries.select(g.alias("g"), F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v"),
-                       F.pmod(F.xxhash64(F.col(q_key)), F.lit(bq)).alias("qb"),
+                       F.pmod(F.xxhash64(F.col(q_key)), F.lit(bq)).cast("int").alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(bx - 1))).alias("xb"))
     x = index.select(g.alias("g"), F.col(x_key).cast("long").alias("x"), F.col(x_vec).alias("v"),
-                     F.pmod(F.xxhash64(F.col(x_key)), F.lit(bx)).alias("xb"),
+                     F.pmod(F.xxhash64(F.col(x_key)), F.lit(bx)).cast("int").alias("xb"),
                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("q", T.LongType()),
                            T.StructField("x", T.LongType()), T.StructField("d2", T.DoubleType())])
+    # cell keys must have identical types on both sides: int and long of the
+    # same value hash to different shuffle partitions and would never meet
     cell = ["g", "qb", "xb"]
     partial = (q.groupBy(*cell).cogroup(x.groupBy(*cell))
                .applyInPandas(_cell_topk(k, exclude_self), schema))

@@ -87,3 +87,22 @@ def test_grouped_knn_searches_within_group(spark):
         ids = np.array([i for i in range(40) if groups[i] == g])
         expect += [(g,) + t for t in brute(ids, X[ids], ids, X[ids], 3, True)]
     assert got == sorted(expect)
+
+
+def test_knn_many_reducer_partitions(spark):
+    """Cells must meet across many shuffle partitions (AQE coalescing off):
+    cell keys of both sides need identical types."""
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(120, 5)).astype(np.float32)
+    df = _frame(spark, range(120), X, "vec_id")
+    q = df.withColumnRenamed("vec_id", "query_id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = vectors.knn(q, df, 4, exclude_self=True, parallelism=8, q_block_rows=50, x_block_rows=30)
+        got = sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute(np.arange(120), X, np.arange(120), X, 4, True)
