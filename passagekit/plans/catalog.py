@@ -373,3 +373,28 @@ def q_retrieval_grid(spark, sf_dir):
     """accuracy@k for 24 configurations (corpus x level x questions x title), one job."""
     from passagekit.plans.grid import retrieval_grid
     return retrieval_grid(spark, sf_dir, seed=SEED)
+
+
+@register("ingest_corpus")
+def q_ingest_corpus(spark, sf_dir):
+    """Raw download -> table: the documents exported as JSON lines into the
+    shared folder, read back with a declared schema, split into passages."""
+    import os
+    import uuid
+    from pyspark.sql import types as T
+    base = os.path.join(checkpoint_dir(spark), f"ingest-{uuid.uuid4().hex}")
+    docs = fixtures.documents(spark, sf_dir, ["doc_id", "text", "lang"])
+    docs.write.mode("overwrite").json(base)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+                           T.StructField("lang", T.StringType())])
+    raw = io.ingest_corpus(spark, base, "json", schema)
+    return raw.select("doc_id", "lang", F.size(F.split("text", "\n", -1)).alias("n_passages"))
+
+
+@register("easy_noise")
+def q_easy_noise(spark, sf_dir):
+    """'Easy' noise set: the first 250,000 distinct level-3 groups of the noise
+    corpus (the limit is the feature; ordered so the choice is reproducible)."""
+    _, wiki = _corpora(spark, sf_dir)
+    g = curate.collapse_passages(wiki, 3).select("doc_id", "title", F.col("doc_text").alias("text")).distinct()
+    return g.orderBy("doc_id", "title", "text").limit(250000)

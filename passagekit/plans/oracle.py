@@ -612,3 +612,11 @@ from best, {KS} group by config, k"""
 
 
 ORACLE["retrieval_grid"] = _grid_sql()
+
+ORACLE["ingest_corpus"] = """
+select doc_id, lang, len(string_split(text, chr(10)))::INTEGER as n_passages from documents"""
+
+ORACLE["easy_noise"] = f"""
+with {CORPORA}
+select distinct doc_id, title, doc_text as text from ({_collapse('wiki', 3)})
+order by doc_id, title, text limit 250000"""
