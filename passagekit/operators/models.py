@@ -83,6 +83,25 @@ def hash_encode_sparse(df: DataFrame, key: str, text: str, dim: int = 64) -> Dat
     return tf.select(key, "bucket", (F.col("_tf") / norm).alias("weight"))
 
 
+def hashed_bow_vector(text: Column, dim: int = 64) -> Column:
+    """The hashed bag-of-words encoder as one JVM expression: array<double>(dim).
+
+    Tokens are hashed once; per-bucket counts and the norm enter the
+    per-element lambdas as arguments (zip_with + array_repeat), never as
+    captured expressions, so nothing is recomputed per element.
+    """
+    buckets = F.transform(_words(text), lambda t: token_bucket(t, dim))
+    counts = F.zip_with(F.sequence(F.lit(0), F.lit(dim - 1)), F.array_repeat(buckets, dim),
+                        lambda i, bs: F.size(F.filter(bs, lambda b: b == i)).cast("double"))
+    return counts
+
+
+def _normalise(counts: Column, dim: int) -> Column:
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c))
+    return F.zip_with(counts, F.array_repeat(norm, dim),
+                      lambda c, n: F.when(n > 0, c / n).otherwise(F.lit(0.0)))
+
+
 def hashed_bow_encoder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
     """Python form of the same encoder, for ``encode`` (Arrow batches)."""
     cache: dict[str, int] = {}
@@ -109,15 +128,22 @@ def hashed_bow_encoder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
 
 
 def encode(df: DataFrame, key: str, text: str, encoder_factory=None, dim: int = 64,
-           out: str = "embedding", keep: list[str] | None = None) -> DataFrame:
-    """Dense vectors ``(key, *keep, embedding array<double>)`` computed over Arrow batches.
+           out: str = "embedding", keep: list[str] | None = None, engine: str = "arrow") -> DataFrame:
+    """Dense vectors ``(key, *keep, embedding array<double>)``.
 
     ``encoder_factory()`` returns a callable ``pd.Series[str] -> ndarray[n, dim]``
-    (a transformer encoder in production); default: hashed bag of words.
+    (a transformer encoder in production), applied over Arrow batches;
+    default: the hashed bag of words.  ``engine="sql"`` computes the same
+    default vectors as a JVM expression (``hashed_bow_vector``, dim x tokens
+    interpreted lambda calls per row); the Arrow path stays the default
+    because a real encoder is a Python model anyway.
     ``keep`` columns travel along (no join back to the source).
     """
-    factory = encoder_factory or (lambda: hashed_bow_encoder(dim))
     cols = [key] + list(keep or [])
+    if encoder_factory is None and engine == "sql":
+        d = df.select(*cols, hashed_bow_vector(F.col(text), dim).alias("_counts"))
+        return d.select(*cols, _normalise(F.col("_counts"), dim).alias(out))
+    factory = encoder_factory or (lambda: hashed_bow_encoder(dim))
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
 
     def model():

@@ -271,7 +271,8 @@ def q_hash_encode(spark, sf_dir):
 @register("encode_arrow")
 def q_encode_arrow(spark, sf_dir):
     """Same encoder over Arrow batches (mapInPandas), non-zero entries listed."""
-    e = models.encode(fixtures.passages(spark, sf_dir), "corpus_id", "text", dim=64)
+    e = models.encode(fixtures.passages(spark, sf_dir), "corpus_id", "text", dim=64,
+                      encoder_factory=lambda: models.hashed_bow_encoder(64))
     nz = explode_rows(e, ["corpus_id"], F.col("embedding"), ["bucket", "weight"]).where(F.col("weight") != 0)
     return nz.select("corpus_id", "bucket", F.round("weight", 6).alias("weight"))
 

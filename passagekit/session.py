@@ -36,6 +36,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         # checkpoint files (lineage cuts) are removed once their RDD is unreachable
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", os.environ.get("PASSAGEKIT_DRIVER_MEM", "16g"))
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
     for k, v in DEFAULTS.items():

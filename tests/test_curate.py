@@ -105,3 +105,17 @@ def test_dedup_numeric_order(spark):
     again = curate.dedup_passages(curate.dedup_passages(df, ["doc_id", "title", "text"], "num"),
                                   ["doc_id", "title", "text"], "num")
     assert sorted(again.collect()) == sorted(out)
+
+
+def test_hot_title_and_hot_document(spark):
+    """One title / one document holding a third of all rows: ids and positions
+    stay exact (positions are computed per id chunk, ids per distinct title)."""
+    rows = [("hot", i, f"line {i}") for i in range(300)] + \
+           [(f"t{j}", 1000 + j, f"other {j}") for j in range(600)]
+    df = spark.createDataFrame(rows, "title string, num long, text string").repartition(5)
+    ids = curate.assign_doc_ids(df, "title", prefix="d_")
+    per_title = ids.groupBy("title").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").count()
+    assert per_title == 0 and ids.select("doc_id").distinct().count() == 601
+    pos = curate.group_positions(ids, "doc_id", "num", chunk=32)
+    hot = sorted((r["num"], r["pos"]) for r in pos.where("title = 'hot'").collect())
+    assert [p for _, p in hot] == list(range(1, 301))

@@ -106,3 +106,14 @@ def test_knn_many_reducer_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == brute(np.arange(120), X, np.arange(120), X, 4, True)
+
+
+def test_sql_and_arrow_encoders_agree(spark):
+    from passagekit.operators import models
+    df = spark.createDataFrame([(1, "The cat sat on the mat"), (2, ""), (3, "Ünïcode wörds and  double  spaces")],
+                               "k long, text string")
+    a = {r["k"]: r["embedding"] for r in models.encode(df, "k", "text", dim=16).collect()}
+    s = {r["k"]: r["embedding"] for r in models.encode(df, "k", "text", dim=16, engine="sql").collect()}
+    assert a.keys() == s.keys()
+    for k in a:
+        assert np.allclose(a[k], s[k], atol=1e-12)
