@@ -399,3 +399,16 @@ def q_easy_noise(spark, sf_dir):
     _, wiki = _corpora(spark, sf_dir)
     g = curate.collapse_passages(wiki, 3).select("doc_id", "title", F.col("doc_text").alias("text")).distinct()
     return g.orderBy("doc_id", "title", "text").limit(250000)
+
+
+@register("process_batches")
+def q_process_batches(spark, sf_dir):
+    """Sample 20 batches of about 50 passages, augment them in one job, append
+    them to a target partitioned by batch_id; the target is returned."""
+    import os
+    import uuid
+    from passagekit.plans.queue import process_batches
+    target = os.path.join(checkpoint_dir(spark), f"batches-{uuid.uuid4().hex}")
+    queue = fixtures.passages(spark, sf_dir).select("corpus_id", "text")
+    process_batches(queue, target, "corpus_id", "text", n=25, batch_size=50, num_batches=20, seed=SEED)
+    return spark.read.parquet(target).select("corpus_id", "batch_id", "questions")

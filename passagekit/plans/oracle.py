@@ -620,3 +620,12 @@ ORACLE["easy_noise"] = f"""
 with {CORPORA}
 select distinct doc_id, title, doc_text as text from ({_collapse('wiki', 3)})
 order by doc_id, title, text limit 250000"""
+
+ORACLE["process_batches"] = f"""
+with recursive {PASSAGES},
+s as (select corpus_id, text, {U('corpus_id')} as u from passages
+      where {U('corpus_id')} < (50 * 20)::DOUBLE / (select count(*) from passages)),
+b as (select corpus_id, text, (ntile(20) over (order by u, corpus_id))::INTEGER as batch_id from s),
+src_docs as (select corpus_id as doc_id, text from b),
+{augment_sql('src_docs', 25)}
+select b.corpus_id, b.batch_id, a.questions from b join aug a on a.doc_id = b.corpus_id"""
