@@ -296,7 +296,8 @@ def q_augment(spark, sf_dir):
 
 
 def _updated_corpus(spark, sf_dir):
-    c = _corpus_level(3)(spark, sf_dir)
+    checkpoint_dir(spark)
+    c = _corpus_level(3)(spark, sf_dir).checkpoint()  # target and source of the update
     keys = ["doc_id", "title", "text"]
     todo = (c.where(F.col("stage") == 1).select(*keys).distinct()
             .withColumn("_k", F.md5(F.concat_ws("\x1f", *keys))))
@@ -314,7 +315,9 @@ def q_update_questions(spark, sf_dir):
 @register("queue_pending")
 def q_queue_pending(spark, sf_dir):
     """Queue = corpus rows without a query; half of it (hash) counts as processed."""
-    queue = _corpus_level(2)(spark, sf_dir).where(F.col("query_id").isNull())
+    checkpoint_dir(spark)
+    # the queue is a stored table (read by both sides of the anti join)
+    queue = _corpus_level(2)(spark, sf_dir).where(F.col("query_id").isNull()).checkpoint()
     done = sample.sample_rate(queue, 0.5, "corpus_ids", SEED)
     return io.remove_processed(queue, done, ["doc_id", "text"]).select("doc_id", "corpus_ids")
 
