@@ -24,8 +24,10 @@ def corpus_with_questions(spark: SparkSession, sf_dir: str, levels=(1, 2, 3), n:
                           seed: int = 0) -> DataFrame:
     """Corpora of all levels (``level`` column); gold passages augmented once
     (one augment job over the gold texts of every level) and updated in place."""
-    nq = fixtures.corpus_passages(spark, sf_dir, english=True)
-    wiki = fixtures.corpus_passages(spark, sf_dir, english=False)
+    checkpoint_dir(spark)
+    # read by the builder of every level: curate each corpus once
+    nq = fixtures.corpus_passages(spark, sf_dir, english=True).checkpoint()
+    wiki = fixtures.corpus_passages(spark, sf_dir, english=False).checkpoint()
     answers = fixtures.answers(spark, sf_dir)
     parts = [corpus.build_corpus(nq, wiki, answers, lv, seed=seed).withColumn("level", F.lit(lv))
              for lv in levels]
