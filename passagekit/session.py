@@ -87,7 +87,8 @@ def ship_package(spark: SparkSession) -> None:
     Operators that run Python on executors (``mapInPandas`` /
     ``applyInPandas``) refer to functions of this package; this adds a zip of
     the package to the SparkContext once (what ``--py-files`` does at submit
-    time), so it works whatever the driver's working directory is.
+    time), so it works whatever the driver's working directory is.  On a
+    cluster, submit with ``--py-files passagekit.zip`` and this is a no-op.
     """
     import zipfile
 
@@ -95,6 +96,10 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    submitted = sc.getConf().get("spark.submit.pyFiles", "") or ""
+    if "passagekit" in submitted:  # shipped with --py-files at submit time
+        _SHIPPED.add(key)
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     out = os.path.join(tempfile.mkdtemp(prefix="passagekit-pyfiles-"), "passagekit.zip")
