@@ -31,14 +31,23 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text",
     return explode_rows(df, [key], sentence_array(F.col(text), keep_tail), ["sent_id", "sentence"])
 
 
-def clean_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clean_sentences(df: DataFrame, key: str = "doc_id", text: str = "text",
+                    split_long: int | None = None, min_words: int = 6) -> DataFrame:
     """Distinct stripped sentences per text, numbered by first occurrence.
 
     The reference's long-sentence split and five-word filter were overwritten
     before use and do not change the result; only the de-duplication stays.
+    ``split_long=128`` switches on the intended form: sentences longer than
+    that are also split at ``, ; : )`` and pieces of at least ``min_words``
+    words join the set.
     """
-    arr = F.array_distinct(sentence_array(F.col(text)))
-    return explode_rows(df, [key], arr, ["sent_id", "sentence"])
+    sents = sentence_array(F.col(text))
+    if split_long is not None:
+        pieces = F.flatten(F.transform(
+            F.filter(sents, lambda s: F.length(s) > split_long),
+            lambda s: F.filter(F.split(s, "[,;:)]", -1), lambda p: F.size(F.split(p, " ", -1)) >= min_words)))
+        sents = F.transform(F.concat(sents, pieces), lambda s: F.trim(s))
+    return explode_rows(df, [key], F.array_distinct(sents), ["sent_id", "sentence"])
 
 
 def segment_array(text: Column, max_tokens: int = MAX_SEGMENT_TOKENS) -> Column:

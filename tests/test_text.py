@@ -135,3 +135,20 @@ def test_no_double_evaluation_in_explode(spark):
     plan = textprep.split_sentences(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (size(" not in plan
     assert plan.count("(Mr|St|Mrs|Ms|Dr)") == 1      # the rule chain appears once
+
+
+def test_clean_sentences_intended_long_split(spark):
+    text = ("Alpha beta gamma delta epsilon zeta eta, theta iota kappa lambda mu nu xi omicron; "
+            "pi rho sigma tau upsilon phi chi psi omega alpha beta gamma delta epsilon zeta eta theta. "
+            "Short one.")
+    sents = py_sentences(text)
+    pieces = [p for s in sents if len(s) > 40 for p in re.split("[,;:)]", s) if len(p.split(" ")) > 5]
+    expect = []
+    for s in [x.strip(" ") for x in sents + pieces]:
+        if s not in expect:
+            expect.append(s)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [r["sentence"] for r in textprep.clean_sentences(df, split_long=40).orderBy("sent_id").collect()]
+    assert got == expect and len(got) > len(sents)
+    plain = [r["sentence"] for r in textprep.clean_sentences(df).orderBy("sent_id").collect()]
+    assert plain == sents
