@@ -415,3 +415,12 @@ def q_process_batches(spark, sf_dir):
     queue = fixtures.passages(spark, sf_dir).select("corpus_id", "text")
     process_batches(queue, target, "corpus_id", "text", n=25, batch_size=50, num_batches=20, seed=SEED)
     return spark.read.parquet(target).select("corpus_id", "batch_id", "questions")
+
+
+@register("update_labels")
+def q_update_labels(spark, sf_dir):
+    """UPDATE documents SET quality, toxic FROM labels WHERE doc_id equal."""
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"]).select(
+        "doc_id", "lang", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    labels = read_table(spark, f"{sf_dir}/labels.parquet", ["doc_id", "quality", "toxic"])
+    return io.update_from(docs, labels, ["doc_id"], ["quality", "toxic"])

@@ -629,3 +629,6 @@ b as (select corpus_id, text, (ntile(20) over (order by u, corpus_id))::INTEGER
 src_docs as (select corpus_id as doc_id, text from b),
 {augment_sql('src_docs', 25)}
 select b.corpus_id, b.batch_id, a.questions from b join aug a on a.doc_id = b.corpus_id"""
+
+ORACLE["update_labels"] = """
+select d.doc_id, d.lang, l.quality, l.toxic from documents d left join labels l on l.doc_id = d.doc_id"""
