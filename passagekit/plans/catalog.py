@@ -52,6 +52,15 @@ def q_knn_top10(spark, sf_dir):
     return hits.select("query_id", "rank", "vec_id", F.round("d2", 6).alias("d2"))
 
 
+@register("knn_blocked")
+def q_knn_blocked(spark, sf_dir):
+    """The same exact 10-NN forced onto a fine grid (128 x 128 vectors per cell):
+    many cells per query, merged by the per-query group limit."""
+    queries, index, _ = _vector_inputs(spark, sf_dir)
+    hits = vectors.knn(queries, index, 10, exclude_self=True, q_block_rows=128, x_block_rows=128)
+    return hits.select("query_id", "rank", "vec_id", F.round("d2", 6).alias("d2"))
+
+
 @register("accuracy_at_k")
 def q_accuracy_at_k(spark, sf_dir):
     """Leave-one-out retrieval: a hit when a same-label vector is in the top k."""

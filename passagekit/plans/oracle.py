@@ -100,6 +100,8 @@ ORACLE["knn_top10"] = f"""
 with {RAW_VECS}, {PAIRS}
 select query_id, rank::INTEGER as rank, vec_id, round(d2, 6) as d2 from ranked where rank <= 10"""
 
+ORACLE["knn_blocked"] = ORACLE["knn_top10"]
+
 ORACLE["accuracy_at_k"] = f"""
 with {RAW_VECS}, {PAIRS}, {BEST}
 select k, round(sum(case when best <= k then 1 else 0 end)::DOUBLE * 100.0 / count(*), 6) as accuracy,
