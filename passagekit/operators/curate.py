@@ -96,7 +96,8 @@ def group_positions(df: DataFrame, group: str, order: str, out: str = "pos",
 
 
 def collapse_passages(df: DataFrame, n: int, doc: str = "doc_id", num: str = "num",
-                      key: str = "corpus_id", text: str = "text", title: str = "title") -> DataFrame:
+                      key: str = "corpus_id", text: str = "text", title: str = "title",
+                      policy: str = "reference") -> DataFrame:
     """Collapse up to ``n`` consecutive passages of a document into one.
 
     Semantics of the curation SQL: passage ids must follow each other
@@ -104,10 +105,23 @@ def collapse_passages(df: DataFrame, n: int, doc: str = "doc_id", num: str = "nu
     position in the document is 1 mod n; texts are joined by a blank after
     CR/LF become blanks; a NULL text in a group makes the text NULL.
     Output: ``doc_id, corpus_id_array, title, doc_text, first_num``.
+
+    ``policy="reference"`` numbers positions over the whole document, so after
+    an id gap a passage that was never merged can be skipped.
+    ``policy="runs"`` restarts the numbering at every gap (runs of consecutive
+    ids: ``num - pos`` is constant along a run), so no passage is lost.
     """
     if n < 1:
         raise ValueError("n must be >= 1")
+    if policy not in ("reference", "runs"):
+        raise ValueError("policy must be 'reference' or 'runs'")
     positioned = group_positions(df.select(doc, num, key, title, text), doc, num)
+    if policy == "runs":
+        run = F.col(num) - F.col("pos")
+        starts = (positioned.groupBy(doc, run.alias("_run"))
+                  .agg(F.min("pos").alias("_first")))
+        positioned = (positioned.withColumn("_run", run).join(starts, [doc, "_run"])
+                      .withColumn("pos", F.col("pos") - F.col("_first") + 1).drop("_run", "_first"))
     copies = positioned.select(
         doc, title, key, num, "pos",
         clean_newlines(F.col(text)).alias("_t"),

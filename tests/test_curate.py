@@ -119,3 +119,37 @@ def test_hot_title_and_hot_document(spark):
     pos = curate.group_positions(ids, "doc_id", "num", chunk=32)
     hot = sorted((r["num"], r["pos"]) for r in pos.where("title = 'hot'").collect())
     assert [p for _, p in hot] == list(range(1, 301))
+
+
+def brute_collapse_runs(rows, n):
+    """Numbering restarts at every id gap; every passage ends up in a group."""
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    out = []
+    for doc, rs in by.items():
+        rs.sort(key=lambda r: r[1])
+        runs, cur = [], [rs[0]]
+        for a, b in zip(rs, rs[1:]):
+            if b[1] == a[1] + 1:
+                cur.append(b)
+            else:
+                runs.append(cur)
+                cur = [b]
+        runs.append(cur)
+        for run in runs:
+            for i in range(0, len(run), n):
+                g = run[i:i + n]
+                clean = [m[4].replace("\r", " ").replace("\n", " ") for m in g]
+                out.append((doc, ",".join(m[2] for m in g), g[0][3], " ".join(clean), g[0][1]))
+    return sorted(out)
+
+
+def test_collapse_runs_policy(spark):
+    df = _df(spark, ROWS)
+    for n in (2, 3):
+        got = curate.collapse_passages(df, n, policy="runs").select(
+            "doc_id", F.array_join("corpus_id_array", ","), "title", "doc_text", "first_num").collect()
+        assert sorted(tuple(r) for r in got) == brute_collapse_runs(ROWS, n), n
+        covered = sorted(k for r in got for k in r[1].split(","))
+        assert covered == sorted(r[2] for r in ROWS)      # no passage lost
