@@ -46,7 +46,7 @@ def build_corpus(answer_passages: DataFrame, noise_passages: DataFrame, answers:
     # four consumers below: store once in the shared checkpoint folder (lineage cut)
     checkpoint_dir(answer_passages.sparkSession)
     groups = grouped(answer_passages, level).checkpoint()
-    gold = gold_groups(groups, answers)
+    gold = gold_groups(groups, answers).checkpoint()  # one row per gold group; three consumers
     typed_null = F.lit(None).cast("string")
 
     stage1 = gold.join(groups, ["doc_id", "first_num"]).select(
