@@ -103,28 +103,30 @@ def _normalise(counts: Column, dim: int) -> Column:
 
 
 def hashed_bow_encoder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
-    """Python form of the same encoder, for ``encode`` (Arrow batches)."""
+    """Python form of the same encoder, for ``encode`` (Arrow batches).
+
+    Vectorised per batch: tokens are exploded with pandas, each distinct
+    token is hashed once (cached across the batches of a task), counts are
+    scattered with ``np.add.at``.
+    """
     cache: dict[str, int] = {}
 
     def bucket(tok: str) -> int:
-        b = cache.get(tok)
-        if b is None:
-            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
-            cache[tok] = b
-        return b
+        return int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
 
-    def encode(texts: pd.Series) -> np.ndarray:
+    def encode_batch(texts: pd.Series) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
-        for i, t in enumerate(texts):
-            if t is None:
-                continue
-            for w in t.lower().split(" "):
-                if w:
-                    out[i, bucket(w)] += 1.0
+        toks = texts.reset_index(drop=True).fillna("").str.lower().str.split(" ").explode()
+        toks = toks[toks.notna() & (toks != "")]
+        if len(toks):
+            for t in pd.unique(toks.to_numpy()):
+                if t not in cache:
+                    cache[t] = bucket(t)
+            np.add.at(out, (toks.index.to_numpy(), toks.map(cache).to_numpy(dtype=np.int64)), 1.0)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norms, out=out, where=norms > 0)
         return out
-    return encode
+    return encode_batch
 
 
 def encode(df: DataFrame, key: str, text: str, encoder_factory=None, dim: int = 64,
