@@ -76,9 +76,16 @@ def q_failed_queries(spark, sf_dir):
 
 @register("evaluate_grid")
 def q_evaluate_grid(spark, sf_dir):
-    raw = _leave_one_out_hits(spark, sf_dir, 100)
-    unit = _leave_one_out_hits(spark, sf_dir, 100, unit=True)
-    return evaluate.evaluate_grid({"l2": raw, "l2_unit": unit})
+    """Two index variants (raw / unit-length vectors) searched in one grouped k-NN job."""
+    parts = [_vector_inputs(spark, sf_dir, unit) for unit in (False, True)]
+    tag = [F.lit(name).alias("config") for name in ("l2", "l2_unit")]
+    queries = parts[0][0].select(tag[0], "*").unionByName(parts[1][0].select(tag[1], "*"))
+    index = parts[0][1].select(tag[0], "*").unionByName(parts[1][1].select(tag[1], "*"))
+    gold = parts[0][2].select(tag[0], "*").unionByName(parts[1][2].select(tag[1], "*"))
+    n = parts[0][1].count()
+    hits = vectors.knn(queries, index, 100, exclude_self=True, group="config", nq=2 * n, nx=2 * n)
+    hits = hits.join(index.select("config", "vec_id", "doc_id"), ["config", "vec_id"])
+    return evaluate.accuracy_by_group(hits, gold, "config")
 
 
 # ---------------------------------------------------------------- curation
