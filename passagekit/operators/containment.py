@@ -13,6 +13,9 @@ pairs.  Instead:
 3. documents holding the anchor are the candidates; ``contains`` on the
    whole texts decides.  The result is exact.
 
+The occurrence list of step 2 is checkpointed: it is read twice (counts,
+candidates) and is much smaller than the corpus it is derived from.
+
 Items with fewer than four tokens have no inner bigram.  A three-token
 item's middle token is a complete document token and drives an equi-join;
 items of one or two tokens are pure substring searches and are broadcast
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagekit.functions.arrays import explode_rows
+from passagekit.session import checkpoint_dir
 
 # Upper bound of the short-item side that may be broadcast to every task.
 MAX_SHORT_ITEM_BYTES = 64 * 1024 * 1024
@@ -60,8 +64,12 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     wanted = item_bg.select("_bg").distinct()
 
     doc_tok = d.select("_d", _tokens(F.col("_dt")).alias("_tok"))
+    # occurrences of wanted bigrams only (a small posting list next to the corpus);
+    # stored once because the frequency count and the candidate join both read it --
+    # otherwise the whole corpus would be tokenised twice
+    checkpoint_dir(docs.sparkSession)
     doc_bg = (explode_rows(doc_tok, ["_d"], F.array_distinct(_bigrams("_tok", False)), ["_bg"])
-              .join(wanted, "_bg", "left_semi"))
+              .join(wanted, "_bg", "left_semi")).checkpoint()
     freq = doc_bg.groupBy("_bg").agg(F.count(F.lit(1)).alias("_f"))
     anchors = (item_bg.join(freq, "_bg")  # an item whose bigram never occurs matches no document
                .groupBy("_q").agg(F.min_by("_bg", F.struct("_f", "_bg")).alias("_bg")))
