@@ -440,3 +440,11 @@ def q_update_labels(spark, sf_dir):
         "doc_id", "lang", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
     labels = read_table(spark, f"{sf_dir}/labels.parquet", ["doc_id", "quality", "toxic"])
     return io.update_from(docs, labels, ["doc_id"], ["quality", "toxic"])
+
+
+@register("qa_pair_scores")
+def q_qa_pair_scores(spark, sf_dir):
+    """QA evaluator over real pairs: each user turn and the assistant turn after it."""
+    qa = fixtures.qa_pairs(spark, sf_dir)
+    return qa.select("conv_id", "turn", F.round(models.default_score(F.col("question"), F.col("answer")), 6)
+                     .alias("score"))

@@ -634,3 +634,15 @@ select b.corpus_id, b.batch_id, a.questions from b join aug a on a.doc_id = b.co
 
 ORACLE["update_labels"] = """
 select d.doc_id, d.lang, l.quality, l.toxic from documents d left join labels l on l.doc_id = d.doc_id"""
+
+ORACLE["qa_pair_scores"] = f"""
+with qa as (
+  select u.conv_id, u.turn, u.text as question, a.text as answer
+  from conversations u join conversations a
+    on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+  where u.role = 'user')
+select conv_id, turn,
+       round(case when len(list_distinct(list_concat({_words('question')}, {_words('answer')}))) = 0 then 0.0
+                  else len(list_intersect({_words('question')}, {_words('answer')}))::DOUBLE
+                       / len(list_distinct(list_concat({_words('question')}, {_words('answer')}))) end, 6) as score
+from qa"""
