@@ -123,3 +123,20 @@ def test_results_independent_of_partition_count(spark):
                           for name in ("doc_ids", "collapse_3", "batch_assign", "sample_per_group")}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[3] == results[11]
+
+
+def test_process_batches_partitions_the_queue(spark):
+    import os
+    import tempfile
+    from passagekit.plans.queue import process_batches
+    target = os.path.join(tempfile.mkdtemp(prefix="pk-batches-"), "t")
+    queue = spark.createDataFrame([(f"k{i}", f"Item {i} is here. It is fine.") for i in range(200)],
+                                  "corpus_id string, text string")
+    rest = process_batches(queue, target, "corpus_id", n=2, batch_size=10, num_batches=5, seed=3)
+    done = spark.read.parquet(target)
+    done_keys = {r["corpus_id"] for r in done.collect()}
+    rest_keys = {r["corpus_id"] for r in rest.collect()}
+    assert done_keys and not (done_keys & rest_keys)
+    assert done_keys | rest_keys == {f"k{i}" for i in range(200)}
+    assert sorted({r["batch_id"] for r in done.collect()}) == [1, 2, 3, 4, 5]
+    assert all(r["questions"] for r in done.collect())
