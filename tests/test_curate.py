@@ -153,3 +153,11 @@ def test_collapse_runs_policy(spark):
         assert sorted(tuple(r) for r in got) == brute_collapse_runs(ROWS, n), n
         covered = sorted(k for r in got for k in r[1].split(","))
         assert covered == sorted(r[2] for r in ROWS)      # no passage lost
+
+
+def test_collapse_level_one_is_identity_up_to_newlines(spark):
+    df = _df(spark, ROWS)
+    got = sorted((r["doc_id"], r["corpus_ids"], r["doc_text"]) for r in curate.collapse_passages(df, 1).select(
+        "doc_id", F.array_join("corpus_id_array", ",").alias("corpus_ids"), "doc_text").collect())
+    expect = sorted((r[0], r[2], r[4].replace("\r", " ").replace("\n", " ")) for r in ROWS)
+    assert got == expect

@@ -140,3 +140,18 @@ def test_process_batches_partitions_the_queue(spark):
     assert done_keys | rest_keys == {f"k{i}" for i in range(200)}
     assert sorted({r["batch_id"] for r in done.collect()}) == [1, 2, 3, 4, 5]
     assert all(r["questions"] for r in done.collect())
+
+
+def test_stream_two_files_equals_one(spark):
+    from passagekit.streaming.incremental import queue_from, stream_augment
+    import tempfile, os
+    df = spark.createDataFrame([(i, f"Zeta {i} came. Omega {i} left.") for i in range(12)],
+                               "doc_id long, text string")
+    outs = []
+    for parts in (1, 2):
+        base = tempfile.mkdtemp(prefix=f"pk-stream-{parts}-")
+        in_dir = queue_from(df, base, parts=parts)
+        schema = spark.read.parquet(in_dir).schema
+        out = stream_augment(spark, in_dir, os.path.join(base, "t"), os.path.join(base, "c"), schema, n=2)
+        outs.append(sorted((r["doc_id"], r["questions"]) for r in out.collect()))
+    assert outs[0] == outs[1] and len(outs[0]) == 12
