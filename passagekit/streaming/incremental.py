@@ -23,11 +23,13 @@ from passagekit.operators.augment import augment
 from passagekit.session import checkpoint_dir
 
 
-def _target_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def _existing_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Keys already in the target, or None when the target does not exist yet."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path).select(key)
+    except AnalysisException:
+        return None
 
 
 def stream_augment(spark: SparkSession, in_dir: str, out_dir: str, ckpt: str, schema,
@@ -41,8 +43,8 @@ def stream_augment(spark: SparkSession, in_dir: str, out_dir: str, ckpt: str, sc
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         pending = batch
-        if _target_exists(spark, out_dir):
-            done = spark.read.parquet(out_dir).select(key)
+        done = _existing_keys(spark, out_dir, key)
+        if done is not None:
             pending = pending.join(done, key, "left_anti")
         aug = augment(pending, key=key, text=text, n=n, seed=seed)
         out = pending.join(aug, key).withColumn("batch_id", F.lit(epoch_id))
