@@ -152,3 +152,48 @@ def test_clean_sentences_intended_long_split(spark):
     assert got == expect and len(got) > len(sents)
     plain = [r["sentence"] for r in textprep.clean_sentences(df).orderBy("sent_id").collect()]
     assert plain == sents
+
+
+def test_sentence_rules_property(spark):
+    """Random texts built from the pieces the rules react to: Spark's Java
+    regex chain must split exactly like the rules applied with Python's re."""
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    pieces = st.sampled_from([
+        "Mr.", "Dr.", "Mrs.", "St.", "Inc.", "Ltd.", "Co.", "Jr.", "Ph.D.", "U.S.", "A.B.C.", "e.g.",
+        "x.com", "y.org", "3.14", "10.5", "...", "?", "!", ".", '"', "”", "[12]", "[3]", "He", "She",
+        "They", "However", "This", "word", "Word", "a", "B", "\n", " ", "  ", ",", "It", "We"])
+    text = st.lists(pieces, min_size=0, max_size=25).map(lambda xs: " ".join(xs))
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(text, min_size=1, max_size=40))
+    def check(texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {}
+        for r in textprep.split_sentences(df).collect():
+            got.setdefault(r["doc_id"], []).append((r["sent_id"], r["sentence"]))
+        for i, t in enumerate(texts):
+            assert [s for _, s in sorted(got.get(i, []))] == py_sentences(t), repr(t)
+
+    check()
+
+
+def test_segment_packing_property(spark):
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    para = st.lists(st.sampled_from(["w", "ab", "c d", ""]), min_size=0, max_size=8).map(" ".join)
+    text = st.lists(para, min_size=0, max_size=12).map("\n".join)
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(text, min_size=1, max_size=30), st.integers(min_value=1, max_value=9))
+    def check(texts, limit):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {}
+        for r in textprep.pack_segments(df, max_tokens=limit).collect():
+            got.setdefault(r["doc_id"], []).append((r["seg_id"], r["segment"], r["n_tokens"]))
+        for i, t in enumerate(texts):
+            assert [(s, n) for _, s, n in sorted(got.get(i, []))] == py_segments(t, limit), repr(t)
+
+    check()
