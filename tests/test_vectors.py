@@ -117,3 +117,25 @@ def test_sql_and_arrow_encoders_agree(spark):
     assert a.keys() == s.keys()
     for k in a:
         assert np.allclose(a[k], s[k], atol=1e-12)
+
+
+def test_knn_grid_shapes_property(spark):
+    """Any grid shape and k give the brute-force answer (ties broken by id)."""
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.integers(1, 40), st.integers(1, 40), st.integers(1, 12), st.integers(0, 10_000),
+           st.booleans())
+    def check(qrows, xrows, k, seed, dup):
+        rng = np.random.default_rng(seed)
+        X = rng.integers(-3, 4, size=(35, 3)).astype(np.float32)   # small integers: many exact ties
+        if dup:
+            X[5] = X[6] = X[7]
+        df = _frame(spark, range(35), X, "vec_id")
+        q = df.withColumnRenamed("vec_id", "query_id")
+        got = vectors.knn(q, df, k, exclude_self=True, q_block_rows=qrows, x_block_rows=xrows, parallelism=3)
+        got = sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id").collect())
+        assert got == brute(np.arange(35), X, np.arange(35), X, k, True)
+
+    check()
