@@ -197,3 +197,31 @@ def test_segment_packing_property(spark):
             assert [(s, n) for _, s, n in sorted(got.get(i, []))] == py_segments(t, limit), repr(t)
 
     check()
+
+
+def test_containment_property(spark):
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    word = st.sampled_from(["al", "be", "gam", "de", "eps", "x", "yy", "zeta"])
+    doc = st.lists(word, min_size=1, max_size=30).map(" ".join)
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(doc, min_size=1, max_size=12), st.data())
+    def check(docs, data):
+        items = []
+        for j in range(8):
+            src = docs[data.draw(st.integers(0, len(docs) - 1))]
+            a = data.draw(st.integers(0, len(src) - 1))
+            b = data.draw(st.integers(a + 1, len(src)))
+            piece = src[a:b]
+            if piece.strip():
+                items.append((j, piece))
+        items.append((99, "al be gam de eps zeta"))          # may or may not occur
+        d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        it = spark.createDataFrame(items, "item_id long, text string")
+        got = sorted(tuple(r) for r in containment.containment_pairs(d, it).collect())
+        expect = sorted((di, ii) for di, dt in enumerate(docs) for ii, t in items if t in dt)
+        assert got == expect
+
+    check()
