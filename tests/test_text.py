@@ -225,3 +225,25 @@ def test_containment_property(spark):
         assert got == expect
 
     check()
+
+
+def test_inrow_choices_equal_dataframe_form(spark):
+    from hypothesis import given, settings, HealthCheck
+    from hypothesis import strategies as st
+
+    word = st.sampled_from(["Alice", "Bob", "Paris", "Rome", "1999", "2001", "42", "7", "the", "met", "in",
+                            "New York", "and", "."])
+    text = st.lists(word, min_size=0, max_size=30).map(" ".join)
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(text, min_size=1, max_size=15), st.integers(0, 99))
+    def check(texts, seed):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        a = textprep.with_entity_choices(df, "doc_id", "text", "_e", seed=seed)
+        a = a.select("doc_id", F.explode("_e").alias("e")).select(
+            "doc_id", "e.sent_id", "e.ent_id", "e.ent_text", textprep.choices_text(F.col("e.choices")).alias("c"))
+        b = textprep.build_choices(textprep.extract_entities(textprep.clean_sentences(df)), seed=seed).select(
+            "doc_id", "sent_id", "ent_id", "ent_text", textprep.choices_text(F.col("choices")).alias("c"))
+        assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+    check()
