@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagekit.functions.text import trim_question
 from passagekit.operators import models, textprep
@@ -21,7 +22,7 @@ def generate_questions(cands: DataFrame, generator_factory=None) -> DataFrame:
     if generator_factory is None:
         return cands.withColumn("question", models.default_question(F.col("answer"), F.col("context"),
                                                                     F.col("style")))
-    schema = cands.schema.add("question", "string")
+    schema = T.StructType(list(cands.schema.fields) + [T.StructField("question", T.StringType())])
 
     def model():
         gen = generator_factory()
@@ -38,7 +39,7 @@ def score_pairs(qa: DataFrame, scorer_factory=None) -> DataFrame:
     qa = qa.withColumn("_ans", models.correct_answer(F.col("answer"), F.col("choices")))
     if scorer_factory is None:
         return qa.withColumn("score", models.default_score(F.col("question"), F.col("_ans"))).drop("_ans")
-    schema = qa.schema.add("score", "double")
+    schema = T.StructType(list(qa.schema.fields) + [T.StructField("score", T.DoubleType())])
 
     def model():
         sc = scorer_factory()

@@ -155,3 +155,28 @@ def test_stream_two_files_equals_one(spark):
         out = stream_augment(spark, in_dir, os.path.join(base, "t"), os.path.join(base, "c"), schema, n=2)
         outs.append(sorted((r["doc_id"], r["questions"]) for r in out.collect()))
     assert outs[0] == outs[1] and len(outs[0]) == 12
+
+
+def test_pluggable_path_equals_inrow_default(spark):
+    # defined inside the test so that cloudpickle ships it by value to the workers
+    def _py_jaccard_factory():
+        import pandas as pd
+
+        def words(s):
+            return {w for w in (s or "").lower().split(" ") if w}
+
+        def score(questions, answers):
+            out = []
+            for q, a in zip(questions, answers):
+                qs, as_ = words(q), words(a)
+                u = len(qs | as_)
+                out.append(0.0 if u == 0 else len(qs & as_) / u)
+            return pd.Series(out, dtype="float64")
+        return score
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    inrow = augment.augment(docs, n=5, seed=3)
+    plugged = augment.augment(docs, n=5, seed=3, scorer_factory=_py_jaccard_factory)
+    a = sorted(tuple(r) for r in inrow.collect())
+    b = sorted(tuple(r) for r in plugged.collect())
+    assert len(a) == 200 and a == b
