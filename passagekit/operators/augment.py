@@ -17,20 +17,27 @@ from passagekit.operators import models, textprep
 
 
 def generate_questions(cands: DataFrame, generator_factory=None) -> DataFrame:
-    """Add ``question``.  ``generator_factory()`` returns ``(answers, contexts) -> questions``
-    on pandas Series (a seq2seq model in production); default: SQL stand-in."""
+    """Add ``question``.
+
+    ``generator_factory()`` returns a callable that receives an Arrow batch of
+    candidates as a pandas DataFrame (columns ``answer``, ``context``,
+    ``style`` and ``prompt`` = '<answer> a <context> c', the seq2seq input of
+    the reference) and returns one question per row -- a seq2seq model in
+    production.  Default: the SQL stand-in, no Python.
+    """
     if generator_factory is None:
         return cands.withColumn("question", models.default_question(F.col("answer"), F.col("context"),
                                                                     F.col("style")))
-    schema = T.StructType(list(cands.schema.fields) + [T.StructField("question", T.StringType())])
+    with_prompt = cands.withColumn("prompt", textprep.prompt(F.col("answer"), F.col("context")))
+    schema = T.StructType(list(with_prompt.schema.fields) + [T.StructField("question", T.StringType())])
 
     def model():
         gen = generator_factory()
 
         def run(b: pd.DataFrame) -> pd.DataFrame:
-            return b.assign(question=list(gen(b["answer"], b["context"])))
+            return b.assign(question=list(gen(b)))
         return run
-    return models.apply_batches(cands, model, schema)
+    return models.apply_batches(with_prompt, model, schema).drop("prompt")
 
 
 def score_pairs(qa: DataFrame, scorer_factory=None) -> DataFrame:

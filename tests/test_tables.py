@@ -180,3 +180,25 @@ def test_pluggable_path_equals_inrow_default(spark):
     a = sorted(tuple(r) for r in inrow.collect())
     b = sorted(tuple(r) for r in plugged.collect())
     assert len(a) == 200 and a == b
+
+
+def test_pluggable_generator_equals_inrow_default(spark):
+    def generator_factory():
+        def gen(b):
+            out = []
+            for a, c, style in zip(b["answer"], b["context"], b["style"]):
+                if style == "multiple_choice":
+                    out.append(c.replace(a, "____") + "?")
+                else:
+                    longest = ""
+                    for w in a.split(" "):
+                        if len(w) > len(longest):
+                            longest = w
+                    out.append((a if longest == "" else a.replace(longest, "____")) + "?")
+            return out
+        return gen
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a = sorted(tuple(r) for r in augment.augment(docs, n=5, seed=3).collect())
+    b = sorted(tuple(r) for r in augment.augment(docs, n=5, seed=3, generator_factory=generator_factory).collect())
+    assert len(a) == 200 and a == b
