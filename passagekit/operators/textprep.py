@@ -82,12 +82,33 @@ def prompt(answer: Column, context: Column) -> Column:
     return F.concat(F.lit(ANSWER_TOKEN + " "), answer, F.lit(" " + CONTEXT_TOKEN + " "), context)
 
 
-def extract_entities(sentences: DataFrame, key: str = "doc_id", pattern: str = ENTITY_PATTERN) -> DataFrame:
-    """``(key, sent_id, ent_id, ent_text, label)`` with the default extractor.
-
-    Any other extractor can be plugged in through ``models.apply_batches``;
-    this one keeps the work inside the JVM.
+def extract_entities(sentences: DataFrame, key: str = "doc_id", pattern: str = ENTITY_PATTERN,
+                     extractor_factory=None) -> DataFrame:
+    """``(key, sent_id, sentence, ent_id, ent_text, label)``.
+
+    Default: a regex extractor inside the JVM.  ``extractor_factory()`` may
+    return a Python callable (an NER model in production) taking one sentence
+    and returning a list of ``(text, label)``; it runs over Arrow batches,
+    built once per task.
     """
+    if extractor_factory is not None:
+        from passagekit.operators.models import apply_batches
+        import pandas as pd
+        cols = [key, "sent_id", "sentence"]
+        kt = sentences.schema[key].dataType.simpleString()
+        schema = (f"{key} {kt}, sent_id int, sentence string, ent_id int, ent_text string, label string")
+
+        def model():
+            ner = extractor_factory()
+
+            def run(b):
+                rows = []
+                for k, sid, sent in zip(b[key], b["sent_id"], b["sentence"]):
+                    for i, (t, lab) in enumerate(ner(sent)):
+                        rows.append((k, sid, sent, i, t, lab))
+                return pd.DataFrame(rows, columns=[key, "sent_id", "sentence", "ent_id", "ent_text", "label"])
+            return run
+        return apply_batches(sentences.select(*cols), model, schema)
     ex = explode_rows(sentences, [key, "sent_id", "sentence"],
                       F.regexp_extract_all(F.col("sentence"), F.lit(pattern), 1), ["ent_id", "ent_text"])
     label = (F.when(F.col("ent_text").rlike("^[0-9]{4}$"), "DATE")

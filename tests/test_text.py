@@ -247,3 +247,24 @@ def test_inrow_choices_equal_dataframe_form(spark):
         assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
 
     check()
+
+
+def test_pluggable_extractor_equals_default(spark):
+    def factory():
+        import re as _re
+
+        def ner(sentence):
+            out = []
+            for m in _re.finditer(r"([A-Z][a-z]+(?: [A-Z][a-z]+)*|[0-9]+)", sentence):
+                t = m.group(1)
+                lab = "DATE" if _re.fullmatch(r"[0-9]{4}", t) else "CARDINAL" if t.isdigit() else "PROPER"
+                out.append((t, lab))
+            return out
+        return ner
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    sents = textprep.clean_sentences(docs)
+    cols = ["doc_id", "sent_id", "ent_id", "ent_text", "label"]
+    a = sorted(tuple(r) for r in textprep.extract_entities(sents).select(*cols).collect())
+    b = sorted(tuple(r) for r in textprep.extract_entities(sents, extractor_factory=factory).select(*cols).collect())
+    assert len(a) > 1000 and a == b
