@@ -63,14 +63,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     there).  Only when it is unset, as in local tests, a scratch folder is
     created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        # tests only: ``spark.checkpoint.dir`` is a startup setting and cannot be
+        # changed at runtime, so the scratch folder is registered on the context
         d = tempfile.mkdtemp(prefix="passagekit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
