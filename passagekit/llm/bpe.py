@@ -3,8 +3,8 @@
 The symbols of many words lie in one flat array.  Each round finds, for every
 word, its lowest-rank adjacent pair (binary search over the sorted pair keys of
 the merge table) and merges all its occurrences, for all words at once; words
-without a mergeable pair leave the array.  A task keeps the ids of the distinct
-space-separated pieces it has met (bounded number), so merging is done once per
+without a mergeable pair leave the array.  A worker keeps the ids of the distinct
+blank-separated pieces it has met (bounded number), so merging is done once per
 distinct piece.
 
 Works for tokenizer files whose model is BPE over bytes with a word-end suffix
@@ -28,17 +28,20 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from passagekit.llm.common import map_batches, slices, strings
+from passagekit.llm.common import map_batches, slices
 
 # White space and the pattern of pre-tokens of the tokenizer file.
 SPACE = "[\t-\r \x85\xa0  -     　]+"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+"
 
-SLICE_BYTES = 8 << 20
-PIECES_KEPT = 400_000
+ENDED = r"(\pL)([.,;:!?]+)(\s|$)"
+
+SLICE_BYTES = 12 << 20
+PIECES_KEPT = 250_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -67,7 +70,8 @@ class MergeTable:
         new = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         key = left * self.size + right
         order = np.argsort(key, kind="stable")
-        self.key, self.rank, self.new = key[order], order.astype(np.int64), new[order]
+        self.key, self.rank, self.new = key[order].astype(np.uint32), order.astype(np.int64), new[order]
+        assert self.size < 1 << 16  # pair keys fit 32 bits, ids 16
         self.names = [""] * self.size
         for name, i in vocab.items():
             self.names[i] = name
@@ -75,16 +79,12 @@ class MergeTable:
         for name, i in self.special.items():
             self.names[i] = name
 
-    def ranks(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and place in the table of the pair that starts at each symbol."""
-        rank = np.full(len(symbols), NO_RANK)
-        at = np.zeros(len(symbols), dtype=np.int64)
-        if len(symbols) > 1:
-            key = symbols[:-1] * self.size + symbols[1:]
-            at[:-1] = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = (self.key[at[:-1]] == key) & (word[:-1] == word[1:])
-            rank[:-1][hit] = self.rank[at[:-1][hit]]
-        return rank, at
+    def look_up(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and place in the table of the pairs that start at the symbols ``at``."""
+        key = (symbols[at] * self.size + symbols[at + 1]).astype(np.uint32)
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = (self.key[place] == key) & (word[at] == word[at + 1])
+        return np.where(hit, self.rank[place], NO_RANK), place
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words and the number of ids of each (words are not empty)."""
@@ -96,85 +96,117 @@ class MergeTable:
         ends = np.cumsum(length) - 1
         symbols[ends] = self.last[raw[ends]]
         word = np.repeat(np.arange(len(words)), length)
+        rank = np.full(len(symbols), NO_RANK)
+        place = np.zeros(len(symbols), dtype=np.int64)
+        rank[:-1], place[:-1] = self.look_up(symbols, word, np.arange(len(symbols) - 1))
         done_symbols, done_words = [], []
         while len(symbols):
-            rank, at = self.ranks(symbols, word)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             count = np.diff(np.r_[first, len(symbols)])
             least = np.minimum.reduceat(rank, first)
-            open_ = np.repeat(least != NO_RANK, count)
-            if not open_.all():
-                done_symbols.append(symbols[~open_])
-                done_words.append(word[~open_])
-            hit = open_ & (rank == np.repeat(least, count))
-            symbols = symbols.copy()
-            starts = np.flatnonzero(hit)
+            keep = np.repeat(least != NO_RANK, count)
+            if not keep.all():
+                done_symbols.append(symbols[~keep])
+                done_words.append(word[~keep])
+            starts = np.flatnonzero(keep & (rank == np.repeat(least, count)))
             # a pair of equal symbols may overlap itself: every other place of a run merges
             run = np.flatnonzero(np.r_[True, np.diff(starts) != 1]) if len(starts) else starts
             offset = np.arange(len(starts)) - np.repeat(run, np.diff(np.r_[run, len(starts)]))
             starts = starts[offset % 2 == 0]
-            symbols[starts] = self.new[at[starts]]
-            keep = open_
+            symbols[starts] = self.new[place[starts]]
             keep[starts + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            moved = (np.cumsum(keep) - 1)[starts]
+            symbols, word, rank, place = symbols[keep], word[keep], rank[keep], place[keep]
+            # only pairs that touch a merged symbol are looked up again
+            rank[moved] = NO_RANK
+            stale = np.zeros(len(symbols) + 1, dtype=bool)
+            stale[moved] = True
+            stale[moved - 1] = True  # of the first symbol: the spare last place
+            again = np.flatnonzero(stale[:max(0, len(symbols) - 1)])
+            rank[again], place[again] = self.look_up(symbols, word, again)
         flat, owner = np.concatenate(done_symbols), np.concatenate(done_words)
         order = np.argsort(owner, kind="stable")
         return flat[order], np.bincount(owner, minlength=len(words))
 
 
+class PieceStore:
+    """Ids of pieces in one growing array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, dtype=np.uint16)
+        self.start = np.zeros(1 << 14, dtype=np.int32)
+        self.size = np.zeros(1 << 14, dtype=np.int32)
+        self.used = 0
+
+    def add(self, pieces: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        n, end = len(self.place), self.used + len(flat)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(pieces) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used:end] = flat
+        self.size[n:n + len(pieces)] = size
+        self.start[n:n + len(pieces)] = self.used + np.cumsum(size) - size
+        self.used = end
+        self.place.update(zip(pieces, range(n, n + len(pieces))))
+
+    def find(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, pieces), dtype=np.int32, count=len(pieces))
+
+    def ids(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Concatenated ids of pieces given by start and size."""
+        source = np.repeat(start - (np.cumsum(size, dtype=np.int32) - size), size)
+        source += np.arange(len(source), dtype=np.int32)
+        return self.flat[source]
+
+
 class PieceEncoder:
-    """Ids of whole texts through the ids of their distinct space-separated pieces."""
+    """Ids of whole texts through the ids of their distinct blank-separated pieces.
+
+    A batch is cut at ASCII blanks (and before marks that end a word, which the
+    pre-token pattern separates anyway) and its pieces are numbered in Arrow;
+    only the distinct ones become Python strings, and only those not met before
+    are encoded.  Two generations of a bounded number of pieces are kept:
+    when the young one is full it becomes the old one.
+    """
 
     def __init__(self, special: list[str]) -> None:
-        self.space = re.compile(SPACE)
-        self.pretoken = regex.compile(PRETOKEN)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.reset()
-
-    def reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.start = np.zeros(0, dtype=np.int64)
-        self.length = np.zeros(0, dtype=np.int64)
+        self.young, self.old = PieceStore(), PieceStore()
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and number of ids of each piece."""
         raise NotImplementedError
 
-    def split(self, text: str) -> list[str]:
-        if self.special and "<|" in text:
-            return [p for part in self.special.split(text) for p in (
-                [part] if self.special.fullmatch(part) else self.space.split(part)) if p]
-        if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split()
-        return [p for p in self.space.split(text) if p]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat uint32 ids of the texts and the number of ids of each."""
-        parts = [self.split(t) for t in texts]
-        if len(self.place) > PIECES_KEPT:
-            self.reset()
-        unseen = list(dict.fromkeys(p for part in parts for p in part if p not in self.place))
-        if unseen:
-            flat, length = self.ids_of(unseen)
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(flat)] = flat
-            self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.place.update(zip(unseen, range(len(self.place), len(self.place) + len(unseen))))
-            self.used += len(flat)
-        where = self.place
-        at = np.fromiter((where[p] for part in parts for p in part), dtype=np.int64,
-                         count=sum(map(len, parts)))
-        length = self.length[at]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.start[at] - (ends - length), length) + np.arange(total)
-        edges = np.cumsum([0, *map(len, parts)])
-        upto = np.r_[0, ends][edges]
-        return self.flat[source], np.diff(upto)
+    def known(self, pieces: list[str]) -> np.ndarray:
+        """Places of pieces in the young store."""
+        if len(self.young.place) > PIECES_KEPT:
+            self.young, self.old = PieceStore(), self.young
+        missing = set(pieces).difference(self.young.place)
+        if missing:
+            old = self.old
+            again = [p for p in missing if p in old.place]
+            at = old.find(again)
+            self.young.add(again, old.ids(old.start[at], old.size[at]), old.size[at])
+            unseen = list(missing.difference(old.place))
+            if unseen:
+                self.young.add(unseen, *self.ids_of(unseen))
+        return self.young.find(pieces)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat uint32 ids of the texts and the number of ids of each; NULL counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token may be meant: case does not matter
+            texts = pc.ascii_lower(texts)
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, ENDED, r"\1 \2\3"))
+        count = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(parts).dictionary_encode()
+        at = self.known(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        size = self.young.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        flat = self.young.ids(self.young.start[at], size)
+        return flat.astype(np.uint32), np.diff(np.r_[0, ends][np.r_[0, np.cumsum(count)]])
 
 
 class BpeEncoder(PieceEncoder):
@@ -182,32 +214,56 @@ class BpeEncoder(PieceEncoder):
 
     def __init__(self, spec: str) -> None:
         self.table = MergeTable(spec)
+        self.pretoken = regex.compile(PRETOKEN)
+        self.space = re.compile(SPACE)
         super().__init__(list(self.table.special))
 
     def words(self, piece: str) -> list[bytes]:
-        # capital sigma is lowered without regard to its place in the word
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        if text.isascii() and text.isalpha():
+        text = piece
+        if not piece.isascii():
+            # capital sigma is lowered without regard to its place in the word
+            text = self.space.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ")
+        text = text.lower()
+        if text.isalpha():
             return [text.encode()]
         return [w.encode() for w in self.pretoken.findall(text)]
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         special = self.table.special
-        words, count, fixed = [], np.zeros(len(pieces), dtype=np.int64), {}
+        words: list[bytes | int] = []
+        count = np.zeros(len(pieces), dtype=np.int64)
         for k, piece in enumerate(pieces):
-            if piece in special:
-                fixed[k] = special[piece]
-                continue
-            own = self.words(piece)
+            if "<|" in piece and self.special:
+                own = [x for part in self.special.split(piece) for x in (
+                    [special[part]] if part in special else self.words(part))]
+            else:
+                own = self.words(piece)
             count[k] = len(own)
             words += own
-        flat, length = self.table.encode_words(words)
-        of_piece = np.diff(np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(count)]])
+        fixed = {k: w for k, w in enumerate(words) if isinstance(w, int)}
+        flat, length = self.table.encode_words([w for w in words if not isinstance(w, int)] if fixed else words)
         if fixed:
             at = np.fromiter(fixed, dtype=np.int64)
-            flat = np.insert(flat, (np.cumsum(of_piece) - of_piece)[at], list(fixed.values()))
-            of_piece[at] = 1
-        return flat, of_piece
+            whole = np.ones(len(words), dtype=np.int64)
+            whole[np.setdiff1d(np.arange(len(words)), at)] = length
+            ids = np.empty(int(whole.sum()), dtype=np.int64)
+            single = np.zeros(len(ids), dtype=bool)
+            single[(np.cumsum(whole) - whole)[at]] = True
+            ids[single], ids[~single] = list(fixed.values()), flat
+            flat, length = ids, whole
+        return flat, np.diff(np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(count)]])
+
+
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def encoder_of(kind: type[PieceEncoder], spec: str) -> PieceEncoder:
+    """The worker's encoder: kept between tasks, so that pieces are encoded once per worker."""
+    key = (kind.__name__, hash(spec))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = kind(spec)
+    return _ENCODERS[key]
 
 
 class Decoder:
@@ -224,7 +280,7 @@ class Decoder:
 def encoded(batches: Iterator[pa.RecordBatch], encoder: PieceEncoder) -> Iterator[tuple]:
     """(id column, flat ids, number of ids) of bounded slices of (id, text) batches."""
     for batch in slices(batches, 1, SLICE_BYTES):
-        yield batch.column(0), *encoder.encode(strings(batch.column(1)))
+        yield batch.column(0), *encoder.encode(batch.column(1))
 
 
 def encode(df: DataFrame, spec: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -233,7 +289,7 @@ def encode(df: DataFrame, spec: str, text_col: str = "text", id_col: str = "doc_
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, flat, length in encoded(batches, BpeEncoder(shared.value)):
+        for ids, flat, length in encoded(batches, encoder_of(BpeEncoder, shared.value)):
             edges = np.r_[0, np.cumsum(length)].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.ListArray.from_arrays(edges, flat.astype(np.int32))], [id_col, "ids"])
@@ -268,8 +324,8 @@ def round_trip(df: DataFrame, spec: str, text_col: str = "text", id_col: str = "
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = BpeEncoder(shared.value), Decoder(shared.value)
-        for ids, flat, length in encoded(batches, encoder):
+        decoder = Decoder(shared.value)
+        for ids, flat, length in encoded(batches, encoder_of(BpeEncoder, shared.value)):
             own = [part.astype("<u4") for part in np.split(flat, np.cumsum(length)[:-1])]
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array(length, pa.int64()),

@@ -1,6 +1,7 @@
 """Packing token sequences by minimum bin slack.
 
-Documents are cut into full windows and one remainder.  What is left to pack is
+Documents are encoded (``bpe``, the ids of the tokenizers library) and cut into
+full windows and one remainder.  What is left to pack is
 a multiset of lengths below the capacity: a histogram of at most ``capacity``
 counters, whatever the size of the corpus.  The plan takes the longest remaining
 length, finds by a bitset subset-sum dynamic programme the multiset of other
@@ -25,35 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagekit.llm.bpe import PieceEncoder, encoded
+from passagekit.llm.bpe import BpeEncoder, encoded, encoder_of
 from passagekit.llm.common import cut, map_batches
 
 CAPACITY = 4096
 END_ID = 2
 
 
-class LibraryEncoder(PieceEncoder):
-    """Ids by the tokenizers library, once per distinct space-separated piece."""
-
-    def __init__(self, spec: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        super().__init__([t.content for t in special])
-
-    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(length.sum())), length
-
-
 def best_fill(counts: np.ndarray, room: int) -> dict[int, int]:
     """Lengths and how often each is used, of a multiset whose sum is closest to ``room`` from below.
 
@@ -136,7 +115,7 @@ def pieces(df: DataFrame, spec: str, text_col: str, id_col: str, capacity: int,
 
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for ids, flat, length in encoded(batches, LibraryEncoder(shared.value)):
+        for ids, flat, length in encoded(batches, encoder_of(BpeEncoder, shared.value)):
             owner, start, size, crc, total, rank = [], [], [], [], [], []
             for k, own in enumerate(np.split(flat, np.cumsum(length)[:-1])):
                 own = np.append(own, end_id).astype("<u4")

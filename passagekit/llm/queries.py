@@ -6,39 +6,113 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagekit.llm import bpe, content_sort, packing
-from passagekit.llm.common import table
+from pyspark.sql import functions as F
+
+from passagekit.llm import bpe, chat, content_sort, langid, lm, minhash, packing, rules, topk, toxicity
+from passagekit.llm.common import held_out, table
 
 
 @cache
-def word_bpe(path: str | None = None) -> str:
-    """Text of the tokenizer file (read on the driver; the path is a parameter)."""
+def vocabulary(name: str, path: str | None = None) -> str:
+    """Text of a tokenizer file (read on the driver; the path is a parameter)."""
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("word_bpe_49k.json")
+        path = public_tokenizers.path(name)
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
+def word_bpe() -> str:
+    return vocabulary("word_bpe_49k.json")
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(extra), vocabulary("byte_bpe_50k.json")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 5, 1))
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = rules.fit(docs, labels, ~held_out("doc_id", 3, 1))
+    return rules.score(docs, model, carry=["doc_id"]).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~held_out("doc_id", 5, 0))
+    return toxicity.score(docs, model, carry=["doc_id"]).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", "n_hits")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_content_sort, op8_bpe)}
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~held_out("doc_id", 3, 1))
+    return langid.predict(docs, model, carry=["doc_id"]).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_chat, op2_packing, op3_pitman_yor, op4_content_sort, op5_rules, op6_toxicity, op7_topk, op8_bpe, op9_langid,
+    op10_minhash)}
+
+# What the chat template adds to a text: a backslash for every control string.
+_ESCAPED = r"regexp_replace(coalesce({}, ''), '([\[<])(\\*/?INST\]|\\*/?s>|\\*\|endoftext\|>)', '\1\\\2', 'g')"
 
 ORACLE = {
+    "op1_chat": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+                   AS loss_sha256,
+               CAST(3 + sum(6 + length({_ESCAPED.format('role')}) + 7 + length({_ESCAPED.format('text')}) + 4) AS BIGINT)
+                   AS formatted_chars
+        FROM turns GROUP BY conv_id""",
     "op4_content_sort": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op7_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+                   FROM embeddings WHERE embedding IS NOT NULL),
+        scored AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+                   FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
