@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 def explode_rows(df: DataFrame, keep: list, arr: Column, names: list[str]) -> DataFrame:
     """``select(*keep, explode(arr) as names)`` -- one name, or two with a position
-    (``posexplode``).  Same rows as the inner generator."""
+    (``posexplode``).  Same rows as the inner generator for arrays without
+    NULL elements; NULL elements are dropped."""
     if len(names) == 2:
         out = df.select(*keep, F.posexplode_outer(arr).alias(*names))
     else:

@@ -23,9 +23,3 @@ def unit_hash(*cols, seed: int | str = 0) -> Column:
     """Uniform value in [0, 1) determined by ``seed`` and the key columns."""
     h = F.md5(F.concat(F.lit(str(seed)), F.lit("|"), _key(*cols)))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
-
-
-def unit_hash_sql(key_sql: str, seed: int | str = 0) -> str:
-    """The same rule as SQL text (Spark dialect), for selectExpr users."""
-    return (f"cast(conv(substr(md5(concat('{seed}', '|', cast({key_sql} as string))), 1, 8), 16, 10)"
-            f" as double) / {TWO_32}")

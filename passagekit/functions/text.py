@@ -19,12 +19,10 @@ STARTERS = r"(Mr|Mrs|Ms|Dr|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|Howev
 ACRONYMS = "([A-Z][.][A-Z][.](?:[A-Z][.])?)"
 WEBSITES = "[.](com|net|org|io|gov)"
 DIGITS = "([0-9])"
-CITATION = r"\[\d+\]"
+CITATION = r"\[(\d+)\]"
 STOP = "<stop>"
 PRD = "<prd>"
-# ---------------------------------------------------------------------------
-
-# Each step is ("re", pattern, replacement with $n groups) or ("lit", old, new).
+# Order of the steps; each is ("re", pattern, replacement with $n groups) or ("lit", old, new).
 SENTENCE_STEPS = [
     ("lit", "\n", " "),
     ("re", PREFIXES, "$1<prd>"),
@@ -49,6 +47,18 @@ SENTENCE_STEPS = [
     ("lit", "!", "!<stop>"),
     ("lit", "<prd>", "."),
 ]
+# ---------------------------------------------------------------------------
+
+# What \s and \d match in the patterns: every Unicode blank and decimal digit
+# (the engines' own classes are ASCII only).
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+DIGIT = r"\p{Nd}"
+STRIP = f"^{BLANK}+|{BLANK}+\\z"
+
+
+def spelled_out(pattern: str) -> str:
+    """The pattern with its blank and digit classes written out."""
+    return pattern.replace(r"\s", BLANK).replace(r"\d", DIGIT)
 
 
 def mark_sentences(text: Column) -> Column:
@@ -58,7 +68,7 @@ def mark_sentences(text: Column) -> Column:
         if kind == "lit":
             t = F.replace(t, F.lit(a), F.lit(b))
         else:
-            t = F.regexp_replace(t, a, b)
+            t = F.regexp_replace(t, spelled_out(a), b)
     return t
 
 
@@ -76,7 +86,7 @@ def sentence_array(text: Column, keep_tail: bool = False) -> Column:
         kept = parts
     else:
         kept = F.reverse(F.slice(F.reverse(parts), 2, 1 << 30))
-    stripped = F.transform(kept, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    stripped = F.transform(kept, lambda s: F.regexp_replace(s, STRIP, ""))
     if keep_tail:
         # an empty last piece is no sentence; a non-empty one is the tail
         stripped = F.reverse(F.filter(F.reverse(stripped), lambda s, i: (i > 0) | (s != "")))

@@ -93,24 +93,27 @@ def top_questions(scored: Column, n: int) -> Column:
 
 
 def augment(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 10, style: str = "all",
-            evaluate: bool = True, seed: int = 0, generator_factory=None, scorer_factory=None) -> DataFrame:
-    """Generate up to ``n`` ranked questions per passage: ``(key, questions, n_questions)``.
+            evaluate: bool = True, seed: int = 0, generator_factory=None, scorer_factory=None,
+            keep: list[str] | None = None) -> DataFrame:
+    """Generate up to ``n`` ranked questions per passage: ``(key, *keep, questions, n_questions)``.
 
     With the default models everything happens inside the passage's row
-    (candidates, questions, scores, top-n, concatenation): a map-only job.
+    (candidates, questions, scores, top-n, concatenation): a map-only job, and
+    ``keep`` columns travel along, so no caller joins the result back.
     With pluggable models the candidates are exploded into rows for Arrow
     batches and ranked with ``row_number() <= n`` per passage.  With
     ``evaluate=False`` every candidate is kept, in candidate order.
     """
+    kept = [c for c in keep or [] if c != key]
     if generator_factory is None and scorer_factory is None:
-        d = scored_array(df.select(key, text), key, text, style, seed)
+        d = scored_array(df.select(*dict.fromkeys([key, text, *kept])), key, text, style, seed)
         if evaluate:
             chosen = top_questions(F.col("_scored"), n)
         else:
             chosen = F.array_sort(F.transform("_scored", lambda c: F.struct(
                 c["cand_id"].alias("cand_id"), c["question"].alias("question"))))
         d = d.withColumn("_top", chosen)
-        return d.select(key, F.array_join(F.transform("_top", lambda c: trim_question(c["question"])), "")
+        return d.select(key, *kept, F.array_join(F.transform("_top", lambda c: trim_question(c["question"])), "")
                         .alias("questions"), F.size("_top").alias("n_questions"))
     cands = textprep.build_candidates(df.select(key, text), key, text, style, seed)
     qa = generate_questions(cands, generator_factory)
@@ -119,6 +122,7 @@ def augment(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 10,
     else:
         out = concat_questions(qa, key, "cand_id")
     # every passage gets a value, '' when no candidate could be formed
-    return df.select(key).distinct().join(out, key, "left").select(
-        key, F.coalesce("questions", F.lit("")).alias("questions"),
+    source = df.select(key, *kept) if kept else df.select(key).distinct()
+    return source.join(out, key, "left").select(
+        key, *kept, F.coalesce("questions", F.lit("")).alias("questions"),
         F.coalesce("n_questions", F.lit(0)).alias("n_questions"))

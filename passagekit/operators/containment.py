@@ -16,10 +16,10 @@ pairs.  Instead:
 The occurrence list of step 2 is checkpointed: it is read twice (counts,
 candidates) and is much smaller than the corpus it is derived from.
 
-Items with fewer than four tokens have no inner bigram.  A three-token
-item's middle token is a complete document token and drives an equi-join;
-items of one or two tokens are pure substring searches and are broadcast
-only after their total size is checked against ``MAX_SHORT_ITEM_BYTES``.
+Items with fewer than four tokens have no inner bigram.  Their anchors are
+character n-grams instead (three characters, or the whole item if shorter):
+every occurrence shows all of them, the rarest one joins by equality, and
+``contains`` decides.  An empty (or NULL) item matches nothing.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from passagekit.functions.arrays import explode_rows
 from passagekit.session import checkpoint_dir
 
-# Upper bound of the short-item side that may be broadcast to every task.
-MAX_SHORT_ITEM_BYTES = 64 * 1024 * 1024
+GRAM = 3
 
 
 def _tokens(text):
@@ -51,58 +50,56 @@ def _bigrams(tok_col: str, inner: bool):
     return F.when(n >= 2, F.zip_with(left, right, lambda a, b: F.xxhash64(a, b)))
 
 
+def _char_grams(text, n: int):
+    """Distinct strings of ``n`` consecutive characters (NULL for shorter texts)."""
+    chars = F.split(text, "")
+    size = F.length(text)
+    grams = F.slice(chars, 1, size - n + 1)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, k + 1, size - n + 1), lambda a, b: F.concat(a, b))
+    return F.when(size >= n, F.array_distinct(grams))
+
+
 def containment_pairs(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
                       doc_text: str = "text", item_key: str = "item_id",
                       item_text: str = "text") -> DataFrame:
-    """All ``(doc_key, item_key)`` with ``contains(doc_text, item_text)``."""
+    """All ``(doc_key, item_key, line)`` with ``contains(doc_text, item_text)``.
+
+    ``line``: number of line feeds before the first occurrence, i.e. the line
+    of the document in which the occurrence starts.
+    """
     d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_dt"))
-    it = items.select(F.col(item_key).alias("_q"), F.col(item_text).alias("_qt"))
+    it = items.where(F.length(item_text) > 0).select(F.col(item_key).alias("_q"), F.col(item_text).alias("_qt"))
     it_tok = it.withColumn("_tok", _tokens(F.col("_qt")))
 
     long_items = it_tok.where(F.size("_tok") >= 4)
     item_bg = explode_rows(long_items, ["_q"], F.array_distinct(_bigrams("_tok", True)), ["_bg"])
-    wanted = item_bg.select("_bg").distinct()
-
     doc_tok = d.select("_d", _tokens(F.col("_dt")).alias("_tok"))
-    # occurrences of wanted bigrams only (a small posting list next to the corpus);
-    # stored once because the frequency count and the candidate join both read it --
-    # otherwise the whole corpus would be tokenised twice
-    checkpoint_dir(docs.sparkSession)
-    doc_bg = (explode_rows(doc_tok, ["_d"], F.array_distinct(_bigrams("_tok", False)), ["_bg"])
-              .join(wanted, "_bg", "left_semi")).checkpoint()
-    freq = doc_bg.groupBy("_bg").agg(F.count(F.lit(1)).alias("_f"))
-    anchors = (item_bg.join(freq, "_bg")  # an item whose bigram never occurs matches no document
-               .groupBy("_q").agg(F.min_by("_bg", F.struct("_f", "_bg")).alias("_bg")))
-    cand = doc_bg.join(anchors, "_bg").select("_d", "_q").distinct()
-    long_pairs = (cand.join(d, "_d").join(it, "_q")
-                  .where(F.col("_dt").contains(F.col("_qt"))).select("_d", "_q"))
-
-    short_pairs = _short_item_pairs(d, it_tok.where(F.size("_tok") < 4))
-    out = long_pairs.unionByName(short_pairs)
-    return out.select(F.col("_d").alias(doc_key), F.col("_q").alias(item_key))
-
-
-def _short_item_pairs(d: DataFrame, short: DataFrame) -> DataFrame:
-    """Items of 1-3 tokens.
-
-    A 3-token item's middle token is a complete document token, so it is
-    matched through an equi-join on that token.  Items of 1-2 tokens have no
-    complete token; they are broadcast after their total size is checked.
+    doc_bg = explode_rows(doc_tok, ["_d"], F.array_distinct(_bigrams("_tok", False)), ["_bg"])
+    cand = _anchored(doc_bg, item_bg)
+
+    # short items: read on the driver are only the gram sizes in use (1 to GRAM)
+    short = it_tok.where(F.size("_tok") < 4).withColumn("_n", F.least(F.length("_qt"), F.lit(GRAM)))
+    for n in sorted(r["_n"] for r in short.select("_n").distinct().collect()):
+        own = explode_rows(short.where(F.col("_n") == n), ["_q"], _char_grams(F.col("_qt"), n), ["_bg"])
+        cand = cand.unionByName(_anchored(explode_rows(d, ["_d"], _char_grams(F.col("_dt"), n), ["_bg"]), own))
+    before = F.expr("substring_index(_dt, _qt, 1)")
+    found = (cand.join(d, "_d").join(it, "_q").where(F.col("_dt").contains(F.col("_qt")))
+             .select(F.col("_d").alias(doc_key), F.col("_q").alias(item_key),
+                     (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("int").alias("line")))
+    return found
+
+
+def _anchored(doc_grams: DataFrame, item_grams: DataFrame) -> DataFrame:
+    """Candidate pairs: documents that hold the rarest gram of an item.
+
+    The occurrences of wanted grams (a small posting list next to the corpus)
+    are stored once, because the frequency count and the candidate join both
+    read them -- otherwise the whole corpus would be cut into grams twice.
     """
-    three = short.where(F.size("_tok") == 3).select("_q", "_qt", F.element_at("_tok", 2).alias("_w"))
-    doc_tok = explode_rows(d, ["_d"], F.array_distinct(_tokens(F.col("_dt"))), ["_w"])
-    p3 = (doc_tok.join(three.select("_w").distinct(), "_w", "left_semi")
-          .join(three, "_w").select("_d", "_q").distinct()
-          .join(d, "_d").join(short.select("_q", "_qt"), "_q")
-          .where(F.col("_dt").contains(F.col("_qt"))).select("_d", "_q"))
-    tiny = short.where(F.size("_tok") < 3).select("_q", "_qt")
-    stats = tiny.agg(F.count(F.lit(1)).alias("n"),
-                     F.coalesce(F.sum(F.length("_qt")), F.lit(0)).alias("b")).first()
-    if stats["n"] == 0:
-        return p3
-    if stats["b"] + 64 * stats["n"] > MAX_SHORT_ITEM_BYTES:
-        raise ValueError("too many items of one or two tokens to match by broadcast; "
-                         "split the item set")
-    p12 = (d.join(F.broadcast(tiny), F.col("_dt").contains(F.col("_qt")))
-           .select("_d", "_q"))
-    return p3.unionByName(p12)
+    checkpoint_dir(doc_grams.sparkSession)
+    held = doc_grams.join(item_grams.select("_bg").distinct(), "_bg", "left_semi").checkpoint()
+    freq = held.groupBy("_bg").agg(F.count(F.lit(1)).alias("_f"))
+    anchors = (item_grams.join(freq, "_bg")  # an item whose gram never occurs matches no document
+               .groupBy("_q").agg(F.min_by("_bg", F.struct("_f", "_bg")).alias("_bg")))
+    return held.join(anchors, "_bg").select("_d", "_q").distinct()

@@ -8,9 +8,8 @@ Scale notes
   proven-small broadcast), and the rank is offset + local position.  The
   stamped rows are checkpointed so counts and ranks see one partitioning.
 * Positions inside a document (``row_number() over (partition by doc)``) are
-  computed per (document, id chunk) so one huge document never lands in a
-  single task; chunk sizes come from a window on the same partitioning and
-  only the per-chunk table is re-shuffled for the running offsets.
+  places in the global order (document, id) minus the place of the document's
+  first row: range partitions split a document of any size.
 * Consecutive-passage collapse does not use n-1 self joins nor a window over
   the document: each passage is copied to the n-1 anchors before it and one
   aggregate on (document, anchor) -- at most n rows per key -- assembles the
@@ -21,7 +20,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagekit.functions.text import clean_newlines, strip_title_prefix
@@ -59,10 +58,6 @@ def repair_titles(df: DataFrame, title: str = "title", fill: str = "NaN") -> Dat
     return df.withColumn(title, F.coalesce(F.col(title), F.lit(fill)))
 
 
-def strip_prefix(df: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
-    return df.withColumn(text, strip_title_prefix(F.col(text), F.col(title)))
-
-
 def curate_passages(raw: DataFrame, prefix: str = "wikidoc_") -> DataFrame:
     """Ids by title, prefix strip on the raw title, then NULL-title repair."""
     with_ids = assign_doc_ids(raw, "title", prefix=prefix)
@@ -70,41 +65,36 @@ def curate_passages(raw: DataFrame, prefix: str = "wikidoc_") -> DataFrame:
     return repair_titles(stripped)
 
 
-def group_positions(df: DataFrame, group: str, order: str, out: str = "pos",
-                    chunk: int = 4096) -> DataFrame:
-    """``row_number() over (partition by group order by order)`` without a hot window.
+def group_positions(df: DataFrame, group: str, order: list[str], out: str = "pos") -> DataFrame:
+    """``row_number() over (partition by group order by order)`` without a window per group.
 
-    ``order`` must be an integer column, unique inside a group.  Rows are
-    ranked inside (group, order div chunk) -- at most ``chunk`` rows per
-    window partition -- and shifted by the row count of the earlier chunks
-    of the group.  Chunk sizes come from a second window on the same
-    partitioning (no extra shuffle of the rows); only the small table of
-    chunk sizes is re-partitioned by group for the running sum.
+    The rows get their place in the global order (group, *order) -- range
+    partitions, so a group of any size spreads over many tasks -- and the place
+    of the group's first row (a pre-aggregated minimum) is subtracted.
+    ``order`` must be unique inside a group.
     """
-    w = Window.partitionBy(group, "_chunk")
-    local = (df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
-             .withColumn("_lpos", F.row_number().over(w.orderBy(order)))
-             .withColumn("_cnt", F.count(F.lit(1)).over(w)))
-    heads = local.where(F.col("_lpos") == 1).select(group, "_chunk", "_cnt")
-    offsets = heads.select(
-        group, "_chunk",
-        F.coalesce(F.sum("_cnt").over(Window.partitionBy(group).orderBy("_chunk")
-                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [group, "_chunk"])
-            .withColumn(out, (F.col("_off") + F.col("_lpos")).cast("int"))
-            .drop("_chunk", "_lpos", "_cnt", "_off"))
+    placed = row_index(df, [F.col(group), *map(F.col, order)], "_at")
+    first = placed.groupBy(group).agg(F.min("_at").alias("_first"))
+    return (placed.join(first, group).withColumn(out, (F.col("_at") - F.col("_first") + 1).cast("int"))
+            .drop("_at", "_first"))
 
 
 def collapse_passages(df: DataFrame, n: int, doc: str = "doc_id", num: str = "num",
                       key: str = "corpus_id", text: str = "text", title: str = "title",
-                      policy: str = "reference") -> DataFrame:
+                      policy: str = "reference", series: str | None = None) -> DataFrame:
     """Collapse up to ``n`` consecutive passages of a document into one.
 
     Semantics of the curation SQL: passage ids must follow each other
     exactly (``B.id = A.id + 1``); a group starts at every passage whose
     position in the document is 1 mod n; texts are joined by a blank after
     CR/LF become blanks; a NULL text in a group makes the text NULL.
-    Output: ``doc_id, corpus_id_array, title, doc_text, first_num``.
+    Output: ``doc_id, corpus_id_array, title, doc_text, first_num`` (and
+    ``series``, if given).
+
+    ``series``: passage ids are the pair (series, num) -- e.g. source document
+    and line -- and only follow each other within a series; without it the id
+    is ``num`` alone.  Ids must be unique inside a document; a repeated id is
+    an error raised by the plan.
 
     ``policy="reference"`` numbers positions over the whole document, so after
     an id gap a passage that was never merged can be skipped.
@@ -115,19 +105,21 @@ def collapse_passages(df: DataFrame, n: int, doc: str = "doc_id", num: str = "nu
         raise ValueError("n must be >= 1")
     if policy not in ("reference", "runs"):
         raise ValueError("policy must be 'reference' or 'runs'")
-    positioned = group_positions(df.select(doc, num, key, title, text), doc, num)
+    ids = [series] if series else []
+    positioned = group_positions(df.select(doc, *ids, num, key, title, text), doc, [*ids, num])
     if policy == "runs":
         run = F.col(num) - F.col("pos")
-        starts = (positioned.groupBy(doc, run.alias("_run"))
+        starts = (positioned.groupBy(doc, *ids, run.alias("_run"))
                   .agg(F.min("pos").alias("_first")))
-        positioned = (positioned.withColumn("_run", run).join(starts, [doc, "_run"])
+        positioned = (positioned.withColumn("_run", run).join(starts, [doc, *ids, "_run"])
                       .withColumn("pos", F.col("pos") - F.col("_first") + 1).drop("_run", "_first"))
     copies = positioned.select(
-        doc, title, key, num, "pos",
+        doc, *ids, title, key, num, "pos",
         clean_newlines(F.col(text)).alias("_t"),
         F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
     copies = copies.withColumn("_anchor", F.col(num) - F.col("_i"))
-    grouped = copies.groupBy(doc, "_anchor").agg(
+    grouped = copies.groupBy(doc, *ids, "_anchor").agg(
+        F.sum((F.col("_i") == 0).cast("int")).alias("_same"),
         F.max(F.when(F.col("_i") == 0, F.col("pos"))).alias("_pos"),
         F.max(F.when(F.col("_i") == 0, F.col(title))).alias(title),
         F.collect_list(F.struct(F.col("_i"), F.col(key).alias("k"), F.col("_t").alias("t"))).alias("_m"))
@@ -140,7 +132,7 @@ def collapse_passages(df: DataFrame, n: int, doc: str = "doc_id", num: str = "nu
     def member(i: int, field: str) -> Column:
         return F.element_at(F.filter("_m", (lambda j: (lambda x: x["_i"] == j))(i)), 1)[field]
 
-    ids = F.filter(F.array(*[F.when(run[i], member(i, "k")) for i in range(n)]), lambda x: x.isNotNull())
+    keys = F.filter(F.array(*[F.when(run[i], member(i, "k")) for i in range(n)]), lambda x: x.isNotNull())
     texts = None
     for i in reversed(range(n)):
         parts = []
@@ -148,18 +140,20 @@ def collapse_passages(df: DataFrame, n: int, doc: str = "doc_id", num: str = "nu
             parts += [member(j, "t"), F.lit(" ")]
         branch = F.concat(*parts[:-1])
         texts = F.when(run[i], branch) if texts is None else texts.when(run[i], branch)
-    keep = grouped.where(present[0] & ((F.col("_pos") % n) == (1 % n)))
+    keep = grouped.where(F.when(F.col("_same") > 1, F.raise_error(F.lit("passage id occurs twice in a document")).cast(
+        "boolean")).otherwise(present[0] & ((F.col("_pos") % n) == (1 % n))))
     return keep.select(
-        F.col(doc), ids.alias("corpus_id_array"), F.col(title),
+        F.col(doc), *ids, keys.alias("corpus_id_array"), F.col(title),
         texts.alias("doc_text"), F.col("_anchor").alias("first_num"))
 
 
-def dedup_passages(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep one row per ``keys``: the one with the lowest ``order`` (numeric).
+def dedup_passages(df: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
+    """Keep one row per ``keys``: the one with the lowest ``order`` (one or more columns).
 
     ``row_number() over (partition by keys order by order) = 1`` written as an
     aggregate, so duplicate-heavy groups are reduced before the shuffle.
     """
     others = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order)).alias("_r"))
+    lowest = F.col(order) if isinstance(order, str) else F.struct(*order)
+    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*others), lowest).alias("_r"))
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in others])

@@ -14,23 +14,27 @@ DEFAULT_KS = (10, 20, 50, 100)
 
 
 def best_gold_rank(hits: DataFrame, gold: DataFrame, q_key: str = "query_id",
-                   doc: str = "doc_id") -> DataFrame:
-    """``(q_key, best)``: lowest rank whose document is the gold one, NULL if none.
+                   doc: str = "doc_id", group: str | None = None) -> DataFrame:
+    """``(q_key, best)``: lowest rank whose document is a gold one, NULL if none.
 
-    Every gold query is kept (a query without hits is a miss).  ``gold`` must
-    hold one document per query -- checked by the caller via ``check_gold``.
+    Every gold query is kept (a query without hits is a miss).  ``gold`` may hold
+    several documents per query: any of them is a hit.
     """
-    g = gold.select(q_key, F.col(doc).alias("_gold"))
-    matched = (hits.join(g, q_key).where(F.col(doc) == F.col("_gold"))
-               .groupBy(q_key).agg(F.min("rank").alias("best")))
-    return g.select(q_key).join(matched, q_key, "left")
+    keys = [group, q_key] if group else [q_key]
+    g = gold.select(*keys, F.col(doc).alias("_gold")).distinct()
+    matched = (hits.join(g, keys).where(F.col(doc) == F.col("_gold"))
+               .groupBy(*keys).agg(F.min("rank").alias("best")))
+    return g.select(*keys).distinct().join(matched, keys, "left")
 
 
-def check_gold(gold: DataFrame, q_key: str = "query_id") -> None:
-    """One gold document per query (the reference raised on duplicates)."""
-    dup = gold.groupBy(q_key).count().where(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise ValueError(f"query with several gold documents: {dup[0][q_key]}")
+def check_gold(gold: DataFrame, q_key: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """The gold rows of query sets with one document per query (the reference
+    raised on duplicates): a query with several documents is an error, raised by
+    the plan that reads the rows, not by a job of its own."""
+    one = gold.groupBy(q_key).agg(F.min(doc).alias(doc), F.max(doc).alias("_other"))
+    wrong = F.raise_error(F.concat(F.lit("query with several gold documents: "), F.col(q_key).cast("string")))
+    return one.select(q_key, F.when(F.col(doc) == F.col("_other"), F.col(doc)).otherwise(
+        wrong.cast(gold.schema[doc].dataType)).alias(doc))
 
 
 def accuracy_at_k(hits: DataFrame, gold: DataFrame, ks=DEFAULT_KS, q_key: str = "query_id",
@@ -50,52 +54,25 @@ def accuracy_at_k(hits: DataFrame, gold: DataFrame, ks=DEFAULT_KS, q_key: str =
 
 def failed_queries(hits: DataFrame, gold: DataFrame, k: int = 100, q_key: str = "query_id",
                    doc: str = "doc_id") -> DataFrame:
-    """Queries whose gold document is not among the first k hits, with the
-    documents that were returned instead (in rank order, comma separated)."""
-    best = best_gold_rank(hits, gold, q_key, doc)
-    missed = best.where(F.col("best").isNull() | (F.col("best") > k)).select(q_key)
-    returned = (hits.where(F.col("rank") <= k).join(missed, q_key, "left_semi")
-                .groupBy(q_key)
-                .agg(F.array_sort(F.collect_list(F.struct("rank", F.col(doc).cast("string").alias("d"))))
-                     .alias("_r")))
-    return missed.join(returned, q_key, "left").select(
-        q_key, F.coalesce(F.array_join(F.transform("_r", lambda x: x["d"]), ","), F.lit("")).alias("returned"))
-
-
-def evaluate_grid(configs: dict[str, tuple[DataFrame, DataFrame]], ks=DEFAULT_KS,
-                  q_key: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """Accuracy@k for many configurations in one job.
-
-    ``configs`` maps a configuration name to ``(hits, gold)``.  Hits of all
-    configurations are tagged and unioned; one grouped aggregate per
-    (config, query) and one per (config, k) replace the 17 copied notebooks.
+    """Queries without a gold document among the first k hits, with the
+    documents that were returned instead (in rank order, comma separated).
+
+    The hits are read once: joined to the (pre-collected) gold documents of their
+    query, they give the best gold rank and the returned list together.
     """
-    tagged_hits, tagged_gold = None, None
-    for name, (hits, gold) in configs.items():
-        h = hits.select(F.lit(name).alias("config"), q_key, "rank", doc)
-        g = gold.select(F.lit(name).alias("config"), q_key, F.col(doc).alias("_gold"))
-        tagged_hits = h if tagged_hits is None else tagged_hits.unionByName(h)
-        tagged_gold = g if tagged_gold is None else tagged_gold.unionByName(g)
-    keys = ["config", q_key]
-    matched = (tagged_hits.join(tagged_gold, keys).where(F.col(doc) == F.col("_gold"))
-               .groupBy(*keys).agg(F.min("rank").alias("best")))
-    best = tagged_gold.select(*keys).join(matched, keys, "left")
-    ks_col = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-    per = best.select("config", "best", ks_col)
-    return per.groupBy("config", "k").agg(
-        F.round(F.sum(F.when(F.col("best") <= F.col("k"), 1).otherwise(0)) * 100.0 / F.count(F.lit(1)), 6)
-        .alias("accuracy"),
-        F.count(F.lit(1)).alias("n"))
+    g = gold.groupBy(q_key).agg(F.collect_set(F.col(doc)).alias("_gold"))
+    seen = F.struct("rank", F.col(doc).cast("string").alias("d"))
+    found = (g.join(hits.where(F.col("rank") <= k), q_key, "left").groupBy(q_key)
+             .agg(F.max(F.array_contains("_gold", F.col(doc)).cast("int")).alias("_hit"),
+                  F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), seen))).alias("_r")))
+    return found.where(F.coalesce("_hit", F.lit(0)) == 0).select(
+        q_key, F.array_join(F.transform("_r", lambda x: x["d"]), ",").alias("returned"))
 
 
 def accuracy_by_group(hits: DataFrame, gold: DataFrame, group: str = "config", ks=DEFAULT_KS,
                       q_key: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """``(group, k, accuracy, n)`` for hits and gold tagged with a group column."""
-    keys = [group, q_key]
-    g = gold.select(*keys, F.col(doc).alias("_gold"))
-    matched = (hits.join(g, keys).where(F.col(doc) == F.col("_gold"))
-               .groupBy(*keys).agg(F.min("rank").alias("best")))
-    best = g.select(*keys).join(matched, keys, "left")
+    best = best_gold_rank(hits, gold, q_key, doc, group)
     per = best.select(group, "best", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     return per.groupBy(group, "k").agg(
         F.round(F.sum(F.when(F.col("best") <= F.col("k"), 1).otherwise(0)) * 100.0 / F.count(F.lit(1)), 6)

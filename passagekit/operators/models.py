@@ -65,6 +65,27 @@ def default_score(question: Column, answer: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(inter.cast("double") / union)
 
 
+# ----------------------------------------------------------------- the defaults as batch models
+def cloze_generator() -> Callable[[pd.DataFrame], list[str]]:
+    """``default_question`` as a plug-in generator (what a seq2seq model replaces)."""
+    def generate(batch: pd.DataFrame) -> list[str]:
+        out = []
+        for answer, context, style in zip(batch["answer"], batch["context"], batch["style"]):
+            blank = answer if style == "multiple_choice" else max(answer.split(" "), key=len)
+            whole = context if style == "multiple_choice" else answer
+            out.append((whole.replace(blank, "____") if blank else whole) + "?")
+        return out
+    return generate
+
+
+def overlap_scorer() -> Callable[[pd.Series, pd.Series], list[float]]:
+    """``default_score`` as a plug-in scorer."""
+    def score(questions: pd.Series, answers: pd.Series) -> list[float]:
+        pairs = [[set(x.lower().split(" ")) - {""} for x in p] for p in zip(questions, answers)]
+        return [len(q & a) / len(q | a) if q | a else 0.0 for q, a in pairs]
+    return score
+
+
 # ----------------------------------------------------------------- hashed bag-of-words encoder
 def token_bucket(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")

@@ -23,11 +23,9 @@ def sample_rate(df: DataFrame, p: float, key: str, seed: int = 0) -> DataFrame:
 
 
 def sample_about(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """About ``n`` rows: rate n / count(*) (the count is one scalar job)."""
-    total = df.count()
-    if total == 0:
-        return df
-    return sample_rate(df, n / total, key, seed)
+    """About ``n`` rows: rate n / count(*), the count being a scalar subquery of the plan."""
+    total = df.select(F.count(F.lit(1))).scalar()
+    return df.where(unit_hash(key, seed=seed) < F.lit(float(n)) / total)
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -75,18 +73,22 @@ def assign_batches(df: DataFrame, num_batches: int, order: list, out: str = "bat
     Same sizes as ``numpy.array_split`` / SQL ``ntile``: the first
     ``rows % num_batches`` batches hold one extra row.
     """
-    total = df.count()
-    q, r = divmod(total, num_batches)
     idx = row_index(df, order, "_i")
+    # the stamped rows are stored, so the total is read off them, not off the source
+    total = idx.select(F.count(F.lit(1))).scalar()
+    q, r = F.floor(total / F.lit(num_batches)), total % F.lit(num_batches)
     big = r * (q + 1)
     i = F.col("_i")
-    if q == 0:
-        batch = i + 1
-    else:
-        batch = F.when(i < big, F.floor(i / (q + 1))).otherwise(F.lit(r) + F.floor((i - big) / q)) + 1
+    batch = F.when(i < big, F.floor(i / (q + 1))).otherwise(r + F.floor((i - big) / F.greatest(q, F.lit(1)))) + 1
     return idx.withColumn(out, batch.cast("int")).drop("_i")
 
 
+def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of a total order, over many tasks (no single-task top-n):
+    place in the order, then a filter."""
+    return row_index(df, order, "_i").where(F.col("_i") < n).drop("_i")
+
+
 def build_batches(df: DataFrame, batch_size: int, num_batches: int, key: str, seed: int = 0) -> DataFrame:
     """Sample about batch_size * num_batches rows and split them into batches.
 

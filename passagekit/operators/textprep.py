@@ -116,6 +116,18 @@ def extract_entities(sentences: DataFrame, key: str = "doc_id", pattern: str = E
     return ex.withColumn("label", label)
 
 
+def pattern_extractor():
+    """The default extractor as a plug-in (what an NER model replaces)."""
+    import re
+    pattern = re.compile(ENTITY_PATTERN)
+
+    def label(text: str) -> str:
+        if not text.isdigit():
+            return "PROPER"
+        return "DATE" if len(text) == 4 else "CARDINAL"
+    return lambda sentence: [(t, label(t)) for t in pattern.findall(sentence)]
+
+
 def build_choices(entities: DataFrame, key: str = "doc_id", n_choices: int = 4, seed: int = 0) -> DataFrame:
     """Multiple-choice options for every entity occurrence.
 
@@ -159,6 +171,15 @@ def choices_text(choices: Column) -> Column:
                                                                 c["correct"].cast("string"))), ";")
 
 
+def candidate_id(kind: int, part: Column, item: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), part.cast("int").alias("part"), item.cast("int").alias("item"))
+
+
+def candidate_text(cand: Column) -> Column:
+    """Flat form ``kind:part:item`` for export."""
+    return F.concat_ws(":", *(cand[c].cast("string") for c in ("kind", "part", "item")))
+
+
 def build_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", style: str = "all",
                      seed: int = 0, max_tokens: int = MAX_SEGMENT_TOKENS) -> DataFrame:
     """Question-generation inputs: ``(key, cand_id, style, answer, context, choices)``.
@@ -166,8 +187,9 @@ def build_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", sty
     * sentence style: every distinct sentence of every segment, context = segment;
     * multiple-choice style: every entity of every distinct sentence of the
       whole text, context = sentence, with options from ``build_choices``.
-    ``cand_id`` orders candidates as the reference produced them (segments,
-    sentences, then entities) and breaks score ties in ranking.
+    ``cand_id`` = struct (kind, part, item) orders candidates as the reference
+    produced them -- (0, segment, sentence), then (1, sentence, entity) -- and
+    breaks score ties in ranking.
     """
     if style not in STYLES:
         raise ValueError(f"Invalid answer style {style}. Please choose from {list(STYLES)}")
@@ -177,8 +199,7 @@ def build_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", sty
         s = explode_rows(segs, [key, "seg_id", "segment"], F.array_distinct(sentence_array(F.col("segment"))),
                          ["sent_id", "answer"])
         parts.append(s.select(
-            key, (F.shiftleft(F.col("seg_id").cast("long"), 40)
-                  + F.shiftleft(F.col("sent_id").cast("long"), 20)).alias("cand_id"),
+            key, candidate_id(0, F.col("seg_id"), F.col("sent_id")).alias("cand_id"),
             F.lit("sentences").alias("style"), "answer", F.col("segment").alias("context"),
             F.lit(None).cast("array<struct<answer:string,correct:boolean>>").alias("choices")))
     if style in ("all", "multiple_choice"):
@@ -187,8 +208,7 @@ def build_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", sty
         ch = build_choices(ents, key, seed=seed)
         mc = ents.join(ch.select(key, "sent_id", "ent_id", "choices"), [key, "sent_id", "ent_id"])
         parts.append(mc.select(
-            key, (F.shiftleft(F.lit(1).cast("long"), 60) + F.shiftleft(F.col("sent_id").cast("long"), 20)
-                  + F.col("ent_id").cast("long")).alias("cand_id"),
+            key, candidate_id(1, F.col("sent_id"), F.col("ent_id")).alias("cand_id"),
             F.lit("multiple_choice").alias("style"), F.col("ent_text").alias("answer"),
             F.col("sentence").alias("context"), "choices"))
     out = parts[0]
@@ -197,17 +217,23 @@ def build_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", sty
     return out
 
 
-def tokenize_fixed(df: DataFrame, col: str, max_len: int, vocab: int = 30000) -> DataFrame:
-    """Fixed-length ``ids`` / ``mask`` columns: lower-cased blank-separated
-    tokens hashed into ``1..vocab``, truncated to ``max_len`` and padded with 0."""
+def tokenize_fixed(df: DataFrame, key: str, col: str, max_len: int, vocab: int = 30000) -> DataFrame:
+    """``(key, window, ids, mask)``: consecutive fixed-length windows over all tokens.
+
+    Lower-cased blank-separated tokens are hashed into ``1..vocab``; window w
+    holds tokens w * max_len onwards, the last one padded with 0 (mask 0).  A
+    text without tokens has one window of padding.
+    """
     toks = F.filter(F.split(F.lower(F.col(col)), " ", -1), lambda t: t != "")
     ids = F.transform(toks, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % vocab + 1)
                       .cast("int"))
-    cut = F.slice(ids, 1, max_len)
-    n = F.size(cut)
-    pad = F.array_repeat(F.lit(0), F.lit(max_len) - n)
-    return (df.withColumn("ids", F.concat(cut, pad))
-            .withColumn("mask", F.concat(F.array_repeat(F.lit(1), n), pad)))
+    d = df.select(key, F.coalesce(ids, F.array().cast("array<int>")).alias("_ids"))
+    last = F.greatest(F.lit(0), F.ceil(F.size("_ids") / F.lit(max_len)).cast("int") - 1)
+    d = d.select(key, "_ids", F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    d = d.withColumn("_own", F.slice("_ids", F.col("window") * max_len + 1, F.lit(max_len)))
+    pad = F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_own"))
+    return d.select(key, "window", F.concat("_own", pad).alias("ids"),
+                    F.concat(F.array_repeat(F.lit(1), F.size("_own")), pad).alias("mask"))
 
 
 def compose_passage(df: DataFrame, parts: list[str], sep: str = " [SEP] ", out: str = "passage") -> DataFrame:
@@ -303,14 +329,13 @@ def with_candidates(df: DataFrame, key: str, text: str, style: str = "all", seed
         parts.append(F.flatten(F.transform(segs, lambda sg, i: F.transform(
             F.array_distinct(sentence_array(sg["segment"])),
             lambda x, j: F.struct(
-                (F.shiftleft(i.cast("long"), 40) + F.shiftleft(j.cast("long"), 20)).alias("cand_id"),
+                candidate_id(0, i, j).alias("cand_id"),
                 F.lit("sentences").alias("style"), x.alias("answer"), sg["segment"].alias("context"),
                 F.lit(None).cast(CHOICE_TYPE).alias("choices"))))))
     if style in ("all", "multiple_choice"):
         df = with_entity_choices(df, key, text, "_ents_ch", seed=seed)
         parts.append(F.transform("_ents_ch", lambda e: F.struct(
-            (F.shiftleft(F.lit(1).cast("long"), 60) + F.shiftleft(e["sent_id"].cast("long"), 20)
-             + e["ent_id"].cast("long")).alias("cand_id"),
+            candidate_id(1, e["sent_id"], e["ent_id"]).alias("cand_id"),
             F.lit("multiple_choice").alias("style"), e["ent_text"].alias("answer"),
             e["sentence"].alias("context"), e["choices"].cast(CHOICE_TYPE).alias("choices"))))
     df = df.withColumn(out, parts[0] if len(parts) == 1 else F.concat(*parts))

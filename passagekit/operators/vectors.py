@@ -1,133 +1,155 @@
 """Vector tables and exact nearest-neighbour search.
 
-A vector table is ``(vec_id bigint, doc_id, embedding array<float>, origin)``;
-the id -> document map of the reference is simply a column.
+A vector table is ``(key, doc_id, embedding, origin)`` plus ``vec_id``, the
+position of the vector in the index (0, 1, ...); the id -> document map of the
+reference is simply a column.
 
 Exact k-NN (squared L2, ties by vec_id) without a cross join
 ------------------------------------------------------------
 Queries are hashed into ``Bq`` blocks and index rows into ``Bx`` blocks.
 Every query row is sent to the ``Bx`` cells of its row and every index row
 to the ``Bq`` cells of its column, so each (qb, xb) cell of the grid holds
-at most ``q_block_rows + x_block_rows`` vectors.  A cogrouped
-``applyInPandas`` computes the cell with numpy (matrix product to pre-select
-``k + margin`` candidates, then an exact float64 re-rank) and emits only
-``k`` rows per query.  A final ``row_number() <= k`` per query merges the
-``Bx`` partial lists (Catalyst plans it with a partial WindowGroupLimit).
-
-Shuffle volume is ``|Q| * Bx + |X| * Bq`` vector rows; memory per task is
-bounded by the block sizes, never by the table sizes.  Block ids come from
-a hash of the key, so a hot document cannot unbalance the grid.
+at most a block of each.  A cogrouped ``applyInPandas`` computes the cell with
+numpy: a matrix product gives distances with a known rounding bound, every
+row that can still be among the first ``k`` within that bound is re-ranked
+exactly in float64 (so any number of ties is handled), and ``k`` rows per query
+leave the cell.  A final ``row_number() <= k`` per query merges the ``Bx``
+partial lists (Catalyst plans it with a partial WindowGroupLimit).
+
+Block sizes count numbers (rows x width), so the memory of a task does not
+grow with the tables or the width of the vectors.  Shuffle volume is
+``|Q| * Bx + |X| * Bq`` vector rows.  With ``group`` the block counts are taken
+per group, so many small indexes are not cut up as one large one would be.
+Block ids come from a hash of the key, so a hot document cannot unbalance the
+grid.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagekit.operators.sample import row_index
 from passagekit.session import ship_package
 
-MARGIN = 8
-
-
-def _grid(nq: int, nx: int, q_rows: int, x_rows: int, parallelism: int) -> tuple[int, int]:
-    bq = max(1, math.ceil(nq / q_rows))
-    bx = max(1, math.ceil(nx / x_rows))
-    if bq * bx < parallelism:  # small inputs: still use the cluster
-        bx = max(1, min(max(nx, 1), math.ceil(parallelism / bq)))
-    return bq, bx
+# Numbers (rows x width) of one block of queries and of index rows.
+Q_BLOCK_NUMBERS = 20_000 * 64
+X_BLOCK_NUMBERS = 50_000 * 64
+CELL_NUMBERS = 4_000_000
+
+
+def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, exclude_self: bool):
+    """Exact first ``k`` of each query among ``x``: (query position, x position, d2), ranked."""
+    qn, xn = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    rough = qn[:, None] + xn[None, :] - 2.0 * (q @ x.T)
+    if exclude_self:
+        rough[qid[:, None] == xid[None, :]] = np.inf
+    kk = min(k, len(xid))
+    # rounding of a sum of products, twice the usual bound
+    slack = 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (qn + xn.max())
+    kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
+    rows, cols = np.nonzero(rough <= (kth + 2 * slack)[:, None])
+    exact = np.empty(len(rows))
+    step = max(1, CELL_NUMBERS // (x.shape[1] + 1))
+    for a in range(0, len(rows), step):
+        diff = x[cols[a:a + step]] - q[rows[a:a + step]]
+        total = np.zeros(len(diff))
+        for one in diff.T:  # component by component: the same sum in every engine
+            total += one * one
+        exact[a:a + step] = total
+    keep = np.isfinite(rough[rows, cols])
+    rows, cols, exact = rows[keep], cols[keep], exact[keep]
+    order = np.lexsort((xid[cols], exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    first = np.searchsorted(rows, rows)
+    top = np.arange(len(rows)) - first < k
+    return rows[top], cols[top], exact[top]
 
 
 def _cell_topk(k: int, exclude_self: bool):
     def run(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"g": pd.Series([], dtype="object"), "q": pd.Series([], dtype="int64"),
-                              "x": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
         if len(qpdf) == 0 or len(xpdf) == 0:
-            return empty
-        Q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
-        X = np.stack(xpdf["v"].to_numpy()).astype(np.float64)
-        qid = qpdf["q"].to_numpy(np.int64)
-        xid = xpdf["x"].to_numpy(np.int64)
-        xn = (X * X).sum(axis=1)
-        kk = min(len(xid), k + MARGIN)
-        out_q, out_x, out_d = [], [], []
-        # bound both the distance block and the gathered candidate block
-        step = max(1, min(4_000_000 // len(xid), 4_000_000 // (kk * X.shape[1] + 1)))
-        for s in range(0, len(qid), step):
-            qb = Q[s:s + step]
-            approx = (qb * qb).sum(axis=1)[:, None] + xn[None, :] - 2.0 * (qb @ X.T)
-            if exclude_self:
-                approx[qid[s:s + step, None] == xid[None, :]] = np.inf
-            if kk < len(xid):
-                cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
-            else:
-                cand = np.broadcast_to(np.arange(len(xid)), (len(qb), len(xid)))
-            cid = xid[cand]
-            diff = X[cand] - qb[:, None, :]
-            d2 = (diff * diff).sum(axis=2)
-            if exclude_self:
-                d2[cid == qid[s:s + step, None]] = np.inf
-            order = np.lexsort((cid, d2), axis=1)[:, :k]
-            d2 = np.take_along_axis(d2, order, axis=1)
-            cid = np.take_along_axis(cid, order, axis=1)
-            rows = np.repeat(qid[s:s + step], order.shape[1])
-            keep = np.isfinite(d2.ravel())
-            out_q.append(rows[keep])
-            out_x.append(cid.ravel()[keep])
-            out_d.append(d2.ravel()[keep])
-        if not out_q:
-            return empty
-        q = np.concatenate(out_q)
-        return pd.DataFrame({"g": np.full(len(q), qpdf["g"].iloc[0], dtype=object), "q": q,
-                             "x": np.concatenate(out_x), "d2": np.concatenate(out_d)})
+            return pd.DataFrame({"g": pd.Series([], dtype="object"), "q": pd.Series([], dtype="int64"),
+                                 "x": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
+        q = np.stack(qpdf["v"].to_numpy()).astype(np.float64)
+        x = np.stack(xpdf["v"].to_numpy()).astype(np.float64)
+        qid, xid = qpdf["q"].to_numpy(np.int64), xpdf["x"].to_numpy(np.int64)
+        step = max(1, CELL_NUMBERS // len(xid))
+        parts = []
+        for a in range(0, len(qid), step):
+            rows, cols, d2 = _best(q[a:a + step], qid[a:a + step], x, xid, k, exclude_self)
+            parts.append(pd.DataFrame({"q": qid[a:a + step][rows], "x": xid[cols], "d2": d2}))
+        out = pd.concat(parts, ignore_index=True)
+        out.insert(0, "g", qpdf["g"].iloc[0])
+        return out
     return run
 
 
+def _sizes(df: DataFrame, g, vec: str) -> DataFrame:
+    return df.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w"))
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
         x_key: str = "vec_id", q_vec: str = "embedding", x_vec: str = "embedding",
-        exclude_self: bool = False, q_block_rows: int = 20000, x_block_rows: int = 50000,
-        parallelism: int | None = None, nq: int | None = None, nx: int | None = None,
-        group: str | None = None) -> DataFrame:
+        exclude_self: bool = False, q_block_rows: int | None = None, x_block_rows: int | None = None,
+        parallelism: int | None = None, group: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Exact top-k neighbours: ``(q_key, rank, x_key, d2)``, rank 1..k.
 
     ``group``: a string column present on both sides; neighbours are searched
     only among index rows of the query's group (many indexes in one job: the
-    group is part of the grid-cell key).
+    group is part of the grid-cell key).  ``keep``: columns of the index that
+    the hits carry, joined on the id.
 
-    Keys must be integers (hash them first otherwise).  ``exclude_self``
-    drops the pair where both keys are equal (leave-one-out evaluation).
-    The grid needs the two row counts; pass them (``nq``/``nx``) or pass
-    stored / checkpointed tables, whose count is a cheap metadata job --
-    a derived input (an encoder) would otherwise run once more for the count.
+    Keys must be integers.  ``exclude_self`` drops the pair where both keys
+    are equal (leave-one-out evaluation).  The grid needs the row counts (one
+    row per group), so pass stored / checkpointed tables: a derived input (an
+    encoder) would run once more for the count.
     """
     spark = queries.sparkSession
     ship_package(spark)
     par = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nq = queries.count() if nq is None else nq
-    nx = index.count() if nx is None else nx
-    bq, bx = _grid(nq, nx, q_block_rows, x_block_rows, par)
     g = F.col(group).cast("string") if group else F.lit("")
-    q = queries.select(g.alias("g"), F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v"),
-                       F.pmod(F.xxhash64(F.col(q_key)), F.lit(bq)).cast("int").alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(bx - 1))).alias("xb"))
-    x = index.select(g.alias("g"), F.col(x_key).cast("long").alias("x"), F.col(x_vec).alias("v"),
-                     F.pmod(F.xxhash64(F.col(x_key)), F.lit(bx)).cast("int").alias("xb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("q", T.LongType()),
-                           T.StructField("x", T.LongType()), T.StructField("d2", T.DoubleType())])
+    groups = _sizes(queries, g, q_vec).select("g", F.col("n").alias("nq"), F.col("w")).join(
+        _sizes(index, g, x_vec).select("g", F.col("n").alias("nx")), "g")
+
+    def blocks(rows: str, fixed: int | None, numbers: int):
+        most = F.lit(fixed) if fixed else F.greatest(F.lit(1), F.floor(F.lit(numbers) / F.col("w")))
+        return F.ceil(F.col(rows) / most).cast("int")
+
+    groups = groups.withColumn("bq", blocks("nq", q_block_rows, Q_BLOCK_NUMBERS)).withColumn(
+        "bx", blocks("nx", x_block_rows, X_BLOCK_NUMBERS))
+    if not group:
+        # one index: at least as many cells as tasks may run
+        groups = groups.withColumn("bx", F.greatest("bx", F.least(F.col("nx"), F.ceil(F.lit(par) / F.col("bq")))).cast("int"))
+    cells = F.broadcast(groups.select("g", "bq", "bx"))  # one row per searched index
+
+    def block(key: str, n: str):
+        return F.pmod(F.xxhash64(F.col(key)), F.col(n)).cast("int")
+
     # cell keys must have identical types on both sides: int and long of the
     # same value hash to different shuffle partitions and would never meet
+    q = queries.select(g.alias("g"), F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v")).join(
+        cells, "g").select("g", "q", "v", block("q", "bq").alias("qb"),
+                           F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("xb"))
+    x = index.select(g.alias("g"), F.col(x_key).cast("long").alias("x"), F.col(x_vec).alias("v")).join(
+        cells, "g").select("g", "x", "v", block("x", "bx").alias("xb"),
+                           F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("qb"))
+    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("q", T.LongType()),
+                           T.StructField("x", T.LongType()), T.StructField("d2", T.DoubleType())])
     cell = ["g", "qb", "xb"]
     partial = (q.groupBy(*cell).cogroup(x.groupBy(*cell))
                .applyInPandas(_cell_topk(k, exclude_self), schema))
     w = Window.partitionBy("g", "q").orderBy("d2", "x")
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     cols = [F.col("g").alias(group)] if group else []
-    return ranked.select(*cols, F.col("q").alias(q_key), "rank", F.col("x").alias(x_key), "d2")
+    hits = ranked.select(*cols, F.col("q").alias(q_key), "rank", F.col("x").alias(x_key), "d2")
+    if keep:
+        on = [group, x_key] if group else [x_key]
+        hits = hits.join(index.select(*on, *keep), on)
+    return hits
 
 
 def resolve_neighbors(hits: DataFrame, index: DataFrame, x_key: str = "vec_id",
@@ -145,31 +167,35 @@ def normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
 
 
 def build_index(encoded: DataFrame, key: str, doc: str = "doc_id", vec: str = "embedding",
-                origin: str = "gold") -> DataFrame:
-    """Vector table from encoded rows; ``vec_id`` = 63-bit hash of the row key.
+                origin: str = "gold", start: int = 0) -> DataFrame:
+    """Vector table from encoded rows: ``vec_id`` = ``start`` + place in key order.
 
-    The reference's id was the insertion position, which needs a global
-    order; a key hash is stable across appends and reruns.
+    The reference's id was the insertion position.  Here the rows of one append
+    are numbered by their key (unique), so the ids are reproducible.  The
+    result is stored (checkpointed) by the numbering.
     """
-    return encoded.select(
-        F.abs(F.xxhash64(F.col(key))).alias("vec_id"), F.col(doc).alias("doc_id"),
-        F.col(vec).alias("embedding"), F.lit(origin).alias("origin"))
+    rows = encoded.select(F.col(key).alias("key"), F.col(doc).alias("doc_id"), F.col(vec).alias("embedding"),
+                          F.lit(origin).alias("origin"))
+    return row_index(rows, [F.col("key")], "vec_id").withColumn("vec_id", F.col("vec_id") + F.lit(start)).select(
+        "vec_id", "key", "doc_id", "embedding", "origin")
 
 
-def append_noise(noise: DataFrame, targets: list[DataFrame], anti_keys: list[str] | None = None) -> list[DataFrame]:
+def append_noise(noise: DataFrame, targets: list[DataFrame], origin: str = "noise") -> list[DataFrame]:
     """Encode-once / add-to-several: the noise rows are appended to every index.
 
-    With ``anti_keys`` rows already in a target (e.g. gold passages read a
-    second time) are not added again.
+    ``noise``: encoded rows (key, doc_id, embedding), stored.  Rows whose key a
+    target already holds (e.g. gold passages read a second time) are not added
+    again; new ids go on where the target's end.
     """
     out = []
     for t in targets:
-        add = noise if not anti_keys else noise.join(t.select(*anti_keys).distinct(), anti_keys, "left_anti")
-        out.append(t.unionByName(add.select(*t.columns)))
+        add = noise.join(t.select("key"), "key", "left_anti")
+        start = t.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
+        out.append(t.unionByName(build_index(add, "key", origin=origin, start=start)))
     return out
 
 
 def index_stats(index: DataFrame, by: str = "origin") -> DataFrame:
-    """Vector count per origin plus the total (ntotal of the reference)."""
-    return index.groupBy(by).agg(F.count(F.lit(1)).alias("n")).unionByName(
-        index.agg(F.count(F.lit(1)).alias("n")).select(F.lit("__all__").alias(by), "n"))
+    """Vector count per origin plus the total (ntotal of the reference), in one pass."""
+    total = F.coalesce(F.col(by), F.lit("__all__")).alias(by)
+    return index.select(F.col(by)).rollup(by).agg(F.count(F.lit(1)).alias("n")).select(total, "n")

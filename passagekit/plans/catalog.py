@@ -40,8 +40,7 @@ def _vector_inputs(spark: SparkSession, sf_dir: str, unit: bool = False):
 
 def _leave_one_out_hits(spark, sf_dir, k, unit=False):
     queries, index, gold = _vector_inputs(spark, sf_dir, unit)
-    hits = vectors.knn(queries, index, k, exclude_self=True)
-    return vectors.resolve_neighbors(hits, index), gold
+    return vectors.knn(queries, index, k, exclude_self=True, keep=["doc_id"]), gold
 
 
 @register("knn_top10")
@@ -65,13 +64,13 @@ def q_knn_blocked(spark, sf_dir):
 def q_accuracy_at_k(spark, sf_dir):
     """Leave-one-out retrieval: a hit when a same-label vector is in the top k."""
     hits, gold = _leave_one_out_hits(spark, sf_dir, 100)
-    return evaluate.accuracy_at_k(hits, gold)
+    return evaluate.accuracy_at_k(hits, evaluate.check_gold(gold))
 
 
 @register("failed_queries")
 def q_failed_queries(spark, sf_dir):
-    hits, gold = _leave_one_out_hits(spark, sf_dir, 100)
-    return evaluate.failed_queries(hits, gold, k=10)
+    hits, gold = _leave_one_out_hits(spark, sf_dir, 10)
+    return evaluate.failed_queries(hits, evaluate.check_gold(gold), k=10)
 
 
 @register("evaluate_grid")
@@ -82,9 +81,7 @@ def q_evaluate_grid(spark, sf_dir):
     queries = parts[0][0].select(tag[0], "*").unionByName(parts[1][0].select(tag[1], "*"))
     index = parts[0][1].select(tag[0], "*").unionByName(parts[1][1].select(tag[1], "*"))
     gold = parts[0][2].select(tag[0], "*").unionByName(parts[1][2].select(tag[1], "*"))
-    n = parts[0][1].count()
-    hits = vectors.knn(queries, index, 100, exclude_self=True, group="config", nq=2 * n, nx=2 * n)
-    hits = hits.join(index.select("config", "vec_id", "doc_id"), ["config", "vec_id"])
+    hits = vectors.knn(queries, index, 100, exclude_self=True, group="config", keep=["doc_id"])
     return evaluate.accuracy_by_group(hits, gold, "config")
 
 
@@ -101,9 +98,9 @@ def q_curated_titles(spark, sf_dir):
 
 
 def _collapsed(p: DataFrame, n: int) -> DataFrame:
-    c = curate.collapse_passages(p, n)
+    c = curate.collapse_passages(p, n, series="src")
     return c.select("doc_id", F.array_join("corpus_id_array", ",").alias("corpus_ids"),
-                    "title", "doc_text", "first_num")
+                    "title", "doc_text", "src", "first_num")
 
 
 @register("collapse_2")
@@ -114,14 +111,14 @@ def q_collapse_2(spark, sf_dir):
 @register("collapse_3")
 def q_collapse_3(spark, sf_dir):
     """Level 3 over de-duplicated passages: removed copies leave gaps in the ids."""
-    p = curate.dedup_passages(fixtures.passages(spark, sf_dir), ["doc_id", "title", "text"], "num")
+    p = curate.dedup_passages(fixtures.passages(spark, sf_dir), ["doc_id", "title", "text"], ["src", "num"])
     return _collapsed(p, 3)
 
 
 @register("dedup_passages")
 def q_dedup_passages(spark, sf_dir):
-    c = curate.collapse_passages(fixtures.passages(spark, sf_dir), 2)
-    d = curate.dedup_passages(c, ["doc_id", "title", "doc_text"], "first_num")
+    c = curate.collapse_passages(fixtures.passages(spark, sf_dir), 2, series="src")
+    d = curate.dedup_passages(c, ["doc_id", "title", "doc_text"], ["src", "first_num"])
     return d.select("doc_id", "title", "doc_text",
                     F.array_join("corpus_id_array", ",").alias("corpus_ids"))
 
@@ -173,6 +170,8 @@ def q_match_questions(spark, sf_dir):
 
 # ---------------------------------------------------------------- sampling
 SEED = 42
+# Fixed value: size of the easy noise set.
+EASY_NOISE = 250000
 
 
 @register("sample_rate")
@@ -243,7 +242,7 @@ def q_pack_segments(spark, sf_dir):
 def q_prompts(spark, sf_dir):
     d = textprep.with_candidates(_documents(spark, sf_dir), "doc_id", "text", seed=SEED)
     c = explode_rows(d, ["doc_id"], F.col("_cands"), ["c"])
-    return c.select("doc_id", "c.cand_id", "c.style", "c.answer",
+    return c.select("doc_id", textprep.candidate_text(F.col("c.cand_id")).alias("cand_id"), "c.style", "c.answer",
                     F.md5(textprep.prompt(F.col("c.answer"), F.col("c.context"))).alias("prompt_md5"))
 
 
@@ -263,8 +262,9 @@ def q_choices(spark, sf_dir):
 
 @register("token_columns")
 def q_token_columns(spark, sf_dir):
-    t = textprep.tokenize_fixed(fixtures.queries(spark, sf_dir), "text", 20)
-    return t.select("query_id", F.array_join("ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"))
+    """All tokens of every query text in windows of 20."""
+    t = textprep.tokenize_fixed(fixtures.queries(spark, sf_dir), "query_id", "text", 20)
+    return t.select("query_id", "window", F.array_join("ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"))
 
 
 @register("passage_template")
@@ -296,14 +296,15 @@ def q_encode_arrow(spark, sf_dir):
 @register("score_pairs")
 def q_score_pairs(spark, sf_dir):
     s = explode_rows(_scored(spark, sf_dir), ["doc_id"], F.col("_scored"), ["s"])
-    return s.select("doc_id", "s.cand_id", "s.question", F.round("s.score", 6).alias("score"))
+    return s.select("doc_id", textprep.candidate_text(F.col("s.cand_id")).alias("cand_id"), "s.question", F.round("s.score", 6).alias("score"))
 
 
 @register("rank_candidates")
 def q_rank_candidates(spark, sf_dir):
     top = _scored(spark, sf_dir).withColumn("_top", augment.top_questions(F.col("_scored"), 10))
     r = explode_rows(top, ["doc_id"], F.col("_top"), ["rank0", "s"])
-    return r.select("doc_id", (F.col("rank0") + 1).alias("rank"), "s.cand_id", F.round("s.score", 6).alias("score"))
+    return r.select("doc_id", (F.col("rank0") + 1).alias("rank"),
+                    textprep.candidate_text(F.col("s.cand_id")).alias("cand_id"), F.round("s.score", 6).alias("score"))
 
 
 @register("augment")
@@ -317,8 +318,7 @@ def _updated_corpus(spark, sf_dir):
     keys = ["doc_id", "title", "text"]
     todo = (c.where(F.col("stage") == 1).select(*keys).distinct()
             .withColumn("_k", F.md5(F.concat_ws("\x1f", *keys))))
-    aug = augment.augment(todo, key="_k", text="text", n=25, seed=SEED)
-    updates = todo.join(aug, "_k").select(*keys, "questions")
+    updates = augment.augment(todo, key="_k", text="text", n=25, seed=SEED, keep=keys).select(*keys, "questions")
     return io.update_from(c, updates, keys, ["questions"])
 
 
@@ -338,45 +338,128 @@ def q_queue_pending(spark, sf_dir):
     return io.remove_processed(queue, done, ["doc_id", "text"]).select("doc_id", "corpus_ids")
 
 
+def _noise_indexes(spark, sf_dir):
+    """Two gold indexes (with and without questions) and both with the noise stage appended.
+
+    All three passage sets are encoded in one pass and stored; the noise vectors
+    are appended to both indexes.
+    """
+    checkpoint_dir(spark)
+    c = _updated_corpus(spark, sf_dir).checkpoint()
+    gold, noise = c.where(F.col("stage") < 3), c.where(F.col("stage") == 3)
+    # the row key: an answer group has one row per query it answers
+    key = F.concat_ws("|", "corpus_ids", F.coalesce("query_id", F.lit("")))
+    sets = [("qg", gold, ["title", "text", "questions"]), ("no_qg", gold, ["title", "text"]),
+            ("noise", noise, ["title", "text"])]
+    src = None
+    for name, rows, parts in sets:
+        one = textprep.compose_passage(rows, parts).select(F.lit(name).alias("set"), key.alias("key"), "doc_id", "passage")
+        src = one if src is None else src.unionByName(one)
+    encoded = models.encode(src, "key", "passage", keep=["set", "doc_id"]).checkpoint()
+    qg, no_qg = (vectors.build_index(encoded.where(F.col("set") == name), "key") for name in ("qg", "no_qg"))
+    return vectors.append_noise(encoded.where(F.col("set") == "noise"), [qg, no_qg])
+
+
 @register("append_noise")
 def q_append_noise(spark, sf_dir):
-    """Encode the noise stage once, append it to two indexes, report sizes."""
+    """Encode the noise stage once, append it to two indexes; sizes and a digest of the vectors."""
+    out = None
+    for name, idx in zip(("qg", "no_qg"), _noise_indexes(spark, sf_dir)):
+        n = vectors.index_stats(idx).withColumn("index_name", F.lit(name))
+        weight = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+        digest = idx.select("origin", weight.alias("w"), "vec_id").rollup("origin").agg(
+            F.round(F.sum("w"), 2).alias("vector_sum"), F.max("vec_id").alias("last_id")).select(
+            F.coalesce("origin", F.lit("__all__")).alias("origin"), "vector_sum", "last_id")
+        one = n.join(digest, "origin").select("index_name", "origin", "n", "vector_sum", "last_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _text_search(spark, sf_dir, k):
+    """Hits of every benchmark text among all passages (hashed bag of words)."""
     checkpoint_dir(spark)
-    c = _updated_corpus(spark, sf_dir).checkpoint()  # read three times below
-    gold = c.where(F.col("stage") < 3)
-    noise = c.where(F.col("stage") == 3)
-    with_q = textprep.compose_passage(gold, ["title", "text", "questions"])
-    no_q = textprep.compose_passage(gold, ["title", "text"])
-    noise_p = textprep.compose_passage(noise, ["title", "text"])
-
-    def index(df, origin):
-        enc = models.encode(df.select("corpus_ids", "passage"), "corpus_ids", "passage")
-        return vectors.build_index(enc.withColumn("doc_id", F.col("corpus_ids")), "corpus_ids", origin=origin)
-    noise_vecs = index(noise_p, "noise")
-    idx_q, idx_no = vectors.append_noise(noise_vecs, [index(with_q, "gold"), index(no_q, "gold")],
-                                         anti_keys=["vec_id"])
-    return (vectors.index_stats(idx_q).withColumn("index_name", F.lit("qg"))
-            .unionByName(vectors.index_stats(idx_no).withColumn("index_name", F.lit("no_qg")))
-            .select("index_name", "origin", "n"))
+    p = fixtures.passages(spark, sf_dir).select("corpus_id", "src", "num", "text")
+    encoded = models.encode(p, "corpus_id", "text", keep=["src", "num"])
+    index = sample.row_index(encoded, ["src", "num"], "vec_id")  # encoded once, stored by the numbering
+    b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
+    q = models.encode(b, "item_id", "text").withColumnRenamed("item_id", "query_id").checkpoint()
+    return vectors.knn(q, index, k, keep=["corpus_id", "src"])
+
+
+@register("text_hits")
+def q_text_hits(spark, sf_dir):
+    """First 20 passages of every benchmark text, by id: equal vectors in passage order."""
+    return _text_search(spark, sf_dir, 20).select("query_id", "rank", "corpus_id")
 
 
 @register("text_retrieval")
 def q_text_retrieval(spark, sf_dir):
-    """Benchmark texts retrieve passages (hashed bag of words, exact 100-NN);
-    a hit when a passage of the gold document is among the first k."""
-    checkpoint_dir(spark)
-    p = fixtures.passages(spark, sf_dir)
-    # encoded once, stored in the shared checkpoint folder (lineage cut, cheap counts)
-    index = models.encode(p.select("num", "text"), "num", "text").select(
-        F.col("num").alias("vec_id"), F.floor(F.col("num") / fixtures.LINE_STRIDE).cast("string").alias("doc_id"),
-        "embedding").checkpoint()
-    b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
-    q = models.encode(b, "item_id", "text").withColumnRenamed("item_id", "query_id").checkpoint()
-    gold = fixtures.answers(spark, sf_dir).select(
-        F.substring("query_id", 2, 20).cast("long").alias("query_id"),
-        F.floor(F.substring("corpus_id", 4, 30).cast("long") / fixtures.LINE_STRIDE).cast("string").alias("doc_id"))
-    hits = vectors.resolve_neighbors(vectors.knn(q, index, 100), index)
-    return evaluate.accuracy_at_k(hits, gold)
+    """Benchmark texts retrieve passages (exact 100-NN); a hit when a passage of
+    any document that holds the text is among the first k."""
+    gold = fixtures.answers(spark, sf_dir).select(F.col("item_id").alias("query_id"), "src")
+    return evaluate.accuracy_at_k(_text_search(spark, sf_dir, 100), gold, doc="src")
+
+
+@register("index_roundtrip")
+def q_index_roundtrip(spark, sf_dir):
+    """An index written, read back, extended by a second origin and searched; its
+    id map exported as JSON lines and parsed back names the hits."""
+    import os
+    import uuid
+    base = os.path.join(checkpoint_dir(spark), f"index-{uuid.uuid4().hex}")
+    e = read_table(spark, f"{sf_dir}/embeddings.parquet", ["vec_id", "embedding", "label"]).select(
+        F.col("vec_id").alias("key"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("doc_id"), "embedding")
+    io.write_index(vectors.build_index(e.where(F.col("key") % 2 == 0), "key"), f"{base}/index")
+    stored = io.read_index(spark, f"{base}/index")
+    extended, = vectors.append_noise(e, [stored])  # even keys are there already
+    io.write_index(extended.where(F.col("origin") == "noise"), f"{base}/index", mode="append")
+    whole = io.read_index(spark, f"{base}/index")
+    io.export_id_map(whole, f"{base}/ids")
+    queries = e.where(F.col("key") % 50 == 0).select(F.col("key").alias("query_id"), "embedding")
+    hits = vectors.knn(queries, whole, 5)
+    return hits.join(io.read_id_map(spark, f"{base}/ids"), "vec_id").select("query_id", "rank", "vec_id", "doc_id")
+
+
+@register("corpus_table_build")
+def q_corpus_table_build(spark, sf_dir):
+    """The corpus table written in three statements (create as select, two inserts)
+    and read back in its stored order of titles."""
+    import os
+    import uuid
+    path = os.path.join(checkpoint_dir(spark), f"corpus-{uuid.uuid4().hex}")
+    c = _corpus_level(2)(spark, sf_dir).drop("questions")
+    io.save_table(c.where(F.col("stage") == 1), path)
+    io.append_table(c.where(F.col("stage") == 2), path)
+    io.append_table(c.where(F.col("stage") == 3), path)
+    out = spark.read.parquet(path)
+    return out.orderBy("title", "corpus_ids", "query_id").select("stage", "query_id", "title", "corpus_ids")
+
+
+@register("passage_queries")
+def q_passage_queries(spark, sf_dir):
+    """Query texts merged into the corpus rows: left join on the query id (rows of
+    the queue have none), projected and de-duplicated; passage ids as integers."""
+    c = _corpus_level(2)(spark, sf_dir)
+    q = fixtures.queries(spark, sf_dir).withColumnRenamed("text", "query_text")
+    nums = F.transform(F.split("corpus_ids", ","), lambda x: F.substring_index(x, "_", -1).cast("int"))
+    merged = c.join(q, "query_id", "left").select("query_text", "doc_id", "title", "text", nums.alias("nums")).distinct()
+    return merged.select("query_text", "doc_id", "title", "text",
+                         F.aggregate("nums", F.lit(0), lambda a, x: a + x).alias("num_sum"))
+
+
+@register("plugged_augment")
+def q_plugged_augment(spark, sf_dir):
+    """Augmentation with generator and scorer plugged in as Arrow-batch models."""
+    return augment.augment(_documents(spark, sf_dir), n=10, seed=SEED, generator_factory=models.cloze_generator,
+                           scorer_factory=models.overlap_scorer)
+
+
+@register("plugged_entities")
+def q_plugged_entities(spark, sf_dir):
+    """Entities by an extractor plugged in as an Arrow-batch model."""
+    s = textprep.clean_sentences(_documents(spark, sf_dir))
+    return textprep.extract_entities(s, extractor_factory=textprep.pattern_extractor).select(
+        "doc_id", "sent_id", "ent_id", "ent_text", "label")
 
 
 @register("stream_augment")
@@ -411,13 +494,24 @@ def q_ingest_corpus(spark, sf_dir):
     return raw.select("doc_id", "lang", F.size(F.split("text", "\n", -1)).alias("n_passages"))
 
 
+def easy_noise(spark, sf_dir, n: int):
+    """'Easy' noise set: the first ``n`` distinct level-3 groups of the noise corpus
+    (the limit is the feature; ordered so that the choice is reproducible)."""
+    _, wiki = _corpora(spark, sf_dir)
+    g = curate.collapse_passages(wiki, 3, series="src").select(
+        "doc_id", "title", F.col("doc_text").alias("text")).distinct()
+    return sample.first_rows(g, ["doc_id", "title", "text"], n)
+
+
 @register("easy_noise")
 def q_easy_noise(spark, sf_dir):
-    """'Easy' noise set: the first 250,000 distinct level-3 groups of the noise
-    corpus (the limit is the feature; ordered so the choice is reproducible)."""
-    _, wiki = _corpora(spark, sf_dir)
-    g = curate.collapse_passages(wiki, 3).select("doc_id", "title", F.col("doc_text").alias("text")).distinct()
-    return g.orderBy("doc_id", "title", "text").limit(250000)
+    return easy_noise(spark, sf_dir, EASY_NOISE)
+
+
+@register("easy_noise_500")
+def q_easy_noise_500(spark, sf_dir):
+    """The same with a limit that binds on small tables too."""
+    return easy_noise(spark, sf_dir, 500)
 
 
 @register("process_batches")

@@ -28,16 +28,19 @@ NOISE_RATE = {1: 0.0075, 2: 0.0143, 3: 0.02}
 COLUMNS = ["stage", "query_id", "doc_id", "title", "text", "corpus_ids", "questions"]
 
 
+ORDER = ["src", "first_num"]
+
+
 def grouped(passages: DataFrame, level: int) -> DataFrame:
-    g = collapse_passages(passages, level)
+    g = collapse_passages(passages, level, series="src")
     return g.withColumn("corpus_ids", F.array_join("corpus_id_array", ","))
 
 
 def gold_groups(groups: DataFrame, answers: DataFrame) -> DataFrame:
-    """(query_id, doc_id, first_num): groups that contain an answer passage."""
-    ids = groups.select("doc_id", "first_num", F.explode("corpus_id_array").alias("corpus_id"))
+    """(query_id, doc_id, src, first_num): groups that contain an answer passage."""
+    ids = groups.select("doc_id", *ORDER, F.explode("corpus_id_array").alias("corpus_id"))
     return ids.join(answers.select("query_id", "corpus_id"), "corpus_id").select(
-        "query_id", "doc_id", "first_num")
+        "query_id", "doc_id", *ORDER).distinct()
 
 
 def build_corpus(answer_passages: DataFrame, noise_passages: DataFrame, answers: DataFrame,
@@ -49,23 +52,20 @@ def build_corpus(answer_passages: DataFrame, noise_passages: DataFrame, answers:
     gold = gold_groups(groups, answers).checkpoint()  # one row per gold group; three consumers
     typed_null = F.lit(None).cast("string")
 
-    stage1 = gold.join(groups, ["doc_id", "first_num"]).select(
+    stage1 = gold.join(groups, ["doc_id", *ORDER]).select(
         F.lit(1).alias("stage"), "query_id", "doc_id", "title", F.col("doc_text").alias("text"),
         "corpus_ids", typed_null.alias("questions"))
 
-    gold_keys = gold.join(groups.select("doc_id", "first_num", "corpus_ids"), ["doc_id", "first_num"])
     answer_docs = gold.select("doc_id").distinct()
-    cand = dedup_passages(groups.join(answer_docs, "doc_id", "left_semi"),
-                          ["doc_id", "title", "doc_text"], "first_num")
-    cand = cand.withColumn("corpus_ids", F.array_join("corpus_id_array", ","))
-    cand = cand.join(gold_keys.select("corpus_ids").distinct(), "corpus_ids", "left_anti")
+    # copies of a group count once; then groups that are gold themselves are left out
+    cand = dedup_passages(groups.join(answer_docs, "doc_id", "left_semi"), ["doc_id", "title", "doc_text"], ORDER)
+    cand = cand.join(gold, ["doc_id", *ORDER], "left_anti")
     stage2 = sample_per_group(cand, "doc_id", per_doc, "corpus_ids", seed=seed).select(
         F.lit(2).alias("stage"), typed_null.alias("query_id"), "doc_id", "title",
         F.col("doc_text").alias("text"), "corpus_ids", typed_null.alias("questions"))
 
     noise = not_in(grouped(noise_passages, level), "title", answer_passages, "title")
-    noise = dedup_passages(noise.drop("corpus_ids"), ["doc_id", "title", "doc_text"], "first_num")
-    noise = noise.withColumn("corpus_ids", F.array_join("corpus_id_array", ","))
+    noise = dedup_passages(noise, ["doc_id", "title", "doc_text"], ORDER)
     stage3 = sample_rate(noise, rate, "corpus_ids", seed=seed).select(
         F.lit(3).alias("stage"), typed_null.alias("query_id"), "doc_id", "title",
         F.col("doc_text").alias("text"), "corpus_ids", typed_null.alias("questions"))

@@ -4,17 +4,22 @@ The reference reads NQ / Wikipedia passage tables; the driver provides
 ``documents``, ``benchmark``, ``embeddings``, ``conversations`` and
 ``labels``.  These views map one onto the other, always over whole tables:
 
-* ``passages_raw``  -- one row per line of a document; ``corpus_id`` =
-  'doc' || (doc_id * 100000 + line); title = first three words of the first
-  line (so the first passage starts with its title, and copied documents
-  share titles).
-* ``passages``      -- doc ids by title, prefix strip, NULL title repair.
+* ``passages_raw``  -- one row per line of a document, identified by
+  (``src``, ``num``) = (document, line) and ``corpus_id`` = 'doc<src>_<num>';
+  title = the document's whole first line, which also stands in front of every
+  passage text, as in a raw dump (copied documents share titles).
+* ``passages``      -- doc ids by title, prefix strip (which gives every line
+  back complete), NULL title repair.
 * ``queries``       -- benchmark items, ``query_id`` = 'q' || item_id.
-* ``answers``       -- gold passage of each query: the first line of the
-  lowest document that contains the benchmark text.
+* ``answers``       -- gold passages: for every document that contains the
+  benchmark text, the line in which its first occurrence starts.
 * ``corpus_passages`` -- two corpora (answer corpus / noise corpus) split
   by a data attribute (English vs other documents), not by id.
 * ``qa_pairs``      -- a user turn and the assistant turn that follows it.
+
+Files with too few input splits for CPU-heavy text work (one large file) are
+spread by document id when the session sets ``passagekit.spread.input`` to
+true; the default reads tables as they are laid out.
 """
 
 from __future__ import annotations
@@ -28,37 +33,35 @@ from passagekit.operators.curate import curate_passages
 from passagekit.session import checkpoint_dir
 from passagekit.sources.io import read_table
 
-LINE_STRIDE = 100000
+PASSAGE = ["doc_id", "corpus_id", "src", "num", "title", "text"]
 
 
 def documents(spark: SparkSession, sf_dir: str, cols=None) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/documents.parquet", cols, spread_by="doc_id")
+    spread = spark.conf.get("passagekit.spread.input", "false") == "true"
+    return read_table(spark, f"{sf_dir}/documents.parquet", cols, spread_by="doc_id" if spread else None)
+
+
+def passage_id(src, num):
+    return F.concat(F.lit("doc"), src.cast("string"), F.lit("_"), num.cast("string"))
 
 
 def passages_raw(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
     """``where``: optional predicate on the documents table, applied in the scan
     (Parquet filter pushdown) before the lines are exploded."""
-    docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     if where is not None:
         docs = docs.where(where)
-    docs = docs.select("doc_id", "text")
-    par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if docs.rdd.getNumPartitions() < par:
-        docs = docs.repartition(par, "doc_id")
-    lines = explode_rows(docs, [
-        F.col("doc_id").alias("src"),
-        F.array_join(F.slice(F.split(F.split("text", "\n", -1)[0], " ", -1), 1, 3), " ").alias("title")],
-        F.split("text", "\n", -1), ["pos", "text"])
-    num = F.col("src") * F.lit(LINE_STRIDE) + F.col("pos")
-    return lines.select(
-        "src", F.concat(F.lit("doc"), num.cast("string")).alias("corpus_id"),
-        num.alias("num"), "title", "text")
+    lines = explode_rows(docs.select("doc_id", "text"), [
+        F.col("doc_id").alias("src"), F.substring_index("text", "\n", 1).alias("title")],
+        F.split("text", "\n", -1), ["num", "line"])
+    text = F.when(F.length("title") > 0, F.concat("title", F.lit(" "), "line")).otherwise(F.col("line"))
+    return lines.select("src", "num", passage_id(F.col("src"), F.col("num")).alias("corpus_id"), "title",
+                        text.alias("text"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, corpus_id, num, title, text`` with ids 'd_<dense rank of title>'."""
-    return curate_passages(passages_raw(spark, sf_dir), prefix="d_").select(
-        "doc_id", "corpus_id", "num", "title", "text")
+    """``doc_id, corpus_id, src, num, title, text`` with ids 'd_<dense rank of title>'."""
+    return curate_passages(passages_raw(spark, sf_dir), prefix="d_").select(*PASSAGE)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +70,13 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, corpus_id``: one gold passage per query that occurs in a document."""
+    """``query_id, item_id, src, corpus_id``: the gold passage of every document that holds the query's text."""
     docs = documents(spark, sf_dir, ["doc_id", "text"])
     b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
-    pairs = containment_pairs(docs, b)
-    gold = pairs.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     checkpoint_dir(spark)
-    gold = gold.checkpoint()  # read by several stages of the corpus builder
-    return gold.select(
-        F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"),
-        F.concat(F.lit("doc"), (F.col("doc_id") * F.lit(LINE_STRIDE)).cast("string")).alias("corpus_id"))
+    gold = containment_pairs(docs, b).checkpoint()  # read by several stages of the corpus builder
+    return gold.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "item_id",
+                       F.col("doc_id").alias("src"), passage_id(F.col("doc_id"), F.col("line")).alias("corpus_id"))
 
 
 def corpus_passages(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
@@ -84,8 +84,7 @@ def corpus_passages(spark: SparkSession, sf_dir: str, english: bool) -> DataFram
     documents (noise corpus, ids 'wikidoc_'); ids are ranked per corpus."""
     cond = F.col("lang") == "en" if english else ~(F.col("lang") == "en")
     raw = passages_raw(spark, sf_dir, where=cond)
-    return curate_passages(raw, prefix="d_" if english else "wikidoc_").select(
-        "doc_id", "corpus_id", "num", "title", "text")
+    return curate_passages(raw, prefix="d_" if english else "wikidoc_").select(*PASSAGE)
 
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

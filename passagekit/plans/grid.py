@@ -3,8 +3,8 @@
 Configurations = corpus (``gold``: answer passages and their document
 siblings, stages 1-2; ``wiki``: plus the sampled noise, stage 3) x concat
 level (1, 2, 3) x generated questions (``qg``/``no_qg``) x title in the
-passage template.  All indexes are encoded in one Arrow-batch pass and
-searched in one grouped k-NN job; one aggregate yields accuracy@k for all.
+passage template.  Distinct texts are encoded in one Arrow-batch pass; all
+indexes are searched in one grouped k-NN job; one aggregate yields accuracy@k.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagekit.operators import augment, evaluate, models, textprep, vectors
+from passagekit.operators.sample import row_index
 from passagekit.plans import corpus, fixtures
 from passagekit.session import checkpoint_dir
 from passagekit.sources.io import read_table, update_from
@@ -37,8 +38,7 @@ def corpus_with_questions(spark: SparkSession, sf_dir: str, levels=(1, 2, 3), n:
     keys = ["level", "doc_id", "title", "text"]
     todo = (allc.where(F.col("stage") == 1).select(*keys).distinct()
             .withColumn("_k", F.md5(F.concat_ws("\x1f", *keys))))
-    aug = augment.augment(todo, key="_k", text="text", n=n, seed=seed)
-    updates = todo.join(aug, "_k").select(*keys, "questions")
+    updates = augment.augment(todo, key="_k", text="text", n=n, seed=seed, keep=keys).select(*keys, "questions")
     return update_from(allc, updates, keys, ["questions"])
 
 
@@ -62,10 +62,10 @@ def retrieval_grid(spark: SparkSession, sf_dir: str, levels=(1, 2, 3), k: int =
     src = variants[0]
     for v in variants[1:]:
         src = src.unionByName(v)
-    # 60-bit id from the row key: the same value in any engine with md5
-    src = src.withColumn("vec_id", F.conv(F.substring(F.md5(F.concat_ws(
-        "|", "config", "corpus_ids", F.coalesce("query_id", F.lit("")))), 1, 15), 16, 10).cast("long"))
-    index = models.encode(src, "vec_id", "passage", keep=["config", "doc_id"]).checkpoint()
+    # every distinct passage text is encoded once, whatever number of configurations use it
+    texts = models.encode(src.select(F.md5("passage").alias("text_key"), "passage").distinct(), "text_key", "passage")
+    rows = src.withColumn("text_key", F.md5("passage")).drop("passage").join(texts, "text_key")
+    index = row_index(rows, ["config", "corpus_ids", F.col("query_id").asc_nulls_first()], "vec_id")
 
     gold = (c.where(F.col("stage") == 1).select("level", "query_id", "doc_id").distinct())
     gold_cfg = None
@@ -78,7 +78,6 @@ def retrieval_grid(spark: SparkSession, sf_dir: str, levels=(1, 2, 3), k: int =
     gold_cfg = gold_cfg.checkpoint()
     b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
     qv = models.encode(b, "item_id", "text").withColumnRenamed("item_id", "query_id")
-    queries = gold_cfg.join(qv, "query_id").select("config", "query_id", "embedding").checkpoint()
-    hits = vectors.knn(queries, index.select("config", "vec_id", "embedding"), k, group="config")
-    hits = hits.join(index.select("config", "vec_id", "doc_id"), ["config", "vec_id"])
+    queries = gold_cfg.select("config", "query_id").distinct().join(qv, "query_id").checkpoint()
+    hits = vectors.knn(queries, index, k, group="config", keep=["doc_id"])
     return evaluate.accuracy_by_group(hits, gold_cfg, "config", ks)

@@ -1,37 +1,37 @@
 """Independent SQL (DuckDB dialect) for every registered query.
 
-These are written the way the reference's warehouse SQL reads -- self
-joins, global windows, nested-loop distance scans -- which is fine for an
-oracle on small data and is exactly what the Spark plans avoid.
+Written from the stated semantics in the plainest form an engine on one machine
+can run -- global windows, all-pairs distances, whole pools -- which is fine for
+small data and is exactly what the Spark plans avoid.
 """
 
 from __future__ import annotations
 
-STRIDE = 100000
-
-PASSAGES_RAW = f"""
+PASSAGES_RAW = """
 passages_raw as (
-  select src, 'doc' || (src * {STRIDE} + pos - 1)::varchar as corpus_id, src * {STRIDE} + pos - 1 as num,
-         title, text
-  from (select doc_id as src,
-               unnest(string_split(text, chr(10))) as text,
-               generate_subscripts(string_split(text, chr(10)), 1) as pos,
-               array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:3], ' ') as title
-        from documents))"""
-
-PASSAGES = PASSAGES_RAW + """,
-passages as (
-  select 'd_' || dense_rank() over (order by title nulls first) as doc_id, corpus_id, num,
+  select src, num, 'doc' || src || '_' || num as corpus_id, title,
+         case when title = '' then line else title || ' ' || line end as text
+  from (select doc_id as src, (generate_subscripts(lines, 1) - 1)::INTEGER as num, unnest(lines) as line,
+               lines[1] as title
+        from (select doc_id, string_split(text, chr(10)) as lines from documents)))"""
+
+
+def _curate(name: str, raw: str, prefix: str) -> str:
+    """Ids by title, the title and one blank taken off the text."""
+    return f"""
+{name} as (
+  select '{prefix}' || dense_rank() over (order by title nulls first) as doc_id, corpus_id, src, num,
          coalesce(title, 'NaN') as title,
-         case when length(title) > 0 and substr(text, 1, length(title)) = title
-              then substr(text, length(title) + 2) else text end as text
-  from passages_raw)"""
+         case when title <> '' and starts_with(text, title) then substr(text, length(title) + 2) else text end as text
+  from {raw})"""
+
+
+PASSAGES = PASSAGES_RAW + "," + _curate("passages", "passages_raw", "d_")
 
 DEDUP_PASSAGES = PASSAGES + """,
 passages_dedup as (
-  select doc_id, corpus_id, num, title, text from (
-    select *, row_number() over (partition by doc_id, title, text order by num) as dupes from passages)
-  where dupes = 1)"""
+  select distinct on (doc_id, title, text) doc_id, corpus_id, src, num, title, text
+  from passages order by doc_id, title, text, src, num)"""
 
 # all pairs, leave-one-out, squared L2 in double
 PAIRS = """
@@ -61,37 +61,28 @@ KS = "(select unnest([10, 20, 50, 100]) as k) ks"
 
 
 def _collapse(src: str, n: int) -> str:
-    clean = "replace(replace({}.text, chr(13), ' '), chr(10), ' ')"
-    a, b, c = clean.format("A"), clean.format("B"), clean.format("C")
-    if n == 1:
-        return f"""
-select A.doc_id, A.corpus_id as corpus_ids, A.title, {a} as doc_text, A.num as first_num from {src} A"""
-    if n == 2:
-        return f"""
-select doc_id, case when b_id is null then a_id else a_id || ',' || b_id end as corpus_ids,
-       title, doc_text, first_num
-from (
-  select A.doc_id, A.title, A.corpus_id as a_id, B.corpus_id as b_id, A.num as first_num,
-         row_number() over (partition by A.doc_id order by A.num) as sub_grp,
-         case when B.corpus_id is null then {a} else {a} || ' ' || {b} end as doc_text
-  from {src} A left join {src} B on A.doc_id = B.doc_id and A.num = B.num - 1)
-where sub_grp % 2 = 1"""
+    """Every n-th passage of a document with the passages that directly follow it.
+
+    The next n-1 rows in id order are looked at; those whose id goes on by one
+    belong to the group (after a gap no later row can).
+    """
     return f"""
-select doc_id,
-       case when c_id is null and b_id is null then a_id
-            when c_id is null then a_id || ',' || b_id
-            else a_id || ',' || b_id || ',' || c_id end as corpus_ids,
-       title, doc_text, first_num
+select doc_id, array_to_string(list_transform(run, lambda x: x.k), ',') as corpus_ids, title,
+       array_to_string(list_transform(run, lambda x: translate(x.t, chr(13) || chr(10), '  ')), ' ') as doc_text,
+       src, num as first_num
 from (
-  select A.doc_id, A.title, A.corpus_id as a_id, B.corpus_id as b_id, C.corpus_id as c_id, A.num as first_num,
-         row_number() over (partition by A.doc_id order by A.num) as sub_grp,
-         case when C.corpus_id is null and B.corpus_id is null then {a}
-              when C.corpus_id is null then {a} || ' ' || {b}
-              else {a} || ' ' || {b} || ' ' || {c} end as doc_text
-  from {src} A
-  left join {src} B on A.doc_id = B.doc_id and A.num = B.num - 1
-  left join {src} C on B.doc_id = C.doc_id and B.num = C.num - 1)
-where sub_grp % 3 = 1"""
+  select doc_id, title, src, num, place, list_filter(ahead, lambda x, i: x.s = src and x.n = num + i - 1) as run
+  from (select doc_id, title, src, num,
+               row_number() over (partition by doc_id order by src, num) as place,
+               list({{'s': src, 'n': num, 'k': corpus_id, 't': text}}) over (
+                 partition by doc_id order by src, num rows between current row and {n - 1} following) as ahead
+        from {src}))
+where place % {n} = 1 % {n}"""
+
+
+def _first_copies(src: str) -> str:
+    return f"""
+select distinct on (doc_id, title, doc_text) * from ({src}) order by doc_id, title, doc_text, src, first_num"""
 
 
 ORACLE: dict[str, str] = {}
@@ -140,53 +131,48 @@ ORACLE["collapse_2"] = f"with {PASSAGES}" + _collapse("passages", 2)
 ORACLE["collapse_3"] = f"with {DEDUP_PASSAGES}" + _collapse("passages_dedup", 3)
 
 ORACLE["dedup_passages"] = f"""
-with {PASSAGES},
-c as ({_collapse("passages", 2)})
-select doc_id, title, doc_text, corpus_ids from (
-  select *, row_number() over (partition by doc_id, title, doc_text order by first_num) as dupes from c)
-where dupes = 1"""
+with {PASSAGES}
+select doc_id, title, doc_text, corpus_ids from ({_first_copies(_collapse("passages", 2))})"""
 
 
 # ------------------------------------------------------------------ coverage
-def _curated(name: str, cond: str, prefix: str) -> str:
-    return f"""
-{name}_raw as (select p.* from passages_raw p join documents d on d.doc_id = p.src where {cond}),
-{name} as (
-  select '{prefix}' || dense_rank() over (order by title nulls first) as doc_id, corpus_id, num,
-         coalesce(title, 'NaN') as title,
-         case when length(title) > 0 and substr(text, 1, length(title)) = title
-              then substr(text, length(title) + 2) else text end as text
-  from {name}_raw)"""
+def _corpus(name: str, cond: str, prefix: str) -> str:
+    raw = f"(select p.* from passages_raw p join documents d on d.doc_id = p.src where {cond})"
+    return _curate(name, raw, prefix)
 
 
-CORPORA = PASSAGES_RAW + "," + _curated("nq", "d.lang = 'en'", "d_") + "," + \
-    _curated("wiki", "not (d.lang = 'en')", "wikidoc_")
+CORPORA = PASSAGES_RAW + "," + _corpus("nq", "d.lang = 'en'", "d_") + "," + \
+    _corpus("wiki", "not (d.lang = 'en')", "wikidoc_")
 
-ANSWERS = f"""
+# in every document that holds the text: the line of its first occurrence
+ANSWERS = """
 answers as (
-  select 'q' || b.item_id as query_id, 'doc' || (min(d.doc_id) * {STRIDE})::varchar as corpus_id
-  from benchmark b join documents d on contains(d.text, b.text) group by b.item_id)"""
+  select 'q' || b.item_id as query_id, b.item_id, d.doc_id as src,
+         'doc' || d.doc_id || '_' || (len(string_split(d.text[1:strpos(d.text, b.text) - 1], chr(10))) - 1) as corpus_id
+  from benchmark b join documents d on strpos(d.text, b.text) > 0)"""
+
+
+def _loose(x: str) -> str:
+    return f"replace(lower({x}), ' ', '')"
+
 
 ORACLE["missing_titles_norm"] = f"""
 with {CORPORA}
-select A.title from (select distinct title from nq) A
-left join wiki B on regexp_replace(lower(A.title), ' ', '', 'g') = regexp_replace(lower(B.title), ' ', '', 'g')
-where B.title is null"""
+select distinct title from nq
+where not exists (select 1 from wiki where {_loose('wiki.title')} = {_loose('nq.title')})"""
 
 ORACLE["missing_titles_exact"] = f"""
 with {CORPORA}, {ANSWERS}
-select distinct A.title from nq A inner join answers B on A.corpus_id = B.corpus_id
-where A.title not in (select title from wiki)"""
+select distinct title from nq
+where corpus_id in (select corpus_id from answers)
+  and not exists (select 1 from wiki where wiki.title = nq.title)"""
 
 ORACLE["title_coverage"] = f"""
 with {CORPORA},
-t as (select distinct title from nq),
-m as (select A.title from t A
-      left join (select distinct regexp_replace(lower(title), ' ', '', 'g') as k from wiki) B
-        on regexp_replace(lower(A.title), ' ', '', 'g') = B.k
-      where B.k is null)
-select (select count(*) from t) as n_titles, (select count(*) from m)::BIGINT as n_missing,
-       round((select count(*) from m)::DOUBLE * 100.0 / (select count(*) from t), 6) as missing_pct"""
+t as (select title, exists (select 1 from wiki where {_loose('wiki.title')} = {_loose('n.title')}) as found
+      from (select distinct title from nq) n)
+select count(*) as n_titles, count(*) filter (not found) as n_missing,
+       round(count(*) filter (not found)::DOUBLE * 100.0 / count(*), 6) as missing_pct from t"""
 
 ORACLE["query_trace"] = f"""
 with {PASSAGES}, {ANSWERS}
@@ -235,31 +221,21 @@ select corpus_id, (ntile(20) over (order by u, corpus_id))::INTEGER as batch_id,
 
 
 def _corpus_sql(level: int, rate: float) -> str:
-    def grp(src):
-        return _collapse(src, level)
+    cols = "title, doc_text as text, corpus_ids, NULL::VARCHAR as questions"
     return f"""
 with {CORPORA}, {ANSWERS},
-grp as ({grp('nq')}),
-gold as (select a.query_id, g.* from grp g join answers a
+grp as ({_collapse('nq', level)}),
+gold as (select distinct a.query_id, g.* from grp g join answers a
            on list_contains(string_split(g.corpus_ids, ','), a.corpus_id)),
-s1 as (select 1 as stage, query_id, doc_id, title, doc_text as text, corpus_ids from gold),
-s2 as (
-  select 2 as stage, NULL::VARCHAR as query_id, doc_id, title, doc_text as text, corpus_ids from (
-    select *, row_number() over (partition by doc_id order by {U('corpus_ids')}, corpus_ids) as pos from (
-      select * from (
-        select *, row_number() over (partition by doc_id, title, doc_text order by first_num) as dupes
-        from grp where doc_id in (select doc_id from gold))
-      where dupes = 1 and corpus_ids not in (select corpus_ids from gold)))
-  where pos <= 5),
-wgrp as ({grp('wiki')}),
-s3 as (
-  select 3 as stage, NULL::VARCHAR as query_id, doc_id, title, doc_text as text, corpus_ids from (
-    select *, row_number() over (partition by doc_id, title, doc_text order by first_num) as dupes
-    from wgrp where title not in (select title from nq))
-  where dupes = 1 and {U('corpus_ids')} < {rate})
-select stage, query_id, doc_id, title, text, corpus_ids, NULL::VARCHAR as questions from s1
-union all select stage, query_id, doc_id, title, text, corpus_ids, NULL::VARCHAR from s2
-union all select stage, query_id, doc_id, title, text, corpus_ids, NULL::VARCHAR from s3"""
+others as (
+  select *, row_number() over (partition by doc_id order by {U('corpus_ids')}, corpus_ids) as place
+  from ({_first_copies('select * from grp where doc_id in (select doc_id from gold)')}) g
+  where not exists (select 1 from gold where gold.corpus_ids = g.corpus_ids)),
+noise as ({_first_copies(f"select * from ({_collapse('wiki', level)}) w "
+                         "where not exists (select 1 from nq where nq.title = w.title)")})
+select 1 as stage, query_id, doc_id, {cols} from gold
+union all select 2 as stage, NULL::VARCHAR as query_id, doc_id, {cols} from others where place <= 5
+union all select 3 as stage, NULL::VARCHAR as query_id, doc_id, {cols} from noise where {U('corpus_ids')} < {rate}"""
 
 
 for _lvl, _rate in ((1, 0.0075), (2, 0.0143), (3, 0.02)):
@@ -274,7 +250,7 @@ where c.stage = 1"""
 
 # ------------------------------------------------------------------ text preparation
 def _sentence_chain(col: str) -> str:
-    from passagekit.functions.text import SENTENCE_STEPS
+    from passagekit.functions.text import SENTENCE_STEPS, spelled_out
     t = f"(' ' || {col} || '  ')"
     for kind, a, b in SENTENCE_STEPS:
         if kind == "lit":
@@ -282,16 +258,17 @@ def _sentence_chain(col: str) -> str:
             t = f"replace({t}, {sa}, '{b}')"
         else:
             rb = b.replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")
-            t = f"regexp_replace({t}, '{a}', '{rb}', 'g')"
+            t = f"regexp_replace({t}, '{spelled_out(a)}', '{rb}', 'g')"
     return t
 
 
 def _sentences(src: str, key: str, col: str) -> str:
     """(key, parts) -> unnest rows (key, pos, sentence); pos 1-based."""
+    from passagekit.functions.text import STRIP
     return f"""
 select {key}, generate_subscripts(s, 1) as pos, unnest(s) as sentence from (
   select {key}, list_transform(parts[1:len(parts) - 1],
-                               lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as s
+                               lambda x: regexp_replace(x, '{STRIP}', '', 'g')) as s
   from (select {key}, string_split({_sentence_chain(col)}, '<stop>') as parts from {src}))"""
 
 
@@ -342,37 +319,23 @@ def _u3(a: str, b: str, c: str) -> str:
 
 
 CHOICES = ENTITIES + f""",
-pool as (select distinct doc_id, ent_text, label from ents_l),
-poolh as (select *, {_u3('doc_id', 'ent_text', 'label')} as h from pool),
-psize as (select doc_id, count(*) as n_pool from pool group by doc_id),
-same as (
-  select doc_id, label, list_sort(list({{'h': h, 'ent_text': ent_text}})) as same_l from (
-    select *, row_number() over (partition by doc_id, label order by h, ent_text) as r from poolh)
-  where r <= 4 group by doc_id, label),
-other as (
-  select doc_id, list_sort(list({{'h': h, 'ent_text': ent_text, 'label': label}})) as other_l from (
-    select *, row_number() over (partition by doc_id order by h, ent_text, label) as r from poolh)
-  where r <= 6 group by doc_id),
-picked as (
-  select e.doc_id, e.sent_id, e.ent_id, e.ent_text, e.label, m,
-         list_transform(list_filter(s.same_l, lambda x: x.ent_text <> e.ent_text), lambda x: x.ent_text)[1:m] as first_l,
-         list_transform(list_filter(o.other_l, lambda x: x.label <> e.label), lambda x: x.ent_text) as rest_l
-  from (select e.*, least(4, z.n_pool) - 1 as m from ents_l e join psize z using (doc_id)) e
-  join same s on s.doc_id = e.doc_id and s.label = e.label
-  join other o on o.doc_id = e.doc_id),
-opts as (
-  select doc_id, sent_id, ent_id, ent_text, label,
-         list_concat([{{'answer': ent_text, 'correct': true}}],
-                     list_transform(case when m - len(first_l) > 0 then list_concat(first_l, rest_l[1:m - len(first_l)])
-                                         else first_l end, lambda t: {{'answer': t, 'correct': false}})) as o
-  from picked),
+pool as (select distinct doc_id, ent_text, label, {_u3('doc_id', 'ent_text', 'label')} as h from ents_l),
+psize as (select doc_id, least(4, count(*)) - 1 as m from pool group by doc_id),
+pairs as (
+  select e.doc_id, e.ent_text, p.ent_text as wrong,
+         row_number() over (partition by e.doc_id, e.ent_text, e.label
+                            order by p.label <> e.label, p.h, p.ent_text, p.label) as place
+  from pool e join pool p on p.doc_id = e.doc_id and (p.ent_text <> e.ent_text or p.label <> e.label)),
+options as (
+  select doc_id, ent_text, wrong as answer, false as correct from pairs join psize using (doc_id) where place <= m
+  union all select doc_id, ent_text, ent_text, true from pool),
+texts as (
+  select doc_id, ent_text, string_agg(answer || '|' || correct::VARCHAR, ';'
+         order by {_u3('doc_id', 'ent_text', 'answer')}, answer, correct) as choices
+  from options group by doc_id, ent_text),
 choices as (
-  select doc_id, sent_id, ent_id, ent_text, label,
-         array_to_string(list_transform(
-           list_sort(list_transform(o, lambda x: {{'h': {_u3('doc_id', 'ent_text', 'x.answer')}, 'answer': x.answer,
-                                                   'correct': x.correct}})),
-           lambda x: x.answer || '|' || x.correct::VARCHAR), ';') as choices
-  from opts)"""
+  select e.doc_id, e.sent_id, e.ent_id, e.ent_text, e.label, t.choices
+  from ents_l e join texts t on t.doc_id = e.doc_id and t.ent_text = e.ent_text)"""
 
 ORACLE["sentence_split"] = f"""
 select doc_id, (pos - 1)::INTEGER as sent_id, sentence from ({_sentences('documents', 'doc_id', 'text')})"""
@@ -394,11 +357,11 @@ segsent as (
           from ({_sentences('segments', 'doc_id, seg_id, segment', 'segment')})
           group by doc_id, seg_id, segment, sentence))),
 cands as (
-  select doc_id, (seg_id::BIGINT << 40) + (sent_id::BIGINT << 20) as cand_id, 'sentences' as style,
-         sentence as answer, segment as context from segsent
+  select doc_id, 0 as kind, seg_id::BIGINT as part, sent_id::BIGINT as item, 'sentences' as style,
+         sentence as answer, segment as context, '0:' || seg_id || ':' || sent_id as cand_id from segsent
   union all
-  select e.doc_id, (1::BIGINT << 60) + (e.sent_id::BIGINT << 20) + e.ent_id::BIGINT, 'multiple_choice',
-         e.ent_text, e.sentence from ents_l e)"""
+  select e.doc_id, 1, e.sent_id, e.ent_id, 'multiple_choice', e.ent_text, e.sentence,
+         '1:' || e.sent_id || ':' || e.ent_id from ents_l e)"""
 
 ORACLE["prompts"] = f"""
 with recursive {SEGMENTS}, {ENTITIES}, {PROMPT_CANDS}
@@ -409,11 +372,13 @@ ORACLE["token_columns"] = """
 with t as (
   select 'q' || item_id as query_id,
          list_transform(list_filter(string_split(lower(text), ' '), lambda x: x <> ''),
-                        lambda x: ((('0x' || substr(md5(x), 1, 8))::BIGINT % 30000) + 1)::INTEGER)[1:20] as ids
-  from benchmark)
-select query_id, array_to_string(list_resize(ids, 20, 0), ',') as ids,
-       array_to_string(list_resize(list_transform(ids, lambda x: 1), 20, 0), ',') as mask
-from t"""
+                        lambda x: ((('0x' || substr(md5(x), 1, 8))::BIGINT % 30000) + 1)::INTEGER) as ids
+  from benchmark),
+w as (select query_id, ids, unnest(range(greatest(1, (len(ids) + 19) // 20)))::INTEGER as win from t),
+cut as (select query_id, win, ids[win * 20 + 1:win * 20 + 20] as own from w)
+select query_id, win as "window", array_to_string(list_resize(own, 20, 0), ',') as ids,
+       array_to_string(list_resize(list_transform(own, lambda x: 1), 20, 0), ',') as mask
+from cut"""
 
 ORACLE["passage_template"] = f"""
 with c as ({_corpus_sql(3, 0.02)})
@@ -456,7 +421,7 @@ scored as (
                       / len(list_distinct(list_concat({_words('question')}, {_words('answer')}))) end as score
   from qs),
 ranked_c as (
-  select *, row_number() over (partition by doc_id order by score desc, cand_id) as rank from scored)"""
+  select *, row_number() over (partition by doc_id order by score desc, kind, part, item) as rank from scored)"""
 
 
 def augment_sql(src: str, n: int) -> str:
@@ -497,7 +462,7 @@ updated as (
   on u.d = c.doc_id and u.title = c.title and u.text = c.text)"""
 
 ORACLE["update_questions"] = f"""
-with recursive {UPDATED.lstrip().replace('corpus3 as (', 'corpus3 as (', 1)}
+with recursive {UPDATED.lstrip()}
 select stage, query_id, corpus_ids, questions from updated"""
 
 ORACLE["queue_pending"] = f"""
@@ -507,20 +472,40 @@ select doc_id, corpus_ids from q
 where not exists (select 1 from d where d.doc_id = q.doc_id and d.text = q.text)"""
 
 ORACLE["append_noise"] = f"""
-with c as ({_corpus_sql(3, 0.02)}),
-s as (select case when stage < 3 then 'gold' else 'noise' end as origin, count(*) as n from c group by 1),
-t as (select origin, n from s union all select '__all__', sum(n)::BIGINT from s)
-select 'qg' as index_name, origin, n from t union all select 'no_qg', origin, n from t"""
-
-ORACLE["text_retrieval"] = f"""
-with {PASSAGES}, {ANSWERS},
-ptok as (select num, unnest({_words('text')}) as t from passages),
-ptf as (select num, {_bucket('t')} as b, count(*)::DOUBLE as tf from ptok group by all),
-pw as (select num, b, tf / sqrt(sum(tf * tf) over (partition by num)) as w from ptf),
+with recursive {UPDATED.lstrip()},
+rows as (
+  select 'qg' as index_name, 'gold' as origin, stage, query_id, corpus_ids,
+         concat_ws(' [SEP] ', coalesce(title, ''), coalesce(text, ''), coalesce(questions, '')) as passage
+  from updated where stage < 3
+  union all
+  select 'no_qg', 'gold', stage, query_id, corpus_ids, concat_ws(' [SEP] ', coalesce(title, ''), coalesce(text, ''))
+  from updated where stage < 3
+  union all
+  select i, 'noise', stage, query_id, corpus_ids, concat_ws(' [SEP] ', coalesce(title, ''), coalesce(text, ''))
+  from updated, (select unnest(['qg', 'no_qg']) as i) where stage = 3),
+ntok as (select index_name, origin, query_id, corpus_ids, unnest({_words('passage')}) as t from rows),
+ntf as (select index_name, origin, query_id, corpus_ids, {_bucket('t')} as b, count(*)::DOUBLE as tf
+        from ntok group by all),
+nw as (select index_name, origin, (b + 1) * tf / sqrt(sum(tf * tf) over (
+         partition by index_name, origin, query_id, corpus_ids)) as w from ntf),
+sums as (select index_name, origin, sum(w) as s from nw group by all),
+sizes as (select index_name, origin, count(*) as n from rows group by all),
+one as (
+  select z.index_name, z.origin, z.n, s.s, case when z.origin = 'gold' then z.n - 1
+         else sum(z.n) over (partition by z.index_name) - 1 end as last_id
+  from sizes z join sums s on s.index_name = z.index_name and s.origin = z.origin)
+select index_name, origin, n, round(s, 2) as vector_sum, last_id::BIGINT as last_id from one
+union all
+select index_name, '__all__', sum(n)::BIGINT, round(sum(s), 2), max(last_id)::BIGINT from one group by index_name"""
+
+TEXT_RANKED = f"""
+ptok as (select src, num, unnest({_words('text')}) as t from passages),
+ptf as (select src, num, {_bucket('t')} as b, count(*)::DOUBLE as tf from ptok group by all),
+pw as (select src, num, b, tf / sqrt(sum(tf * tf) over (partition by src, num)) as w from ptf),
 pdense as (
-  select p.num, list(coalesce(w.w, 0.0) order by g.b) as e
+  select p.src, p.num, list(coalesce(w.w, 0.0) order by g.b) as e
   from passages p cross join (select unnest(range(64)) as b) g
-  left join pw w on w.num = p.num and w.b = g.b group by p.num),
+  left join pw w on w.src = p.src and w.num = p.num and w.b = g.b group by p.src, p.num),
 qtok as (select item_id, unnest({_words('text')}) as t from benchmark),
 qtf as (select item_id, {_bucket('t')} as b, count(*)::DOUBLE as tf from qtok group by all),
 qw as (select item_id, b, tf / sqrt(sum(tf * tf) over (partition by item_id)) as w from qtf),
@@ -529,21 +514,48 @@ qdense as (
   from benchmark q cross join (select unnest(range(64)) as b) g
   left join qw w on w.item_id = q.item_id and w.b = g.b group by q.item_id),
 pairs as (
-  select q.item_id, p.num,
+  select q.item_id, p.src, p.num,
          list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - p.e[i]) * (q.e[i] - p.e[i]))) as d2
   from qdense q cross join pdense p),
 ranked as (
-  select item_id, num, row_number() over (partition by item_id order by d2, num) as rank from pairs),
-gold as (select substr(query_id, 2)::BIGINT as item_id,
-                (substr(corpus_id, 4)::BIGINT // {STRIDE})::VARCHAR as doc from answers),
+  select item_id, src, num, row_number() over (partition by item_id order by d2, src, num) as rank from pairs)"""
+
+ORACLE["text_hits"] = f"""
+with {PASSAGES}, {TEXT_RANKED}
+select item_id as query_id, rank::INTEGER as rank, 'doc' || src || '_' || num as corpus_id from ranked where rank <= 20"""
+
+ORACLE["text_retrieval"] = f"""
+with {PASSAGES}, {ANSWERS}, {TEXT_RANKED},
 best as (
-  select g.item_id, min(r.rank) as best from gold g
-  left join ranked r on r.item_id = g.item_id and r.rank <= 100 and (r.num // {STRIDE})::VARCHAR = g.doc
-  group by g.item_id)
+  select q.item_id, (select min(r.rank) from ranked r join answers g on g.item_id = r.item_id and g.src = r.src
+                     where r.item_id = q.item_id and r.rank <= 100) as best
+  from (select distinct item_id from answers) q)
 select k, round(sum(case when best <= k then 1 else 0 end)::DOUBLE * 100.0 / count(*), 6) as accuracy,
        count(*) as n
 from best, {KS} group by k"""
 
+ORACLE["index_roundtrip"] = """
+with ids as (
+  select vec_id as key, 'label' || label as doc_id, embedding as e,
+         row_number() over (order by vec_id % 2, vec_id) - 1 as vec_id from embeddings),
+pairs as (
+  select q.key as query_id, x.vec_id, x.doc_id,
+         list_sum(list_transform(range(1, len(q.e) + 1),
+                  lambda i: (q.e[i]::double - x.e[i]::double) * (q.e[i]::double - x.e[i]::double))) as d2
+  from ids q join ids x on q.key % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from pairs)
+select query_id, rank::INTEGER as rank, vec_id, doc_id from ranked where rank <= 5"""
+
+ORACLE["corpus_table_build"] = f"""
+select stage, query_id, title, corpus_ids from ({_corpus_sql(2, 0.0143)})"""
+
+ORACLE["passage_queries"] = f"""
+with c as ({_corpus_sql(2, 0.0143)})
+select distinct b.text as query_text, c.doc_id, c.title, c.text,
+       list_sum(list_transform(string_split(c.corpus_ids, ','), lambda x: string_split(x, '_')[2]::INTEGER))::INTEGER
+         as num_sum
+from c left join benchmark b on 'q' || b.item_id = c.query_id"""
+
 ORACLE["stream_augment"] = f"""
 with recursive {PASSAGES}, src_docs as (select corpus_id as doc_id, text from passages),
 {augment_sql('src_docs', 25)}
@@ -592,8 +604,7 @@ updated as (
     join aug a on a.doc_id = md5(concat_ws(chr(31), t.level, t.d, t.title, t.text))) u
   on u.level = c.level and u.d = c.doc_id and u.title = c.title and u.text = c.text),
 variants as ({' union all '.join(variants)}),
-vsrc as (select *, ('0x' || substr(md5(concat_ws('|', config, corpus_ids, coalesce(query_id, ''))), 1, 15))::BIGINT
-                   as vec_id from variants),
+vsrc as (select *, row_number() over (order by config, corpus_ids, query_id nulls first) as vec_id from variants),
 {_dense('vsrc', 'vec_id', 'passage', 'p')},
 {_dense('benchmark', 'item_id', 'text', 'q')},
 gold_l as (select distinct level, query_id, doc_id from updated where stage = 1),
@@ -601,7 +612,7 @@ gold_cfg as ({' union all '.join(golds)}),
 pairs as (
   select g.config, g.query_id, v.vec_id, v.doc_id,
          list_sum(list_transform(range(1, 65), lambda i: (qd.e[i] - pd.e[i]) * (qd.e[i] - pd.e[i]))) as d2
-  from gold_cfg g join q_dense qd on qd.k = g.query_id
+  from (select distinct config, query_id from gold_cfg) g join q_dense qd on qd.k = g.query_id
   join vsrc v on v.config = g.config join p_dense pd on pd.k = v.vec_id),
 ranked as (select *, row_number() over (partition by config, query_id order by d2, vec_id) as rank from pairs),
 best as (
@@ -618,10 +629,18 @@ ORACLE["retrieval_grid"] = _grid_sql()
 ORACLE["ingest_corpus"] = """
 select doc_id, lang, len(string_split(text, chr(10)))::INTEGER as n_passages from documents"""
 
-ORACLE["easy_noise"] = f"""
+def _easy_noise(n: int) -> str:
+    return f"""
 with {CORPORA}
 select distinct doc_id, title, doc_text as text from ({_collapse('wiki', 3)})
-order by doc_id, title, text limit 250000"""
+order by doc_id, title, text limit {n}"""
+
+
+ORACLE["easy_noise"] = _easy_noise(250000)
+ORACLE["easy_noise_500"] = _easy_noise(500)
+
+ORACLE["plugged_augment"] = ORACLE["augment"].replace("rank <= 25", "rank <= 10")
+ORACLE["plugged_entities"] = ORACLE["entities"]
 
 ORACLE["process_batches"] = f"""
 with recursive {PASSAGES},

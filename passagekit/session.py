@@ -39,6 +39,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          # checkpoint files (lineage cuts) are removed once their RDD is unreachable
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", os.environ.get("PASSAGEKIT_DRIVER_MEM", "16g"))
+         # local runs read single-file tables: spread them over the cores
+         .config("passagekit.spread.input", "true")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
@@ -60,24 +62,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there).  Only when it is unset, as in local tests, a scratch folder is
-    created and registered.
+    there).  When it is unset, a local master (tests) gets a scratch folder;
+    on any other master a machine-local folder would be lost to the other
+    machines, so that is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        # tests only: ``spark.checkpoint.dir`` is a startup setting and cannot be
-        # changed at runtime, so the scratch folder is registered on the context
+        master = sc.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        # ``spark.checkpoint.dir`` is a startup setting and cannot be changed at
+        # runtime, so the scratch folder is registered on the context
         d = tempfile.mkdtemp(prefix="passagekit-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 _SHIPPED: set = set()
 
 

@@ -13,21 +13,18 @@ from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, path: str, cols: list[str] | None = None,
-               spread_by: str | None = None) -> DataFrame:
+               spread_by: str | None = None, partitions: int | None = None) -> DataFrame:
     """``SELECT cols FROM table``; the projection reaches the Parquet scan.
 
-    ``spread_by``: for CPU-heavy per-row work (regex chains over whole
-    texts).  When the files give fewer input splits than the session's
-    parallelism -- one large file with a single row group -- the rows are
-    hash-partitioned on that key; a normally laid-out table is left alone.
+    ``spread_by``: hash-partition the rows on that key right after the scan.
+    For CPU-heavy work on whole texts over files with too few input splits (one
+    large file); the caller decides, nothing depends on the table's size.
     """
     df = spark.read.parquet(path)
     if cols:
         df = df.select(*cols)
     if spread_by:
-        par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if df.rdd.getNumPartitions() < par:
-            df = df.repartition(par, spread_by)
+        df = df.repartition(partitions, spread_by) if partitions else df.repartition(spread_by)
     return df
 
 
@@ -64,8 +61,21 @@ def append_results(df: DataFrame, path: str) -> None:
     save_table(df, path, mode="append", partition_by=["batch_id"] if "batch_id" in df.columns else None)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a stored table?  Only existence is asked: unreadable tables still fail when read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or an empty one
+            return False
+        raise
+    return True
+
+
 def write_index(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Vector table ``(vec_id, doc_id, embedding, origin)``; the id map is a column."""
+    """Vector table ``(vec_id, key, doc_id, embedding, origin)``; the id map is a column."""
     save_table(vectors, path, mode=mode)
 
 
@@ -79,6 +89,13 @@ def export_id_map(vectors: DataFrame, path: str) -> None:
                                       "doc_id")).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_id_map(spark: SparkSession, path: str) -> DataFrame:
+    """The exported map as ``(vec_id, doc_id)``."""
+    row = F.from_json("value", "pos string, doc_id string")
+    return spark.read.text(path).select(row.alias("r")).select(
+        F.col("r.pos").cast("long").alias("vec_id"), F.col("r.doc_id").alias("doc_id"))
+
+
 def remove_processed(pending: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Queue rows not yet processed: anti-join on the *pair* of keys.
 

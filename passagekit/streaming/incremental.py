@@ -21,15 +21,7 @@ from pyspark.sql import functions as F
 
 from passagekit.operators.augment import augment
 from passagekit.session import checkpoint_dir
-
-
-def _existing_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """Keys already in the target, or None when the target does not exist yet."""
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.parquet(path).select(key)
-    except AnalysisException:
-        return None
+from passagekit.sources.io import table_exists
 
 
 def stream_augment(spark: SparkSession, in_dir: str, out_dir: str, ckpt: str, schema,
@@ -42,12 +34,15 @@ def stream_augment(spark: SparkSession, in_dir: str, out_dir: str, ckpt: str, sc
     queue = reader.parquet(in_dir)
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        pending = batch
-        done = _existing_keys(spark, out_dir, key)
-        if done is not None:
+        # a key that arrives twice in one micro-batch is processed once
+        others = [c for c in batch.columns if c != key]
+        pending = batch.dropDuplicates([key])
+        if table_exists(spark, out_dir):
+            # rows of this epoch are being replaced (a replay), so they do not count as done
+            done = spark.read.parquet(out_dir).where(F.col("batch_id") != epoch_id).select(key)
             pending = pending.join(done, key, "left_anti")
-        aug = augment(pending, key=key, text=text, n=n, seed=seed)
-        out = pending.join(aug, key).withColumn("batch_id", F.lit(epoch_id))
+        out = augment(pending, key=key, text=text, n=n, seed=seed, keep=others).withColumn(
+            "batch_id", F.lit(epoch_id))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out_dir))
 

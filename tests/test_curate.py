@@ -54,7 +54,7 @@ def test_collapse_levels_match_reference_semantics(spark):
 def test_collapse_across_chunks(spark):
     rows = [("d", i, f"k{i}", "T", f"t{i}") for i in list(range(0, 40)) + list(range(50, 63))]
     df = _df(spark, rows)
-    pos = curate.group_positions(df, "doc_id", "num", chunk=4)
+    pos = curate.group_positions(df, "doc_id", ["num"])
     ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("num")))
     assert sorted(pos.select("num", "pos").collect()) == sorted(ref.select("num", "pos").collect())
     got = curate.collapse_passages(df, 3).select(
@@ -109,14 +109,14 @@ def test_dedup_numeric_order(spark):
 
 def test_hot_title_and_hot_document(spark):
     """One title / one document holding a third of all rows: ids and positions
-    stay exact (positions are computed per id chunk, ids per distinct title)."""
+    stay exact (positions come from range partitions, ids from distinct titles)."""
     rows = [("hot", i, f"line {i}") for i in range(300)] + \
            [(f"t{j}", 1000 + j, f"other {j}") for j in range(600)]
     df = spark.createDataFrame(rows, "title string, num long, text string").repartition(5)
     ids = curate.assign_doc_ids(df, "title", prefix="d_")
     per_title = ids.groupBy("title").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").count()
     assert per_title == 0 and ids.select("doc_id").distinct().count() == 601
-    pos = curate.group_positions(ids, "doc_id", "num", chunk=32)
+    pos = curate.group_positions(ids, "doc_id", ["num"])
     hot = sorted((r["num"], r["pos"]) for r in pos.where("title = 'hot'").collect())
     assert [p for _, p in hot] == list(range(1, 301))
 
@@ -161,3 +161,31 @@ def test_collapse_level_one_is_identity_up_to_newlines(spark):
         "doc_id", F.array_join("corpus_id_array", ",").alias("corpus_ids"), "doc_text").collect())
     expect = sorted((r[0], r[2], r[4].replace("\r", " ").replace("\n", " ")) for r in ROWS)
     assert got == expect
+
+
+def test_collapse_series_over_one_title(spark):
+    """Many source documents share one title (one doc_id): lines only follow each
+    other inside a source, positions run over all of them."""
+    rows = [("hot", s, n, f"{s}_{n}", "T", f"text {s} {n}") for s in range(120) for n in range(s % 5)]
+    df = spark.createDataFrame(rows, "doc_id string, src long, num int, corpus_id string, title string, text string")
+    got = curate.collapse_passages(df.repartition(7), 2, series="src").collect()
+    at = {(r[1], r[2]): r for r in rows}
+    want = []
+    for place, key in enumerate(sorted(at)):
+        if place % 2 == 0:
+            follow = at.get((key[0], key[1] + 1))
+            want.append((*key, [at[key][3]] + ([follow[3]] if follow else [])))
+    assert sorted((r["src"], r["first_num"], r["corpus_id_array"]) for r in got) == want
+
+
+def test_collapse_rejects_repeated_ids(spark):
+    import pytest
+    df = _df(spark, [("d", 1, "a", "T", "x"), ("d", 1, "b", "T", "y")])
+    with pytest.raises(Exception, match="occurs twice"):
+        curate.collapse_passages(df, 2).collect()
+
+
+def test_dedup_by_pair(spark):
+    df = spark.createDataFrame([("t", 2, 1, "b"), ("t", 1, 9, "a"), ("t", 1, 10, "c")],
+                               "text string, src long, num int, key string")
+    assert [r["key"] for r in curate.dedup_passages(df, ["text"], ["src", "num"]).collect()] == ["a"]

@@ -19,3 +19,23 @@ def test_checkpoint_dir_uses_configured_folder(spark):
     if configured:
         assert d == configured              # the cluster's shared folder wins
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_checkpoint_dir_is_required_on_a_cluster():
+    import pytest
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())

@@ -202,3 +202,61 @@ def test_pluggable_generator_equals_inrow_default(spark):
     a = sorted(tuple(r) for r in augment.augment(docs, n=5, seed=3).collect())
     b = sorted(tuple(r) for r in augment.augment(docs, n=5, seed=3, generator_factory=generator_factory).collect())
     assert len(a) == 200 and a == b
+
+
+def test_process_batches_twice_gives_each_key_once(spark):
+    import os
+    import tempfile
+    from passagekit.plans.queue import process_batches
+    target = os.path.join(tempfile.mkdtemp(prefix="pk-batches-"), "t")
+    queue = spark.createDataFrame([(f"k{i}", f"Item {i} is here. It is fine.") for i in range(60)],
+                                  "corpus_id string, text string")
+    for seed in (3, 3, 4):
+        rest = process_batches(queue, target, "corpus_id", n=2, batch_size=10, num_batches=2, seed=seed)
+    done = [r["corpus_id"] for r in spark.read.parquet(target).collect()]
+    assert len(done) == len(set(done)) and not set(done) & {r["corpus_id"] for r in rest.collect()}
+    assert len(done) + rest.count() == 60
+
+
+def test_stream_duplicate_keys_and_unreadable_target(spark):
+    from passagekit.streaming.incremental import queue_from, stream_augment
+    import os
+    import tempfile
+    base = tempfile.mkdtemp(prefix="pk-stream3-")
+    df = spark.createDataFrame([(i % 5, f"Alpha {i % 5} went home. Beta stayed.") for i in range(15)],
+                               "doc_id long, text string")
+    in_dir = queue_from(df, base)
+    schema = spark.read.parquet(in_dir).schema
+    out = stream_augment(spark, in_dir, os.path.join(base, "t"), os.path.join(base, "c"), schema, n=2)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(5))
+    broken = os.path.join(base, "broken")
+    os.makedirs(broken)
+    with open(os.path.join(broken, "part-0.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception, match="parquet"):
+        io.table_exists(spark, broken) and spark.read.parquet(broken).count()
+    assert not io.table_exists(spark, os.path.join(base, "nowhere"))
+
+
+def test_augment_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "Alice met Bob. They talked.", "x"), (2, "", "y")], "doc_id long, text string, tag string")
+    got = {r["doc_id"]: (r["tag"], r["text"]) for r in augment.augment(df, n=2, keep=["tag", "text"]).collect()}
+    assert got == {1: ("x", "Alice met Bob. They talked."), 2: ("y", "")}
+
+
+def test_ingest_formats(spark, tmp_path):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    df = spark.createDataFrame([(1, "a b"), (2, "c,d")], schema)
+    df.write.option("header", "true").csv(f"{tmp_path}/csv")
+    df.write.option("header", "true").option("sep", "\t").csv(f"{tmp_path}/tsv")
+    df.write.json(f"{tmp_path}/json")
+    for fmt, options in (("csv", {"header": "true"}), ("tsv", {}), ("json", {})):
+        got = io.ingest_corpus(spark, f"{tmp_path}/{fmt}", fmt, schema, **options)
+        assert sorted(map(tuple, got.collect())) == [(1, "a b"), (2, "c,d")], fmt
+
+
+def test_first_rows_is_the_ordered_limit(spark):
+    df = spark.createDataFrame([(f"t{i * 37 % 101:03d}",) for i in range(101)], "t string").repartition(6)
+    assert sorted(r["t"] for r in sample.first_rows(df, ["t"], 30).collect()) == [f"t{i:03d}" for i in range(30)]
+    assert sample.first_rows(df, ["t"], 0).count() == 0

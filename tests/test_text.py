@@ -94,13 +94,14 @@ def test_invalid_style_raises(spark):
         textprep.build_candidates(df, style="essay")
 
 
-def test_tokenize_fixed_pads_and_truncates(spark):
-    df = spark.createDataFrame([("a b c",), ("",), (" ".join(["w"] * 30),)], "text string")
-    rows = textprep.tokenize_fixed(df, "text", 5).collect()
-    for r in rows:
-        assert len(r["ids"]) == 5 and len(r["mask"]) == 5
-        assert [i > 0 for i in r["ids"]] == [m == 1 for m in r["mask"]]
-    assert sorted(sum(r["mask"]) for r in rows) == [0, 3, 5]
+def test_tokenize_fixed_windows_lose_no_token(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, " ".join(map(str, range(12)))), (3, ""), (4, "a b c d e")],
+                               "id long, text string")
+    rows = {(r["id"], r["window"]): (r["ids"], r["mask"]) for r in textprep.tokenize_fixed(df, "id", "text", 5).collect()}
+    assert set(rows) == {(1, 0), (2, 0), (2, 1), (2, 2), (3, 0), (4, 0)}
+    assert all(len(ids) == len(mask) == 5 for ids, mask in rows.values())
+    assert [sum(rows[k][1]) for k in sorted(rows)] == [2, 5, 5, 2, 0, 5]
+    assert rows[(1, 0)][0][:2] == rows[(4, 0)][0][:2] and rows[(3, 0)][0] == [0] * 5
 
 
 def test_containment_matches_brute_force(spark):
@@ -110,7 +111,7 @@ def test_containment_matches_brute_force(spark):
              (13, "gamma\ndelta"), (14, "pha beta gamma delta eps"), (15, "cd")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(tuple(r) for r in containment.containment_pairs(d, it).collect())
+    got = sorted(tuple(r) for r in containment.containment_pairs(d, it).drop("line").collect())
     expect = sorted((di, ii) for di, dt in docs for ii, it_ in items if it_ in dt)
     assert got == expect
 
@@ -220,7 +221,7 @@ def test_containment_property(spark):
         items.append((99, "al be gam de eps zeta"))          # may or may not occur
         d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
         it = spark.createDataFrame(items, "item_id long, text string")
-        got = sorted(tuple(r) for r in containment.containment_pairs(d, it).collect())
+        got = sorted(tuple(r) for r in containment.containment_pairs(d, it).drop("line").collect())
         expect = sorted((di, ii) for di, dt in enumerate(docs) for ii, t in items if t in dt)
         assert got == expect
 
@@ -268,3 +269,54 @@ def test_pluggable_extractor_equals_default(spark):
     a = sorted(tuple(r) for r in textprep.extract_entities(sents).select(*cols).collect())
     b = sorted(tuple(r) for r in textprep.extract_entities(sents, extractor_factory=factory).select(*cols).collect())
     assert len(a) > 1000 and a == b
+
+
+def test_sentence_rules_unicode_blanks_and_digits(spark):
+    """The rules' blanks and digits are Unicode: no-break, ideographic and thin spaces, Arabic digits."""
+    texts = ["He saw J\u00a0B. Smith ran.", "\u00a0 It rained.", "x [\u0661\u0662] y. z", "\u3000 Wide\u3000A. b. \u2009",
+             "A \u2009Dr. B went.\x1c Next one.\x85 Last\u2028.", "U.S. He\u00a0came. U.S. He came."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in textprep.split_sentences(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["sent_id"], r["sentence"]))
+    for i, t in enumerate(texts):
+        assert [s for _, s in sorted(got.get(i, []))] == py_sentences(t), repr(t)
+
+
+def test_containment_of_short_items_and_lines(spark):
+    docs = ["ab cd\nef gh", "b", "", "é𐍈x é", "one two three four five\nsix one two three four", "a\nb\nc"]
+    items = ["a", "b c", "d\ne", "é𐍈", "𐍈", "", None, "zz", "b", "f", "one two", "two three four", "six one two three",
+             "\n", "d e", "four five\nsix one two"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    it = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted(tuple(r) for r in containment.containment_pairs(d, it).collect())
+    assert got == sorted((i, j, t[:t.index(x)].count("\n")) for i, t in enumerate(docs)
+                         for j, x in enumerate(items) if x and x in t)
+
+
+def test_gold_passages_start_their_query(spark):
+    """Every gold passage is the line in which an occurrence of the query's text starts."""
+    from passagekit.plans import fixtures
+    sf = "/root/testdata/sf0.01"
+    texts = {r["query_id"]: r["text"] for r in fixtures.queries(spark, sf).collect()}
+    gold = fixtures.answers(spark, sf).join(fixtures.passages(spark, sf).drop("src"), "corpus_id").collect()
+    docs = {r["doc_id"]: r["text"] for r in fixtures.documents(spark, sf).collect()}
+    want = {(q, i) for q, t in texts.items() for i, d in docs.items() if t in d}
+    assert {(r["query_id"], r["src"]) for r in gold} == want and len(gold) == len(want)
+    for r in gold:
+        head = texts[r["query_id"]].split("\n")[0]
+        assert head in r["text"]
+
+
+def test_passages_of_long_and_odd_documents(spark, tmp_path):
+    """More than 100,000 lines, copies of a title, empty first lines: ids are unique and lines come back whole."""
+    from passagekit.plans import fixtures
+    docs = [(1, "\n".join(f"l{i}" for i in range(100_005)), "en"), (2, "\n".join(f"m{i}" for i in range(5)), "en"),
+            (3, "l0\nl0\nl0 l0", "en"), (4, "\n\nx", "en"), (5, "", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    p = fixtures.passages(spark, str(tmp_path))
+    assert p.count() == p.select("corpus_id").distinct().count() == 100_005 + 5 + 3 + 3 + 1
+    back = {}
+    for r in p.where("src <> 1").collect():
+        back.setdefault(r["src"], []).append((r["num"], r["text"]))
+    assert {i: "\n".join(t for _, t in sorted(v)) for i, v in back.items()} == {i: t for i, t, _ in docs if i != 1}

@@ -60,7 +60,7 @@ def test_accuracy_monotone_and_prefix(spark):
     assert sorted(h10.collect()) == sorted(h20.collect())
 
 
-def test_gold_missing_counts_as_miss_and_duplicates_raise(spark):
+def test_gold_missing_counts_as_miss_and_check_gold_raises(spark):
     hits = spark.createDataFrame([("q1", 1, "a"), ("q1", 2, "b"), ("q2", 1, "c")],
                                  "query_id string, rank int, doc_id string")
     gold = spark.createDataFrame([("q1", "b"), ("q2", "z"), ("q3", "a")], "query_id string, doc_id string")
@@ -68,9 +68,44 @@ def test_gold_missing_counts_as_miss_and_duplicates_raise(spark):
     assert acc[1] == (0.0, 3) and acc[2] == (round(100 / 3, 6), 3)
     failed = {r["query_id"]: r["returned"] for r in evaluate.failed_queries(hits, gold, k=1).collect()}
     assert failed == {"q1": "a", "q2": "c", "q3": ""}
-    dup = spark.createDataFrame([("q1", "a"), ("q1", "b")], "query_id string, doc_id string")
-    with pytest.raises(ValueError):
-        evaluate.check_gold(dup)
+    dup = spark.createDataFrame([("q1", "a"), ("q1", "b"), ("q2", "c"), ("q2", "c")], "query_id string, doc_id string")
+    with pytest.raises(Exception, match="several gold"):
+        evaluate.check_gold(dup).collect()
+    assert evaluate.check_gold(dup.where("query_id = 'q2'")).collect() == [("q2", "c")]
+
+
+def test_any_gold_document_is_a_hit(spark):
+    hits = spark.createDataFrame([("q1", 1, "a"), ("q1", 2, "b"), ("q2", 1, "c")], "query_id string, rank int, doc_id string")
+    gold = spark.createDataFrame([("q1", "z"), ("q1", "b"), ("q1", "a"), ("q2", "x"), ("q2", "y")],
+                                 "query_id string, doc_id string")
+    acc = {r["k"]: (r["accuracy"], r["n"]) for r in evaluate.accuracy_at_k(hits, gold, ks=(1, 2)).collect()}
+    assert acc == {1: (50.0, 2), 2: (50.0, 2)}
+    assert [tuple(r) for r in evaluate.failed_queries(hits, gold, k=2).collect()] == [("q2", "c")]
+
+
+@pytest.mark.parametrize("qrows,xrows", [(None, None), (9, 40), (200, 7)])
+def test_knn_more_ties_than_k(spark, qrows, xrows):
+    """Hundreds of equal and zero vectors at the boundary: ids decide, whatever the grid."""
+    rng = np.random.default_rng(5)
+    X = np.concatenate([np.tile(rng.normal(size=(1, 6)), (150, 1)), np.zeros((80, 6)),
+                        rng.normal(size=(40, 6))]).astype(np.float32)
+    ids = rng.permutation(len(X)) + 1000
+    df = _frame(spark, ids, X, "vec_id")
+    q = df.withColumnRenamed("vec_id", "query_id").where("query_id % 3 = 0")
+    got = vectors.knn(q, df, 10, exclude_self=True, q_block_rows=qrows, x_block_rows=xrows)
+    keep = ids % 3 == 0
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id").collect()) == \
+        brute(ids[keep], X[keep], ids, X, 10, True)
+
+
+def test_index_positions_go_on_after_an_append(spark):
+    rows = [(f"k{i:02d}", f"d{i}", [float(i), 1.0]) for i in range(20)]
+    enc = spark.createDataFrame(rows, "key string, doc_id string, embedding array<double>")
+    first = vectors.build_index(enc.where("key < 'k07'"), "key")
+    whole, = vectors.append_noise(enc, [first])  # the first keys are there already
+    got = sorted((r["vec_id"], r["key"], r["origin"]) for r in whole.collect())
+    assert got == [(i, f"k{i:02d}", "gold" if i < 7 else "noise") for i in range(20)]
+    assert {r["origin"]: r["n"] for r in vectors.index_stats(whole).collect()} == {"gold": 7, "noise": 13, "__all__": 20}
 
 
 def test_grouped_knn_searches_within_group(spark):
