@@ -5,17 +5,23 @@ half-bands are computed (``WIDTH`` minimum hashes each), and every pair of a
 left and a right half-band is the key of one table: HALVES^2 tables from
 2 * HALVES * WIDTH minimum hashes.  Two documents with similarity J meet in some
 table unless all left or all right half-bands differ; at J = 0.85 that is at
-most 2 * (1 - 0.85^3)^12, about 2 in 100,000 links, and links of a component
+most 2 * (1 - 0.85^4)^16, about 15 in a million links, and links of a component
 back each other up.
 
 Documents with equal shingle sets form one class, so copies cost one row.  A
 half-band value that only one class has can open no table, so most classes make
-no table key at all.  In each table every class is compared with the smallest
-and the largest class; confirmed pairs form components.  Pairs of classes that
-share a table but not yet a component are then compared too, so no candidate is
-dropped; a sketch of one bit per minimum hash (and the sizes) rules out pairs
-far below the threshold inside the join, before a row is made.  Every link is
-confirmed on the full shingle sets.
+no table key at all.  Links are confirmed on full sets, in two rounds:
+
+1. In each table every class is compared with the smallest and the largest
+   class there; confirmed pairs form components.  This settles groups of copies
+   that are close to each other, with a few comparisons per class.
+2. Tables that still hold several components are joined to clusters (classes
+   connected by such tables).  A cluster is cut into blocks of bounded size, and
+   each pair of blocks is compared in one task by counting common shingles for
+   all pairs at once; only pairs of different components count, so the blocks of
+   the cluster's main component are not compared with each other.  A task
+   returns at most one link per component it holds, so no pair of candidates is
+   dropped and none becomes a row.
 
 Shingles are 64-bit hashes of five consecutive words (a 128-bit digest of the
 sorted set names a class).
@@ -40,13 +46,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from passagekit.llm.common import cut, map_batches, slices, strings
+from passagekit.session import ship_package
 
 SHINGLE = 5
 PER_CENT = 85
-HALVES = 12
-WIDTH = 3
+HALVES = 16
+WIDTH = 4
 HASHES = 2 * HALVES * WIDTH
-BITS_APART = 18  # of HASHES; more than that has a chance of about 1e-6 at the threshold
+BITS_APART = 25  # of HASHES; more than that has a chance of about 1e-6 at the threshold
+BLOCK_SHINGLES = 500_000
+RARE = 32
 SLICE_BYTES = 4 << 20
 COLUMNS_AT_ONCE = 4096
 WORDS_KEPT = 500_000
@@ -210,6 +219,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def common_counts(own: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """Number of common shingles of all pairs of ``n`` sets, from (set, shingle) entries."""
+    order = np.argsort(shingle, kind="stable")
+    own, shingle = own[order], shingle[order]
+    first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    times = np.diff(np.r_[first, len(shingle)])
+    common = np.zeros(n * n, dtype=np.int32)
+    for t in range(2, RARE + 1):  # shingles in a few sets: their pairs of sets, one by one
+        at = first[times == t]
+        if not len(at):
+            continue
+        holders = np.sort(own[at[:, None] + np.arange(t)], axis=1).astype(np.int64)
+        for a in range(t - 1):
+            np.add.at(common, (holders[:, a, None] * n + holders[:, a + 1:]).ravel(), 1)
+    common = common.reshape(n, n)
+    often = np.flatnonzero(times > RARE)
+    for a in range(0, len(often), 2048):  # shingles in many sets: as a matrix product
+        part = often[a:a + 2048]
+        held = np.zeros((n, len(part)), dtype=np.float32)
+        size = times[part]
+        entry = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        held[own[entry], np.repeat(np.arange(len(part)), size)] = 1
+        common += np.triu(held @ held.T, 1).astype(np.int32)
+    return common
+
+
+def joining_links(cid: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets of different components, as few as join what can be joined."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    common = common_counts(np.repeat(np.arange(n), size), np.concatenate(sets), n)
+    a, b = np.nonzero(common)
+    both = common[a, b].astype(np.int64)
+    hit = (100 * both >= PER_CENT * (size[a] + size[b] - both)) & (label[a] != label[b])
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    out = []
+    a, b = a[hit], b[hit]
+    _, one = np.unique(np.column_stack([label[a], label[b]]), axis=0, return_index=True)
+    for x, y in zip(a[one].tolist(), b[one].tolist()):
+        p, q = root(int(label[x])), root(int(label[y]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((int(cid[x]), int(cid[y])))
+    return out
+
+
+def links_in_clusters(placed: DataFrame, docs: DataFrame, classes: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Links (a, b) between the components of each cluster; ``placed``: (cid, label, cluster, n)."""
+    import pandas as pd
+
+    ship_package(docs.sparkSession)
+    parts = placed.groupBy("cluster", "label").agg(F.sum("n").alias("total"))
+    # the component with the most shingles is the cluster's main one
+    main = parts.groupBy("cluster").agg(F.max(F.struct("total", "label")).alias("top"), F.sum("total").alias("all"))
+    blocks = main.select(
+        "cluster", F.col("top.label").alias("main"),
+        F.ceil((F.col("all") - F.col("top.total")) / BLOCK_SHINGLES).cast("int").alias("others"),
+        F.ceil(F.col("top.total") / BLOCK_SHINGLES).cast("int").alias("mains"))
+    rows = placed.join(blocks, "cluster").withColumn("is_main", F.col("label") == F.col("main"))
+    spread = F.xxhash64("cid")
+    block = F.when(F.col("is_main"), F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(
+        F.pmod(spread, F.col("others"))).cast("int")
+    # blocks of other components meet every block, blocks of the main one only those of others
+    meets = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    cells = rows.withColumn("block", block).select("cluster", "cid", "label", "block", F.explode(meets).alias("other")).select(
+        "cluster", "cid", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wanted = placed.select("cid").join(classes.select("cid", "rep", "set_key"), "cid")
+    sets = cut(full_sets(docs, wanted, text_col, id_col))
+
+    def compare(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.drop_duplicates("cid")
+        found = joining_links(own["cid"].to_numpy(), own["label"].to_numpy(),
+                              [np.frombuffer(s, dtype=np.uint64) for s in own["shingles"]])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return cells.join(sets, "cid").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (id, n_shingles, component_id, kept, text_hash), one per input row.
 
@@ -223,29 +318,26 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     tables = cut(table_keys(classes))  # key, cid, low, high
     facts = classes.select("cid", "n", "bits0", "bits1")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        one, two = facts.alias("x"), facts.alias("y")
-        near = pairs.join(one, F.col("a") == F.col("x.cid")).join(two, F.col("b") == F.col("y.cid"))
-        return confirmed(cut(near.where(close_enough("x", "y")).select("a", "b")), df, classes, text_col, id_col)
-
+    # round 1: every class with the smallest and the largest of its tables
     stars = tables.select(F.col("low").alias("a"), F.col("cid").alias("b")).union(
         tables.select(F.col("cid"), F.col("high"))).where("a < b").distinct()
-    links = cut(checked(stars))
+    near = stars.join(facts.alias("x"), F.col("a") == F.col("x.cid")).join(
+        facts.alias("y"), F.col("b") == F.col("y.cid")).where(close_enough("x", "y")).select("a", "b")
+    links = cut(confirmed(cut(near), df, classes, text_col, id_col))
     labels = components(links)
 
-    # pairs that share a table, not a component
-    placed = (tables.select("key", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left")
-              .withColumn("label", F.coalesce("label", "cid")))
-    mixed_tables = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
-        "low < high").select("key")
-    rest = cut(placed.join(mixed_tables, "key").join(facts, "cid"))
-    x, y = rest.alias("x"), rest.alias("y")
-    others = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid"))
-                    & (F.col("x.label") != F.col("y.label")) & close_enough("x", "y")).select(
-        F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    tried = others.join(stars, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(tried), df, classes, text_col, id_col))
-    if more.head(1):
+    # round 2: clusters of classes connected by tables that hold several components
+    placed = tables.select("key", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(
+        "label", F.coalesce("label", "cid"))
+    several = placed.groupBy("key").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label"),
+                                        F.min("cid").alias("first")).where("low_label < high_label").select("key", "first")
+    mixed_rows = cut(placed.join(several, "key").select("cid", "label", "first").distinct())
+    if mixed_rows.head(1):
+        clusters = components(mixed_rows.where("cid > first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
+        members = cut(mixed_rows.select("cid", "label").distinct().join(
+            clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster")), "cid").join(
+            facts.select("cid", "n"), "cid"))
+        more = cut(links_in_clusters(members, df, classes, text_col, id_col))
         labels = components(links.union(more))
 
     named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(

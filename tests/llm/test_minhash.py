@@ -127,3 +127,54 @@ def test_components_by_union_find(spark):
             changed |= up[a] != low or up[b] != low
             up[a] = up[b] = low
     assert {r.v: r.label for r in found.collect()} == up
+
+
+def test_common_counts_and_joining_links():
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(70):  # many sets share most of the base, some little
+        own = base[rng.random(60) < rng.choice([0.99, 0.9, 0.3])]
+        sets.append(np.unique(np.concatenate([own, rng.integers(1, 40, 3, dtype=np.uint64)])))
+    size = [len(s) for s in sets]
+    got = minhash.common_counts(np.repeat(np.arange(70), size), np.concatenate(sets), 70)
+    links = set()
+    for a in range(70):
+        for b in range(a + 1, 70):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert got[a, b] == both
+            if 100 * both >= 85 * (size[a] + size[b] - both):
+                links.add((a, b))
+    label = np.arange(70) // 2
+    found = minhash.joining_links(np.arange(70), label, sets)
+    assert set(found) <= links and len(found) < 35
+
+    def groups(edges):
+        up = {v: v for v in range(70)}
+
+        def root(v):
+            return v if up[v] == v else root(up[v])
+        for x, y in edges:
+            up[root(x)] = root(y)
+        return [root(v) for v in range(70)]
+    pairs = [(2 * k, 2 * k + 1) for k in range(35)]
+    one, two = groups(pairs + sorted(links)), groups(pairs + found)
+    assert [[x == y for y in one] for x in one] == [[x == y for y in two] for x in two]
+
+
+@pytest.mark.parametrize("block", [500_000, 3000])
+def test_messy_group_over_blocks(spark, monkeypatch, block):
+    """A large group of copies with few to many edits: several components, many borderline pairs."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 6])):
+            own[rng.randrange(100)] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    got = minhash.near_duplicates(frame(spark, rows)).drop("text_hash").collect()
+    want = brute(rows)
+    assert sorted(map(tuple, got), key=str) == want
+    assert len({r[2] for r in want}) > 3
