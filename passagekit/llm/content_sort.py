@@ -1,9 +1,9 @@
 """Exact de-duplication by sorting contents.
 
 Rows are range-partitioned by sampled splitters and sorted inside partitions
-(Spark's external sort) by (first characters, 64-bit hash, whole text, id), so
-equal texts lie next to each other; the first two parts keep the splitters
-small, the id lets a hot text spread over several partitions.  One pass over
+(Spark's external sort) by (first characters, SHA-256, whole text, id), so equal
+texts lie next to each other; the first two parts keep the splitters small, the
+id lets a hot text spread over several partitions.  One pass over
 each sorted partition compares neighbouring whole texts.  Runs that reach a
 partition's edge are joined to the next partition's by comparing the edge texts
 (two rows per partition), so no group is ever gathered in one task.
@@ -34,10 +34,10 @@ FOUND = ["_text_sha256", "_part", "_run", "_nth", "_edge"]
 def sort_contents(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Equal texts adjacent, in id order, over range partitions in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = ["_prefix", "_hash", "_text", id_col]
+    keys = ["_prefix", "_text_sha256", "_text", id_col]
     return (df.withColumn("_text", text).withColumn("_prefix", F.substring(text, 1, PREFIX_CHARS))
-            .withColumn("_hash", F.xxhash64(text))
-            .repartitionByRange("_prefix", "_hash", id_col)
+            .withColumn("_text_sha256", F.sha2(text.cast("binary"), 256))
+            .repartitionByRange("_prefix", "_text_sha256", id_col)
             .sortWithinPartitions(*keys))
 
 
@@ -89,8 +89,7 @@ def exact_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """Rows (id, *carry, keep_id, group_size, kept, text_sha256), one per input row."""
     columns = [id_col, *(c for c in carry or [] if c != id_col)]
     rows = df.select(*dict.fromkeys([*columns, text_col]))
-    ordered = sort_contents(rows, text_col, id_col).select(
-        *columns, "_text", F.sha2(F.col("_text").cast("binary"), 256).alias("_text_sha256"))
+    ordered = sort_contents(rows, text_col, id_col).select(*columns, "_text", "_text_sha256")
     schema = StructType([*(df.schema[c] for c in columns), StructField("_text_sha256", StringType()),
                          StructField("_part", IntegerType()), StructField("_run", LongType()),
                          StructField("_nth", LongType()), StructField("_edge", StringType())])
