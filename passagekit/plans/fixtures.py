@@ -18,7 +18,7 @@ The reference reads NQ / Wikipedia passage tables; the driver provides
 * ``qa_pairs``      -- a user turn and the assistant turn that follows it.
 
 Files with too few input splits for CPU-heavy text work (one large file) are
-spread by document id when the session sets ``passagekit.spread.input`` to
+spread by document id when the session sets ``spark.passagekit.spread.input`` to
 true; the default reads tables as they are laid out.
 """
 
@@ -37,7 +37,7 @@ PASSAGE = ["doc_id", "corpus_id", "src", "num", "title", "text"]
 
 
 def documents(spark: SparkSession, sf_dir: str, cols=None) -> DataFrame:
-    spread = spark.conf.get("passagekit.spread.input", "false") == "true"
+    spread = spark.conf.get("spark.passagekit.spread.input", "false") == "true"
     return read_table(spark, f"{sf_dir}/documents.parquet", cols, spread_by="doc_id" if spread else None)
 
 

@@ -40,7 +40,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", os.environ.get("PASSAGEKIT_DRIVER_MEM", "16g"))
          # local runs read single-file tables: spread them over the cores
-         .config("passagekit.spread.input", "true")
+         .config("spark.passagekit.spread.input", "true")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8)))
     for k, v in DEFAULTS.items():
         b = b.config(k, v)

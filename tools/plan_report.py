@@ -1,66 +1,97 @@
-"""Physical-plan facts for every registered query -> PLANS.md.
+"""Physical-plan facts of every registered query -> PLANS.md.
 
-Runs each query (noop sink) and reads the final adaptive plan: shuffles,
-broadcasts, reused exchanges, Python nodes, partial group limits, join
-strategies, nested loops.  usage: python tools/plan_report.py [--sf DIR]
+Runs each query (noop sink) with Spark's event log in a scratch folder and
+counts the nodes of every final adaptive plan: of the jobs that run while the
+query is defined (checkpoints, counts for grid sizes) and of the run itself,
+with the seconds of both.  usage: python tools/plan_report.py [--sf DIR] [name ...]
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import re
 import sys
+import tempfile
+import time
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
 
-PATTERNS = {
-    "shuffles": r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobinPartitioning)",
+KINDS = {
+    "shuffles": r"Exchange$",
     "broadcasts": r"BroadcastExchange",
     "reused": r"ReusedExchange",
-    "python": r"(MapInPandas|FlatMapCoGroupsInPandas|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython)",
-    "group_limit": r"WindowGroupLimit .*Partial",
-    "smj": r"SortMergeJoin",
-    "bhj": r"BroadcastHashJoin",
-    "nested_loop": r"(BroadcastNestedLoopJoin|CartesianProduct)",
+    "python": r"MapIn|FlatMap.*InPandas|FlatMap.*InArrow|EvalPython",
+    "group limits": r"WindowGroupLimit",
+    "merge joins": r"SortMergeJoin",
+    "hash joins": r"BroadcastHashJoin|ShuffledHashJoin",
+    "nested loops": r"NestedLoop|Cartesian",
 }
 
 
-def facts(plan: str) -> dict:
-    # count each operator once per plan line; AQE prints the final plan only once here
-    return {k: len(re.findall(p, plan)) for k, p in PATTERNS.items()}
+def nodes(plan: dict) -> list[str]:
+    name = plan["nodeName"].split(" (")[0].strip()
+    return [name, *(x for child in plan["children"] for x in nodes(child))]
 
 
-def main():
+def executions(folder: str) -> list[tuple[float, list[str]]]:
+    """(start in seconds, node names of the last plan) of every SQL execution."""
+    start, last = {}, {}
+    for base, _, files in os.walk(folder):
+        for name in files:
+            with open(os.path.join(base, name), errors="replace") as f:
+                for line in f:
+                    if "sparkPlanInfo" not in line:
+                        continue
+                    event = json.loads(line)
+                    if "sparkPlanInfo" in event:
+                        last[event["executionId"]] = nodes(event["sparkPlanInfo"])
+                        if "time" in event:
+                            start[event["executionId"]] = event["time"] / 1000
+    return [(start[k], last[k]) for k in start]
+
+
+def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
-    ap.add_argument("--out", default=os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
-                                                  "PLANS.md"))
+    ap.add_argument("--out", default=os.path.join(ROOT, "PLANS.md"))
+    ap.add_argument("names", nargs="*")
     args = ap.parse_args()
-    import __spark_entry__ as E
+    log = tempfile.mkdtemp(prefix="passagekit-events-")
+    os.environ["PYSPARK_SUBMIT_ARGS"] = (f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{log} "
+                                         "--conf spark.eventLog.rolling.enabled=false pyspark-shell")
+    from passagekit.plans.catalog import CATALOG
     from passagekit.session import get_session
     spark = get_session(shuffle_partitions=8)
-    rows = []
-    for name, fn in E.queries().items():
+    times = []
+    for name, fn in CATALOG.items():
+        if args.names and name not in args.names:
+            continue
+        a = time.time()
         df = fn(spark, args.sf)
+        b = time.time()
         df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        final = plan.split("+- == Initial Plan ==")[0]
-        f = facts(final)
-        rows.append((name, f))
-        print(name, f, file=sys.stderr)
+        times.append((name, a, b, time.time()))
+        print(name, round(b - a, 2), round(time.time() - b, 2), file=sys.stderr)
     spark.stop()
-    cols = list(PATTERNS)
-    with open(args.out, "w") as fh:
-        fh.write("# Physical plans of the registered queries\n\n")
-        fh.write(f"Final adaptive plans at `{args.sf}` on local[8] (`tools/plan_report.py`). Counts are plan nodes "
-                 "of the final plan of the returned DataFrame; jobs run while a query is defined (checkpoints, "
-                 "counts for grid sizes) are not included. `group_limit` = partial WindowGroupLimit before a "
-                 "shuffle; `nested_loop` must be 0.\n\n")
-        fh.write("| query | " + " | ".join(cols) + " |\n")
-        fh.write("| --- | " + " | ".join("---" for _ in cols) + " |\n")
-        for name, f in rows:
-            fh.write(f"| {name} | " + " | ".join(str(f[c]) for c in cols) + " |\n")
+    found = executions(log)
+    with open(args.out, "w") as f:
+        f.write("# Physical plans of the registered queries\n\n")
+        f.write(f"Nodes of the final adaptive plans at `{args.sf}` on local[8], from Spark's event log "
+                "(`tools/plan_report.py`). `define` counts the jobs that run while a query is defined "
+                "(checkpoints, sizes of search grids), `run` the query itself; seconds include planning. "
+                "`nested loops` must be 0.\n\n")
+        f.write("| query | define s | run s | " + " | ".join(f"{k} (define + run)" for k in KINDS) + " |\n")
+        f.write("| --- | --- | --- | " + " | ".join("---" for _ in KINDS) + " |\n")
+        for name, a, b, c in times:
+            cells = []
+            for pattern in KINDS.values():
+                count = [sum(bool(re.search(pattern, x)) for t, plan in found if lo <= t < hi for x in plan)
+                         for lo, hi in ((a, b), (b, c))]
+                cells.append(f"{count[0]} + {count[1]}" if count[0] else str(count[1]))
+            f.write(f"| {name} | {b - a:.1f} | {c - b:.1f} | " + " | ".join(cells) + " |\n")
 
 
 if __name__ == "__main__":
