@@ -15,8 +15,7 @@ no table key at all.  Links are confirmed on full sets, in two rounds:
 1. In each table every class is compared with the smallest and the largest
    class there; confirmed pairs form components.  This settles groups of copies
    that are close to each other, with a few comparisons per class.
-2. Tables that still hold several components are joined to clusters (classes
-   connected by such tables).  A cluster is cut into blocks of bounded size, and
+2. Tables that still hold several components join these to clusters.  A cluster is cut into blocks of bounded size, and
    each pair of blocks is compared in one task by counting common shingles for
    all pairs at once; only pairs of different components count, so the blocks of
    the cluster's main component are not compared with each other.  A task
@@ -326,16 +325,17 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     links = cut(confirmed(cut(near), df, classes, text_col, id_col))
     labels = components(links)
 
-    # round 2: clusters of classes connected by tables that hold several components
+    # round 2: clusters of components connected by tables that hold several of them
     placed = tables.select("key", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(
         "label", F.coalesce("label", "cid"))
-    several = placed.groupBy("key").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label"),
-                                        F.min("cid").alias("first")).where("low_label < high_label").select("key", "first")
-    mixed_rows = cut(placed.join(several, "key").select("cid", "label", "first").distinct())
+    several = placed.groupBy("key").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).where(
+        "low_label < high_label").select("key", "low_label")
+    mixed_rows = cut(placed.join(several, "key").select("cid", "label", "low_label").distinct())
     if mixed_rows.head(1):
-        clusters = components(mixed_rows.where("cid > first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
+        clusters = components(mixed_rows.where("low_label < label").select(
+            F.col("low_label").alias("a"), F.col("label").alias("b")).distinct())
         members = cut(mixed_rows.select("cid", "label").distinct().join(
-            clusters.select(F.col("v").alias("cid"), F.col("label").alias("cluster")), "cid").join(
+            clusters.select(F.col("v").alias("label"), F.col("label").alias("cluster")), "label").join(
             facts.select("cid", "n"), "cid"))
         more = cut(links_in_clusters(members, df, classes, text_col, id_col))
         labels = components(links.union(more))
