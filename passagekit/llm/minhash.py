@@ -54,6 +54,7 @@ WIDTH = 4
 HASHES = 2 * HALVES * WIDTH
 BITS_APART = 25  # of HASHES; more than that has a chance of about 1e-6 at the threshold
 BLOCK_SHINGLES = 500_000
+ONE_TASK_EDGES = 200_000
 RARE = 32
 SLICE_BYTES = 4 << 20
 COLUMNS_AT_ONCE = 4096
@@ -203,16 +204,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text_col: s
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Rows (v, label): the smallest vertex reachable, by label spreading and pointer jumping."""
-    arcs = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(arcs.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")))
+    """Rows (v, label): the smallest vertex reachable, by label spreading and pointer jumping.
+
+    ``edges`` is stored.  A graph of up to ``ONE_TASK_EDGES`` edges is kept in one
+    partition, where the rounds need no shuffle; larger ones use the session's.
+    """
+    small = edges.count() <= ONE_TASK_EDGES
+
+    def held(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if small else df
+
+    edges = held(edges)
+    arcs = held(cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).transform(held).distinct()))
+    labels = held(cut(arcs.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label"))))
     while True:
         near = arcs.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(
             F.min("label").alias("near"))
         spread = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        spread = cut(spread)
+        spread = held(cut(spread))
         jump = spread.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        new = cut(spread.join(jump, "label").select("v", "old", F.least("label", "up").alias("label")))
+        new = held(cut(spread.join(jump, "label").select("v", "old", F.least("label", "up").alias("label"))))
         labels = new.select("v", "label")
         if not new.where("label < old").head(1):
             return labels
@@ -332,8 +343,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         "low_label < high_label").select("key", "low_label")
     mixed_rows = cut(placed.join(several, "key").select("cid", "label", "low_label").distinct())
     if mixed_rows.head(1):
-        clusters = components(mixed_rows.where("low_label < label").select(
-            F.col("low_label").alias("a"), F.col("label").alias("b")).distinct())
+        clusters = components(cut(mixed_rows.where("low_label < label").select(
+            F.col("low_label").alias("a"), F.col("label").alias("b")).distinct()))
         members = cut(mixed_rows.select("cid", "label").distinct().join(
             clusters.select(F.col("v").alias("label"), F.col("label").alias("cluster")), "label").join(
             facts.select("cid", "n"), "cid"))
