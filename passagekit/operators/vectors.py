@@ -114,29 +114,35 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
     g = F.col(group).cast("string") if group else F.lit("")
     groups = _sizes(queries, g, q_vec).select("g", F.col("n").alias("nq"), F.col("w")).join(
         _sizes(index, g, x_vec).select("g", F.col("n").alias("nx")), "g")
-
-    def blocks(rows: str, fixed: int | None, numbers: int):
-        most = F.lit(fixed) if fixed else F.greatest(F.lit(1), F.floor(F.lit(numbers) / F.col("w")))
-        return F.ceil(F.col(rows) / most).cast("int")
-
-    groups = groups.withColumn("bq", blocks("nq", q_block_rows, Q_BLOCK_NUMBERS)).withColumn(
-        "bx", blocks("nx", x_block_rows, X_BLOCK_NUMBERS))
-    if not group:
-        # one index: at least as many cells as tasks may run
-        groups = groups.withColumn("bx", F.greatest("bx", F.least(F.col("nx"), F.ceil(F.lit(par) / F.col("bq")))).cast("int"))
-    cells = F.broadcast(groups.select("g", "bq", "bx"))  # one row per searched index
+    grid = {}
+    for r in groups.collect():  # one row per searched index
+        bq = -(-r["nq"] // (q_block_rows or max(1, Q_BLOCK_NUMBERS // max(1, r["w"]))))
+        bx = -(-r["nx"] // (x_block_rows or max(1, X_BLOCK_NUMBERS // max(1, r["w"]))))
+        if not group:  # one index: at least as many cells as tasks may run
+            bx = max(bx, min(r["nx"], -(-par // bq)))
+        grid[r["g"]] = (bq, bx)
+    if group:
+        cells = F.broadcast(spark.createDataFrame([(k, *v) for k, v in grid.items()], "g string, bq int, bx int"))
+
+        def on_grid(df: DataFrame) -> DataFrame:
+            return df.join(cells, "g")
+    else:
+        bq, bx = grid.get("", (1, 1))
+
+        def on_grid(df: DataFrame) -> DataFrame:
+            return df.withColumn("bq", F.lit(bq)).withColumn("bx", F.lit(bx))
 
     def block(key: str, n: str):
         return F.pmod(F.xxhash64(F.col(key)), F.col(n)).cast("int")
 
     # cell keys must have identical types on both sides: int and long of the
     # same value hash to different shuffle partitions and would never meet
-    q = queries.select(g.alias("g"), F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v")).join(
-        cells, "g").select("g", "q", "v", block("q", "bq").alias("qb"),
-                           F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("xb"))
-    x = index.select(g.alias("g"), F.col(x_key).cast("long").alias("x"), F.col(x_vec).alias("v")).join(
-        cells, "g").select("g", "x", "v", block("x", "bx").alias("xb"),
-                           F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("qb"))
+    q = queries.select(g.alias("g"), F.col(q_key).cast("long").alias("q"), F.col(q_vec).alias("v"))
+    q = on_grid(q).select("g", "q", "v", block("q", "bq").alias("qb"),
+                          F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("xb"))
+    x = index.select(g.alias("g"), F.col(x_key).cast("long").alias("x"), F.col(x_vec).alias("v"))
+    x = on_grid(x).select("g", "x", "v", block("x", "bx").alias("xb"),
+                          F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("qb"))
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("q", T.LongType()),
                            T.StructField("x", T.LongType()), T.StructField("d2", T.DoubleType())])
     cell = ["g", "qb", "xb"]

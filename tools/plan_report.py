@@ -61,7 +61,8 @@ def main() -> None:
     args = ap.parse_args()
     log = tempfile.mkdtemp(prefix="passagekit-events-")
     os.environ["PYSPARK_SUBMIT_ARGS"] = (f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{log} "
-                                         "--conf spark.eventLog.rolling.enabled=false pyspark-shell")
+                                         "--conf spark.eventLog.rolling.enabled=false --conf spark.eventLog.compress=false "
+                                         "pyspark-shell")
     from passagekit.plans.catalog import CATALOG
     from passagekit.session import get_session
     spark = get_session(shuffle_partitions=8)
