@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, BooleanType, IntegerType, LongType, StringType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from passagekit.llm.common import cut, map_batches
 
@@ -34,14 +34,13 @@ FOUND = ["_text_sha256", "_part", "_run", "_nth", "_edge"]
 def sort_contents(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Equal texts adjacent, in id order, over range partitions in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = ["_prefix", "_text_sha256", "_text", id_col]
-    return (df.withColumn("_text", text).withColumn("_prefix", F.substring(text, 1, PREFIX_CHARS))
+    return (df.withColumn("_prefix", F.substring(text, 1, PREFIX_CHARS))
             .withColumn("_text_sha256", F.sha2(text.cast("binary"), 256))
             .repartitionByRange("_prefix", "_text_sha256", id_col)
-            .sortWithinPartitions(*keys))
+            .sortWithinPartitions("_prefix", "_text_sha256", text, id_col))
 
 
-def find_runs(columns: list[str]):
+def find_runs(columns: list[str], text_col: str):
     """Numbers the runs of equal neighbouring texts of a sorted partition.
 
     Adds ``_run`` (from 0), ``_nth`` (place in the run) and, on the first and
@@ -59,7 +58,7 @@ def find_runs(columns: list[str]):
                 continue
             if held is not None:
                 yield held
-            text = batch.column("_text")
+            text = pc.fill_null(batch.column(text_col), "")
             new = np.ones(n, dtype=bool)
             new[0] = last is None or not pc.equal(text[0], last).as_py()
             if n > 1:
@@ -89,11 +88,11 @@ def exact_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """Rows (id, *carry, keep_id, group_size, kept, text_sha256), one per input row."""
     columns = [id_col, *(c for c in carry or [] if c != id_col)]
     rows = df.select(*dict.fromkeys([*columns, text_col]))
-    ordered = sort_contents(rows, text_col, id_col).select(*columns, "_text", "_text_sha256")
+    ordered = sort_contents(rows, text_col, id_col).select(*rows.columns, "_text_sha256")
     schema = StructType([*(df.schema[c] for c in columns), StructField("_text_sha256", StringType()),
                          StructField("_part", IntegerType()), StructField("_run", LongType()),
                          StructField("_nth", LongType()), StructField("_edge", StringType())])
-    found = cut(map_batches(ordered, find_runs(columns), schema))
+    found = cut(map_batches(ordered, find_runs(columns, text_col), schema))
 
     runs = found.groupBy("_part", "_run").agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.col("_nth"), F.col(id_col))).alias("_top"))

@@ -301,7 +301,8 @@ def links_in_clusters(placed: DataFrame, docs: DataFrame, classes: DataFrame, te
     # blocks of other components meet every block, blocks of the main one only those of others
     meets = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(
         F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
-    cells = rows.withColumn("block", block).select("cluster", "cid", "label", "block", F.explode(meets).alias("other")).select(
+    cells = rows.withColumn("block", block).select(
+        "cluster", "cid", "label", "block", F.explode(meets).alias("other")).select(
         "cluster", "cid", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     wanted = placed.select("cid").join(classes.select("cid", "rep", "set_key"), "cid")
     sets = cut(full_sets(docs, wanted, text_col, id_col))
@@ -355,8 +356,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         "label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_set = named.join(least, "label").select("set_key", "component_id")
-    out = rows.select("id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(
+    some = F.col("n_shingles") > 0
+    out = rows.select("id", "text_hash", "n_shingles", F.when(some, F.col("set_key")).alias("set_key")).join(
         of_set, "set_key", "left").withColumn(
-        "component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
+        "component_id", F.when(some, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id",
                       F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
