@@ -343,6 +343,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     several = placed.groupBy("key").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).where(
         "low_label < high_label").select("key", "low_label")
     mixed_rows = cut(placed.join(several, "key").select("cid", "label", "low_label").distinct())
+    merged = None
     if mixed_rows.head(1):
         clusters = components(cut(mixed_rows.where("low_label < label").select(
             F.col("low_label").alias("a"), F.col("label").alias("b")).distinct()))
@@ -350,10 +351,17 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
             clusters.select(F.col("v").alias("label"), F.col("label").alias("cluster")), "label").join(
             facts.select("cid", "n"), "cid"))
         more = cut(links_in_clusters(members, df, classes, text_col, id_col))
-        labels = components(links.union(more))
+        # the new links join components: a graph of the components alone
+        own = members.select("cid", "label")
+        joined = more.join(own.select(F.col("cid").alias("a"), F.col("label").alias("x")), "a").join(
+            own.select(F.col("cid").alias("b"), F.col("label").alias("y")), "b")
+        merged = components(cut(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+        merged = merged.select(F.col("v").alias("label"), F.col("label").alias("top"))
 
     named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(
         "label", F.coalesce("label", "cid"))
+    if merged is not None:
+        named = named.join(merged, "label", "left").withColumn("label", F.coalesce("top", "label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_set = named.join(least, "label").select("set_key", "component_id")
     some = F.col("n_shingles") > 0
