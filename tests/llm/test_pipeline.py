@@ -18,7 +18,8 @@ LABELS = "doc_id long, quality int, toxic int"
 @pytest.fixture
 def folder(spark, tmp_path):
     def write(rows, labels):
-        spark.createDataFrame([(*r, "s", 1, 0.5, True, "x") for r in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.createDataFrame([(*r, "s", 1, 0.5, True, "x") for r in rows], DOCS)
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
         spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
         return str(tmp_path)
     return write
