@@ -1,5 +1,6 @@
 """Language model, quality rules, toxicity, language ID and top-k: brute force and held-out accuracy."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -285,6 +286,30 @@ def test_lm_probabilities_sum_to_one(spark):
     assert sum(10 ** r.score for r in got) < 1
 
 
+def test_lm_scores_depend_on_the_order_of_words(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"a{c} b{c}" for c in rng.choices("xyz", k=12))) for i in range(200)]
+    told = [(1000, "ax bx ay by az bz ax bx"), (1001, "bx az bx by ax ay bz ax")]
+    got = lm.score(docs(spark, [(i, t, "en") for i, t in rows + told]), F.col("doc_id") < 1000).collect()
+    right, shuffled = (next(r for r in got if r.doc_id == i) for i in (1000, 1001))
+    assert right.base_score == pytest.approx(shuffled.base_score)
+    assert right.score > shuffled.score + 5 and right.score > right.base_score + 2
+
+
+@pytest.mark.parametrize("chunk", [1 << 24, 1])
+def test_lm_probabilities_of_all_texts_sum_to_one(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+    words = ["a", "b", "zq"]  # the last one stands for every unknown word
+    texts = [" ".join(w) for n in range(5) for w in itertools.product(words, repeat=n)]
+    learned = ["a", "b", "a", "", "a b", "b", "", "a", "b a", "a"] * 20
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(learned)]
+    got = lm.score(docs(spark, [(i, t, "en") for i, t in rows]), F.col("doc_id") >= 1000).collect()
+    total = sum(10 ** r.score for r in got if r.held_out)
+    assert len(got) == len(rows) and 0.99 < total <= 1.000001
+    seen = {(r.held_out, rows_text): r.score for r in got for rows_text in [dict(rows)[r.doc_id]]}
+    assert seen[True, "a b"] == pytest.approx(seen[False, "a b"])  # a chunk knows all counts, its own and others'
+
+
 # ---- top-k
 
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
