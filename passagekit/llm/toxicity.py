@@ -211,7 +211,7 @@ def quoted_at(text: str, places: np.ndarray) -> np.ndarray:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """Documents per (term, kind) and label: words, and beginnings of longer words."""
+    """Documents per (term, kind) and label: words, and beginnings of words (whole words too)."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {0: Counter(), 1: Counter()}
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -220,7 +220,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 code = points(low)
                 words = {low[a:b] for a, b in zip(*(x.tolist() for x in tokens(code))) if b - a >= 3}
                 found[label].update((w, EXACT) for w in words)
-                found[label].update({(w[:n], STEM) for w in words for n in STEM_CHARS if len(w) > n})
+                found[label].update({(w[:n], STEM) for w in words for n in STEM_CHARS if len(w) >= n})
                 if sum(map(len, found.values())) > 500_000:
                     yield from flush(found)
         yield from flush(found)
@@ -241,25 +241,47 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def choose_terms(found: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, int, float]]:
-    """The lexicon: (text, kind, weight); a stem's longer forms and covered words are left out."""
+    """The lexicon: (text, kind, weight); a stem's longer forms and covered words are left out.
+
+    A word that alone reaches half of a beginning's toxic documents is the term,
+    not the beginning.  A beginning is a stem only if what it adds to its longer
+    forms found here is in no clean document; if not, longer ones may be.
+    """
     stems = {t: (a, c) for t, kind, a, c in found if kind == STEM}
     words = {t: (a, c) for t, kind, a, c in found if kind == EXACT}
-    # how many toxic documents the beginning is seen in, as a word or as the start of one
-    reach = Counter()
-    for t, (a, _) in [*stems.items(), *words.items()]:
-        reach[t] += a
+    both = {**words, **stems}   # a stem's documents hold it as a word or as the start of one
+    main: dict[str, str] = {}   # the word that reaches most for a beginning
+    longer = Counter()          # clean documents of the next longer forms
+    for t in sorted(words, key=lambda t: (words[t][0], t)):
+        main.update((t[:n], t) for n in range(1, len(t) + 1))
+    for t, (_, c) in both.items():
+        if len(t) <= STEM_CHARS[-1] + 1:
+            longer[t[:-1]] += c
+        else:
+            longer[t[:STEM_CHARS[-1]]] += c
     chosen: list[tuple[str, int, float]] = []
-    taken: list[str] = []
-    for text, n in sorted(reach.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
-        if any(text.startswith(t) or t.startswith(text) for t in taken):
+    taken: dict[str, int] = {}
+
+    def covered(text: str) -> bool:
+        fuzzy = len(text) > FUZZY_CHARS and taken.get(text[:-1]) == EXACT
+        return text in taken or fuzzy or any(taken.get(text[:n]) == STEM for n in range(1, len(text)))
+
+    def adds_nothing(stem: str) -> bool:  # a longer one reached as many
+        return any(k == STEM and t.startswith(stem) for t, k in taken.items())
+
+    for text, (n, _) in sorted(both.items(), key=lambda x: (-x[1][0], -len(x[0]), x[0])):
+        word = main.get(text)
+        if word and words[word][0] >= 0.5 * n:
+            text, kind, (a, c) = word, EXACT, words[word]
+        else:
+            kind, (a, c) = STEM, both[text]
+            if c > longer[text] + words.get(text, (0, 0))[1] or adds_nothing(text):
+                continue
+        if covered(text):
             continue
-        a, c = words.get(text, (0, 0))
-        kind = EXACT if a >= 0.5 * n else STEM
-        if kind == STEM:
-            a, c = (x + y for x, y in zip(stems.get(text, (0, 0)), words.get(text, (0, 0))))
         weight = np.log((a + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
         chosen.append((text, kind, float(weight)))
-        taken.append(text)
+        taken[text] = kind
         if len(chosen) == TERMS:
             break
     return chosen

@@ -131,6 +131,38 @@ def test_toxicity_held_out_and_misspelled(spark):
     assert by[5002].n_hits >= 3 and by[5002].predicted == 1
 
 
+def test_toxicity_keeps_words_beside_harmless_ones_with_their_prefix(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(900):
+        words = prose("en", 40, rng).split()
+        if toxic := i % 4 == 0:
+            words += ["worthless"] if i % 8 else ["worthless", "worthlessness"]
+            words += [f"grubby{'abcdefghij'[i // 4 % 10]}x"]
+        if i % 60 < 4 and i % 4 in (0, 1):
+            words.append("work")
+        if i % 60 == 2:
+            words.append("grub")
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, 1, int(toxic), "x"))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, LABELS), ~held_out("doc_id", 5, 0))
+    kinds = {t: k for t, k, _ in model.terms}
+    assert kinds["worthless"] == toxicity.EXACT and "wor" not in kinds
+    assert kinds["worthlessness"] == toxicity.EXACT  # no stem covers it
+    stem, = (t for t, k in kinds.items() if k == toxicity.STEM and t.startswith("gru"))
+    assert "grubby".startswith(stem) and len(stem) > 4  # longer than the harmless word
+    _, hits = toxicity.describe(model, ["vorthless", "wrthless", "work", "grub", "grubbyax", "worthlessness"])
+    assert hits.tolist() == [1, 1, 0, 0, 1, 1]
+
+
+def test_choose_terms_takes_no_stem_that_adds_clean_words():
+    found = [("abcd", toxicity.STEM, 20, 3), ("abcde", toxicity.STEM, 9, 0), ("abcdx", toxicity.STEM, 8, 0)]
+    assert {t for t, _, _ in toxicity.choose_terms(found, 100, 1000)} == {"abcde", "abcdx"}
+    assert toxicity.choose_terms(found[:1], 100, 1000) == []
+    found[1] = ("abcde", toxicity.STEM, 9, 3)  # the clean documents hold what the longer form covers too
+    assert [t for t, _, _ in toxicity.choose_terms(found, 100, 1000)] == ["abcd"]
+
+
 def test_toxicity_quotes_count_less():
     model = toxicity.Model([("worthless", toxicity.EXACT, 5.0)])
     model.automaton = toxicity.build(model.terms)
