@@ -54,6 +54,8 @@ WIDTH = 4
 HASHES = 2 * HALVES * WIDTH
 BITS_APART = 25  # of HASHES; more than that has a chance of about 1e-6 at the threshold
 BLOCK_SHINGLES = 500_000
+BLOCK_SETS = 2000
+STRIP_CELLS = 1 << 20    # counts of common shingles held at once
 ONE_TASK_EDGES = 200_000
 RARE = 32
 SLICE_BYTES = 4 << 20
@@ -229,40 +231,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def common_counts(own: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
-    """Number of common shingles of all pairs of ``n`` sets, from (set, shingle) entries."""
+def common_strips(own: np.ndarray, shingle: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Common shingles of all pairs of ``n`` sets, from (set, shingle) entries, in strips: first set, counts.
+
+    A row has the counts of its set with all later ones.
+    """
     order = np.argsort(shingle, kind="stable")
     own, shingle = own[order], shingle[order]
     first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
     times = np.diff(np.r_[first, len(shingle)])
-    common = np.zeros(n * n, dtype=np.int32)
+    few = {}
     for t in range(2, RARE + 1):  # shingles in a few sets: their pairs of sets, one by one
         at = first[times == t]
-        if not len(at):
-            continue
-        holders = np.sort(own[at[:, None] + np.arange(t)], axis=1).astype(np.int64)
-        for a in range(t - 1):
-            np.add.at(common, (holders[:, a, None] * n + holders[:, a + 1:]).ravel(), 1)
-    common = common.reshape(n, n)
+        if len(at):
+            few[t] = np.sort(own[at[:, None] + np.arange(t)], axis=1).astype(np.int64)
     often = np.flatnonzero(times > RARE)
-    for a in range(0, len(often), 2048):  # shingles in many sets: as a matrix product
-        part = often[a:a + 2048]
-        held = np.zeros((n, len(part)), dtype=np.float32)
-        size = times[part]
-        entry = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        held[own[entry], np.repeat(np.arange(len(part)), size)] = 1
-        common += np.triu(held @ held.T, 1).astype(np.int32)
-    return common
+    height = max(1, STRIP_CELLS // max(1, n))
+    for top in range(0, n, height):
+        rows = min(height, n - top)
+        common = np.zeros(rows * n, dtype=np.int32)
+        for t, holders in few.items():
+            for a in range(t - 1):
+                mine = holders[(holders[:, a] >= top) & (holders[:, a] < top + rows)]
+                np.add.at(common, ((mine[:, a, None] - top) * n + mine[:, a + 1:]).ravel(), 1)
+        common = common.reshape(rows, n)
+        for a in range(0, len(often), 2048):  # shingles in many sets: as a matrix product
+            part = often[a:a + 2048]
+            held = np.zeros((n, len(part)), dtype=np.float32)
+            size = times[part]
+            entry = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            held[own[entry], np.repeat(np.arange(len(part)), size)] = 1
+            common += np.triu(held[top:top + rows] @ held.T, top + 1).astype(np.int32)
+        yield top, common
+
+
+def common_counts(own: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """Number of common shingles of all pairs of ``n`` sets, in one matrix."""
+    return np.concatenate([np.zeros((0, n), dtype=np.int32), *(c for _, c in common_strips(own, shingle, n))])
 
 
 def joining_links(cid: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between sets of different components, as few as join what can be joined."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    common = common_counts(np.repeat(np.arange(n), size), np.concatenate(sets), n)
-    a, b = np.nonzero(common)
-    both = common[a, b].astype(np.int64)
-    hit = (100 * both >= PER_CENT * (size[a] + size[b] - both)) & (label[a] != label[b])
     up: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -272,13 +283,18 @@ def joining_links(cid: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) ->
         return v
 
     out = []
-    a, b = a[hit], b[hit]
-    _, one = np.unique(np.column_stack([label[a], label[b]]), axis=0, return_index=True)
-    for x, y in zip(a[one].tolist(), b[one].tolist()):
-        p, q = root(int(label[x])), root(int(label[y]))
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((int(cid[x]), int(cid[y])))
+    for top, common in common_strips(np.repeat(np.arange(n), size), np.concatenate(sets), n):
+        a, b = np.nonzero(common)
+        both = common[a, b].astype(np.int64)
+        a = a + top
+        hit = (100 * both >= PER_CENT * (size[a] + size[b] - both)) & (label[a] != label[b])
+        a, b = a[hit], b[hit]
+        _, one = np.unique(np.column_stack([label[a], label[b]]), axis=0, return_index=True)
+        for x, y in zip(a[one].tolist(), b[one].tolist()):
+            p, q = root(int(label[x])), root(int(label[y]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((int(cid[x]), int(cid[y])))
     return out
 
 
@@ -287,13 +303,18 @@ def links_in_clusters(placed: DataFrame, docs: DataFrame, classes: DataFrame, te
     import pandas as pd
 
     ship_package(docs.sparkSession)
-    parts = placed.groupBy("cluster", "label").agg(F.sum("n").alias("total"))
+    parts = placed.groupBy("cluster", "label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets"))
     # the component with the most shingles is the cluster's main one
-    main = parts.groupBy("cluster").agg(F.max(F.struct("total", "label")).alias("top"), F.sum("total").alias("all"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("total", "label", "sets")).alias("top"),
+                                        F.sum("total").alias("all"), F.sum("sets").alias("all_sets"))
+
+    def blocks_for(shingles: Column, sets: Column) -> Column:
+        return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(sets / BLOCK_SETS)).cast("int")
+
     blocks = main.select(
         "cluster", F.col("top.label").alias("main"),
-        F.ceil((F.col("all") - F.col("top.total")) / BLOCK_SHINGLES).cast("int").alias("others"),
-        F.ceil(F.col("top.total") / BLOCK_SHINGLES).cast("int").alias("mains"))
+        blocks_for(F.col("all") - F.col("top.total"), F.col("all_sets") - F.col("top.sets")).alias("others"),
+        blocks_for(F.col("top.total"), F.col("top.sets")).alias("mains"))
     rows = placed.join(blocks, "cluster").withColumn("is_main", F.col("label") == F.col("main"))
     spread = F.xxhash64("cid")
     block = F.when(F.col("is_main"), F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(

@@ -180,3 +180,36 @@ def test_messy_group_over_blocks(spark, monkeypatch, block):
     want = brute(rows)
     assert sorted(map(tuple, got), key=str) == want
     assert len({r[2] for r in want}) > 3
+
+
+def test_blocks_of_short_texts_are_bounded_by_sets(spark, monkeypatch):
+    """Short template texts, few shingles each: no task compares more sets than two blocks hold."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        own = [f"w{k}" for k in range(30)]
+        for k in rng.sample(range(30), rng.choice([1, 1, 2])):
+            own[k] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 20)
+    monkeypatch.setattr(minhash, "STRIP_CELLS", 100)
+    plain, most = minhash.joining_links, 80  # two blocks of about 20, dealt by a hash
+
+    def bounded(cid, label, sets):
+        assert len(sets) <= most, len(sets)
+        return plain(cid, label, sets)
+
+    monkeypatch.setattr(minhash, "joining_links", bounded)
+    got = minhash.near_duplicates(frame(spark, rows)).drop("text_hash").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_common_counts_come_in_strips(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(1, 60, 12, dtype=np.uint64)) for _ in range(90)]
+    own, shingle = np.repeat(np.arange(90), [len(s) for s in sets]), np.concatenate(sets)
+    whole = minhash.common_counts(own, shingle, 90)
+    monkeypatch.setattr(minhash, "STRIP_CELLS", 900)
+    strips = list(minhash.common_strips(own, shingle, 90))
+    assert all(c.size <= 900 for _, c in strips) and (np.concatenate([c for _, c in strips]) == whole).all()
+    assert whole[3, 7] == len(np.intersect1d(sets[3], sets[7])) and not np.tril(whole).any()
