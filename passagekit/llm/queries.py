@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, chat, content_sort, langid, lm, minhash, packing, rules, topk, toxicity
-from passagekit.llm.common import held_out, table
+from passagekit.llm import bpe, chat, content_sort, langid, lm, merkle, minhash, packing, rules, topk, toxicity
+from passagekit.llm.common import held_out, remainder, table
 
 
 @cache
@@ -83,13 +83,37 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in docs.columns]
+    lowered = merkle.leaf_hash(*fields[:-1], F.translate("text", ASCII_UPPER, ASCII_LOWER))
+    leaves = docs.select("doc_id", "lang", merkle.leaf_hash(*fields).alias("leaf"),
+                         F.when(remainder("doc_id", 3) == 0, lowered).alias("lowered"))
+    claimed = leaves.withColumn("claimed", F.coalesce("lowered", "leaf"))
+    proofs = merkle.manifest(claimed, carry=["claimed"])
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.col("claimed"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat, op2_packing, op3_pitman_yor, op4_content_sort, op5_rules, op6_toxicity, op7_topk, op8_bpe, op9_langid,
-    op10_minhash)}
+    op10_minhash, op13_merkle)}
 
 # What the chat template adds to a text: a backslash for every control string.
 _ESCAPED = r"regexp_replace(coalesce({}, ''), '([\[<])(\\*/?INST\]|\\*/?s>|\\*\|endoftext\|>)', '\1\\\2', 'g')"
 
+# crc32 of the text of ``{}``, by the usual table of 256 remainders (CTE ``crc_table``).
+_CRC_TABLE = """crc_table AS (
+            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                                    i) ORDER BY i) AS t FROM range(256) r(i))"""
+_CRC = """xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+                       lambda crc, c: xor(crc >> 8, t[(xor(crc, c) & 255) + 1]), 4294967295), 4294967295)"""
+
 ORACLE = {
     "op1_chat": f"""
         WITH turns AS (
@@ -115,4 +139,53 @@ ORACLE = {
                    FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_merkle": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        read AS (
+            SELECT doc_id, lang, {_CRC.format('doc_id')} AS crc, ifnull(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+                   || ifnull(strlen(source) || ':' || source, '-') || ifnull(strlen(lang) || ':' || lang, '-')
+                   || ifnull(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+                   translate(text, '{ASCII_UPPER}', '{ASCII_LOWER}') AS low FROM documents, crc_table),
+        leaves AS (
+            SELECT doc_id, crc, coalesce('=' || lang, '') AS tree,
+                   sha256(head || ifnull(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || ifnull(strlen(low) || ':' || low, '-')) AS low_leaf FROM read),
+        up AS (
+            SELECT tree, 0 AS level, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY tree) AS n FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, sha256(string_agg(h, '' ORDER BY pos)), pos // 8, max((n + 7) // 8)
+            FROM up WHERE n > 1 GROUP BY tree, level, pos // 8),
+        top AS (
+            SELECT 0 AS level, tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n
+            FROM up WHERE n = 1
+            UNION ALL
+            SELECT level + 1, '', sha256(string_agg(h, '' ORDER BY pos)), pos // 8, max((n + 7) // 8)
+            FROM top WHERE n > 1 GROUP BY level, pos // 8),
+        root AS (SELECT h AS root FROM top WHERE n = 1),
+        sides AS (
+            SELECT tree, level, pos, coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos
+                       ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM up WHERE n > 1),
+        top_sides AS (
+            SELECT level, pos, coalesce(string_agg(h, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos
+                       ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM top WHERE n > 1),
+        walk AS (
+            SELECT doc_id, leaf, x.tree, 0 AS step, row_number() OVER (PARTITION BY x.tree ORDER BY doc_id, leaf) - 1
+                       AS pos, (SELECT max(level) FROM up WHERE up.tree = x.tree) AS depth, t.pos AS top_pos, t.h AS subroot,
+                   CASE WHEN crc % 3 = 0 THEN low_leaf ELSE leaf END AS node, '' AS seen
+            FROM leaves x JOIN top t ON t.level = 0 AND t.tree = x.tree
+            UNION ALL
+            SELECT doc_id, leaf, w.tree, step + 1, CASE WHEN step < depth THEN w.pos // 8 ELSE w.pos END, depth,
+                   CASE WHEN step < depth THEN top_pos ELSE top_pos // 8 END, subroot,
+                   sha256(coalesce(s.l, t.l) || node || coalesce(s.r, t.r)),
+                   seen || coalesce(s.l, t.l) || coalesce(s.r, t.r)
+            FROM walk w LEFT JOIN sides s ON step < depth AND s.tree = w.tree AND s.level = step AND s.pos = w.pos
+            LEFT JOIN top_sides t ON step >= depth AND t.level = step - depth AND t.pos = top_pos
+            WHERE s.l IS NOT NULL OR t.l IS NOT NULL)
+        SELECT doc_id, leaf, subroot, root, sha256(seen) AS proof_sha256, node AS folded_root, node = root AS verified
+        FROM walk, root WHERE step = depth + (SELECT max(level) FROM top)""",
 }
