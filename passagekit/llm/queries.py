@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from passagekit.llm import bpe, chat, content_sort, langid, lm, merkle, minhash, packing, rules, topk, toxicity
+from passagekit.llm import (
+    bpe, chat, content_sort, fingerprint, langid, lm, merkle, minhash, packing, rules, runs, topk, toxicity)
 from passagekit.llm.common import held_out, remainder, table
+from passagekit.llm.fingerprint import ASCII_LOWER, ASCII_UPPER
 
 
 @cache
@@ -83,7 +85,41 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = "[^\\x20\\x09-\\x0D]+"
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # in every tenth document the words from a on are words a .. a + p - 1 again and again
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    looping = docs.where(crc % 10 == 0).withColumn("words", words).withColumn("g", F.floor(crc / 10))
+    looping = looping.withColumn("n", F.size("words")).where("n > 0").withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    looping = looping.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    looped = looping.select("doc_id", F.array_join(F.slice(F.concat(
+        F.slice("words", F.lit(1), F.col("a")), F.flatten(again)), F.lit(1), F.col("n")), " ").alias("text"))
+    plain = docs.where(~F.coalesce((crc % 10 == 0) & F.coalesce(F.col("text"), F.lit("")).rlike(WORD), F.lit(False)))
+    found = runs.find_runs(plain.unionByName(looped))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    return found.withColumn("_top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_top.start")).alias("start"),
+        F.col("_top.length").alias("length"), (-F.col("_top.period")).alias("period"),
+        F.expr("1000 * _top.length div -_top.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fingerprint.edited_against_next(table(spark, sf_dir, "documents"))
+    own, edited = F.col("packed"), F.col("edited_packed")
+    return marked.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.as_text(own).alias("fingerprint"),
+        fingerprint.as_text(edited).alias("edited_fingerprint"), fingerprint.likeness(own, edited).alias("near_edited"),
+        fingerprint.likeness(own, F.col("next_packed")).alias("near_next"))
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +138,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat, op2_packing, op3_pitman_yor, op4_content_sort, op5_rules, op6_toxicity, op7_topk, op8_bpe, op9_langid,
-    op10_minhash, op13_merkle)}
+    op10_minhash, op11_runs, op12_fingerprint, op13_merkle)}
 
 # What the chat template adds to a text: a backslash for every control string.
 _ESCAPED = r"regexp_replace(coalesce({}, ''), '([\[<])(\\*/?INST\]|\\*/?s>|\\*\|endoftext\|>)', '\1\\\2', 'g')"
