@@ -24,6 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
 
 import numpy as np
@@ -38,7 +39,19 @@ from passagekit.llm.common import map_batches, slices
 SPACE = "[\t-\r \x85\xa0  -     　]+"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+"
 
-ENDED = r"(\pL)([.,;:!?]+)(\s|$)"
+
+
+@cache
+def ended() -> str:
+    """Pattern of punctuation after a word, where a text may be cut before normalising.
+
+    Not after letters whose normal lower-case form ends in a mark (İ, Hindi and
+    Bengali letters with a dot, ...): the mark belongs to the punctuation.
+    """
+    marked = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c)[0] == "L"
+                     and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] != "L")
+    return rf"([^\PL{marked}])([.,;:!?]+)(\s|$)"
+
 
 SLICE_BYTES = 12 << 20
 PIECES_KEPT = 250_000
@@ -199,7 +212,7 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token may be meant: case does not matter
             texts = pc.ascii_lower(texts)
-        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, ENDED, r"\1 \2\3"))
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, ended(), r"\1 \2\3"))
         count = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(parts).dictionary_encode()
         at = self.known(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]

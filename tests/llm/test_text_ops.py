@@ -231,3 +231,28 @@ def test_escape_round_trip():
 def test_vocabulary_path_is_a_parameter():
     path = public_tokenizers.path("word_bpe_49k.json")
     assert json.loads(vocabulary("any", path))["model"]["type"] == "BPE"
+
+
+def test_bpe_of_letters_that_end_in_a_mark(library):
+    """Every letter whose lower-case NFC form ends in a non-letter, before each mark of punctuation."""
+    import unicodedata
+
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c)[0] == "L"
+               and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] != "L"]
+    assert len(letters) > 50 and "İ" in letters and "क़" in letters
+    texts = [f"x{c}{m}{after}" for c in letters for m in ".,;:!?" for after in ("", " b", "\n")]
+    # and a spread of all other letters
+    texts += [f"x{chr(c)}. b" for c in range(0x80, 0x30000, 7) if unicodedata.category(chr(c))[0] == "L"]
+    ids, count = bpe.BpeEncoder(word_bpe()).encode(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = np.split(ids, np.cumsum(count)[:-1])
+    assert [t for t, g, w in zip(texts, got, want) if g.tolist() != w] == []
+
+
+def test_packing_checksums_of_letters_that_end_in_a_mark(spark, library):
+    import zlib
+
+    rows = [(k, t) for k, t in enumerate(["xİ. yİ, z", "क़. ढ़, ড়.", "שּׁ! a", "plain. text"])]
+    for r in packing.pack(docs(spark, rows), word_bpe()).collect():
+        ids = library.encode(rows[r.doc_id][1], add_special_tokens=False).ids + [2]
+        assert (r.start, r.length, r.ids_crc32) == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
