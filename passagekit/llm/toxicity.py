@@ -202,11 +202,16 @@ def describe(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quoted_at(text: str, places: np.ndarray) -> np.ndarray:
-    """Does each place lie inside quotation marks of its line?"""
-    out = []
+    """Does each place (ascending) lie inside quotation marks of its line?  Marks are counted as the text goes on."""
+    out, last, straight, open_marks = [], 0, 0, 0
     for at in places.tolist():
-        line = text[text.rfind("\n", 0, at) + 1:at]
-        out.append(line.count('"') % 2 == 1 or line.count("“") + line.count("«") > line.count("”") + line.count("»"))
+        line = text.rfind("\n", last, at) + 1
+        if line:
+            last, straight, open_marks = line, 0, 0
+        straight += text.count('"', last, at)
+        open_marks += sum(text.count(m, last, at) for m in "“«") - sum(text.count(m, last, at) for m in "”»")
+        last = at
+        out.append(straight % 2 == 1 or open_marks > 0)
     return np.array(out, dtype=bool)
 
 

@@ -379,3 +379,22 @@ def test_topk_empty_and_few(spark):
     two = spark.createDataFrame([(0, [1.0], 0.0, 1, 1), (1, [2.0], 0.0, 1, 1)], VECTORS)
     assert [tuple(r) for r in topk.top_k(two, F.col("vec_id") % 3 == 0).collect()] == [(0, 1, 1, 256 * 512)]
 
+
+
+def test_quotation_marks_are_counted_once_a_line():
+    import time
+
+    from passagekit.llm.toxicity import quoted_at
+
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list('ab "“”«»\n'), 600))
+    places = np.sort(rng.integers(0, 600, 80))
+
+    def plain(at):
+        line = text[text.rfind("\n", 0, at) + 1:at]
+        return line.count('"') % 2 == 1 or line.count("“") + line.count("«") > line.count("”") + line.count("»")
+
+    assert quoted_at(text, places).tolist() == [plain(at) for at in places.tolist()]
+    long = 'bad "word " ' * 200_000
+    began = time.time()
+    assert len(quoted_at(long, np.arange(0, len(long), 12))) == 200_000 and time.time() - began < 20
