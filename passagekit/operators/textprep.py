@@ -50,25 +50,37 @@ def clean_sentences(df: DataFrame, key: str = "doc_id", text: str = "text",
     return explode_rows(df, [key], F.array_distinct(sents), ["sent_id", "sentence"])
 
 
+#: paragraphs whose segments are gathered before they join the others
+BLOCK_PARAGRAPHS = 128
+
+
 def segment_array(text: Column, max_tokens: int = MAX_SEGMENT_TOKENS) -> Column:
     """array<struct<segment, n_tokens>>: non-empty paragraphs packed greedily;
     a segment takes paragraphs while it holds fewer than ``max_tokens``
     tokens (the last one may overshoot)."""
     paras = F.filter(F.split(text, "\n", -1), lambda p: F.length(p) > 0)
-    init = F.array().cast("array<struct<segment:string,n_tokens:int>>")
+    seg = "struct<segment:string,n_tokens:int>"
+    empty, none = F.array().cast(f"array<{seg}>"), F.lit(None).cast(seg)
+    # every step of an aggregate copies its state, so the segments of a block of
+    # paragraphs are gathered first and handed on block by block
+    blocks = F.flatten(F.transform(F.array(paras), lambda x: F.transform(
+        F.sequence(F.lit(0), ((F.size(x) - 1) / BLOCK_PARAGRAPHS).cast("int")),
+        lambda i: F.slice(x, i * BLOCK_PARAGRAPHS + 1, BLOCK_PARAGRAPHS))))
 
     def step(acc, p):
-        n = F.size(acc)
-        last = F.try_element_at(acc, F.lit(-1))
-        c = word_count(p)
-        start = (n == 0) | (last["n_tokens"] >= max_tokens)
-        new = F.concat(acc, F.array(F.struct(p.alias("segment"), c.alias("n_tokens"))))
-        grow = F.concat(F.slice(acc, 1, n - 1), F.array(F.struct(
-            F.concat(last["segment"], F.lit(" "), p).alias("segment"),
-            (last["n_tokens"] + c).alias("n_tokens"))))
-        return F.when(start, new).otherwise(grow)
+        last, c = acc["open"], word_count(p)
+        grown = F.struct(F.concat(last["segment"], F.lit(" "), p).alias("segment"), (last["n_tokens"] + c).alias("n_tokens"))
+        one = F.struct(p.alias("segment"), c.alias("n_tokens"))
+        return F.when(last.isNull(), F.struct(acc["done"].alias("done"), one.alias("open"))).when(
+            last["n_tokens"] >= max_tokens, F.struct(F.concat(acc["done"], F.array(last)).alias("done"), one.alias("open"))
+        ).otherwise(F.struct(acc["done"].alias("done"), grown.alias("open")))
+
+    def block(acc, ps):
+        return F.aggregate(ps, F.struct(empty.alias("done"), acc["open"].alias("open")), step, lambda st: F.struct(
+            F.concat(acc["done"], st["done"]).alias("done"), st["open"].alias("open")))
 
-    return F.aggregate(paras, init, step)
+    return F.aggregate(blocks, F.struct(empty.alias("done"), none.alias("open")), block, lambda st: F.when(
+        st["open"].isNull(), st["done"]).otherwise(F.concat(st["done"], F.array(st["open"]))))
 
 
 def pack_segments(df: DataFrame, key: str = "doc_id", text: str = "text",
@@ -287,9 +299,15 @@ def with_entity_choices(df: DataFrame, key: str, text: str, out: str = "_ents_ch
     m_max = n_choices - 1
     k = F.col(key)
     df = df.withColumn("_ents", entity_array(F.col(text)))
-    df = df.withColumn("_pool", F.array_sort(F.array_distinct(F.transform("_ents", lambda e: F.struct(
+    # strings are made distinct by hashing; structs would be compared pair by pair
+    df = df.withColumn("_keys", F.array_distinct(F.transform(
+        "_ents", lambda e: F.concat(e["label"], F.lit("\x01"), e["ent_text"]))))
+    df = df.withColumn("_pool", F.transform("_keys", lambda x: F.struct(
+        F.substring_index(x, "\x01", 1).alias("label"),
+        F.substring(x, F.length(F.substring_index(x, "\x01", 1)) + 2, F.length(x)).alias("ent_text"))))
+    df = df.withColumn("_pool", F.array_sort(F.transform("_pool", lambda e: F.struct(
         unit_hash(k, e["ent_text"], e["label"], seed=seed).alias("h"),
-        e["ent_text"].alias("ent_text"), e["label"].alias("label"))))))
+        e["ent_text"].alias("ent_text"), e["label"].alias("label")))))
     df = df.withColumn("_labels", F.array_distinct(F.transform("_pool", lambda p: p["label"])))
     same = F.map_from_arrays(F.col("_labels"), F.zip_with(
         "_labels", _repeat(F.col("_pool"), F.col("_labels")),
@@ -314,7 +332,7 @@ def with_entity_choices(df: DataFrame, key: str, text: str, out: str = "_ents_ch
     df = df.withColumn(out, F.zip_with("_ents", _repeat(ctx, F.col("_ents")), lambda e, c: F.struct(
         e["sent_id"].alias("sent_id"), e["ent_id"].alias("ent_id"), e["ent_text"].alias("ent_text"),
         e["label"].alias("label"), e["sentence"].alias("sentence"), options(e, c).alias("choices"))))
-    return df.drop("_ents", "_pool", "_labels")
+    return df.drop("_ents", "_keys", "_pool", "_labels")
 
 
 def with_candidates(df: DataFrame, key: str, text: str, style: str = "all", seed: int = 0,

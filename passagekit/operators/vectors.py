@@ -41,6 +41,12 @@ X_BLOCK_NUMBERS = 50_000 * 64
 CELL_NUMBERS = 4_000_000
 
 
+def usable(vec: str):
+    """Vectors that take part in a search: not NULL, all components finite numbers."""
+    return F.col(vec).isNotNull() & F.forall(
+        F.col(vec), lambda v: F.coalesce(F.abs(v.cast("double")) < F.lit(float("inf")), F.lit(False)))
+
+
 def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, exclude_self: bool):
     """Exact first ``k`` of each query among ``x``: (query position, x position, d2), ranked."""
     qn, xn = (q * q).sum(axis=1), (x * x).sum(axis=1)
@@ -103,6 +109,9 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
     group is part of the grid-cell key).  ``keep``: columns of the index that
     the hits carry, joined on the id.
 
+    Vectors that are NULL or hold a NULL, NaN or infinite component take no part
+    on either side.
+
     Keys must be integers.  ``exclude_self`` drops the pair where both keys
     are equal (leave-one-out evaluation).  The grid needs the row counts (one
     row per group), so pass stored / checkpointed tables: a derived input (an
@@ -112,6 +121,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, q_key: str = "query_id",
     ship_package(spark)
     par = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = F.col(group).cast("string") if group else F.lit("")
+    queries, index = queries.where(usable(q_vec)), index.where(usable(x_vec))
     groups = _sizes(queries, g, q_vec).select("g", F.col("n").alias("nq"), F.col("w")).join(
         _sizes(index, g, x_vec).select("g", F.col("n").alias("nx")), "g")
     grid = {}

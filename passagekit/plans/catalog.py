@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagekit.functions.arrays import explode_rows
-from passagekit.operators import augment, coverage, curate, evaluate, models, sample, textprep, vectors
+from passagekit.operators import augment, coverage, curate, evaluate, models, pruned, sample, textprep, vectors
 from passagekit.plans import corpus, fixtures
 from passagekit.session import checkpoint_dir
 from passagekit.sources import io
@@ -51,6 +51,14 @@ def q_knn_top10(spark, sf_dir):
     return hits.select("query_id", "rank", "vec_id", F.round("d2", 6).alias("d2"))
 
 
+@register("knn_pruned")
+def q_knn_pruned(spark, sf_dir):
+    """The same exact 10-NN, visiting only cells whose bound can be reached."""
+    queries, index, _ = _vector_inputs(spark, sf_dir)
+    hits, _ = pruned.knn_pruned(queries, index, 10, exclude_self=True)
+    return hits.select("query_id", "rank", "vec_id", F.round("d2", 6).alias("d2"))
+
+
 @register("knn_blocked")
 def q_knn_blocked(spark, sf_dir):
     """The same exact 10-NN forced onto a fine grid (128 x 128 vectors per cell):
@@ -415,7 +423,7 @@ def q_index_roundtrip(spark, sf_dir):
     io.write_index(extended.where(F.col("origin") == "noise"), f"{base}/index", mode="append")
     whole = io.read_index(spark, f"{base}/index")
     io.export_id_map(whole, f"{base}/ids")
-    queries = e.where(F.col("key") % 50 == 0).select(F.col("key").alias("query_id"), "embedding")
+    queries = e.where(F.col("key") % 20 == 0).select(F.col("key").alias("query_id"), "embedding")
     hits = vectors.knn(queries, whole, 5)
     return hits.join(io.read_id_map(spark, f"{base}/ids"), "vec_id").select("query_id", "rank", "vec_id", "doc_id")
 

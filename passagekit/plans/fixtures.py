@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagekit.functions.arrays import explode_rows
-from passagekit.operators.containment import containment_pairs
+from passagekit.operators.occurrences import occurrence_lines
 from passagekit.operators.curate import curate_passages
 from passagekit.session import checkpoint_dir
 from passagekit.sources.io import read_table
@@ -70,11 +70,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, item_id, src, corpus_id``: the gold passage of every document that holds the query's text."""
+    """``query_id, item_id, src, corpus_id``: the passages in which an occurrence of the query's text starts."""
     docs = documents(spark, sf_dir, ["doc_id", "text"])
     b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
     checkpoint_dir(spark)
-    gold = containment_pairs(docs, b).checkpoint()  # read by several stages of the corpus builder
+    gold = occurrence_lines(docs, b).checkpoint()  # read by several stages of the corpus builder
     return gold.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "item_id",
                        F.col("doc_id").alias("src"), passage_id(F.col("doc_id"), F.col("line")).alias("corpus_id"))
 

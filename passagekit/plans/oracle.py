@@ -91,7 +91,7 @@ ORACLE["knn_top10"] = f"""
 with {RAW_VECS}, {PAIRS}
 select query_id, rank::INTEGER as rank, vec_id, round(d2, 6) as d2 from ranked where rank <= 10"""
 
-ORACLE["knn_blocked"] = ORACLE["knn_top10"]
+ORACLE["knn_blocked"] = ORACLE["knn_pruned"] = ORACLE["knn_top10"]
 
 ORACLE["accuracy_at_k"] = f"""
 with {RAW_VECS}, {PAIRS}, {BEST}
@@ -144,12 +144,14 @@ def _corpus(name: str, cond: str, prefix: str) -> str:
 CORPORA = PASSAGES_RAW + "," + _corpus("nq", "d.lang = 'en'", "d_") + "," + \
     _corpus("wiki", "not (d.lang = 'en')", "wikidoc_")
 
-# in every document that holds the text: the line of its first occurrence
+# every line in which the text starts: of the document from that line on, the first occurrence lies in the line
 ANSWERS = """
 answers as (
-  select 'q' || b.item_id as query_id, b.item_id, d.doc_id as src,
-         'doc' || d.doc_id || '_' || (len(string_split(d.text[1:strpos(d.text, b.text) - 1], chr(10))) - 1) as corpus_id
-  from benchmark b join documents d on strpos(d.text, b.text) > 0)"""
+  select 'q' || item_id as query_id, item_id, src, 'doc' || src || '_' || line as corpus_id
+  from (select item_id, item, src, lines, unnest(range(len(lines))) as line
+        from (select b.item_id, b.text as item, d.doc_id as src, string_split(d.text, chr(10)) as lines
+              from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''))
+  where strpos(array_to_string(lines[line + 1:], chr(10)), item) between 1 and length(lines[line + 1]) + 1)"""
 
 
 def _loose(x: str) -> str:
@@ -176,10 +178,9 @@ select count(*) as n_titles, count(*) filter (not found) as n_missing,
 
 ORACLE["query_trace"] = f"""
 with {PASSAGES}, {ANSWERS}
-select A.query_id, A.text as query_text, C.corpus_id, C.doc_id, C.title
-from (select 'q' || item_id as query_id, text from benchmark) A
-inner join answers B on B.query_id = A.query_id
-inner join passages C on B.corpus_id = C.corpus_id"""
+select query_id, text as query_text, corpus_id, doc_id, title
+from benchmark join (select query_id, item_id, p.corpus_id, p.doc_id, p.title
+                     from passages p, answers where p.corpus_id = answers.corpus_id) using (item_id)"""
 
 ORACLE["keyword_titles"] = f"""
 with {CORPORA}
@@ -542,7 +543,7 @@ pairs as (
   select q.key as query_id, x.vec_id, x.doc_id,
          list_sum(list_transform(range(1, len(q.e) + 1),
                   lambda i: (q.e[i]::double - x.e[i]::double) * (q.e[i]::double - x.e[i]::double))) as d2
-  from ids q join ids x on q.key % 50 = 0),
+  from ids q join ids x on q.key % 20 = 0),
 ranked as (select *, row_number() over (partition by query_id order by d2, vec_id) as rank from pairs)
 select query_id, rank::INTEGER as rank, vec_id, doc_id from ranked where rank <= 5"""
 
