@@ -23,6 +23,67 @@ from passagekit.functions.arrays import explode_rows
 from passagekit.session import ship_package
 
 
+#: rows, and batches' worth of tokens, that a task holds while it sorts them by length
+BUFFER_ROWS, BUFFER_BUDGETS = 4096, 64
+
+
+def budget_batches(lengths: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Rows (positions) cut into batches of similar length: rows x longest row stays within ``budget``.
+
+    A row that is longer than the budget is a batch of its own.
+    """
+    order = np.argsort(lengths, kind="stable")
+    out, begin = [], 0
+    for at, size in enumerate(lengths[order].tolist()):
+        if at > begin and (at - begin + 1) * size > budget:
+            out.append(order[begin:at])
+            begin = at
+    return out + [order[begin:]] if len(order) else out
+
+
+def padding_share(batches: list[np.ndarray], lengths: np.ndarray) -> float:
+    """Share of a padded batch's places that hold no token, over all batches."""
+    padded = sum(len(b) * int(lengths[b].max()) for b in batches if len(b))
+    return 1 - int(lengths.sum()) / padded if padded else 0.0
+
+
+def apply_budgeted(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+                   schema: T.StructType | str, length: Column, budget: int) -> DataFrame:
+    """``apply_batches`` with batches sized for the model instead of for Arrow.
+
+    ``length``: tokens of a row.  Rows of a task are gathered in a bounded buffer,
+    sorted by length and cut by ``budget_batches``; results come in that order.
+    """
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        held: list[pd.DataFrame] = []
+        tokens = rows = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            whole = pd.concat(held, ignore_index=True)
+            for at in budget_batches(whole["_length"].to_numpy(np.int64), budget):
+                yield model(whole.iloc[at].drop(columns="_length").reset_index(drop=True))
+
+        for batch in batches:
+            ends = batch["_length"].cumsum().to_numpy()
+            begin = 0
+            while begin < len(batch):
+                room = max(1, BUFFER_BUDGETS * budget - tokens) + (ends[begin - 1] if begin else 0)
+                end = min(max(begin + 1, int(np.searchsorted(ends, room, side="right"))), begin + BUFFER_ROWS - rows)
+                held.append(batch.iloc[begin:end])
+                rows, tokens = rows + end - begin, tokens + int(held[-1]["_length"].sum())
+                begin = end
+                if rows >= BUFFER_ROWS or tokens >= BUFFER_BUDGETS * budget or begin < len(batch):
+                    yield from flush()
+                    held, rows, tokens = [], 0, 0
+        if held:
+            yield from flush()
+
+    return df.withColumn("_length", F.coalesce(length, F.lit(0)).cast("long")).mapInPandas(run, schema)
+
+
 def apply_batches(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
                   schema: T.StructType | str) -> DataFrame:
     """Run ``factory()(batch)`` over Arrow batches; the model is built once per task."""
@@ -151,7 +212,8 @@ def hashed_bow_encoder(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
 
 
 def encode(df: DataFrame, key: str, text: str, encoder_factory=None, dim: int = 64,
-           out: str = "embedding", keep: list[str] | None = None, engine: str = "arrow") -> DataFrame:
+           out: str = "embedding", keep: list[str] | None = None, engine: str = "arrow",
+           budget: int | None = None) -> DataFrame:
     """Dense vectors ``(key, *keep, embedding array<double>)``.
 
     ``encoder_factory()`` returns a callable ``pd.Series[str] -> ndarray[n, dim]``
@@ -161,6 +223,8 @@ def encode(df: DataFrame, key: str, text: str, encoder_factory=None, dim: int =
     interpreted lambda calls per row); the Arrow path stays the default
     because a real encoder is a Python model anyway.
     ``keep`` columns travel along (no join back to the source).
+    ``budget``: places (rows x words of the longest row) of one call of the
+    encoder; rows of similar length go together.
     """
     cols = [key] + list(keep or [])
     if encoder_factory is None and engine == "sql":
@@ -178,4 +242,7 @@ def encode(df: DataFrame, key: str, text: str, encoder_factory=None, dim: int =
             res[out] = list(m)
             return res
         return run
-    return apply_batches(df.select(*cols, text), model, f"{schema}, {out} array<double>")
+    result = f"{schema}, {out} array<double>"
+    if budget is not None:
+        return apply_budgeted(df.select(*cols, text), model, result, F.size(F.split(text, " ", -1)), budget)
+    return apply_batches(df.select(*cols, text), model, result)

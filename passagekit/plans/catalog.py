@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagekit.functions.arrays import explode_rows
-from passagekit.operators import augment, coverage, curate, evaluate, models, pruned, sample, textprep, vectors
-from passagekit.plans import corpus, fixtures
+from passagekit.operators import (
+    augment, coverage, curate, evaluate, hits as hit_tables, keywords, models, pruned, sample, textprep, vectors)
+from passagekit.operators.dictionary import extend_dictionary
+from passagekit.plans import claims, corpus, fixtures
 from passagekit.session import checkpoint_dir
 from passagekit.sources import io
+from passagekit.sources.buckets import BucketTable
 from passagekit.sources.io import read_table
 
 CATALOG: dict = {}
@@ -550,3 +553,92 @@ def q_qa_pair_scores(spark, sf_dir):
     qa = fixtures.qa_pairs(spark, sf_dir)
     return qa.select("conv_id", "turn", F.round(models.default_score(F.col("question"), F.col("answer")), 6)
                      .alias("score"))
+
+
+# ---------------------------------------------------------------- stored state
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("stored_changes")
+def q_stored_changes(spark, sf_dir):
+    """A stored table updated from the labels and then rid of the toxic documents; read back."""
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", ["doc_id", "source", "lang", "n_chars"])
+    labels = read_table(spark, f"{sf_dir}/labels.parquet", ["doc_id", "quality", "toxic"])
+    table = BucketTable.create(docs, _folder(spark, "table"), ["doc_id"], buckets=16)
+    table.update(labels.select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("source")),
+                 ["source"])
+    table.delete(labels.where("toxic = 1"))
+    return table.read()
+
+
+@register("claimed_segments")
+def q_claimed_segments(spark, sf_dir):
+    """Documents cut into segments by two sessions that share the queue: one takes a
+    third of the ranges, the other what is left."""
+    queue = read_table(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text"])
+    folder = _folder(spark, "claims")
+    claims.process_claims(queue, folder, "doc_id", textprep.pack_segments, ranges=12, take=4, session="a", rounds=1)
+    claims.process_claims(queue, folder, "doc_id", textprep.pack_segments, ranges=12, take=12, session="b")
+    return claims.results(spark, folder)
+
+
+@register("title_dictionary")
+def q_title_dictionary(spark, sf_dir):
+    """Two loads of titles: the English documents', then all documents'."""
+    path = _folder(spark, "titles")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", ["text", "lang"]).withColumn(
+        "title", F.substring_index("text", "\n", 1))
+    extend_dictionary(docs.where("lang = 'en'"), path)
+    return extend_dictionary(docs, path)
+
+
+@register("keyword_table")
+def q_keyword_table(spark, sf_dir):
+    """Titles of the documents that hold the words of the benchmark, their first two letters, or nothing."""
+    titles = read_table(spark, f"{sf_dir}/documents.parquet", ["text"]).select(
+        F.substring_index("text", "\n", 1).alias("title"))
+    items = read_table(spark, f"{sf_dir}/benchmark.parquet", ["text"])
+    words = explode_rows(items, [], F.split("text", " ", -1), ["word"])
+    table = words.select(F.explode(F.array("word", F.substring("word", 1, 2), F.lit(""), F.lit(None).cast("string")))
+                         .alias("keyword"))
+    found = keywords.keyword_matches(titles, table)
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_titles"), F.min("title").alias("first_title"))
+
+
+@register("ingest_rejects")
+def q_ingest_rejects(spark, sf_dir):
+    """A raw export in which every seventh record is cut short: table and rejects."""
+    from pyspark.sql import types as T
+    base = _folder(spark, "raw")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang", "source", "n_chars"])
+    line = F.to_json(F.struct("doc_id", "lang", "source", "n_chars"))
+    docs.select("doc_id", line.alias("line")).selectExpr(
+        "CASE WHEN doc_id % 7 = 0 THEN substring(line, 1, length(line) - 2) ELSE line END AS value").write.text(base)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()),
+                           T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+    table, rejects = io.ingest_with_rejects(spark, base, "json", schema)
+    return table.withColumn("record", F.lit(None).cast("string")).unionByName(
+        rejects.select("record"), allowMissingColumns=True)
+
+
+@register("encode_budgeted")
+def q_encode_budgeted(spark, sf_dir):
+    """The encoder over batches of similar length, each of at most 4096 padded words."""
+    e = models.encode(fixtures.passages(spark, sf_dir), "corpus_id", "text", dim=64, budget=4096,
+                      encoder_factory=lambda: models.hashed_bow_encoder(64))
+    nz = explode_rows(e, ["corpus_id"], F.col("embedding"), ["bucket", "weight"]).where(F.col("weight") != 0)
+    return nz.select("corpus_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@register("extended_search")
+def q_extended_search(spark, sf_dir):
+    """10-NN of every embedding in an index built in two loads: the hits of the first
+    load are stored, the second load is searched alone and merged in."""
+    queries, index, _ = _vector_inputs(spark, sf_dir)
+    first, second = index.where(F.col("vec_id") % 3 != 0), index.where(F.col("vec_id") % 3 == 0)
+    path = _folder(spark, "hits")
+    vectors.knn(queries, first, 10, exclude_self=True).write.parquet(path)
+    found = hit_tables.search_appended(spark.read.parquet(path), queries, second, 10, exclude_self=True)
+    return found.select("query_id", "rank", "vec_id", F.round("d2", 6).alias("d2"))

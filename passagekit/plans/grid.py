@@ -3,22 +3,28 @@
 Configurations = corpus (``gold``: answer passages and their document
 siblings, stages 1-2; ``wiki``: plus the sampled noise, stage 3) x concat
 level (1, 2, 3) x generated questions (``qg``/``no_qg``) x title in the
-passage template.  Distinct texts are encoded in one Arrow-batch pass; all
-indexes are searched in one grouped k-NN job; one aggregate yields accuracy@k.
+passage template.  Distinct texts are encoded in one Arrow-batch pass; the
+vectors of each stage are searched once, in one grouped k-NN job over all
+variants, and the hits of the larger corpus are merged from both; one aggregate
+yields accuracy@k.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagekit.operators import augment, evaluate, models, textprep, vectors
+from passagekit.operators.hits import merge_hits
 from passagekit.operators.sample import row_index
 from passagekit.plans import corpus, fixtures
 from passagekit.session import checkpoint_dir
 from passagekit.sources.io import read_table, update_from
 
 CORPORA = (("gold", 2), ("wiki", 3))
+VARIANTS = [(qg, title) for qg in (False, True) for title in (True, False)]
 
 
 def corpus_with_questions(spark: SparkSession, sf_dir: str, levels=(1, 2, 3), n: int = 25,
@@ -51,33 +57,36 @@ def retrieval_grid(spark: SparkSession, sf_dir: str, levels=(1, 2, 3), k: int =
                    ks=evaluate.DEFAULT_KS) -> DataFrame:
     checkpoint_dir(spark)
     c = corpus_with_questions(spark, sf_dir, levels, seed=seed).checkpoint()
+    # the corpora of one variant differ in their noise only: a variant is built and numbered once
     variants = []
-    for corpus_name, max_stage in CORPORA:
-        for qg in (False, True):
-            for title in (True, False):
-                parts = (["title"] if title else []) + ["text"] + (["questions"] if qg else [])
-                v = textprep.compose_passage(c.where(F.col("stage") <= max_stage), parts)
-                variants.append(v.select(config_name(corpus_name, qg, title).alias("config"),
-                                         "doc_id", "corpus_ids", "query_id", "passage"))
+    for qg, title in VARIANTS:
+        parts = (["title"] if title else []) + ["text"] + (["questions"] if qg else [])
+        v = textprep.compose_passage(c, parts)
+        variants.append(v.select(config_name("", qg, title).alias("variant"), "stage",
+                                 "doc_id", "corpus_ids", "query_id", "passage"))
     src = variants[0]
     for v in variants[1:]:
         src = src.unionByName(v)
     # every distinct passage text is encoded once, whatever number of configurations use it
     texts = models.encode(src.select(F.md5("passage").alias("text_key"), "passage").distinct(), "text_key", "passage")
     rows = src.withColumn("text_key", F.md5("passage")).drop("passage").join(texts, "text_key")
-    index = row_index(rows, ["config", "corpus_ids", F.col("query_id").asc_nulls_first()], "vec_id")
+    index = row_index(rows, ["variant", "corpus_ids", F.col("query_id").asc_nulls_first()], "vec_id")
 
     gold = (c.where(F.col("stage") == 1).select("level", "query_id", "doc_id").distinct())
-    gold_cfg = None
-    for corpus_name, _ in CORPORA:
-        for qg in (False, True):
-            for title in (True, False):
-                g = gold.select(config_name(corpus_name, qg, title).alias("config"),
-                                F.substring("query_id", 2, 20).cast("long").alias("query_id"), "doc_id")
-                gold_cfg = g if gold_cfg is None else gold_cfg.unionByName(g)
-    gold_cfg = gold_cfg.checkpoint()
+    wanted = [gold.select(config_name("", qg, title).alias("variant"),
+                          F.substring("query_id", 2, 20).cast("long").alias("query_id"), "doc_id") for qg, title in VARIANTS]
+    wanted = reduce(DataFrame.unionByName, wanted).checkpoint()
     b = read_table(spark, f"{sf_dir}/benchmark.parquet", ["item_id", "text"])
     qv = models.encode(b, "item_id", "text").withColumnRenamed("item_id", "query_id")
-    queries = gold_cfg.select("config", "query_id").distinct().join(qv, "query_id").checkpoint()
-    hits = vectors.knn(queries, index, k, group="config", keep=["doc_id"])
-    return evaluate.accuracy_by_group(hits, gold_cfg, "config", ks)
+    queries = wanted.select("variant", "query_id").distinct().join(qv, "query_id").checkpoint()
+    # every vector is searched once: the hits of a corpus with noise are those without, merged with the noise's
+    found, parts = None, []
+    for (corpus_name, last), (_, before) in zip(CORPORA, (("", 0), *CORPORA)):
+        added = index.where((F.col("stage") > before) & (F.col("stage") <= last))
+        new = vectors.knn(queries, added, k, group="variant")
+        found = (new if found is None else merge_hits([found, new], k, group="variant")).checkpoint()
+        parts.append(found.withColumn("config", F.concat(F.lit(corpus_name), "variant")))
+    hits = reduce(DataFrame.unionByName, parts).join(index.select("vec_id", "doc_id"), "vec_id")
+    gold_cfg = reduce(DataFrame.unionByName, [
+        wanted.withColumn("config", F.concat(F.lit(name), "variant")) for name, _ in CORPORA])
+    return evaluate.accuracy_by_group(hits.drop("variant"), gold_cfg.drop("variant"), "config", ks)

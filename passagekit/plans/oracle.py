@@ -91,7 +91,7 @@ ORACLE["knn_top10"] = f"""
 with {RAW_VECS}, {PAIRS}
 select query_id, rank::INTEGER as rank, vec_id, round(d2, 6) as d2 from ranked where rank <= 10"""
 
-ORACLE["knn_blocked"] = ORACLE["knn_pruned"] = ORACLE["knn_top10"]
+ORACLE["knn_blocked"] = ORACLE["knn_pruned"] = ORACLE["extended_search"] = ORACLE["knn_top10"]
 
 ORACLE["accuracy_at_k"] = f"""
 with {RAW_VECS}, {PAIRS}, {BEST}
@@ -403,7 +403,7 @@ tf as (select corpus_id, {_bucket('t')} as bucket, count(*)::DOUBLE as tf from t
 select corpus_id, bucket, round(tf / sqrt(sum(tf * tf) over (partition by corpus_id)), 6) as weight from tf"""
 
 ORACLE["hash_encode"] = HASH_ENCODE
-ORACLE["encode_arrow"] = HASH_ENCODE
+ORACLE["encode_arrow"] = ORACLE["encode_budgeted"] = HASH_ENCODE
 
 
 def scored_sql(src: str) -> str:
@@ -666,3 +666,28 @@ select conv_id, turn,
                   else len(list_intersect({_words('question')}, {_words('answer')}))::DOUBLE
                        / len(list_distinct(list_concat({_words('question')}, {_words('answer')}))) end, 6) as score
 from qa"""
+
+
+# ------------------------------------------------------------------ stored state
+ORACLE["stored_changes"] = """
+select doc_id, case when quality is null then source else 'quality ' || quality end as source, lang, n_chars
+from documents left join labels using (doc_id) where coalesce(toxic, 0) <> 1"""
+
+ORACLE["claimed_segments"] = ORACLE["pack_segments"]
+
+ORACLE["title_dictionary"] = """
+with t as (select string_split(text, chr(10))[1] as title, bool_or(lang = 'en') as early from documents group by 1)
+select title, row_number() over (order by not early, title) as title_id, case when early then 1 else 2 end as load from t"""
+
+ORACLE["keyword_table"] = """
+with words as (select unnest(string_split(text, ' ')) as word from benchmark),
+k as (select word as keyword from words union select word[1:2] from words union select '' union select null),
+t as (select distinct string_split(text, chr(10))[1] as title from documents)
+select keyword, count(*) as n_titles, min(title) as first_title from k join t on contains(title, keyword) group by keyword"""
+
+ORACLE["ingest_rejects"] = """
+with x as (select doc_id, lang, source, n_chars, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source
+                  || '","n_chars":' || n_chars || '}' as line from documents)
+select case when doc_id % 7 <> 0 then doc_id end as doc_id, case when doc_id % 7 <> 0 then lang end as lang,
+       case when doc_id % 7 <> 0 then source end as source, case when doc_id % 7 <> 0 then n_chars end as n_chars,
+       case when doc_id % 7 = 0 then line[1:length(line) - 2] end as record from x"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_table(spark: SparkSession, path: str, cols: list[str] | None = None,
@@ -42,6 +42,25 @@ def ingest_corpus(spark: SparkSession, path: str, fmt: str = "json",
     return reader.format(fmt).load(path)
 
 
+def ingest_with_rejects(spark: SparkSession, path: str, fmt: str, schema: StructType,
+                        **options) -> tuple[DataFrame, DataFrame]:
+    """``(table, rejects)``: records that fit the declared schema, and (file, record) of those that do not.
+
+    json lines, csv or tsv.  A broken record never ends the load and never enters
+    the table with half of its columns.  The parsed records are checkpointed, so
+    both results come from one reading of the files.
+    """
+    from passagekit.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    held = "_rejected_record"
+    whole = StructType([*schema.fields, StructField(held, StringType())])
+    rows = ingest_corpus(spark, path, fmt, whole, mode="PERMISSIVE", columnNameOfCorruptRecord=held, **options)
+    rows = rows.withColumn("_rejected_file", F.col("_metadata.file_name")).checkpoint()
+    return (rows.where(F.col(held).isNull()).drop(held, "_rejected_file"),
+            rows.where(F.col(held).isNotNull()).select(F.col("_rejected_file").alias("file"), F.col(held).alias("record")))
+
+
 def save_table(df: DataFrame, path: str, mode: str = "overwrite",
                partition_by: list[str] | None = None) -> None:
     """``CREATE TABLE ... AS SELECT`` -> Parquet folder."""
