@@ -25,6 +25,7 @@ DEFAULTS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -58,6 +59,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """The Arrow batch limits of this package, where the session has none: the memory
+    of Python tasks over long texts follows from them."""
+    for k in (k for k in DEFAULTS if k.startswith("spark.sql.execution.arrow.max")):
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, DEFAULTS[k])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
