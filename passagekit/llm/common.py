@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.session import checkpoint_dir, ship_package
+from passagekit.session import bound_batches, checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def map_batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the executors."""
+    """``mapInArrow`` with the package shipped to the executors and batches of bounded size."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(step, schema)
 
 
