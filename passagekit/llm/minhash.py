@@ -170,9 +170,15 @@ def table_keys(classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Rows (cid, shingles) of the wanted classes (cid, rep, set_key): hashes as bytes, sorted."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("cid", "set_key", "text")
+    """Rows (cid, shingles) of the wanted classes (cid, at, set_key): hashes as bytes, sorted.
+
+    A text is found by id and hash: rows that share an id (or have none) do not meet each other's classes.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    named = wanted.select("cid", "set_key", F.col("at.id").alias("of_id"), F.col("at.text_hash").alias("of_hash"))
+    found = rows.join(named, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))).select(
+        "cid", "set_key", "text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -185,11 +191,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) ->
     return map_batches(found, step, "cid long, shingles binary").dropDuplicates(["cid"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    named = classes.select("cid", "rep", "set_key")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(named, "cid")
-    sets = cut(full_sets(docs, wanted, text_col, id_col))
     both = (pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b"))
 
@@ -325,7 +328,7 @@ def links_in_clusters(placed: DataFrame, docs: DataFrame, classes: DataFrame, te
     cells = rows.withColumn("block", block).select(
         "cluster", "cid", "label", "block", F.explode(meets).alias("other")).select(
         "cluster", "cid", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    wanted = placed.select("cid").join(classes.select("cid", "rep", "set_key"), "cid")
+    wanted = placed.select("cid").join(classes.select("cid", "at", "set_key"), "cid")
     sets = cut(full_sets(docs, wanted, text_col, id_col))
 
     def compare(own: pd.DataFrame) -> pd.DataFrame:
@@ -344,7 +347,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     rows = cut(signatures(df, text_col, id_col))
     grouped = rows.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"),
+        F.min("id").alias("rep"), F.min(F.struct("id", "text_hash")).alias("at"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"),
         F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))
     classes = cut(grouped).withColumn("cid", F.monotonically_increasing_id())
     tables = cut(table_keys(classes))  # key, cid, low, high
@@ -353,10 +356,26 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     # round 1: every class with the smallest and the largest of its tables
     stars = tables.select(F.col("low").alias("a"), F.col("cid").alias("b")).union(
         tables.select(F.col("cid"), F.col("high"))).where("a < b").distinct()
-    near = stars.join(facts.alias("x"), F.col("a") == F.col("x.cid")).join(
-        facts.alias("y"), F.col("b") == F.col("y.cid")).where(close_enough("x", "y")).select("a", "b")
-    links = cut(confirmed(cut(near), df, classes, text_col, id_col))
-    labels = components(links)
+    near = cut(stars.join(facts.alias("x"), F.col("a") == F.col("x.cid")).join(
+        facts.alias("y"), F.col("b") == F.col("y.cid")).where(close_enough("x", "y")).select("a", "b"))
+    wanted = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct().join(
+        classes.select("cid", "at", "set_key"), "cid")
+    sets = cut(full_sets(df, wanted, text_col, id_col))
+    # the smallest partner of every class first; then only pairs that these links do not connect yet
+    firsts = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    labels = components(cut(confirmed(firsts, sets)))
+    rest = cut(near.join(firsts, ["a", "b"], "left_anti").join(
+        labels.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", "left").join(
+        labels.select(F.col("v").alias("b"), F.col("label").alias("lb")), "b", "left").select(
+        "a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb"))
+    links = cut(confirmed(rest.select("a", "b"), sets).join(rest, ["a", "b"]).select(
+        F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if links.head(1):
+        again = components(links)
+        # classes that are linked only now come in with their own number as label
+        own = labels.unionByName(again.select("v", F.col("v").alias("label")).join(labels, "v", "left_anti"))
+        labels = cut(own.join(again.select(F.col("v").alias("label"), F.col("label").alias("top")), "label", "left").select(
+            "v", F.coalesce("top", "label").alias("label")))
 
     # round 2: clusters of components connected by tables that hold several of them
     placed = tables.select("key", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(

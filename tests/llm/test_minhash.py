@@ -213,3 +213,24 @@ def test_common_counts_come_in_strips(monkeypatch):
     strips = list(minhash.common_strips(own, shingle, 90))
     assert all(c.size <= 900 for _, c in strips) and (np.concatenate([c for _, c in strips]) == whole).all()
     assert whole[3, 7] == len(np.intersect1d(sets[3], sets[7])) and not np.tril(whole).any()
+
+
+def test_many_null_and_repeated_ids_are_looked_up_linearly(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = []
+    for k in range(120):  # near copies without an id, and under one id
+        own = list(base)
+        own[rng.randrange(200)] = f"x{k}"
+        rows.append((None if k % 2 else 7, " ".join(own)))
+    rows += [(100 + k, " ".join(rng.choice(words) for _ in range(40))) for k in range(20)]
+    df = frame(spark, rows)
+    classes = minhash.signatures(df, "text", "doc_id").groupBy("set_key").agg(
+        minhash.F.min(minhash.F.struct("id", "text_hash")).alias("at")).withColumn(
+        "cid", minhash.F.monotonically_increasing_id())
+    sets = minhash.full_sets(df, minhash.cut(classes), "text", "doc_id")
+    assert sets.count() == len({t for _, t in rows})
+    got = [tuple(r)[:4] for r in minhash.near_duplicates(df).drop("text_hash").collect()]
+    assert len(got) == len(rows) and {r[2] for r in got if r[0] in (None, 7)} == {7}
+    assert all(r[2] == r[0] for r in got if r[0] is not None and r[0] >= 100)
