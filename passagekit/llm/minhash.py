@@ -363,19 +363,16 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     sets = cut(full_sets(df, wanted, text_col, id_col))
     # the smallest partner of every class first; then only pairs that these links do not connect yet
     firsts = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    labels = components(cut(confirmed(firsts, sets)))
-    rest = cut(near.join(firsts, ["a", "b"], "left_anti").join(
-        labels.select(F.col("v").alias("a"), F.col("label").alias("la")), "a", "left").join(
-        labels.select(F.col("v").alias("b"), F.col("label").alias("lb")), "b", "left").select(
-        "a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb"))
-    links = cut(confirmed(rest.select("a", "b"), sets).join(rest, ["a", "b"]).select(
-        F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
-    if links.head(1):
-        again = components(links)
-        # classes that are linked only now come in with their own number as label
-        own = labels.unionByName(again.select("v", F.col("v").alias("label")).join(labels, "v", "left_anti"))
-        labels = cut(own.join(again.select(F.col("v").alias("label"), F.col("label").alias("top")), "label", "left").select(
-            "v", F.coalesce("top", "label").alias("label")))
+    first_links = cut(confirmed(firsts, sets))
+    # two steps up the confirmed partners: classes that meet there are connected already
+    up = first_links.select(F.col("b").alias("v"), F.col("a").alias("up"))
+    over = up.select(F.col("v").alias("up"), F.col("up").alias("over"))
+    tops = up.join(over, "up", "left").select("v", F.coalesce("over", "up").alias("top"))
+    rest = near.join(firsts, ["a", "b"], "left_anti").join(
+        tops.select(F.col("v").alias("a"), F.col("top").alias("ta")), "a", "left").join(
+        tops.select(F.col("v").alias("b"), F.col("top").alias("tb")), "b", "left").where(
+        F.coalesce("ta", "a") != F.coalesce("tb", "b")).select("a", "b")
+    labels = components(cut(first_links.union(confirmed(cut(rest), sets))))
 
     # round 2: clusters of components connected by tables that hold several of them
     placed = tables.select("key", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(
