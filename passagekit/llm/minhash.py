@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -56,7 +56,8 @@ BITS_APART = 25  # of HASHES; more than that has a chance of about 1e-6 at the t
 BLOCK_SHINGLES = 500_000
 BLOCK_SETS = 2000
 STRIP_CELLS = 1 << 20    # counts of common shingles held at once
-ONE_TASK_EDGES = 200_000
+EDGES_A_TASK = 200_000
+ROWS_AT_ONCE = 100_000
 RARE = 32
 SLICE_BYTES = 4 << 20
 COLUMNS_AT_ONCE = 4096
@@ -208,30 +209,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "sa", "sb"), step, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows (v, label): the smallest vertex reachable, by label spreading and pointer jumping.
+def forests(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (hi, lo) of every partition joined by its own union-find: each vertex with the partition's smallest
+    one connected to it.  One entry a vertex of the partition is held in memory."""
 
-    ``edges`` is stored.  A graph of up to ``ONE_TASK_EDGES`` edges is kept in one
-    partition, where the rounds need no shuffle; larger ones use the session's.
-    """
-    small = edges.count() <= ONE_TASK_EDGES
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
 
-    def held(df: DataFrame) -> DataFrame:
-        return df.coalesce(1) if small else df
+        def root(v: int) -> int:
+            while (w := up.get(v, v)) != v:
+                up[v] = up.get(w, w)
+                v = w
+            return v
+
+        for batch in batches:
+            for x, y in zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist()):
+                p, q = root(x), root(y)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+        vertices = list(up)
+        for a in range(0, len(vertices), ROWS_AT_ONCE):
+            part = vertices[a:a + ROWS_AT_ONCE]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int64()), pa.array([root(v) for v in part], pa.int64())], ["hi", "lo"])
 
-    edges = held(edges)
-    arcs = held(cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).transform(held).distinct()))
-    labels = held(cut(arcs.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label"))))
+    return map_batches(edges.repartition(parts, "hi"), step, "hi long, lo long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (v, label): the smallest vertex reachable.  ``edges`` (a, b) is stored.
+
+    Rounds of three steps, the same for graphs of every size: partitions of about
+    ``EDGES_A_TASK`` edges are joined by a union-find of their own; every edge then
+    moves to the least neighbour of its smaller end; and all smaller neighbours of a
+    vertex are tied to the least of them.  The rounds end when all edges lead from a
+    vertex without another edge to one that has no smaller neighbour.
+    """
+    parts = max(1, -(-edges.count() // EDGES_A_TASK))
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     while True:
-        near = arcs.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(
-            F.min("label").alias("near"))
-        spread = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        spread = held(cut(spread))
-        jump = spread.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        new = held(cut(spread.join(jump, "label").select("v", "old", F.least("label", "up").alias("label"))))
-        labels = new.select("v", "label")
-        if not new.where("label < old").head(1):
-            return labels
+        now = cut(forests(now, parts))
+        least = now.groupBy("hi").agg(F.min("lo").alias("low"), F.max("lo").alias("high"))
+        below = least.select(F.col("hi").alias("lo"), "low")
+        if not least.where("low < high").select("hi").union(
+                now.join(below, "lo", "left_semi").select("hi")).agg(F.count(F.lit(1))).first()[0]:
+            return now.select(F.col("hi").alias("v"), F.col("lo").alias("label")).union(
+                now.select("lo", "lo").distinct())
+        moved = now.join(below, "lo", "left").select("hi", F.coalesce("low", "lo").alias("lo"))
+        tied = moved.withColumn("low", F.min("lo").over(Window.partitionBy("hi")))
+        now = tied.select(F.explode(F.array(F.struct("hi", F.col("low").alias("lo")),
+                                            F.struct(F.col("lo").alias("hi"), F.col("low").alias("lo")))).alias("e")
+                          ).select("e.hi", "e.lo").where("hi > lo")
 
 
 def common_strips(own: np.ndarray, shingle: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:

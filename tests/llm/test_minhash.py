@@ -114,9 +114,9 @@ def test_long_texts_in_blocks(monkeypatch):
     assert (minhash.min_hashes(own) == whole).all()
 
 
-@pytest.mark.parametrize("one_task", [200_000, 0])
-def test_components_by_union_find(spark, monkeypatch, one_task):
-    monkeypatch.setattr(minhash, "ONE_TASK_EDGES", one_task)
+@pytest.mark.parametrize("edges_a_task", [200_000, 20, 1])
+def test_components_by_union_find(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(minhash, "EDGES_A_TASK", edges_a_task)
     rng = random.Random(9)
     edges = [(a, rng.randrange(a)) for a in range(1, 60) if a % 7] + [(100 + a, 101 + a) for a in range(25)]
     found = minhash.components(spark.createDataFrame(edges, "a long, b long"))
