@@ -54,7 +54,7 @@ def ended() -> str:
 
 
 SLICE_BYTES = 12 << 20
-PIECES_KEPT = 250_000
+PIECES_KEPT = 100_000
 NO_RANK = np.iinfo(np.int64).max
 
 

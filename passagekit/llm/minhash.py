@@ -61,7 +61,7 @@ ROWS_AT_ONCE = 100_000
 RARE = 32
 SLICE_BYTES = 4 << 20
 COLUMNS_AT_ONCE = 4096
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 _rng = np.random.default_rng(20)
 POSITION = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
