@@ -1,19 +1,27 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-Every vector is cut into ``SLICES`` ranges of dimensions; a range holds one part
-of every score.  Queries and candidates meet in cells of a grid of blocks.
+Every vector is cut into ``SLICES`` ranges of dimensions.  A cell of the grid
+(query block, candidate block, slice) holds that slice of its vectors alone, so
+it knows one part of every score and never a whole one.
 
-1. Each cell sends, per query and range, the k entries with the largest parts
-   (with their whole scores).  The k-th best whole score among them is a cutoff
+1. *Local lists.*  Each cell sends, per query, its k entries with the largest
+   parts; a slice's list is the best k over its blocks.  The other parts of
+   these listed entries are fetched, and the k-th best whole score is a cutoff
    that no answer can be below.
-2. The cutoff goes back to the queries.  An entry can only reach it if in some
-   range its part reaches a uniform share of it (the part's mean over the
-   cell's block plus an equal share of the rest); each cell takes these entries.
-3. Whole scores of the taken entries are resolved exactly; those at or above
-   the cutoff are ranked.
+2. *Sufficient entries.*  The head of a slice's list is the ceiling of that
+   slice.  What the ceilings have above the cutoff is the slack; an entry whose
+   parts stay below their ceilings by more than ``slack / SLICES`` in every slice
+   cannot reach the cutoff.  The cutoff goes back to the cells, and each sends the
+   entries within that uniform share in its slice.
+3. *Remaining scores.*  An entry not sent by a slice is below the ceiling there by
+   more than the share; those that cannot reach the cutoff any more are left out,
+   and the missing parts of the rest are fetched.  Whole scores are ranked.
 
-A block holds at most ``BLOCK_NUMBERS`` numbers, and a cell scores
-``QUERIES_AT_ONCE`` queries at a time, whatever the number of rows.
+Equal vectors are one candidate (a class) with the few ids that can be answers,
+so copies of one vector never flood the lists with ties.
+
+A block holds at most ``BLOCK_ROWS`` rows and ``BLOCK_NUMBERS`` numbers, and a
+cell scores ``QUERIES_AT_ONCE`` queries at a time, whatever the number of rows.
 
 Defined cases: vectors that are NULL, empty or hold NULL, NaN or infinite
 components (and rows with a NULL id) take no part; only vectors of the same
@@ -35,8 +43,9 @@ from passagekit.session import ship_package
 
 SLICES = 2
 BLOCK_NUMBERS = 1 << 19
+BLOCK_ROWS = 1 << 11
 QUERIES_AT_ONCE = 64
-TOP = "query_key long, part int, vec_id long, part_score long, score long"
+ENTRY = "query_key long, class_key long, slice int, part long"
 
 
 def quantised(df: DataFrame, vector_col: str, id_col: str, is_query: Column) -> DataFrame:
@@ -50,107 +59,170 @@ def quantised(df: DataFrame, vector_col: str, id_col: str, is_query: Column) ->
         F.size(v).alias("width"), F.coalesce(is_query, F.lit(False)).alias("asked"))
 
 
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct vectors (class_key, width, v, ids, low_id, shared).
+
+    ``ids`` has the k + 1 smallest ids of the vector, each at most k times: no
+    query can take more, its own id left out.  ``shared``: more than one id.
+    """
+    counted = rows.withColumn("h", F.xxhash64("v")).groupBy("h", "v", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    least = Window.partitionBy("h", "v").orderBy("vec_id")
+    few = counted.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1)
+    grouped = few.groupBy("h", "v").agg(F.sort_array(F.collect_list(
+        F.struct("vec_id", F.least("n", F.lit(k)).cast("int").alias("n")))).alias("held"))
+    return grouped.select(
+        F.monotonically_increasing_id().alias("class_key"), F.size("v").alias("width"), "v",
+        F.flatten(F.transform("held", lambda x: F.array_repeat(x["vec_id"], x["n"]))).alias("ids"),
+        F.col("held")[0]["vec_id"].alias("low_id"), (F.size("held") > 1).alias("shared"))
+
+
+def sliced(df: DataFrame, vector_col: str, width_col: str) -> DataFrame:
+    """One row per slice: ``slice`` and that range of the vector in place of the whole."""
+    kept = [c for c in df.columns if c != vector_col]
+    first = F.floor(F.col(width_col) * F.col("slice") / F.lit(SLICES)).cast("int")
+    end = F.floor(F.col(width_col) * (F.col("slice") + 1) / F.lit(SLICES)).cast("int")
+    return df.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).select(
+        *kept, "slice", F.slice(vector_col, first + 1, end - first).alias(vector_col))
+
+
 def blocks(rows: int, width: int) -> int:
-    """Blocks so that one holds at most ``BLOCK_NUMBERS`` numbers."""
-    return max(1, -(-rows * max(1, width) // BLOCK_NUMBERS))
+    """Blocks so that one holds at most ``BLOCK_NUMBERS`` numbers of a slice and ``BLOCK_ROWS`` rows."""
+    most = min(BLOCK_ROWS, BLOCK_NUMBERS * SLICES // max(1, width))
+    return max(1, -(-rows // max(1, most)))
 
 
-def top_of(part: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest parts of a row, ties to the smaller id."""
+def top_of(part: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest parts of a row, ties to the smaller key."""
     if len(part) <= k:
         return np.arange(len(part))
     kth = np.partition(part, len(part) - k)[len(part) - k]
     at = np.flatnonzero(part >= kth)
-    return at[np.lexsort((ids[at], -part[at]))[:k]]
-
-
-def parts_of(queries: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
-    """Exact parts of the inner products, one matrix per range of dimensions."""
-    edges = np.linspace(0, queries.shape[1], SLICES + 1).astype(int)
-    out = []
-    for a, b in zip(edges, edges[1:]):
-        q, x = queries[:, a:b], vectors[:, a:b]
-        bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * (b - a)
-        # whole numbers below 2^53 are exact as doubles
-        out.append((q.astype(float) @ x.T.astype(float)).astype(np.int64) if bound < 2.0 ** 53 else q @ x.T)
-    return out
-
-
-def cell(queries, vectors, k: int, with_cutoff: bool) -> Iterator[tuple]:
-    """Entries of a cell: (query_key, part, vec_id, part score, whole score)."""
-    x = np.stack(vectors["v"].to_numpy())
-    ids, own = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-    keys = queries["query_key"].to_numpy()
-    cutoffs = queries["cutoff"].to_numpy(dtype=object) if with_cutoff else None
-    for row in range(len(keys)):
-        if row % QUERIES_AT_ONCE == 0:
-            parts = parts_of(np.stack(queries["qv"].iloc[row:row + QUERIES_AT_ONCE].to_numpy()), x)
-        others = np.flatnonzero(ids != own[row])
-        if not len(others):
-            continue
-        own_parts = [p[row % QUERIES_AT_ONCE, others] for p in parts]
-        if not with_cutoff:
-            whole = sum(own_parts)
-            for n, part in enumerate(own_parts):
-                at = top_of(part, ids[others], k)
-                yield keys[row], n, ids[others[at]], part[at], whole[at]
-            continue
-        cutoff = cutoffs[row]
-        if cutoff is None or cutoff != cutoff:  # fewer than k candidates are known: all are needed
-            taken = np.arange(len(others))
-            least = None
-        else:
-            least = int(cutoff)
-            means = [int(p.mean()) for p in own_parts]
-            # an entry below mean + share in every range has a whole score below the cutoff
-            share = -((sum(means) - least) // SLICES)
-            taken = np.flatnonzero(np.logical_or.reduce([p >= m + share for p, m in zip(own_parts, means)]))
-        whole = sum(p[taken] for p in own_parts)
-        if least is not None:
-            taken, whole = taken[whole >= least], whole[whole >= least]
-        at = top_of(whole, ids[others[taken]], k)
-        yield keys[row], -1, ids[others[taken[at]]], whole[at], whole[at]
+    return at[np.lexsort((keys[at], -part[at]))[:k]]
+
+
+def parts_of(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of two blocks of slices."""
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    # whole numbers below 2^53 are exact as doubles
+    return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if bound < 2.0 ** 53 else q @ x.T
+
+
+def matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.int64) for v in vectors])
+
+
+def cell(queries, vectors, k: int, listing: bool) -> Iterator[tuple]:
+    """Entries of a cell: (query_key, class keys, parts); the k best, or all down to ``least``."""
+    x, keys = matrix(vectors["v"]), vectors["class_key"].to_numpy()
+    low, shared = vectors["low_id"].to_numpy(), vectors["shared"].to_numpy(dtype=bool)
+    asked, own = queries["query_key"].to_numpy(), queries["query_id"].to_numpy()
+    least, bounded = queries["least"].to_numpy(), queries["bounded"].to_numpy(dtype=bool)
+    for a in range(0, len(asked), QUERIES_AT_ONCE):
+        parts = parts_of(matrix(queries["qv"].iloc[a:a + QUERIES_AT_ONCE]), x)
+        for row in range(a, a + len(parts)):
+            others = np.flatnonzero(shared | (low != own[row]))
+            part = parts[row - a, others]
+            if listing:
+                at = top_of(part, keys[others], k)
+            else:
+                at = np.flatnonzero(part >= least[row]) if bounded[row] else np.arange(len(part))
+            yield asked[row], keys[others[at]], part[at]
 
 
 def over_cells(queries: DataFrame, vectors: DataFrame, q_blocks: int, x_blocks: int, k: int,
-               with_cutoff: bool) -> DataFrame:
-    """Cogroups query blocks and candidate blocks of every cell."""
+               listing: bool) -> DataFrame:
+    """Rows ``ENTRY`` of all cells (width, query block, candidate block, slice)."""
     import pandas as pd
 
     ship_package(queries.sparkSession)
-    columns = ["query_key", "part", "vec_id", "part_score", "score"]
 
     def work(key, q, x):
-        found = list(cell(q, x, k, with_cutoff)) if len(q) and len(x) else []
-        return pd.DataFrame({c: np.concatenate([np.full(len(f[2]), f[n]) if n < 2 else f[n] for f in found])
-                             if found else [] for n, c in enumerate(columns)})
-
-    # both sides come from one table: the queries' columns get names of their own
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_key"), F.lit(q_blocks))).withColumn(
+        found = list(cell(q, x, k, listing)) if len(q) and len(x) else []
+        if not found:
+            return pd.DataFrame({"query_key": [], "class_key": [], "slice": [], "part": []})
+        sizes = [len(f[1]) for f in found]
+        return pd.DataFrame({"query_key": np.repeat([f[0] for f in found], sizes),
+                             "class_key": np.concatenate([f[1] for f in found]), "slice": int(key[3]),
+                             "part": np.concatenate([f[2] for f in found])})
+
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_key"), F.lit(q_blocks)).cast("int")).withColumn(
         "xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))))
-    x = vectors.withColumn("xb", F.pmod(F.xxhash64("row_key"), F.lit(x_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-    return q.groupBy("qw", "qb", "xb").cogroup(x.groupBy("width", "qb", "xb")).applyInPandas(work, TOP)
+    x = vectors.withColumn("xb", F.pmod(F.xxhash64("class_key"), F.lit(x_blocks)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    return q.groupBy("qw", "qb", "xb", "slice").cogroup(x.groupBy("width", "qb", "xb", "slice")).applyInPandas(
+        work, ENTRY)
+
+
+def fetched(seen: DataFrame, q_parts: DataFrame, x_parts: DataFrame) -> DataFrame:
+    """Whole scores (query_key, class_key, score) of entries with ``known`` parts of the slices ``have``."""
+    every = F.array(*(F.lit(s) for s in range(SLICES)))
+    missing = seen.select("query_key", "class_key", F.explode(F.array_except(every, "have")).alias("slice"))
+    products = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
+    rest = missing.join(q_parts.select("query_key", "slice", "qv"), ["query_key", "slice"]).join(
+        x_parts.select("class_key", "slice", "v"), ["class_key", "slice"]).select(
+        "query_key", "class_key", products.alias("part"))
+    return seen.select("query_key", "class_key", F.col("known").alias("part")).unionByName(rest).groupBy(
+        "query_key", "class_key").agg(F.sum("part").alias("score"))
+
+
+def known_parts(entries: DataFrame) -> DataFrame:
+    """Per entry the sum of its known parts and their slices (at most ``SLICES``)."""
+    return entries.groupBy("query_key", "class_key").agg(
+        F.sum("part").alias("known"), F.collect_list("slice").alias("have"))
+
+
+def limits_of(listed: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """Per query: ``ceilings`` (slice -> largest part), ``slack`` and the uniform ``share`` (NULL: below k)."""
+    best = Window.partitionBy("query_key").orderBy(F.desc("score"), "class_key")
+    cutoffs = scores.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(
+        "query_key", F.col("score").alias("cutoff"))
+    heads = listed.groupBy("query_key", "slice").agg(F.max("part").alias("ceiling")).groupBy("query_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("slice", "ceiling"))).alias("ceilings"),
+        F.sum("ceiling").alias("above"))
+    return heads.join(cutoffs, "query_key", "left").select(
+        "query_key", "ceilings", (F.col("above") - F.col("cutoff")).alias("slack")).withColumn(
+        "share", F.floor(F.col("slack") / F.lit(SLICES)).cast("long"))
+
+
+def sufficient(entries: DataFrame, limits: DataFrame) -> DataFrame:
+    """Entries of phase 2 whose known parts still allow the cutoff."""
+    seen = known_parts(entries).join(limits, "query_key")
+    ceiling = F.aggregate("have", F.lit(0).cast("long"), lambda s, x: s + F.col("ceilings")[x])
+    below = ceiling - F.col("known") + (F.lit(SLICES) - F.size("have")) * (F.col("share") + 1)
+    return seen.where(F.col("slack").isNull() | (below <= F.col("slack"))).select(
+        "query_key", "class_key", "known", "have")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vector_col: str = "embedding",
           id_col: str = "vec_id") -> DataFrame:
     """Rows (query_id, rank, vec_id, score) of every row where ``is_query`` holds."""
-    rows = cut(quantised(df, vector_col, id_col, is_query)).withColumn(
-        "row_key", F.monotonically_increasing_id())
+    rows = cut(quantised(df, vector_col, id_col, is_query).withColumn("row_key", F.monotonically_increasing_id()))
+    classes = cut(classes_of(rows, k))
     queries = rows.where("asked").select(
         F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"),
         F.col("width").alias("qw"))
-    n = rows.agg(F.count(F.lit(1)), F.max("width")).first()
+    n = classes.agg(F.count(F.lit(1)), F.max("width")).first()
     q_blocks, x_blocks = blocks(queries.count(), n[1] or 1), blocks(n[0], n[1] or 1)
-
-    listed = over_cells(queries, rows, q_blocks, x_blocks, k, False).select("query_key", "vec_id", "score")
+    q_parts = sliced(queries, "qv", "qw")
+    x_parts = sliced(classes.drop("ids"), "v", "width")
+
+    unbounded = q_parts.withColumn("least", F.lit(0).cast("long")).withColumn("bounded", F.lit(False))
+    local = over_cells(unbounded, x_parts, q_blocks, x_blocks, k, True)
+    in_slice = Window.partitionBy("query_key", "slice").orderBy(F.desc("part"), "class_key")
+    listed = cut(local.withColumn("nth", F.row_number().over(in_slice)).where(F.col("nth") <= k).drop("nth"))
+    limits = cut(limits_of(listed, fetched(known_parts(listed), q_parts, x_parts), k))
+
+    bounded = q_parts.join(limits, "query_key").select(
+        *q_parts.columns, F.coalesce(F.col("ceilings")[F.col("slice")] - F.col("share"), F.lit(0)).alias("least"),
+        F.col("share").isNotNull().alias("bounded"))
+    sent = over_cells(bounded, x_parts, q_blocks, x_blocks, k, False)
+    scores = fetched(cut(sufficient(sent, limits)), q_parts, x_parts)
+
+    # every class has a row that may be taken, so classes after the k-th score hold no answer
+    first = scores.withColumn("place", F.rank().over(Window.partitionBy("query_key").orderBy(F.desc("score"))))
+    taken = first.where(F.col("place") <= k).join(classes.select("class_key", "ids"), "class_key").select(
+        "query_key", "score", F.explode("ids").alias("vec_id")).join(
+        queries.select("query_key", "query_id"), "query_key").where("vec_id <> query_id")
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-    # an entry may be listed for both ranges; a repeated id with one score counts once, which only lowers the cutoff
-    cutoffs = listed.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(
-        "query_key", F.col("score").alias("cutoff"))
-    asked = cut(queries.join(cutoffs, "query_key", "left"))
-    taken = over_cells(asked, rows, q_blocks, x_blocks, k, True).select("query_key", "vec_id", "score")
-    ranked = taken.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.join(queries.select("query_key", "query_id"), "query_key").select(
+    return taken.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

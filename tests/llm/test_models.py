@@ -374,6 +374,32 @@ def test_topk_is_brute_force(spark, monkeypatch, block, width):
     assert sorted(map(tuple, got.collect())) == brute_topk(rows, 5)
 
 
+def test_topk_repeated_ids_and_shared_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 40, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(150)]
+    rows += [(7, [2.0] * 6)] * 9 + [(9, [2.0] * 6)] * 8 + [(60, [2.0] * 6)] * 2
+    df = spark.createDataFrame([(i, v, 0.0, 1, 2) for i, v in rows], VECTORS)
+    got = topk.top_k(df, F.col("vec_id") % 3 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_topk(rows, 5)
+
+
+def test_topk_sends_only_entries_within_the_share(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # the first slice has the larger parts, so one threshold on plain parts would send all of it
+    rows = [(i, [*(10 + 3 * rng.normal(size=8)), *rng.normal(size=8)]) for i in range(900)]
+    sent = []
+    plain = topk.sufficient
+    monkeypatch.setattr(topk, "sufficient", lambda entries, limits: sent.append(plain(entries, limits)) or sent[-1])
+    df = spark.createDataFrame([(i, v, 0.0, 1, 2) for i, v in rows], VECTORS)
+    got = topk.top_k(df, F.col("vec_id") % 45 == 0)
+    found = sorted(map(tuple, got.collect()))
+    fine = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64)) for i, v in rows]
+    want = [(q, n + 1, i, -s) for q, a in fine if q % 45 == 0
+            for n, (s, i) in enumerate(sorted((-int(a @ b), i) for i, b in fine if i != q)[:5])]
+    assert found == sorted(want)
+    assert 20 * 5 <= sent[0].count() < 20 * 900 // 4  # of 20 x 899 pairs
+
+
 def test_topk_empty_and_few(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 3 == 0).collect() == []
     two = spark.createDataFrame([(0, [1.0], 0.0, 1, 1), (1, [2.0], 0.0, 1, 1)], VECTORS)
