@@ -386,7 +386,7 @@ def test_topk_repeated_ids_and_shared_vectors(spark):
 def test_topk_sends_only_entries_within_the_share(spark, monkeypatch):
     rng = np.random.default_rng(5)
     # the first slice has the larger parts, so one threshold on plain parts would send all of it
-    rows = [(i, [*(10 + 3 * rng.normal(size=8)), *rng.normal(size=8)]) for i in range(900)]
+    rows = [(i, [*(10 + 3 * rng.normal(size=8)).tolist(), *rng.normal(size=8).tolist()]) for i in range(900)]
     sent = []
     plain = topk.sufficient
     monkeypatch.setattr(topk, "sufficient", lambda entries, limits: sent.append(plain(entries, limits)) or sent[-1])
