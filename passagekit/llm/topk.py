@@ -5,16 +5,17 @@ Every vector is cut into ``SLICES`` ranges of dimensions.  A cell of the grid
 it knows one part of every score and never a whole one.
 
 1. *Local lists.*  Each cell sends, per query, its k entries with the largest
-   parts; a slice's list is the best k over its blocks.  The other parts of
-   these listed entries are fetched, and the k-th best whole score is a cutoff
-   that no answer can be below.
+   parts; a slice's list is the best ``LISTED`` (k at least) over its blocks.  The
+   other parts of these listed entries are fetched, and the k-th best whole score
+   is a cutoff that no answer can be below.
 2. *Sufficient entries.*  The head of a slice's list is the ceiling of that
-   slice.  What the ceilings have above the cutoff is the slack; an entry whose
-   parts stay below their ceilings by more than ``slack / SLICES`` in every slice
-   cannot reach the cutoff.  The cutoff goes back to the cells, and each sends the
-   entries within that uniform share in its slice.
+   slice, and its distance from the mean part the slice's spread.  What the
+   ceilings have above the cutoff is the slack.  An entry below every ceiling by
+   more than one uniform share (``slack / sum of spreads``) of the slice's spread
+   cannot reach the cutoff.  The shares go back to the cells, and each sends the
+   entries within its slice's share.
 3. *Remaining scores.*  An entry not sent by a slice is below the ceiling there by
-   more than the share; those that cannot reach the cutoff any more are left out,
+   more than its share; those that cannot reach the cutoff any more are left out,
    and the missing parts of the rest are fetched.  Whole scores are ranked.
 
 Equal vectors are one candidate (a class) with the few ids that can be answers,
@@ -45,7 +46,8 @@ SLICES = 2
 BLOCK_NUMBERS = 1 << 19
 BLOCK_ROWS = 1 << 11
 QUERIES_AT_ONCE = 64
-ENTRY = "query_key long, class_key long, slice int, part long"
+LISTED = 32  # longer lists make the cutoff higher, so phase 2 sends less; the result is the same
+ENTRY = "query_key long, class_key long, slice int, part long, mean double"
 
 
 def quantised(df: DataFrame, vector_col: str, id_col: str, is_query: Column) -> DataFrame:
@@ -112,7 +114,7 @@ def matrix(vectors) -> np.ndarray:
 
 
 def cell(queries, vectors, k: int, listing: bool) -> Iterator[tuple]:
-    """Entries of a cell: (query_key, class keys, parts); the k best, or all down to ``least``."""
+    """Entries of a cell: (query_key, class keys, parts, mean part); the k best, or all down to ``least``."""
     x, keys = matrix(vectors["v"]), vectors["class_key"].to_numpy()
     low, shared = vectors["low_id"].to_numpy(), vectors["shared"].to_numpy(dtype=bool)
     asked, own = queries["query_key"].to_numpy(), queries["query_id"].to_numpy()
@@ -126,7 +128,7 @@ def cell(queries, vectors, k: int, listing: bool) -> Iterator[tuple]:
                 at = top_of(part, keys[others], k)
             else:
                 at = np.flatnonzero(part >= least[row]) if bounded[row] else np.arange(len(part))
-            yield asked[row], keys[others[at]], part[at]
+            yield asked[row], keys[others[at]], part[at], float(part.mean()) if len(part) else 0.0
 
 
 def over_cells(queries: DataFrame, vectors: DataFrame, q_blocks: int, x_blocks: int, k: int,
@@ -139,11 +141,12 @@ def over_cells(queries: DataFrame, vectors: DataFrame, q_blocks: int, x_blocks:
     def work(key, q, x):
         found = list(cell(q, x, k, listing)) if len(q) and len(x) else []
         if not found:
-            return pd.DataFrame({"query_key": [], "class_key": [], "slice": [], "part": []})
+            return pd.DataFrame({"query_key": [], "class_key": [], "slice": [], "part": [], "mean": []})
         sizes = [len(f[1]) for f in found]
         return pd.DataFrame({"query_key": np.repeat([f[0] for f in found], sizes),
                              "class_key": np.concatenate([f[1] for f in found]), "slice": int(key[3]),
-                             "part": np.concatenate([f[2] for f in found])})
+                             "part": np.concatenate([f[2] for f in found]),
+                             "mean": np.repeat([f[3] for f in found], sizes)})
 
     q = queries.withColumn("qb", F.pmod(F.xxhash64("query_key"), F.lit(q_blocks)).cast("int")).withColumn(
         "xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))))
@@ -156,13 +159,12 @@ def over_cells(queries: DataFrame, vectors: DataFrame, q_blocks: int, x_blocks:
 def fetched(seen: DataFrame, q_parts: DataFrame, x_parts: DataFrame) -> DataFrame:
     """Whole scores (query_key, class_key, score) of entries with ``known`` parts of the slices ``have``."""
     every = F.array(*(F.lit(s) for s in range(SLICES)))
-    missing = seen.select("query_key", "class_key", F.explode(F.array_except(every, "have")).alias("slice"))
+    missing = seen.select("query_key", "class_key", "known", F.explode_outer(F.array_except(every, "have")).alias("slice"))
     products = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
-    rest = missing.join(q_parts.select("query_key", "slice", "qv"), ["query_key", "slice"]).join(
-        x_parts.select("class_key", "slice", "v"), ["class_key", "slice"]).select(
-        "query_key", "class_key", products.alias("part"))
-    return seen.select("query_key", "class_key", F.col("known").alias("part")).unionByName(rest).groupBy(
-        "query_key", "class_key").agg(F.sum("part").alias("score"))
+    parts = missing.join(q_parts.select("query_key", "slice", "qv"), ["query_key", "slice"], "left").join(
+        x_parts.select("class_key", "slice", "v"), ["class_key", "slice"], "left").select(
+        "query_key", "class_key", "known", F.coalesce(products, F.lit(0).cast("long")).alias("part"))
+    return parts.groupBy("query_key", "class_key").agg((F.max("known") + F.sum("part")).alias("score"))
 
 
 def known_parts(entries: DataFrame) -> DataFrame:
@@ -172,24 +174,35 @@ def known_parts(entries: DataFrame) -> DataFrame:
 
 
 def limits_of(listed: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """Per query: ``ceilings`` (slice -> largest part), ``slack`` and the uniform ``share`` (NULL: below k)."""
+    """Per query: ``slack`` and the maps slice -> ``ceilings``, ``shares`` (slack and shares NULL: below k candidates).
+
+    Shares add up to the slack at least, whatever the spreads are.
+    """
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), "class_key")
     cutoffs = scores.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(
         "query_key", F.col("score").alias("cutoff"))
-    heads = listed.groupBy("query_key", "slice").agg(F.max("part").alias("ceiling")).groupBy("query_key").agg(
+    heads = listed.groupBy("query_key", "slice").agg(F.max("part").alias("ceiling"), F.avg("mean").alias("mean")).select(
+        "query_key", "slice", "ceiling", (F.greatest(F.col("ceiling") - F.col("mean"), F.lit(0.0)) + 1).alias("spread"))
+    per_query = heads.groupBy("query_key").agg(
+        F.collect_list(F.struct("slice", "ceiling", "spread")).alias("heads"),
+        F.sum("ceiling").alias("above"), F.sum("spread").alias("spreads"))
+    slack = per_query.join(cutoffs, "query_key", "left").withColumn("slack", F.col("above") - F.col("cutoff"))
+    share = (F.floor(F.col("slack") * F.col("spread") / F.col("spreads")) + 1).cast("long")  # 1: for rounding
+    return slack.select("query_key", "slack", "spreads", F.explode("heads").alias("x")).select(
+        "query_key", "slack", "spreads", "x.*").groupBy("query_key").agg(
+        F.max("slack").alias("slack"),
         F.map_from_entries(F.collect_list(F.struct("slice", "ceiling"))).alias("ceilings"),
-        F.sum("ceiling").alias("above"))
-    return heads.join(cutoffs, "query_key", "left").select(
-        "query_key", "ceilings", (F.col("above") - F.col("cutoff")).alias("slack")).withColumn(
-        "share", F.floor(F.col("slack") / F.lit(SLICES)).cast("long"))
+        F.map_from_entries(F.collect_list(F.struct("slice", share.alias("share")))).alias("shares"))
 
 
 def sufficient(entries: DataFrame, limits: DataFrame) -> DataFrame:
     """Entries of phase 2 whose known parts still allow the cutoff."""
     seen = known_parts(entries).join(limits, "query_key")
-    ceiling = F.aggregate("have", F.lit(0).cast("long"), lambda s, x: s + F.col("ceilings")[x])
-    below = ceiling - F.col("known") + (F.lit(SLICES) - F.size("have")) * (F.col("share") + 1)
-    return seen.where(F.col("slack").isNull() | (below <= F.col("slack"))).select(
+    zero = F.lit(0).cast("long")
+    ceiling = F.aggregate("have", zero, lambda s, x: s + F.col("ceilings")[x])
+    every = F.array(*(F.lit(s) for s in range(SLICES)))
+    unsent = F.aggregate(F.array_except(every, "have"), zero, lambda s, x: s + F.col("shares")[x] + 1)
+    return seen.where(F.col("slack").isNull() | (ceiling - F.col("known") + unsent <= F.col("slack") + SLICES)).select(
         "query_key", "class_key", "known", "have")
 
 
@@ -209,12 +222,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vector_col: str = "embedd
     unbounded = q_parts.withColumn("least", F.lit(0).cast("long")).withColumn("bounded", F.lit(False))
     local = over_cells(unbounded, x_parts, q_blocks, x_blocks, k, True)
     in_slice = Window.partitionBy("query_key", "slice").orderBy(F.desc("part"), "class_key")
-    listed = cut(local.withColumn("nth", F.row_number().over(in_slice)).where(F.col("nth") <= k).drop("nth"))
+    listed = cut(local.withColumn("nth", F.row_number().over(in_slice)).where(F.col("nth") <= max(k, LISTED)).drop("nth"))
     limits = cut(limits_of(listed, fetched(known_parts(listed), q_parts, x_parts), k))
 
     bounded = q_parts.join(limits, "query_key").select(
-        *q_parts.columns, F.coalesce(F.col("ceilings")[F.col("slice")] - F.col("share"), F.lit(0)).alias("least"),
-        F.col("share").isNotNull().alias("bounded"))
+        *q_parts.columns, F.coalesce(F.col("ceilings")[F.col("slice")] - F.col("shares")[F.col("slice")], F.lit(0)).alias(
+            "least"), F.col("slack").isNotNull().alias("bounded"))
     sent = over_cells(bounded, x_parts, q_blocks, x_blocks, k, False)
     scores = fetched(cut(sufficient(sent, limits)), q_parts, x_parts)
 
