@@ -248,15 +248,15 @@ def components(edges: DataFrame) -> DataFrame:
     parts = max(1, -(-edges.count() // EDGES_A_TASK))
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     while True:
-        now = cut(forests(now, parts))
-        least = now.groupBy("hi").agg(F.min("lo").alias("low"), F.max("lo").alias("high"))
-        below = least.select(F.col("hi").alias("lo"), "low")
-        if not least.where("low < high").select("hi").union(
-                now.join(below, "lo", "left_semi").select("hi")).agg(F.count(F.lit(1))).first()[0]:
-            return now.select(F.col("hi").alias("v"), F.col("lo").alias("label")).union(
-                now.select("lo", "lo").distinct())
-        moved = now.join(below, "lo", "left").select("hi", F.coalesce("low", "lo").alias("lo"))
-        tied = moved.withColumn("low", F.min("lo").over(Window.partitionBy("hi")))
+        # the forests of a partition do not depend on the order of its rows, so they may run again for the join
+        joined = forests(now, parts)
+        below = joined.groupBy("hi").agg(F.min("lo").alias("below")).withColumnRenamed("hi", "lo")
+        moved = joined.join(below, "lo", "left").select(
+            "hi", F.coalesce("below", "lo").alias("lo"), F.col("below").isNotNull().alias("open"))
+        tied = cut(moved.withColumn("low", F.min("lo").over(Window.partitionBy("hi"))))
+        if not tied.where("open OR lo <> low").head(1):
+            return tied.select(F.col("hi").alias("v"), F.col("lo").alias("label")).union(
+                tied.select("lo", "lo").distinct())
         now = tied.select(F.explode(F.array(F.struct("hi", F.col("low").alias("lo")),
                                             F.struct(F.col("lo").alias("hi"), F.col("low").alias("lo")))).alias("e")
                           ).select("e.hi", "e.lo").where("hi > lo")
