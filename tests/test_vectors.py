@@ -174,3 +174,32 @@ def test_knn_grid_shapes_property(spark):
         assert got == brute(np.arange(35), X, np.arange(35), X, k, True)
 
     check()
+
+
+def test_rows_travel_by_tile_not_by_cell(spark, monkeypatch):
+    """Small cells do not multiply the rows that are shuffled: every vector of one tile is sent once."""
+    import pandas as pd
+
+    def counted(*_):
+        def run(q, x):
+            return pd.DataFrame({"g": [""], "q": [len(q)], "x": [len(x)], "d2": [0.0]})
+        return run
+
+    monkeypatch.setattr(vectors, "_cell_topk", counted)
+    df = _frame(spark, range(200), np.eye(200, 4, dtype=np.float32), "vec_id")
+    q = df.withColumnRenamed("vec_id", "query_id")
+    sent = vectors.knn(q, df, 9, q_block_rows=8, x_block_rows=8, parallelism=1).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in sent] == [(200, 200)]
+
+
+def test_kept_lists_are_cut_back(monkeypatch):
+    """Equal vectors beyond number: the lists of a search stay bounded and ids decide."""
+    monkeypatch.setattr(vectors, "CELL_NUMBERS", 800)
+    x, ids = np.zeros((5000, 2)), np.random.default_rng(2).permutation(5000)
+    near = vectors.Nearest(x[:40], ids[:40], x, ids, 3, True)
+    lengths, cut = [], near._cut
+    near._cut = lambda kept: lengths.append(sum(len(r) for r, _, _ in kept)) or cut(kept)
+    rows, cols, d2 = near.search(0, 40, ((None, a, a + 100) for a in range(0, 5000, 100)))
+    assert max(lengths) <= 2 * 4096 + 40 * 100 and not d2.any()
+    want = [[i for i in range(4) if i != own][:3] for own in ids[:40]]
+    assert ids[cols].reshape(40, 3).tolist() == want and rows.tolist() == sorted(list(range(40)) * 3)
