@@ -131,3 +131,25 @@ def test_long_texts_stay_close_to_linear(spark):
 
     seconds(500)
     assert seconds(16_000) < 3.2 * seconds(8_000) + 1
+
+
+def test_a_query_is_routed_once_per_block(spark):
+    """Where no cell can be left out, a query travels once to every block of rows, not to every cell."""
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    points, sizes = rng.normal(size=(50, 3)), np.full(50, 10)
+    begin = pruned._spread(sizes, pruned._line_up(points))
+    batch = pd.DataFrame({"q": range(20), "v": list(rng.normal(size=(20, 3))), "bound": np.inf,
+                          "first": [np.array([k], np.int32) for k in range(20)]})
+    for rows, blocks in ((500, 1), (130, 4), (7, 72)):
+        out = pd.concat(pruned._router(points, sizes, np.zeros(50), np.full(50, 9.0), 4, True, begin, rows)([batch]))
+        assert out.groupby("q").size().max() <= blocks and not out.duplicated(["q", "xb"]).any()
+        for q, own in out.groupby("q"):
+            assert set(np.concatenate(own["cells"].to_list())) == set(range(50)) - {q} and own["work"].sum() == 490
+
+
+def test_pruned_without_clusters_equals_the_grid(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(300)]
+    got, want, work = both(spark, rows, 5, block_rows=64)
+    assert got == want and work.distances <= 300 * 300
