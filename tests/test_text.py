@@ -320,3 +320,44 @@ def test_passages_of_long_and_odd_documents(spark, tmp_path):
     for r in p.where("src <> 1").collect():
         back.setdefault(r["src"], []).append((r["num"], r["text"]))
     assert {i: "\n".join(t for _, t in sorted(v)) for i, v in back.items()} == {i: t for i, t, _ in docs if i != 1}
+
+
+CANDIDATE_DOCS = [(1, "Anna met Bob. Carl saw 12 cats in 1999.\nDora ran? Anna met Bob."), (2, None), (3, ""),
+                  (4, "No stop here"), (5, "Eve Fox won 3.5 points. Gus lost.\n\nHe met Eve Fox! Ivy sang."),
+                  (6, "Jim ate. Kim slept."), (6, "Lea ate. Kim woke 7 times."), (7, "Max ran."), (7, "Max ran."),
+                  (None, "Nora sat. Olaf stood."), (None, None)]
+
+
+def test_candidates_in_rows_equal_candidates_by_joins(spark):
+    """Keys of one row are worked out inside the row; repeated and NULL keys keep their pooled candidates."""
+    df = spark.createDataFrame(CANDIDATE_DOCS, "doc_id long, text string")
+    for style in textprep.STYLES:
+        got = textprep.build_candidates(df, style=style, seed=5, max_tokens=4)
+        want = textprep._candidates_by_key(df, "doc_id", "text", style, 5, 4)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+
+
+def test_sentence_arrays_of_arrays(spark):
+    from passagekit.functions.text import sentence_arrays
+    rows = [(["One. Two! x", "", "Mr. A ran.\nB sat."],), ([],), (None,), (["tail"],), (["A.  B. "],)]
+    df = spark.createDataFrame(rows, "t array<string>").coalesce(1)
+    got = [r[0] for r in df.select(sentence_arrays(F.col("t"))).collect()]
+    assert got == [None if t is None else [py_sentences(x) for x in t] for t, in rows]
+
+
+def test_scores_and_contexts_are_not_worked_out_twice(spark):
+    """One word overlap per candidate in the plan; a plugged generator returns no context."""
+    from passagekit.operators import augment, models
+    df = spark.createDataFrame([(1, "Anna met Bob. Carl saw 12 cats.")], "doc_id long, text string")
+    plan = augment.augment(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1
+    cands = textprep.build_candidates(df)
+    out = augment.generate_questions(cands, models.cloze_generator, ["doc_id", "cand_id"])
+    assert out.columns == ["doc_id", "cand_id", "question"]
+    full = augment.generate_questions(cands, models.cloze_generator)
+    assert full.columns == [*cands.columns, "question"]
+    assert sorted(r["question"] for r in out.collect()) == sorted(r["question"] for r in full.collect())
+    a, b = augment.augment(df), augment.augment(df, generator_factory=models.cloze_generator,
+                                                scorer_factory=models.overlap_scorer)
+    assert a.collect() == b.collect()
