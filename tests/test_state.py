@@ -187,6 +187,18 @@ def test_keyword_table_against_like(spark):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_keyword_runs_are_broadcast(spark, monkeypatch):
+    """Runs of titles are joined where they are cut; very many words are joined by a shuffle, with the same pairs."""
+    titles = spark.createDataFrame([("The Old House",), ("On the hill",), ("",)], "title string")
+    words = spark.createDataFrame([("The",), ("hill",), ("th",), ("O",), ("",), ("zzz",)], "keyword string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    small = keywords.keyword_matches(titles, words)
+    assert plan(small).count("strategy=broadcast") == 3
+    monkeypatch.setattr(keywords, "BROADCAST_RUNS", 0)
+    large = keywords.keyword_matches(titles, words)
+    assert "strategy=broadcast" not in plan(large) and rows(small) == rows(large) and len(rows(small)) == 8
+
+
 # ---------------------------------------------------------------- batches sized for the model
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 60), max_size=80), st.integers(1, 200))
@@ -228,6 +240,39 @@ def test_budgeted_encoder_equals_the_plain_one(spark):
     assert {r.id: list(r.embedding) for r in models.encode(df, "id", "text", dim=8, budget=32).collect()} == plain
 
 
+def test_a_buffer_of_budgeted_batches_is_one_arrow_batch(spark, monkeypatch):
+    """The model sees batches within the budget, Arrow sees one batch per buffer."""
+    class Frame:
+        sparkSession = spark
+        withColumn = lambda self, *_: self
+        mapInPandas = lambda self, run, schema: run
+
+    seen = []
+
+    def factory():
+        return lambda b: seen.append(len(b)) or b
+
+    run = models.apply_budgeted(Frame(), factory, "", F.lit(1), 10)
+    out = list(run([pd.DataFrame({"id": range(400), "_length": 2})]))
+    assert len(seen) == 80 and max(seen) == 5
+    assert [len(b) for b in out] == [320, 80] and sorted(pd.concat(out)["id"]) == list(range(400))
+
+
+def test_encoder_equals_counting_words(monkeypatch):
+    import hashlib
+    monkeypatch.setattr(models, "CACHED_TOKENS", 3)
+    texts = ["A b  a c", None, "", "d e f g a A", "\u0130x b"]
+    want = np.zeros((5, 6))
+    for row, text in enumerate(texts):
+        for t in (text or "").lower().split(" "):
+            if t:
+                want[row, int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 6] += 1
+    norm = np.sqrt((want * want).sum(axis=1, keepdims=True))
+    want = np.divide(want, norm, out=np.zeros_like(want), where=norm > 0)
+    encode = models.hashed_bow_encoder(6)
+    assert (encode(pd.Series(texts)) == want).all() and encode(pd.Series([], dtype=object)).shape == (0, 6)
+
+
 # ---------------------------------------------------------------- kept hits
 def test_extended_search_equals_the_full_search(spark):
     rng = np.random.default_rng(2)
