@@ -361,3 +361,21 @@ def test_scores_and_contexts_are_not_worked_out_twice(spark):
     a, b = augment.augment(df), augment.augment(df, generator_factory=models.cloze_generator,
                                                 scorer_factory=models.overlap_scorer)
     assert a.collect() == b.collect()
+
+
+def test_options_are_ordered_without_numbers(spark):
+    """``hash_order`` sorts as ``unit_hash``; candidates look their options up once and make no number of a hash."""
+    from passagekit.functions.hashing import hash_order, unit_hash
+    df = spark.range(300).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), "id")).alias("t"))
+    rows = df.select(unit_hash("k", "t", seed=42).alias("u"), hash_order("k", "t", seed=42).alias("h")).collect()
+    assert [r["u"] for r in sorted(rows, key=lambda r: r["h"])] == sorted(r["u"] for r in rows)
+    plan = textprep.with_candidates(df, "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and plan.count("element_at(") == 2
+
+
+def test_first_longest_word_is_blanked(spark):
+    from passagekit.operators.models import cloze_generator, default_question
+    answers = ["", " ", "a", "aa bb c", "b  cccc dddd", "é dé abc", "x", None]
+    df = spark.createDataFrame([(a, "context a", "sentences") for a in answers], "answer string, context string, style string")
+    got = [r[0] for r in df.select(default_question(F.col("answer"), F.col("context"), F.col("style"))).collect()]
+    assert got[-1] is None and got[:-1] == cloze_generator()(df.where("answer is not null").toPandas())
