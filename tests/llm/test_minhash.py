@@ -234,3 +234,24 @@ def test_many_null_and_repeated_ids_are_looked_up_linearly(spark):
     got = [tuple(r)[:4] for r in minhash.near_duplicates(df).drop("text_hash").collect()]
     assert len(got) == len(rows) and {r[2] for r in got if r[0] in (None, 7)} == {7}
     assert all(r[2] == r[0] for r in got if r[0] is not None and r[0] >= 100)
+
+
+def test_settled_leaves_no_files_of_a_finished_shuffle(spark):
+    """The shuffle before the cut is deleted although the driver has not run out of memory."""
+    import time
+
+    from passagekit.llm.common import settled
+
+    def files() -> set:
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {n for f in disk.getAllFiles().mkString(" ").split() if (n := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+
+    old = files()
+    kept = settled(spark.range(1000).repartition(5, "id"))
+    own = files() - old
+    time.sleep(3)
+    settled(spark.range(1))
+    until = time.time() + 20
+    while files() & own and time.time() < until:
+        time.sleep(0.1)
+    assert not files() & own and kept.count() == 1000
