@@ -189,3 +189,14 @@ def test_dedup_by_pair(spark):
     df = spark.createDataFrame([("t", 2, 1, "b"), ("t", 1, 9, "a"), ("t", 1, 10, "c")],
                                "text string, src long, num int, key string")
     assert [r["key"] for r in curate.dedup_passages(df, ["text"], ["src", "num"]).collect()] == ["a"]
+
+
+def test_collapse_with_given_positions_copies_a_text_once(spark):
+    df = _df(spark, ROWS)
+    placed = curate.group_positions(df, "doc_id", ["num"]).withColumnRenamed("pos", "place")
+    for n in (1, 2, 3, 4):
+        got = curate.collapse_passages(placed, n, positions="place")
+        assert sorted(tuple(r) for r in got.select("doc_id", F.array_join("corpus_id_array", ","), "title", "doc_text",
+                                                   "first_num").collect()) == brute_collapse(ROWS, n), n
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct(array(0, " in plan and "sequence(0" not in plan
