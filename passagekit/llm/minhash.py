@@ -44,7 +44,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from passagekit.llm.common import map_batches, settled, slices, strings
+from passagekit.llm.common import map_batches, slices, strings
+from passagekit.llm.common import settled as cut  # many short steps in a row
 from passagekit.session import ship_package
 
 SHINGLE = 5
@@ -253,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
         below = joined.groupBy("hi").agg(F.min("lo").alias("below")).withColumnRenamed("hi", "lo")
         moved = joined.join(below, "lo", "left").select(
             "hi", F.coalesce("below", "lo").alias("lo"), F.col("below").isNotNull().alias("open"))
-        tied = settled(moved.withColumn("low", F.min("lo").over(Window.partitionBy("hi"))))
+        tied = cut(moved.withColumn("low", F.min("lo").over(Window.partitionBy("hi"))))
         if not tied.where("open OR lo <> low").head(1):
             return tied.select(F.col("hi").alias("v"), F.col("lo").alias("label")).union(
                 tied.select("lo", "lo").distinct())
@@ -357,7 +358,7 @@ def links_in_clusters(placed: DataFrame, docs: DataFrame, classes: DataFrame, te
         "cluster", "cid", "label", "block", F.explode(meets).alias("other")).select(
         "cluster", "cid", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     wanted = placed.select("cid").join(classes.select("cid", "at", "set_key"), "cid")
-    sets = settled(full_sets(docs, wanted, text_col, id_col))
+    sets = cut(full_sets(docs, wanted, text_col, id_col))
 
     def compare(own: pd.DataFrame) -> pd.DataFrame:
         own = own.drop_duplicates("cid")
@@ -373,24 +374,24 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     ``text_hash`` (xxhash64 of the text) tells rows apart that share an id.
     """
-    rows = settled(signatures(df, text_col, id_col))
-    classes = settled(rows.where("n_shingles > 0").groupBy("set_key").agg(
+    rows = cut(signatures(df, text_col, id_col))
+    classes = cut(rows.where("n_shingles > 0").groupBy("set_key").agg(
         F.min("id").alias("rep"), F.min(F.struct("id", "text_hash")).alias("at"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"),
         F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"))).withColumn("cid", F.monotonically_increasing_id())
-    tables = settled(table_keys(classes))  # key, cid, low, high
+    tables = cut(table_keys(classes))  # key, cid, low, high
     facts = classes.select("cid", "n", "bits0", "bits1")
 
     # round 1: every class with the smallest and the largest of its tables
     stars = tables.select(F.col("low").alias("a"), F.col("cid").alias("b")).union(
         tables.select(F.col("cid"), F.col("high"))).where("a < b").distinct()
-    near = settled(stars.join(facts.alias("x"), F.col("a") == F.col("x.cid")).join(
+    near = cut(stars.join(facts.alias("x"), F.col("a") == F.col("x.cid")).join(
         facts.alias("y"), F.col("b") == F.col("y.cid")).where(close_enough("x", "y")).select("a", "b"))
     wanted = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct().join(
         classes.select("cid", "at", "set_key"), "cid")
-    sets = settled(full_sets(df, wanted, text_col, id_col))
+    sets = cut(full_sets(df, wanted, text_col, id_col))
     # the smallest partner of every class first; then only pairs that these links do not connect yet
     firsts = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first_links = settled(confirmed(firsts, sets))
+    first_links = cut(confirmed(firsts, sets))
     # two steps up the confirmed partners: classes that meet there are connected already
     up = first_links.select(F.col("b").alias("v"), F.col("a").alias("up"))
     over = up.select(F.col("v").alias("up"), F.col("up").alias("over"))
@@ -399,27 +400,27 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         tops.select(F.col("v").alias("a"), F.col("top").alias("ta")), "a", "left").join(
         tops.select(F.col("v").alias("b"), F.col("top").alias("tb")), "b", "left").where(
         F.coalesce("ta", "a") != F.coalesce("tb", "b")).select("a", "b")
-    labels = components(settled(first_links.union(confirmed(settled(rest), sets))))
+    labels = components(cut(first_links.union(confirmed(cut(rest), sets))))
 
     # round 2: clusters of components connected by tables that hold several of them
     placed = tables.select("key", "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(
         "label", F.coalesce("label", "cid"))
     several = placed.groupBy("key").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label")).where(
         "low_label < high_label").select("key", "low_label")
-    mixed_rows = settled(placed.join(several, "key").select("cid", "label", "low_label").distinct())
+    mixed_rows = cut(placed.join(several, "key").select("cid", "label", "low_label").distinct())
     merged = None
     if mixed_rows.head(1):
-        clusters = components(settled(mixed_rows.where("low_label < label").select(
+        clusters = components(cut(mixed_rows.where("low_label < label").select(
             F.col("low_label").alias("a"), F.col("label").alias("b")).distinct()))
-        members = settled(mixed_rows.select("cid", "label").distinct().join(
+        members = cut(mixed_rows.select("cid", "label").distinct().join(
             clusters.select(F.col("v").alias("label"), F.col("label").alias("cluster")), "label").join(
             facts.select("cid", "n"), "cid"))
-        more = settled(links_in_clusters(members, df, classes, text_col, id_col))
+        more = cut(links_in_clusters(members, df, classes, text_col, id_col))
         # the new links join components: a graph of the components alone
         own = members.select("cid", "label")
         joined = more.join(own.select(F.col("cid").alias("a"), F.col("label").alias("x")), "a").join(
             own.select(F.col("cid").alias("b"), F.col("label").alias("y")), "b")
-        merged = components(settled(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+        merged = components(cut(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
         merged = merged.select(F.col("v").alias("label"), F.col("label").alias("top"))
 
     named = classes.join(labels.withColumnRenamed("v", "cid"), "cid", "left").withColumn(
