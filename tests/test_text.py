@@ -379,3 +379,20 @@ def test_first_longest_word_is_blanked(spark):
     df = spark.createDataFrame([(a, "context a", "sentences") for a in answers], "answer string, context string, style string")
     got = [r[0] for r in df.select(default_question(F.col("answer"), F.col("context"), F.col("style"))).collect()]
     assert got[-1] is None and got[:-1] == cloze_generator()(df.where("answer is not null").toPandas())
+
+
+def test_candidates_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
+    from passagekit.plans.catalog import CATALOG
+    rows = [(None if i % 2 else 7, f"Town {i} lies by River {i}. It has {1900 + i} people.") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held = {"spark.passagekit.spread.input": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = CATALOG["score_pairs"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r["task"] for r in got}) > 1
+    assert sum(r["cand_id"].startswith("0:") for r in got) == 80  # two sentences of every row, rows of an id too
