@@ -424,3 +424,17 @@ def test_quotation_marks_are_counted_once_a_line():
     long = 'bad "word " ' * 200_000
     began = time.time()
     assert len(quoted_at(long, np.arange(0, len(long), 12))) == 200_000 and time.time() - began < 20
+
+
+def test_tables_of_finished_sweeps_are_dropped(spark):
+    from pathlib import Path
+
+    from passagekit.session import checkpoint_dir
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("lm-*"))
+    rows = [(i, " ".join(f"w{i * j % 7}" for j in range(20)), "en") for i in range(1, 30)]
+    got = lm.score(docs(spark, rows), F.col("doc_id") % 3 > 0)
+    own, = set(folder.glob("lm-*")) - before
+    last = lm.BURN_IN + lm.SAMPLES - 1
+    assert {p.name for p in own.iterdir()} == {"chunks", "words", "located", "shared", "alone", "values", f"seated-{last}"}
+    assert got.count() == len(rows)  # what is left is enough for the scores
