@@ -396,3 +396,16 @@ def test_candidates_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
             spark.conf.set(k, v)
     assert len({r["task"] for r in got}) > 1
     assert sum(r["cand_id"].startswith("0:") for r in got) == 80  # two sentences of every row, rows of an id too
+
+
+def test_rows_of_entities_grow_with_the_text(spark):
+    """A sentence as long as its text is not copied to each of its entities."""
+    docs = [(n, "X " + " ".join(f"a {i}" for i in range(n)) + ". Bob ran.") for n in (200, 800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    d = textprep.with_entity_choices(df, "doc_id", "text", "_e")
+    size = {r[0]: (r[1], r[2]) for r in d.select("doc_id", F.size("_e"), F.length(F.to_json("_e"))).collect()}
+    assert {n: s[0] for n, s in size.items()} == {200: 201, 800: 801}  # the numbers and Bob; 'X' is no entity
+    assert size[800][1] < 6 * size[200][1]
+    p = textprep.with_parts(df, "doc_id", "text").select("doc_id", F.length(F.to_json("_parts")))
+    size = dict(map(tuple, p.collect()))
+    assert size[800] < 6 * size[200]
