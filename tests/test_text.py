@@ -409,3 +409,27 @@ def test_rows_of_entities_grow_with_the_text(spark):
     p = textprep.with_parts(df, "doc_id", "text").select("doc_id", F.length(F.to_json("_parts")))
     size = dict(map(tuple, p.collect()))
     assert size[800] < 6 * size[200]
+
+
+def _schemas(node):
+    yield node.schema().simpleString()
+    for i in range(node.children().size()):
+        yield from _schemas(node.children().apply(i))
+
+
+def test_no_step_of_augment_stores_contexts_of_candidates(spark):
+    """Questions over the kept length are put together again; no row between the steps holds
+    a sentence or context for each candidate."""
+    from passagekit.operators import augment, models
+    long = "Ann met Bob and " + "very " * 300 + "old Carl. "
+    docs = [(1, long + "Dora ran. Eve sat in 1999."), (2, "Gus lost."), (4, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = augment.augment(df, n=6, seed=3)
+    assert not [s for s in _schemas(got._jdf.queryExecution().optimizedPlan()) if "sentence:string" in s or "context:string" in s]
+    want = augment.augment(df, n=6, seed=3, generator_factory=models.cloze_generator, scorer_factory=models.overlap_scorer)
+    rows = {r["doc_id"]: (r["questions"], r["n_questions"]) for r in want.collect()}
+    assert {r["doc_id"]: (r["questions"], r["n_questions"]) for r in got.collect()} == rows
+    assert max(len(q) for q, _ in rows.values()) > 2 * augment.KEPT_CHARS
+    every = augment.augment(df, evaluate=False, seed=3).select("doc_id", "questions", "n_questions").collect()
+    want = augment.augment(df, evaluate=False, seed=3, generator_factory=models.cloze_generator).collect()
+    assert sorted(map(repr, every)) == sorted(map(repr, want))
