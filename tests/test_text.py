@@ -433,3 +433,38 @@ def test_no_step_of_augment_stores_contexts_of_candidates(spark):
     every = augment.augment(df, evaluate=False, seed=3).select("doc_id", "questions", "n_questions").collect()
     want = augment.augment(df, evaluate=False, seed=3, generator_factory=models.cloze_generator).collect()
     assert sorted(map(repr, every)) == sorted(map(repr, want))
+
+
+def test_models_get_candidates_in_bounded_calls(spark):
+    """Contexts travel once; a call of a plugged generator holds few rows and characters."""
+    import pandas as pd
+
+    from passagekit.operators import augment, models
+    words = [f"Ann{i}x" for i in range(300)]
+    b = pd.DataFrame({"context": ["c" * 100, None, "dd"], "answer": [words, [], ["x"]], "_item": [list(range(300)), [], [0]]})
+    calls = list(models.item_batches(b, ["_item", "answer"], rows=128, chars=5000))
+    assert max(len(c) for c in calls) <= 128 and all(c["context"].str.len().sum() <= 5000 for c in calls)
+    whole = pd.concat(calls)
+    assert list(whole["answer"]) == [*words, "x"] and list(whole["_item"]) == [*range(300), 0]
+    assert list(whole["context"]) == ["c" * 100] * 300 + ["dd"]
+    assert len({id(x) for x in whole["context"]}) == 2
+    text = "Anna met " + " ".join(f"Bob{i}" for i in range(1500)) + ". Carl saw 12 cats. Dora ran."
+
+    def generator():
+        own = models.cloze_generator()
+
+        def generate(batch):
+            assert len(batch) <= models.CALL_ROWS and list(batch["prompt"]) == [
+                f"{textprep.ANSWER_TOKEN} {a} {textprep.CONTEXT_TOKEN} {c}" for a, c in zip(batch["answer"], batch["context"])]
+            return own(batch)
+        return generate
+
+    df = spark.createDataFrame([(1, text), (2, "Gus lost."), (3, ""), (3, "Ivy won. Jo lost 3 games.")], "doc_id long, text string")
+    for evaluate in (True, False):
+        got = augment.augment(df, n=5, evaluate=evaluate, generator_factory=generator, scorer_factory=models.overlap_scorer)
+        rows = textprep.build_candidates(df).withColumn("answer", models.correct_answer(F.col("answer"), F.col("choices")))
+        qa = augment.generate_questions(rows.drop("choices"))
+        if evaluate:
+            qa = augment.rank_candidates(augment.score_pairs(qa), 5)
+        want = augment.concat_questions(qa, order="rank" if evaluate else "cand_id")
+        assert sorted(map(tuple, got.where("n_questions > 0").distinct().collect())) == sorted(map(tuple, want.collect()))
