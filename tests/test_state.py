@@ -286,3 +286,25 @@ def test_extended_search_equals_the_full_search(spark):
     got = hits.search_appended(stored, q, whole.where("origin = 'noise'"), 6)
     assert rows(got) == rows(vectors.knn(q, whole, 6))
     assert rows(hits.merge_hits([stored, stored], 6)) == rows(stored)
+
+
+def test_grid_lets_go_of_finished_steps(spark):
+    """A step stored by the grid stays while it is used; its files go once a later step is stored."""
+    import glob
+    import time
+
+    from passagekit.plans import grid
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/rdd-*"))
+    first = grid._settled(spark.range(50))
+    used = set(glob.glob(f"{folder}/rdd-*")) - before
+    assert used and first.count() == 50
+    second = grid._settled(first.where("id > 9"))
+    assert all(map(glob.glob, used)) and first.count() == 50
+    del first
+    for _ in range(40):
+        second = grid._settled(second)
+        if not any(map(glob.glob, used)):
+            break
+        time.sleep(0.5)
+    assert not any(map(glob.glob, used)) and second.count() == 40
