@@ -438,3 +438,21 @@ def test_tables_of_finished_sweeps_are_dropped(spark):
     last = lm.BURN_IN + lm.SAMPLES - 1
     assert {p.name for p in own.iterdir()} == {"chunks", "words", "located", "shared", "alone", "values", f"seated-{last}"}
     assert got.count() == len(rows)  # what is left is enough for the scores
+
+
+def test_packed_rows_come_back_by_chunk(spark, monkeypatch):
+    """Numbers return to their chunk as they were, and as few rows of it."""
+    import numpy as np
+
+    from passagekit.llm import lm
+    monkeypatch.setattr(lm, "PACKED_ROWS", 1000)
+    rows = [(i % 3 << 24, i % 7, i * 10 ** 9, -i, i / 7) for i in range(2500)]
+    df = spark.createDataFrame(rows, "chunk long, number int, wid long, n long, score_1 double").coalesce(1)
+    found = lm.packed(df, False).toPandas()
+    assert len(found) <= 9 and found["n_rows"].sum() == 2500 and not found["is_pair"].any()
+    back = []
+    for chunk, own in found.groupby("of_chunk"):
+        got = lm.unpacked(own["data"], own["n_rows"], 4)
+        back += zip([chunk] * got.shape[1], *got[:3].tolist(), got[3:].view(np.float64)[0].tolist())
+    assert sorted(back) == sorted(rows)
+    assert lm.unpacked([], [], 5).shape == (5, 0)
